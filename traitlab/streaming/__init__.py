@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analyses this engine re-expresses read complete files only: there is
+no watermark, event-time window, stateful operator or late-data rule to
+rebuild, so this package is intentionally empty.  Draws and trait tables
+are batch inputs (see ``traitlab.sources.io``).
+"""
