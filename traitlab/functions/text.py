@@ -22,7 +22,16 @@ P_SMALL_CELL = "< 0.001"
 
 
 def _lit(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+    """SQL string literal; backslashes become ``chr(92)`` because Spark SQL
+    un-escapes them inside literals while other engines keep them."""
+    parts = ["'" + p.replace("'", "''") + "'" for p in s.split("\\")]
+    return "(" + " || chr(92) || ".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+
+def clean_sql(x: str) -> str:
+    """Round to 13 significant digits: removes last-bit noise of summation
+    order before a coarser rounding (a decimal tie stays a tie everywhere)."""
+    return signif_sql(x, 13)
 
 
 def num_text_sql(x: str) -> str:
@@ -34,6 +43,7 @@ def num_text_sql(x: str) -> str:
 def fg_sql(x: str, digits: int) -> str:
     """I12, ``formatC(format="fg")``: significant digits, never fewer than
     the integer digits, printed without trailing zeros."""
+    x = clean_sql(x)
     e = f"(CAST({digits - 1} AS DOUBLE) - floor(log10(abs({x}))))"
     r = (f"(CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} "
          f"WHEN {e} >= 0 THEN round({x} * power(10.0, {e})) / power(10.0, {e}) "
@@ -43,7 +53,7 @@ def fg_sql(x: str, digits: int) -> str:
 
 def signif_text_sql(x: str, digits: int) -> str:
     """``signif(x, d)`` then ``as.character``."""
-    return num_text_sql(signif_sql(x, digits))
+    return num_text_sql(signif_sql(clean_sql(x), digits))
 
 
 def add_zeroes_sql(s: str, digits: int) -> str:

@@ -99,7 +99,7 @@ _HPD_SQL = W("DR") + (
     ", r AS (SELECT par, value, row_number() OVER (PARTITION BY par ORDER BY value, chain, iter) AS rn, "
     "count(*) OVER (PARTITION BY par) AS n FROM dr), "
     "pr AS (SELECT a.par, a.rn, a.value AS lo, b.value AS hi, b.value - a.value AS w FROM r a JOIN r b "
-    "ON a.par = b.par AND b.rn = a.rn + CAST(floor(0.95 * a.n) AS BIGINT)), "
+    "ON a.par = b.par AND b.rn = a.rn + CAST(floor(CAST(0.95 AS DOUBLE) * a.n) AS BIGINT)), "
     "best AS (SELECT par, lo, hi, row_number() OVER (PARTITION BY par ORDER BY w, rn) AS o FROM pr), "
     "m AS (SELECT par, median(value) AS point FROM dr GROUP BY par) "
     "SELECT best.par, m.point, best.lo AS lower, best.hi AS upper, CAST(0.95 AS DOUBLE) AS width "
