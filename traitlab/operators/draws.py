@@ -33,8 +33,9 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: str, out: str = "iter
 def rank_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
                tiebreak: Sequence[str] = ("chain", "iter")) -> DataFrame:
     """Rank values within each parameter (columns ``rn``, ``n``)."""
-    tb = [t for t in tiebreak if t in draws.columns]
-    return rank_within(draws.where(F.col(value).isNotNull()), keys, value, tb)
+    tb = [t for t in tiebreak if t in draws.columns and t not in keys and t != value]
+    src = draws.select(*keys, value, *tb)
+    return rank_within(src.where(F.col(value).isNotNull()), keys, value, tb)
 
 
 def tail_p(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",

@@ -69,9 +69,10 @@ def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
-def order_levels(df: DataFrame, by: str, out: str = "sort_key", desc: bool = False) -> DataFrame:
-    """category order taken from sorted rows, carried as a key column
-    (1 = first), computed with the parallel ranking."""
+def order_levels(df: DataFrame, by: str, out: str = "sort_key", desc: bool = False,
+                 tiebreak: Sequence[str] = ()) -> DataFrame:
+    """F1 + F3: category order taken from sorted rows, carried as a key
+    column (1 = first), computed with the parallel ranking."""
     src = df.withColumn("_neg", -F.col(by)) if desc else df
-    ranked = rank_within(src, [], "_neg" if desc else by, rank_col=out, count_col="_n")
+    ranked = rank_within(src, [], "_neg" if desc else by, tiebreak, rank_col=out, count_col="_n")
     return ranked.drop("_n", "_neg") if desc else ranked.drop("_n")

@@ -56,7 +56,7 @@ def per_draw_correlation(df: DataFrame, by: Sequence[str], pairs: Sequence[tuple
         aggs.append(guarded_corr(xc, yc).alias(f"r_{name}"))
     g = df.groupBy(*by).agg(*aggs)
     for name, _, _ in pairs:
-        g = g.withColumn(f"r2_{name}", F.pow(F.col(f"r_{name}"), 2))
+        g = g.withColumn(f"r2_{name}", F.col(f"r_{name}") * F.col(f"r_{name}"))
     return g
 
 

@@ -95,7 +95,9 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     keys = list(keys)
     names = list(names) if names else [f"q{p}" for p in probs]
     if ranked is None:
-        ranked = rank_within(df.where(F.col(value).isNotNull()), keys, value, tiebreak)
+        tb = list(tiebreak)
+        src = df.select(*keys, value, *[t for t in tb if t not in keys and t != value])
+        ranked = rank_within(src.where(F.col(value).isNotNull()), keys, value, tb)
     pos = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
     lo = [F.floor(p_) + 1 for p_ in pos]
     hi = [F.ceil(p_) + 1 for p_ in pos]
