@@ -74,3 +74,23 @@ def grid_value(lo: Column, hi: Column, idx: Column, n: int) -> Column:
 
 def grid_value_sql(lo: str, hi: str, idx: str, n: int) -> str:
     return f"({lo} + CAST({idx} AS DOUBLE) * ({hi} - {lo}) / {float(n - 1)})"
+
+
+def signif_columns(df, cols, digits: int):
+    """``signif`` of several columns in two small projections: the decimal
+    exponent first, then the rounding that uses it.  Each expression stays
+    small (the exponent is not repeated inline), which keeps generated code
+    short when many columns are rounded at once."""
+    cols = list(cols)
+    if not cols:
+        return df
+    ex = {f"__e_{c}": F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(F.col(c)))).cast("double")
+          for c in cols}
+    staged = df.withColumns(ex)
+    out = {}
+    for c in cols:
+        x, e = F.col(c), F.col(f"__e_{c}")
+        out[c] = (F.when(x.isNull() | (x == 0), x)
+                  .when(e >= 0, F.round(x * F.pow(F.lit(10.0), e)) / F.pow(F.lit(10.0), e))
+                  .otherwise(F.round(x / F.pow(F.lit(10.0), -e)) * F.pow(F.lit(10.0), -e)))
+    return staged.withColumns(out).drop(*ex.keys())

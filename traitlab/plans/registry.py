@@ -17,7 +17,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import signif, signif_sql
+from ..functions.numeric import signif_columns, signif_sql
 
 SIG = 9
 
@@ -37,13 +37,15 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
-        sel = []
+        sel, dbl = [], []
         for name, kind in self._spec():
             col = F.col(f"`{name}`")
             if kind == "d":
-                col = signif(signif(col.cast("double"), 13), SIG)
+                col = col.cast("double")
+                dbl.append(name)
             sel.append(col.alias(name))
-        return df.select(*sel)
+        out = df.select(*sel)
+        return signif_columns(signif_columns(out, dbl, 13), dbl, SIG)
 
     def oracle(self) -> str | None:
         if self.sql is None:

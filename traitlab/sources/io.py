@@ -104,11 +104,12 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
                 rerun: bool = False, partition_by: Iterable[str] = ()) -> DataFrame:
     """A5: compute-or-reuse.
 
-    When ``rerun`` is set or nothing is stored at ``path``, build the
-    DataFrame and write it; then always read the stored copy, which also
-    cuts the lineage of whatever produced it.
+    When ``rerun`` is set or no complete copy is stored at ``path`` (the
+    ``_SUCCESS`` marker of a finished write), build the DataFrame and write
+    it; then always read the stored copy, which also cuts the lineage of
+    whatever produced it.
     """
-    if rerun or not path_exists(spark, path):
+    if rerun or not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         w = builder().write.mode("overwrite")
         parts = list(partition_by)
         if parts:
