@@ -76,21 +76,32 @@ def grid_value_sql(lo: str, hi: str, idx: str, n: int) -> str:
     return f"({lo} + CAST({idx} AS DOUBLE) * ({hi} - {lo}) / {float(n - 1)})"
 
 
-def signif_columns(df, cols, digits: int):
+def signif_columns(df, cols, digits: int, keep_integer_digits: bool = False):
     """``signif`` of several columns in two small projections: the decimal
     exponent first, then the rounding that uses it.  Each expression stays
     small (the exponent is not repeated inline), which keeps generated code
-    short when many columns are rounded at once."""
+    short when many columns are rounded at once; both steps are one
+    ``selectExpr`` each, so building the plan costs two calls.
+
+    ``keep_integer_digits`` never rounds into the integer part (the
+    ``formatC(format="fg")`` rule)."""
     cols = list(cols)
     if not cols:
         return df
-    ex = {f"__e_{c}": F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(F.col(c)))).cast("double")
-          for c in cols}
-    staged = df.withColumns(ex)
-    out = {}
-    for c in cols:
-        x, e = F.col(c), F.col(f"__e_{c}")
-        out[c] = (F.when(x.isNull() | (x == 0), x)
-                  .when(e >= 0, F.round(x * F.pow(F.lit(10.0), e)) / F.pow(F.lit(10.0), e))
-                  .otherwise(F.round(x / F.pow(F.lit(10.0), -e)) * F.pow(F.lit(10.0), -e)))
-    return staged.withColumns(out).drop(*ex.keys())
+
+    def q(c: str) -> str:
+        return "`" + c.replace("`", "``") + "`"
+
+    def exp(c: str) -> str:
+        e = f"(CAST({digits - 1} AS DOUBLE) - floor(log10(abs({q(c)}))))"
+        return f"greatest({e}, CAST(0 AS DOUBLE))" if keep_integer_digits else e
+
+    names = [f"__e_{i}" for i in range(len(cols))]
+    staged = df.selectExpr("*", *[f"{exp(c)} AS {n}" for c, n in zip(cols, names)])
+    rnd = {}
+    for c, e in zip(cols, names):
+        x = q(c)
+        rnd[c] = (f"CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} "
+                  f"WHEN {e} >= 0 THEN round({x} * power(10.0, {e})) / power(10.0, {e}) "
+                  f"ELSE round({x} / power(10.0, -{e})) * power(10.0, -{e}) END AS {q(c)}")
+    return staged.selectExpr(*[rnd.get(c, q(c)) for c in df.columns])

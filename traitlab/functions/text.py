@@ -9,10 +9,10 @@ the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import signif_sql
+from .numeric import signif_columns, signif_sql
 
 # The text pieces used by the reference's tables.
 PM = " $\\pm$ "
@@ -107,3 +107,22 @@ def template_sql(parts: list[str]) -> str:
 
 def expr(sql: str) -> Column:
     return F.expr(sql)
+
+
+def text_cells(df: DataFrame, cells: dict[str, str], digits: int, pad: bool = False,
+               fg: bool = False) -> DataFrame:
+    """Column form of ``signif_text_sql`` / ``fg_sql`` (+ ``add_zeroes_sql``)
+    for several cells at once, computed in stages (clean, round, text, pad)
+    so that no expression repeats another inline.  ``cells`` maps output
+    name to source column; each stage is one ``selectExpr``."""
+    tmp = {out: f"__x_{i}" for i, out in enumerate(cells)}
+    base = list(df.columns)
+    df = df.selectExpr("*", *[f"CAST(`{src}` AS DOUBLE) AS {tmp[o]}" for o, src in cells.items()])
+    df = signif_columns(df, tmp.values(), 13)
+    df = signif_columns(df, tmp.values(), digits, keep_integer_digits=fg)
+    df = df.selectExpr(*[f"`{c}`" for c in base],
+                       *[f"{num_text_sql(t)} AS {t}" for t in tmp.values()])
+    final = [f"`{c}`" for c in base if c not in cells]
+    for o, t in tmp.items():
+        final.append(f"{add_zeroes_sql(t, digits) if pad else t} AS `{o}`")
+    return df.selectExpr(*final)

@@ -15,6 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ranking import group_quantiles, rank_within
 
 KEYS = ("par",)
@@ -32,10 +33,13 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: str, out: str = "iter
 
 def rank_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
                tiebreak: Sequence[str] = ("chain", "iter")) -> DataFrame:
-    """Rank values within each parameter (columns ``rn``, ``n``)."""
+    """Rank values within each parameter (columns ``rn``, ``n``).
+
+    The ranked table feeds several statistics (quantiles, median, HPD), so
+    it is checkpointed once into the shared folder."""
     tb = [t for t in tiebreak if t in draws.columns and t not in keys and t != value]
     src = draws.select(*keys, value, *tb)
-    return rank_within(src.where(F.col(value).isNotNull()), keys, value, tb)
+    return cut_lineage(rank_within(src.where(F.col(value).isNotNull()), keys, value, tb))
 
 
 def tail_p(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",

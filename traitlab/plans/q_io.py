@@ -138,8 +138,10 @@ def species_report(spark: SparkSession, d: str) -> DataFrame:
     j = s.join(dic, ["spp1", "tr"], "left").join(kc, "spp1", "left")
     j = j.withColumn("_num", F.col("spp1").cast("int")).withColumn("treatment", F.upper("tr"))
     j = FA.order_levels(j, "_num", "sort_key", tiebreak=["treatment"])
-    for k, v in _REPORT_TEXT.items():
-        j = j.withColumn(k, F.expr(v))
+    j = TX.text_cells(j, {"gsmax": "estimate", "se": "se", "_lo": "lower", "_hi": "upper"}, 3, pad=True)
+    j = TX.text_cells(j, {"_kc_mu": "kc_mu", "_kc_se": "kc_se"}, 3)
+    j = j.withColumns({"hpd_interval": F.concat_ws(TX.INTERVAL_SEP, "_lo", "_hi"),
+                       "kcatc_cell": F.concat(F.col("_kc_mu"), F.lit(TX.PM), F.col("_kc_se"))})
     body = j.select("sort_key", "species", "treatment", "spp1", "gsmax", "se", "hpd_interval",
                     F.round("estimate", 2).alias("estimate_2dp"), "kcatc_cell")
     header = spark.range(1).select(F.lit(0).cast("long").alias("sort_key"), F.lit("").alias("species"),

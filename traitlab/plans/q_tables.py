@@ -45,9 +45,14 @@ def null_skipping_summary(spark: SparkSession, d: str) -> DataFrame:
     j = j.withColumn("k", F.col("k").cast("string"))  # I9: the key is text, not a measure
     g = S.summarise_numeric(j, ["spp", "treatment"], lambda c: [
         F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"sd_{c}"), F.count(c).alias(f"n_{c}")])
+    g = g.withColumns({f"se_{c}": S.se(F.col(f"sd_{c}"), F.col(f"n_{c}")) for c in _NS_COLS})
+    cells = {}
     for c in _NS_COLS:
-        g = g.withColumn(f"se_{c}", S.se(F.col(f"sd_{c}"), F.col(f"n_{c}")))
-        g = g.withColumn(f"cell_{c}", F.expr(TX.mean_se_cell_sql(f"mean_{c}", f"se_{c}", f"n_{c}")))
+        cells[f"_fm_{c}"] = f"mean_{c}"
+        cells[f"_fs_{c}"] = f"se_{c}"
+    g = TX.text_cells(g, cells, 3, fg=True)
+    g = g.withColumns({f"cell_{c}": F.concat(F.col(f"_fm_{c}"), F.lit(TX.PM), F.col(f"_fs_{c}"), F.lit(" ("),
+                                             F.col(f"n_{c}").cast("string"), F.lit(")")) for c in _NS_COLS})
     return g
 
 
@@ -243,9 +248,14 @@ def label_map(spark: SparkSession, d: str) -> DataFrame:
     for c in ("estimate", "conf_low", "conf_high"):
         s = s.withColumn(c, F.when(back, F.exp(c)).otherwise(F.col(c)))
     s = s.withColumn("p_raw", F.col("p")).withColumn("p", F.when(F.col("p") < 0.001, 0.0).otherwise(F.col("p")))
-    for e in _label_text_cols("estimate", "conf_low", "conf_high", "p"):
-        body, _, name = e.rpartition(" AS ")
-        s = s.withColumn(name, F.expr(body))
+    s = TX.text_cells(s, {"estimate_txt": "estimate", "_lo": "conf_low", "_hi": "conf_high", "_p": "p"}, 3)
+    s = s.withColumns({
+        "interval_txt": F.concat_ws(TX.INTERVAL_SEP, "_lo", "_hi"),
+        "p_txt": F.when(F.col("p") == 0, F.lit(TX.P_SMALL_CELL)).otherwise(F.col("_p")),
+        "p_label": F.expr(TX.p_label_sql("p_raw"))})
+    s = s.withColumn("sentence", F.concat(F.col("parameter"), F.lit(": "), F.col("estimate_txt"),
+                                          F.lit(" (95% interval "), F.col("interval_txt"), F.lit("), P"),
+                                          F.col("p_label")))
     return s.withColumn("p", F.col("p_raw"))
 
 

@@ -57,6 +57,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def cut_lineage(df, name: str = "cut"):
+    """Write an intermediate as a table in the shared folder and read it back.
+
+    Used where one expensive intermediate (a ranked table) feeds several
+    statistics: it is computed once (a single job, unlike an RDD checkpoint
+    of an unpersisted plan, which computes it twice), survives executor
+    loss, and plans built on it start from a leaf instead of repeating its
+    whole lineage.  Never a machine-local folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared folder."""
     return f"{shared_root(spark)}/traitlab/{name}-{uuid.uuid4().hex[:12]}"
