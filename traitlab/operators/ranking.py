@@ -9,10 +9,10 @@ three parallel steps:
    final aggregation) gives ``B - 1`` cut points;
 2. each row takes the bucket ``#cuts < key``, which is monotone in the order
    key, so a window per (group, bucket) orders rows locally and in parallel;
-3. bucket sizes are summed into offsets (a table of at most groups x B
-   rows), joined back on (group, bucket) - the big side is already
-   partitioned on those columns by the window, so that join does not
-   shuffle it again.
+3. bucket sizes are prefix-summed into offsets (at most B per group, summed
+   inside one row with higher-order functions), joined back on (group,
+   bucket) - the big side is already partitioned on those columns by the
+   window, so that join does not shuffle it again.
 
 The sketch only balances the buckets; exactness comes from the counts, so a
 poor sketch costs time, never correctness.  Ties on the order key are
@@ -74,9 +74,13 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
                                                 *[F.col(t).asc_nulls_first() for t in tiebreak])
     local = b.withColumn("_lr", F.row_number().over(w))
     sizes = local.groupBy(*keys, "_b").agg(F.max("_lr").alias("_bn"))
-    wo = (Window.partitionBy(*keys).orderBy("_b")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(wo), F.lit(0))).drop("_bn")
+    # Offsets: per group at most B (bucket, size) pairs, prefix-summed in
+    # place with higher-order functions (no window over the size table).
+    offsets = (sizes.groupBy(*keys)
+               .agg(F.sort_array(F.collect_list(F.struct("_b", "_bn"))).alias("_s"))
+               .selectExpr(*[f"`{k}`" for k in keys],
+                           "inline(transform(_s, (x, i) -> named_struct('_b', x._b, '_off', "
+                           "aggregate(slice(_s, 1, i), 0L, (acc, y) -> acc + y._bn))))"))
     out = local.join(offsets, keys + ["_b"])
     out = (out.withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("long"))
            .drop("_lr", "_off", "_b"))

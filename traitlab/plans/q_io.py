@@ -152,4 +152,4 @@ def species_report(spark: SparkSession, d: str) -> DataFrame:
     table = header.unionByName(body)
     path = scratch_path(spark, "species-report")
     io.write_table(table, path, order_by=["sort_key"])
-    return spark.read.schema(REPORT_SCHEMA).option("header", True).option("nullValue", "NA").csv(path)
+    return io.read_table(spark, path, REPORT_SCHEMA)

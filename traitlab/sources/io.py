@@ -141,3 +141,9 @@ def write_table(df: DataFrame, path: str, order_by: Iterable[str] = ()) -> None:
     if keys:
         out = out.sortWithinPartitions(*keys)
     write_csv(out, path)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Read a table written by ``write_table`` (``NA`` is NULL, so empty
+    cells stay empty strings)."""
+    return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
