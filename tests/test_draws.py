@@ -31,11 +31,13 @@ def test_rank_within_matches_window_on_skewed_keys(spark, rng):
     vals = np.round(rng.normal(size=3000), 1)
     df = spark.createDataFrame([(str(k), float(v), i) for i, (k, v) in enumerate(zip(keys, vals))],
                                "g string, v double, i long")
-    ours = rank_within(df, ["g"], "v", ["i"], buckets=16).select("i", "rn", "n")
     w = Window.partitionBy("g").orderBy("v", "i")
     ref = df.select("i", F.row_number().over(w).alias("rn2"), F.count("*").over(Window.partitionBy("g")).alias("n2"))
-    bad = ours.join(ref, "i").where((F.col("rn") != F.col("rn2")) | (F.col("n") != F.col("n2"))).count()
-    assert bad == 0 and ours.count() == 3000
+    for limit in (0, 1000, None):   # bucketed (forced), bucketed (hot key over the bound), plain
+        ours = rank_within(df, ["g"], "v", ["i"], buckets=16,
+                           plain_limit=limit if limit is not None else 10**9).select("i", "rn", "n")
+        bad = ours.join(ref, "i").where((F.col("rn") != F.col("rn2")) | (F.col("n") != F.col("n2"))).count()
+        assert bad == 0 and ours.count() == 3000
 
 
 def test_global_rank_of_strings(spark):

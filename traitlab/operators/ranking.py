@@ -30,6 +30,10 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 
 DEFAULT_BUCKETS = 64
+# Largest group (rows) that one task may rank with a plain keyed window.
+# Larger groups (a parameter holding a third of all draws) take the
+# bucketed path; the bound is checked on the data before choosing.
+PLAIN_GROUP_LIMIT = 2_000_000
 
 
 def _order_key(df: DataFrame, col: str) -> Column:
@@ -50,12 +54,23 @@ def _order_key(df: DataFrame, col: str) -> Column:
 def rank_within(df: DataFrame, keys: Sequence[str], order: str,
                 tiebreak: Iterable[str] = (), rank_col: str = "rn",
                 count_col: str = "n", buckets: int = DEFAULT_BUCKETS,
-                accuracy: int = 10000) -> DataFrame:
+                accuracy: int = 10000, plain_limit: int | None = PLAIN_GROUP_LIMIT) -> DataFrame:
     """Add ``rank_col`` (row_number within ``keys`` ordered by ``order``,
-    then ``tiebreak``) and ``count_col`` (group size), without any window
-    over a whole group."""
+    then ``tiebreak``) and ``count_col`` (group size).
+
+    With keys, the largest group size is checked first (one small
+    aggregation); when it is at most ``plain_limit`` a plain window keyed by
+    the groups is enough.  Otherwise - and always for a global ranking -
+    the bucketed path below keeps every task bounded."""
     keys = list(keys)
     tiebreak = list(tiebreak)
+    if keys and plain_limit:
+        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= plain_limit:
+            order_by = [F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak]]
+            return (df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+                                  .cast("long"))
+                    .withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
     probs = [i / buckets for i in range(1, buckets)]
     keyed = df.withColumn("_ok", _order_key(df, order))
     drop_group = not keys
