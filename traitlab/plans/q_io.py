@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 from ..operators import draws as D
 from ..operators import factors as FA
+from ..operators import report as RP
 from ..operators import reshape as R
 from ..session import scratch_path
 from ..sources import io
@@ -138,18 +139,14 @@ def species_report(spark: SparkSession, d: str) -> DataFrame:
     j = s.join(dic, ["spp1", "tr"], "left").join(kc, "spp1", "left")
     j = j.withColumn("_num", F.col("spp1").cast("int")).withColumn("treatment", F.upper("tr"))
     j = FA.order_levels(j, "_num", "sort_key", tiebreak=["treatment"])
-    j = TX.text_cells(j, {"gsmax": "estimate", "se": "se", "_lo": "lower", "_hi": "upper"}, 3, pad=True)
-    j = TX.text_cells(j, {"_kc_mu": "kc_mu", "_kc_se": "kc_se"}, 3)
-    j = j.withColumns({"hpd_interval": F.concat_ws(TX.INTERVAL_SEP, "_lo", "_hi"),
+    j = RP.number_text(j, {"gsmax": "estimate", "se": "se", "_lo": "lower", "_hi": "upper"}, 3, pad=True)
+    j = RP.number_text(j, {"_kc_mu": "kc_mu", "_kc_se": "kc_se"}, 3)
+    j = j.withColumns({"hpd_interval": RP.interval_text("_lo", "_hi"),
                        "kcatc_cell": F.concat(F.col("_kc_mu"), F.lit(TX.PM), F.col("_kc_se"))})
     body = j.select("sort_key", "species", "treatment", "spp1", "gsmax", "se", "hpd_interval",
                     F.round("estimate", 2).alias("estimate_2dp"), "kcatc_cell")
-    header = spark.range(1).select(F.lit(0).cast("long").alias("sort_key"), F.lit("").alias("species"),
-                                   F.lit("").alias("treatment"), F.lit("").alias("spp1"),
-                                   F.lit(GSMAX_UNIT).alias("gsmax"), F.lit("").alias("se"),
-                                   F.lit("").alias("hpd_interval"), F.lit(None).cast("double").alias("estimate_2dp"),
-                                   F.lit("").alias("kcatc_cell"))
-    table = header.unionByName(body)
+    table = RP.add_header_row(body, {"species": "", "treatment": "", "spp1": "", "gsmax": GSMAX_UNIT,
+                                     "se": "", "hpd_interval": "", "kcatc_cell": ""})
     path = scratch_path(spark, "species-report")
     io.write_table(table, path, order_by=["sort_key"])
     return io.read_table(spark, path, REPORT_SCHEMA)

@@ -273,3 +273,15 @@ def bayes_r2(spark: SparkSession, d: str) -> DataFrame:
     """Bayesian R^2 of each regression draw over the species
     observations, from observation moments."""
     return CM.bayes_r2(_kcatc_wd(spark, d), CM.obs_moments(_obs(spark, d), "x", "y"))
+
+
+@query("loo_psis", "spp elpd_a:d k_a:d elpd_b:d k_b:d", None)
+def loo_psis(spark: SparkSession, d: str) -> DataFrame:
+    """K13 (smoothed): Pareto-smoothed importance-sampling LOO per species
+    observation for the regression draws (a) and intercept-only draws (b),
+    with the Pareto k diagnostics (no SQL oracle; tested against numpy)."""
+    obs = _obs(spark, d)
+    ea = CM.elpd_psis(obs, "x", "y", CM.draws_array(_kcatc_wd(spark, d)), ("spp",))
+    eb = CM.elpd_psis(obs, "x", "y", CM.draws_array(_null_model(spark, d)), ("spp",))
+    return (ea.select("spp", F.col("elpd").alias("elpd_a"), F.col("pareto_k").alias("k_a"))
+            .join(eb.select("spp", F.col("elpd").alias("elpd_b"), F.col("pareto_k").alias("k_b")), "spp"))

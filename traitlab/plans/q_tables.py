@@ -9,6 +9,7 @@ from ..functions import text as TX
 from ..functions.numeric import safe_ln, safe_ln_sql
 from ..operators import draws as D
 from ..operators import factors as FA
+from ..operators import report as RP
 from ..operators import reshape as R
 from ..operators import summary as S
 from ..operators import traits as TR
@@ -46,14 +47,7 @@ def null_skipping_summary(spark: SparkSession, d: str) -> DataFrame:
     g = S.summarise_numeric(j, ["spp", "treatment"], lambda c: [
         F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"sd_{c}"), F.count(c).alias(f"n_{c}")])
     g = g.withColumns({f"se_{c}": S.se(F.col(f"sd_{c}"), F.col(f"n_{c}")) for c in _NS_COLS})
-    cells = {}
-    for c in _NS_COLS:
-        cells[f"_fm_{c}"] = f"mean_{c}"
-        cells[f"_fs_{c}"] = f"se_{c}"
-    g = TX.text_cells(g, cells, 3, fg=True)
-    g = g.withColumns({f"cell_{c}": F.concat(F.col(f"_fm_{c}"), F.lit(TX.PM), F.col(f"_fs_{c}"), F.lit(" ("),
-                                             F.col(f"n_{c}").cast("string"), F.lit(")")) for c in _NS_COLS})
-    return g
+    return RP.mean_se_cells(g, {f"cell_{c}": (f"mean_{c}", f"se_{c}", f"n_{c}") for c in _NS_COLS}, 3)
 
 
 # ------------------------------------------------------------ global statistics
@@ -240,19 +234,12 @@ def label_map(spark: SparkSession, d: str) -> DataFrame:
     numbers turned into table text."""
     dr = V.draws_events(spark, d).withColumn("value", safe_ln(F.col("value") + 30))
     s = D.summarise_draws(dr, ["par"], estimate="mean", interval="quantile")
-    lab = None
-    for k, v in LABELS.items():
-        lab = (F.when(F.col("term") == k, v) if lab is None else lab.when(F.col("term") == k, v))
-    s = s.withColumn("parameter", lab).where(F.col("parameter").isNotNull())
-    back = F.col("parameter").isin(list(BACK_TRANSFORMED))
-    for c in ("estimate", "conf_low", "conf_high"):
-        s = s.withColumn(c, F.when(back, F.exp(c)).otherwise(F.col(c)))
-    s = s.withColumn("p_raw", F.col("p")).withColumn("p", F.when(F.col("p") < 0.001, 0.0).otherwise(F.col("p")))
-    s = TX.text_cells(s, {"estimate_txt": "estimate", "_lo": "conf_low", "_hi": "conf_high", "_p": "p"}, 3)
-    s = s.withColumns({
-        "interval_txt": F.concat_ws(TX.INTERVAL_SEP, "_lo", "_hi"),
-        "p_txt": F.when(F.col("p") == 0, F.lit(TX.P_SMALL_CELL)).otherwise(F.col("_p")),
-        "p_label": F.expr(TX.p_label_sql("p_raw"))})
+    s = RP.label_map(s, "term", LABELS)
+    s = RP.back_transform(s, ["estimate", "conf_low", "conf_high"], F.col("parameter").isin(list(BACK_TRANSFORMED)))
+    s = RP.clamp_p(s, "p", 0.001, keep="p_raw")
+    s = RP.number_text(s, {"estimate_txt": "estimate", "_lo": "conf_low", "_hi": "conf_high", "_p": "p"}, 3)
+    s = s.withColumns({"interval_txt": RP.interval_text("_lo", "_hi"), "p_txt": RP.p_cell("p", "_p"),
+                       "p_label": F.expr(TX.p_label_sql("p_raw"))})
     s = s.withColumn("sentence", F.concat(F.col("parameter"), F.lit(": "), F.col("estimate_txt"),
                                           F.lit(" (95% interval "), F.col("interval_txt"), F.lit("), P"),
                                           F.col("p_label")))
@@ -288,6 +275,5 @@ def union_missing_columns(spark: SparkSession, d: str) -> DataFrame:
     pl = pm.select("iter", F.concat(F.lit("b_"), "response", F.lit("_gsmax_"), "treatment").alias("par"),
                    F.col("b1").alias("value"))
     b = D.summarise_draws(pl, ["par"], estimate="median", interval="hpd", p=False)
-    header = spark.range(1).select(F.lit(0).alias("sort_key"), F.lit("term").alias("term"),
-                                   F.lit("method").alias("method"))
-    return R.bind_rows(header, a.withColumn("sort_key", F.lit(1)), b.withColumn("sort_key", F.lit(2)))
+    body = R.bind_rows(a.withColumn("sort_key", F.lit(1)), b.withColumn("sort_key", F.lit(2)))
+    return RP.add_header_row(body, {"term": "term", "method": "method"})
