@@ -34,6 +34,9 @@ DEFAULT_BUCKETS = 64
 # Larger groups (a parameter holding a third of all draws) take the
 # bucketed path; the bound is checked on the data before choosing.
 PLAIN_GROUP_LIMIT = 2_000_000
+# A global ranking (no keys) may use one plain window only when the whole
+# input is checked to be this small (e.g. a dictionary of categories).
+GLOBAL_PLAIN_LIMIT = 100_000
 
 
 def _order_key(df: DataFrame, col: str) -> Column:
@@ -60,17 +63,24 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
 
     With keys, the largest group size is checked first (one small
     aggregation); when it is at most ``plain_limit`` a plain window keyed by
-    the groups is enough.  Otherwise - and always for a global ranking -
-    the bucketed path below keeps every task bounded."""
+    the groups is enough.  A global ranking uses one plain window only when
+    the whole input is checked to hold at most ``GLOBAL_PLAIN_LIMIT`` rows.
+    Otherwise the bucketed path below keeps every task bounded."""
     keys = list(keys)
     tiebreak = list(tiebreak)
+    order_by = [F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak]]
     if keys and plain_limit:
         biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if biggest <= plain_limit:
-            order_by = [F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak]]
             return (df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
                                   .cast("long"))
                     .withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+    if not keys and plain_limit:
+        total = df.count()
+        if total <= min(plain_limit, GLOBAL_PLAIN_LIMIT):
+            # bounded by the check above: one small task ranks the whole input
+            return (df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order_by)).cast("long"))
+                    .withColumn(count_col, F.lit(total).cast("long")))
     probs = [i / buckets for i in range(1, buckets)]
     keyed = df.withColumn("_ok", _order_key(df, order))
     drop_group = not keys

@@ -12,6 +12,7 @@ from ..operators import factors as FA
 from ..operators import perdraw as PD
 from ..operators import reshape as R
 from ..operators.ranking import group_quantiles
+from ..session import cut_lineage
 from . import sqlgen as G
 from . import views as V
 from .registry import query
@@ -125,10 +126,13 @@ def per_draw_correlation(spark: SparkSession, d: str) -> DataFrame:
     rd = PD.per_draw_correlation(fj, ["iter"], [("delta", "gsmax_diff", "gs_diff")])
     rd = rd.select("iter", F.lit("delta").alias("response"), F.lit("ratio").alias("treatment"),
                    F.col("r_delta").alias("r"))
-    allr = rl.unionByName(rd).withColumn("r2", F.col("r") * F.col("r"))
+    # one table of per-draw r and r^2 (both medians come from one ranking)
+    allr = cut_lineage(rl.unionByName(rd).withColumn("r2", F.col("r") * F.col("r")), "per-draw-r")
     keys = ["response", "treatment"]
-    rs = group_quantiles(allr, keys, "r", [0.5], ["r_median"], tiebreak=["iter"]).join(
-        group_quantiles(allr, keys, "r2", [0.5], ["r2_median"], tiebreak=["iter"]), keys)
+    st = R.gather(allr, ["iter", *keys], "stat", "v", ["r", "r2"])
+    med = group_quantiles(st, [*keys, "stat"], "v", [0.5], ["m"], tiebreak=["iter"])
+    rs = R.spread(med, keys, "stat", "m", ["r", "r2"], prefix="med_").withColumnsRenamed(
+        {"med_r": "r_median", "med_r2": "r2_median"})
     pm = V.regression_draws(spark, d)
     ps = D.tail_p(pm, keys, "b1")
     return rs.join(ps, keys, "full")
