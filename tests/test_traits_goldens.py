@@ -1,11 +1,11 @@
-"""Goldens computed from the reference's three CSV files (FIXTURES.md §2)."""
+"""Goldens from the three trait CSV files (FIXTURES.md §2), found by header."""
 
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import REF_DATA, need
+from conftest import REF_DATA, csv_with_header
 from traitlab.functions import biophysics, units
 from traitlab.operators import summary as S
 from traitlab.operators import traits as TR
@@ -16,17 +16,17 @@ KEYS = ["spp", "treatment", "rep"]
 
 @pytest.fixture(scope="module")
 def stomata(spark):
-    return io.read_csv(spark, need(f"{REF_DATA}/limonium-stomata.csv"), io.SURFACE_SCHEMA)
+    return io.read_csv(spark, csv_with_header(REF_DATA, "spp,treatment,rep,surface"), io.SURFACE_SCHEMA)
 
 
 @pytest.fixture(scope="module")
 def lags(spark):
-    return io.read_csv(spark, need(f"{REF_DATA}/limonium-lags.csv"), io.LEAF_SCHEMA)
+    return io.read_csv(spark, csv_with_header(REF_DATA, "spp,treatment,rep,LA1"), io.LEAF_SCHEMA)
 
 
 @pytest.fixture(scope="module")
 def kinetics(spark):
-    return io.read_excel_twin(spark, need(f"{REF_DATA}/limonium-kinetics.csv"))
+    return io.read_excel_twin(spark, csv_with_header(REF_DATA, "spp,trait,value"))
 
 
 @pytest.fixture(scope="module")
