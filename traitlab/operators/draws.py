@@ -183,27 +183,11 @@ def split_rhat(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value
     return g.select(*keys, rhat.alias("rhat"))
 
 
-def ess(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
-        chain: str = "chain", it: str = "iter", max_lag: int = 200) -> DataFrame:
-    """Effective sample size with Geyer's initial positive sequence.
-
-    Lag-t autocovariances (t < L, L = even part of min(n/2, max_lag)) come
-    from a block self-join: draws are cut into blocks of ``max_lag``
-    iterations and each block meets itself and the next one, so a pair
-    (i, i + t) is formed inside one task and summed at once (partial
-    aggregation) - the shuffle carries 2 rows per draw, not L.
-    ``rho_t = 1 - (W - g_t n/(n-1)) / var+``; pairs ``P_k = rho_2k +
-    rho_2k+1`` are kept up to the first negative one, made non-increasing
-    by a running minimum, and ``ESS = m n / (-1 + 2 sum P_k)``.
-    """
-    keys = list(keys)
-    B = int(max_lag)
-    cs = draws.groupBy(*keys, chain).agg(F.avg(value).alias("_cm"), F.var_samp(value).alias("_cv"),
-                                         F.count(F.lit(1)).alias("_nc"))
-    gs = cs.groupBy(*keys).agg(F.min("_nc").alias("_n"), F.count(F.lit(1)).alias("_m"),
-                               F.avg("_cv").alias("_W"), F.var_samp("_cm").alias("_Bn"))
-    gs = gs.withColumn("_L", F.least(F.lit(B), F.floor(F.col("_n") / 2)))
-    gs = gs.withColumn("_L", F.col("_L") - F.col("_L") % 2)
+def _ess_pairs(draws: DataFrame, keys: list, value: str, chain: str, it: str, lags: int,
+               cs: DataFrame, gs: DataFrame) -> DataFrame:
+    """Geyer pair sums P_k (k < L/2, L = min(lags, group's lag cap)) with the
+    stop index of each group; lag products come from a block self-join."""
+    B = int(lags)
     d = (draws.join(cs.select(*keys, chain, "_cm", "_nc"), keys + [chain])
          .select(*keys, chain, F.col(it).alias("_i"), (F.col(value) - F.col("_cm")).alias("_d"), "_nc"))
     d = d.withColumn("_blk", F.floor((F.col("_i") - 1) / B))
@@ -218,15 +202,56 @@ def ess(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
               .where((F.col("_t") >= 0) & (F.col("_t") < B)))
     acov = (lagged.groupBy(*keys, chain, "_t")
             .agg((F.sum(F.col("_d") * F.col("_dj")) / F.first("_nc")).alias("_ac")))
-    g = acov.groupBy(*keys, "_t").agg(F.avg("_ac").alias("_g")).join(gs, keys).where(F.col("_t") < F.col("_L"))
+    g = (acov.groupBy(*keys, "_t").agg(F.avg("_ac").alias("_g")).join(gs, keys)
+         .where(F.col("_t") < F.least(F.col("_L"), F.lit(B))))
     n = F.col("_n").cast("double")
     varp = (n - 1) / n * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0))
     rho = 1 - (F.col("_W") - F.col("_g") * n / (n - 1)) / F.nullif(varp, F.lit(0.0))
     g = g.withColumn("_rho", rho).withColumn("_k", F.floor(F.col("_t") / 2))
     pk = g.groupBy(*keys, "_k").agg(F.sum("_rho").alias("_P"), F.first("_m").alias("_m"),
-                                    F.first("_n").alias("_n"))
+                                    F.first("_n").alias("_n"), F.first("_L").alias("_L"))
     neg = pk.where(F.col("_P") < 0).groupBy(*keys).agg(F.min("_k").alias("_stop"))
-    pk = pk.join(neg, keys, "left").where(F.col("_stop").isNull() | (F.col("_k") < F.col("_stop")))
+    return pk.join(neg, keys, "left")
+
+
+def ess(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
+        chain: str = "chain", it: str = "iter", max_lag: int = 200,
+        rounds: Sequence[int] = (16, 64)) -> DataFrame:
+    """Effective sample size with Geyer's initial positive sequence.
+
+    Lag-t autocovariances (t < L, L = even part of min(n/2, max_lag)) come
+    from a block self-join: draws are cut into blocks of the current lag
+    count and each block meets itself and the next one, so a pair
+    (i, i + t) is formed inside one task and summed at once (partial
+    aggregation) - the shuffle carries 2 rows per draw, not L.
+    ``rho_t = 1 - (W - g_t n/(n-1)) / var+``; pairs ``P_k = rho_2k +
+    rho_2k+1`` are kept up to the first negative one, made non-increasing
+    by a running minimum, and ``ESS = m n / (-1 + 2 sum P_k)``.
+
+    Lags are computed in growing ``rounds`` (then ``max_lag``): the sum
+    stops at the first negative pair, so once every group has stopped
+    inside the computed lags (or reached its cap), later lags cannot change
+    the result and are not computed.
+    """
+    keys = list(keys)
+    cs = draws.groupBy(*keys, chain).agg(F.avg(value).alias("_cm"), F.var_samp(value).alias("_cv"),
+                                         F.count(F.lit(1)).alias("_nc"))
+    gs = cs.groupBy(*keys).agg(F.min("_nc").alias("_n"), F.count(F.lit(1)).alias("_m"),
+                               F.avg("_cv").alias("_W"), F.var_samp("_cm").alias("_Bn"))
+    gs = gs.withColumn("_L", F.least(F.lit(int(max_lag)), F.floor(F.col("_n") / 2)))
+    gs = gs.withColumn("_L", F.col("_L") - F.col("_L") % 2)
+    schedule = sorted({int(r) for r in rounds if 0 < int(r) < max_lag} | {int(max_lag)})
+    schedule = [r + (r % 2) for r in schedule]
+    for lags in schedule:
+        # tiny (groups x L/2 rows): stored once, then checked and reused
+        pk = cut_lineage(_ess_pairs(draws, keys, value, chain, it, lags, cs, gs), "ess-pairs")
+        if lags >= max_lag:
+            break
+        open_groups = (pk.groupBy(*keys).agg(F.first("_stop").alias("_stop"), F.first("_L").alias("_L"))
+                       .where(F.col("_stop").isNull() & (F.col("_L") > lags)).limit(1).count())
+        if open_groups == 0:
+            break
+    pk = pk.where(F.col("_stop").isNull() | (F.col("_k") < F.col("_stop")))
     wk = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     pk = pk.withColumn("_Pm", F.min("_P").over(wk))
     tot = pk.groupBy(*keys).agg(F.sum("_Pm").alias("_S"), F.first("_m").alias("_m"),
