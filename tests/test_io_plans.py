@@ -1,6 +1,5 @@
 """Sources/sinks round trips and plan-shape checks (scale rules)."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF01, need

@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,17 +108,44 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
     When ``rerun`` is set or no complete copy is stored at ``path`` (the
     ``_SUCCESS`` marker of a finished write), build the DataFrame and write
     it; then always read the stored copy, which also cuts the lineage of
-    whatever produced it.
+    whatever produced it.  A new copy is written to a unique sibling folder
+    and renamed into place, so concurrent builders never read a half-written
+    or half-deleted table: the first finished copy wins, later ones are
+    dropped (``rerun`` replaces the old copy).
     """
-    if rerun or not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+    path = path.rstrip("/")
+    if rerun or not path_exists(spark, f"{path}/_SUCCESS"):
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
         w = builder().write.mode("overwrite")
         parts = list(partition_by)
         if parts:
             w = w.partitionBy(*parts)
-        w.parquet(path)
+        w.parquet(tmp)
+        _commit_folder(spark, tmp, path, replace=rerun)
     return spark.read.parquet(path)
 
 
+def _commit_folder(spark: SparkSession, tmp: str, path: str, replace: bool) -> None:
+    """Rename ``tmp`` to ``path`` through the session's Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if replace and fs.exists(dst):
+        fs.delete(dst, True)
+    parent = dst.getParent()
+    if parent is not None and not fs.exists(parent):
+        fs.mkdirs(parent)
+    if fs.exists(dst) or not fs.rename(src, dst):
+        # another writer committed first: keep its copy, drop ours
+        fs.delete(src, True)
+        return
+    nested = jvm.org.apache.hadoop.fs.Path(dst, src.getName())
+    if fs.exists(nested):
+        # a racing writer created ``dst`` between the check and the rename,
+        # and the rename moved our folder into it: remove ours from there
+        fs.delete(nested, True)
+
+
 def base_name(par: Column) -> Column:
     """Name of a parameter without its ``[i]`` / ``[i,j]`` index."""
     return F.regexp_replace(par, r"\[[^\]]*\]$", "")
