@@ -62,9 +62,8 @@ def draws_store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     partitioned by model, read back with the other model pruned, and a
     vector parameter selected by its base name."""
     root = scratch_path(spark, "draws-store")
-    store = io.materialize(spark, root, lambda: V.draws_events(spark, d).unionByName(_perdraw_long(spark, d)),
-                           partition_by=["model"])
-    del store
+    io.materialize(spark, root, lambda: V.draws_events(spark, d).unionByName(_perdraw_long(spark, d)),
+                   writer=io.write_draws)
     return io.select_pars(io.read_draws(spark, root, models=["perdraw"]), ["b1"])
 
 

@@ -105,7 +105,8 @@ def read_draws(spark: SparkSession, root: str,
 
 
 def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame],
-                rerun: bool = False, partition_by: Iterable[str] = ()) -> DataFrame:
+                rerun: bool = False, partition_by: Iterable[str] = (),
+                writer: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
     """A5: compute-or-reuse.
 
     When ``rerun`` is set or no complete copy is stored at ``path`` (the
@@ -114,16 +115,20 @@ def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame]
     whatever produced it.  A new copy is written to a unique sibling folder
     and renamed into place, so concurrent builders never read a half-written
     or half-deleted table: the first finished copy wins, later ones are
-    dropped (``rerun`` replaces the old copy).
+    dropped (``rerun`` replaces the old copy).  ``writer(df, folder)``
+    replaces the default parquet write (e.g. ``write_draws``).
     """
     path = path.rstrip("/")
     if rerun or not path_exists(spark, f"{path}/_SUCCESS"):
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        w = builder().write.mode("overwrite")
-        parts = list(partition_by)
-        if parts:
-            w = w.partitionBy(*parts)
-        w.parquet(tmp)
+        if writer is not None:
+            writer(builder(), tmp)
+        else:
+            w = builder().write.mode("overwrite")
+            parts = list(partition_by)
+            if parts:
+                w = w.partitionBy(*parts)
+            w.parquet(tmp)
         _commit_folder(spark, tmp, path, replace=rerun)
     return spark.read.parquet(path)
 
