@@ -74,3 +74,19 @@ def test_elpd_psis_distributed_matches_row_helper(spark):
         assert got[r.id].elpd == pytest.approx(e, rel=1e-9)
     plain = {r.id: r.elpd for r in CM.elpd_loo(obs, "x", "y", CM.draws_array(draws)).collect()}
     assert got[1].elpd == pytest.approx(plain[1], abs=0.05)
+
+
+def test_predict_quantiles_single_draw_is_normal(spark):
+    same = spark.createDataFrame([(i, 1.0, 2.0, 0.5) for i in range(5)], "iter int, b0 double, b1 double, sigma double")
+    nd = spark.createDataFrame([(1, 0.0), (2, 1.5)], "id int, x double")
+    got = {r.id: r for r in CM.predict_quantiles(nd, "x", CM.draws_array(same), ("id", "x")).collect()}
+    z = 1.959963984540054
+    assert got[1].pred_lower == pytest.approx(1.0 - z * 0.5, abs=1e-9)
+    assert got[2].pred_upper == pytest.approx(1.0 + 2.0 * 1.5 + z * 0.5, abs=1e-9)
+
+
+def test_predict_quantiles_mixture_cdf(spark):
+    draws = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 4.0, 0.0, 1.0)], "iter int, b0 double, b1 double, sigma double")
+    nd = spark.createDataFrame([(1, 0.0)], "id int, x double")
+    r = CM.predict_quantiles(nd, "x", CM.draws_array(draws), ("id",), probs=(0.5,), names=("med",)).first()
+    assert r.med == pytest.approx(2.0, abs=1e-9)     # symmetric two-component mixture

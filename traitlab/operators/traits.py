@@ -97,7 +97,8 @@ def join_plants(left: DataFrame, right: DataFrame, keys: Sequence[str],
 def add_gsmax(df: DataFrame, sd: str = "sd", sp: str = "sp", out: str = "gsmax",
               sd_unit: str = "1/mm^2", sp_unit: str = "um",
               out_unit: str = "mol/m^2/s") -> DataFrame:
-    """J3 + J4: gsmax from density and pore length, unit checked.
+    """J3 + J4 (B8 derived column): gsmax from density and pore length,
+    unit checked.
 
     The unit algebra is done at plan time: b (mol/m/s) x sd x sp must be
     ``out_unit``; the resulting factor (1 for the default units) is folded

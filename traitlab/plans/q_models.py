@@ -285,3 +285,17 @@ def loo_psis(spark: SparkSession, d: str) -> DataFrame:
     eb = CM.elpd_psis(obs, "x", "y", CM.draws_array(_null_model(spark, d)), ("spp",))
     return (ea.select("spp", F.col("elpd").alias("elpd_a"), F.col("pareto_k").alias("k_a"))
             .join(eb.select("spp", F.col("elpd").alias("elpd_b"), F.col("pareto_k").alias("k_b")), "spp"))
+
+
+@query("predict_intervals", "spp treatment x:d pred_lower:d pred_upper:d", None)
+def predict_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """K11 quantiles: 95 % predictive interval of kcatc for every (species,
+    treatment) at the species' mean gsmax - quantiles of the mixture of the
+    draws' normal predictions (no SQL oracle; tested against a closed form)."""
+    ds = V.draws_species(spark, d)
+    pm = V.regression_draws(spark, d).where(F.col("response") == "kcatc")
+    arrays = CM.draws_array(pm, keys=("treatment",))
+    xs = ds.groupBy("spp").agg(F.avg("gsmax_ww").alias("ww"), F.avg("gsmax_wd").alias("wd"))
+    nd = PD.crossing(ds.select("spp"), "treatment", ["ww", "wd"]).join(xs, "spp")
+    nd = nd.select("spp", "treatment", F.when(F.col("treatment") == "ww", F.col("ww")).otherwise(F.col("wd")).alias("x"))
+    return CM.predict_quantiles(nd, "x", arrays, ("spp", "treatment", "x"), keys=("treatment",))
