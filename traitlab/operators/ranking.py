@@ -61,26 +61,16 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
     """Add ``rank_col`` (row_number within ``keys`` ordered by ``order``,
     then ``tiebreak``) and ``count_col`` (group size).
 
-    With keys, the largest group size is checked first (one small
-    aggregation); when it is at most ``plain_limit`` a plain window keyed by
-    the groups is enough.  A global ranking uses one plain window only when
-    the whole input is checked to hold at most ``GLOBAL_PLAIN_LIMIT`` rows.
-    Otherwise the bucketed path below keeps every task bounded."""
+    One aggregation gives, per group, the row count and the bucket cut
+    points (a small table, cached).  When the largest group has at most
+    ``plain_limit`` rows a plain window keyed by the groups is enough (a
+    global ranking: when the whole input has at most ``GLOBAL_PLAIN_LIMIT``
+    rows).  Otherwise the bucketed path below keeps every task bounded,
+    reusing the same cut points - so the size check costs no extra pass
+    over the data."""
     keys = list(keys)
     tiebreak = list(tiebreak)
     order_by = [F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak]]
-    if keys and plain_limit:
-        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= plain_limit:
-            return (df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
-                                  .cast("long"))
-                    .withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*keys))))
-    if not keys and plain_limit:
-        total = df.count()
-        if total <= min(plain_limit, GLOBAL_PLAIN_LIMIT):
-            # bounded by the check above: one small task ranks the whole input
-            return (df.withColumn(rank_col, F.row_number().over(Window.orderBy(*order_by)).cast("long"))
-                    .withColumn(count_col, F.lit(total).cast("long")))
     probs = [i / buckets for i in range(1, buckets)]
     keyed = df.withColumn("_ok", _order_key(df, order))
     drop_group = not keys
@@ -88,25 +78,40 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
         # A global ranking is the one-group case: the per-bucket windows stay
         # parallel; only the offsets of the B buckets form one small group.
         keyed = keyed.withColumn("_grp", F.lit(0))
-        keys = ["_grp"]
-    sketch = (keyed.groupBy(*keys)
+        gkeys = ["_grp"]
+    else:
+        gkeys = keys
+    # groups x B numbers: kept in memory so the check and the bucketed join
+    # read it once computed (lost blocks are recomputed from lineage)
+    sketch = (keyed.groupBy(*gkeys)
               .agg(F.percentile_approx("_ok", probs, accuracy).alias("_cuts"),
-                   F.count(F.lit(1)).alias(count_col)))
-    b = keyed.join(sketch, keys)
+                   F.count(F.lit(1)).alias("_gn"))
+              .cache())
+    if plain_limit:
+        biggest = sketch.agg(F.max("_gn")).first()[0] or 0
+        limit = plain_limit if keys else min(plain_limit, GLOBAL_PLAIN_LIMIT)
+        if biggest <= limit:
+            # bounded by the check above: one task per group (or one small task)
+            w = Window.partitionBy(*keys).orderBy(*order_by) if keys else Window.orderBy(*order_by)
+            out = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
+            if keys:
+                return out.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+            return out.withColumn(count_col, F.lit(biggest).cast("long"))
+    b = keyed.join(sketch, gkeys)
     b = (b.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_ok"))))
+         .withColumnRenamed("_gn", count_col)
          .drop("_cuts", "_ok"))
-    w = Window.partitionBy(*keys, "_b").orderBy(F.col(order).asc_nulls_first(),
-                                                *[F.col(t).asc_nulls_first() for t in tiebreak])
+    w = Window.partitionBy(*gkeys, "_b").orderBy(*order_by)
     local = b.withColumn("_lr", F.row_number().over(w))
-    sizes = local.groupBy(*keys, "_b").agg(F.max("_lr").alias("_bn"))
+    sizes = local.groupBy(*gkeys, "_b").agg(F.max("_lr").alias("_bn"))
     # Offsets: per group at most B (bucket, size) pairs, prefix-summed in
     # place with higher-order functions (no window over the size table).
-    offsets = (sizes.groupBy(*keys)
+    offsets = (sizes.groupBy(*gkeys)
                .agg(F.sort_array(F.collect_list(F.struct("_b", "_bn"))).alias("_s"))
-               .selectExpr(*[f"`{k}`" for k in keys],
+               .selectExpr(*[f"`{k}`" for k in gkeys],
                            "inline(transform(_s, (x, i) -> named_struct('_b', x._b, '_off', "
                            "aggregate(slice(_s, 1, i), 0L, (acc, y) -> acc + y._bn))))"))
-    out = local.join(offsets, keys + ["_b"])
+    out = local.join(offsets, gkeys + ["_b"])
     out = (out.withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("long"))
            .drop("_lr", "_off", "_b"))
     return out.drop("_grp") if drop_group else out
