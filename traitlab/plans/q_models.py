@@ -94,24 +94,28 @@ def within_group_regression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pool_sql(src: str, grp: str, y: str, source: str) -> str:
-    return (f"SELECT '{source}' AS source, CAST(grp AS STRING) AS grp, n, mean, "
-            "gm + coalesce(tau2 / nullif(tau2 + s2 / n, 0), 0) * (mean - gm) AS shrunk, tau2, s2 FROM ("
-            "SELECT g.*, gm, s2, greatest((ssb / nullif(kk - 1, 0) - s2) * (kk - 1) / nullif(nn - n2 / nn, 0), 0) AS tau2 FROM ("
-            f"SELECT {grp} AS grp, count(*) AS n, avg({y}) AS mean, coalesce(var_samp({y}) * (count(*) - 1), 0) AS ss "
-            f"FROM {src} WHERE {y} IS NOT NULL GROUP BY {grp}) g CROSS JOIN ("
-            "SELECT CAST(sum(n) AS DOUBLE) AS nn, CAST(count(*) AS DOUBLE) AS kk, sum(ss) / nullif(sum(n) - count(*), 0) AS s2, "
-            "sum(n * mean) / sum(n) AS gm, sum(n * n) AS n2, "
-            "sum(n * mean * mean) - sum(n * mean) * sum(n * mean) / sum(n) AS ssb_unused FROM ("
-            f"SELECT count(*) AS n, avg({y}) AS mean, coalesce(var_samp({y}) * (count(*) - 1), 0) AS ss "
-            f"FROM {src} WHERE {y} IS NOT NULL GROUP BY {grp}) z) t CROSS JOIN ("
-            f"SELECT sum(n * (mean - gm2) * (mean - gm2)) AS ssb FROM (SELECT count(*) AS n, avg({y}) AS mean "
-            f"FROM {src} WHERE {y} IS NOT NULL GROUP BY {grp}) a CROSS JOIN (SELECT sum(n * mean) / sum(n) AS gm2 FROM ("
-            f"SELECT count(*) AS n, avg({y}) AS mean FROM {src} WHERE {y} IS NOT NULL GROUP BY {grp}) b) c) u) v")
+    """K5 in SQL: per-group moments, totals, between-group sum of squares,
+    then the floored tau^2 and the shrunk means."""
+    p = f"pp_{source}"
+    return (f"{p}_g AS (SELECT {grp} AS grp, count(*) AS n, avg({y}) AS mean, "
+            f"coalesce(var_samp({y}) * (count(*) - 1), 0) AS ss FROM {src} WHERE {y} IS NOT NULL GROUP BY {grp}), "
+            f"{p}_t AS (SELECT CAST(sum(n) AS DOUBLE) AS nn, CAST(count(*) AS DOUBLE) AS kk, "
+            f"sum(ss) / nullif(sum(n) - count(*), 0) AS s2, sum(n * mean) / sum(n) AS gm, sum(n * n) AS n2 FROM {p}_g), "
+            f"{p}_b AS (SELECT sum(g.n * (g.mean - t.gm) * (g.mean - t.gm)) AS ssb FROM {p}_g g CROSS JOIN {p}_t t), "
+            f"{p} AS (SELECT '{source}' AS source, CAST(g.grp AS STRING) AS grp, g.n, g.mean, t.gm, t.s2, "
+            f"greatest((b.ssb / nullif(t.kk - 1, 0) - t.s2) * (t.kk - 1) / nullif(t.nn - t.n2 / t.nn, 0), 0) AS tau2 "
+            f"FROM {p}_g g CROSS JOIN {p}_t t CROSS JOIN {p}_b b)")
+
+
+def _pool_select(name: str) -> str:
+    return (f"SELECT source, grp, n, mean, gm + coalesce(tau2 / nullif(tau2 + s2 / n, 0), 0) * (mean - gm) AS shrunk, "
+            f"tau2, s2 FROM {name}")
 
 
 @query("partial_pooling_means", "source grp n mean:d shrunk:d tau2:d s2:d",
-       _pool_sql("supplier", "s_nationkey", "s_acctbal", "supplier") + " UNION ALL "
-       + _pool_sql("part", "p_brand", "p_retailprice", "part"))
+       "WITH " + _pool_sql("supplier", "s_nationkey", "s_acctbal", "supplier") + ", "
+       + _pool_sql("part", "p_brand", "p_retailprice", "part") + " "
+       + _pool_select("pp_supplier") + " UNION ALL " + _pool_select("pp_part"))
 def partial_pooling_means(spark: SparkSession, d: str) -> DataFrame:
     """K5: group means shrunk toward the grand mean (ANOVA moments):
     supplier balances by nation, part prices by brand (the second hits the

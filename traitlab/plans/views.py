@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import draws as D
 from ..operators import perdraw
+from ..operators.traits import pair_collapse
 from ..session import shared_root
 from ..sources import io
 
@@ -121,7 +122,7 @@ def regression_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_collapse_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.traits import pair_collapse
+    """P collapsed: one row per order, surfaces F / O."""
     return pair_collapse(surface_rows(spark, sf_dir), ["k"], sides=("F", "O"))
 
 
