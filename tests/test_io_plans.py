@@ -98,3 +98,13 @@ def test_hpd_self_join_is_keyed_on_rank(spark):
     df = spark.createDataFrame(rows, io.DRAWS_SCHEMA)
     p = plan_of(D.hpd_interval(df))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_cleanup_scratch_removes_only_session_files(spark):
+    from traitlab.session import cleanup_scratch, path_exists, scratch_path, scratch_root, shared_root
+    p = scratch_path(spark, "to-clean")
+    spark.range(3).write.parquet(p)
+    assert path_exists(spark, p) and p.startswith(scratch_root(spark))
+    cleanup_scratch(spark)
+    assert not path_exists(spark, p)
+    assert path_exists(spark, shared_root(spark))

@@ -72,9 +72,27 @@ def cut_lineage(df, name: str = "cut"):
     return spark.read.parquet(path)
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This session's scratch folder under the shared folder (one per
+    application, so ``cleanup_scratch`` removes only this session's files)."""
+    return f"{shared_root(spark)}/traitlab/scratch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique location under the shared folder."""
-    return f"{shared_root(spark)}/traitlab/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique location under this session's scratch folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cleanup_scratch(spark: SparkSession) -> None:
+    """Delete this session's scratch tables (lineage cuts, round trips).
+
+    Call when the DataFrames built on them are no longer needed; stored
+    derived tables (``traitlab/views``) are kept, they are reusable."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        fs.delete(p, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
