@@ -72,3 +72,10 @@ def test_add_base_and_ratio(spark):
 def test_correlation_bounds_check(spark):
     df = spark.createDataFrame([(0.5,), (-1.0,), (1.2,)], "r double")
     assert [x[0] for x in df.select(D.correlation_bounds_ok(F.col("r"))).collect()] == [True, True, False]
+
+
+def test_clip_to_limits(spark):
+    from traitlab.operators import report as RP
+    df = spark.createDataFrame([(0.5,), (1.0,), (2.0,), (3.5,)], "x double")
+    assert [r.x for r in RP.clip_to_limits(df, "x", 1.0, 3.0).collect()] == [1.0, 2.0]
+    assert RP.clip_to_limits(df, "x", hi=1.0).count() == 2

@@ -85,3 +85,15 @@ def add_header_row(df: DataFrame, values: Mapping[str, object], sort_col: str =
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return spark.range(1).select(*cols).unionByName(df)
+
+
+def clip_to_limits(df: DataFrame, col: str, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """Keep rows inside axis limits (points outside are not shown);
+    ``check_draws(clip=...)`` counts how many a clip would hide."""
+    c = F.col(col)
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (c >= lo)
+    if hi is not None:
+        cond = cond & (c <= hi)
+    return df.where(cond)
