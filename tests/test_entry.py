@@ -46,3 +46,13 @@ def test_oracle_spot_checks(spark, name):
     a = sorted([tuple(_norm(x) for x in r) for r in sdf.collect()], key=str)
     b = sorted([tuple(_norm(x) for x in r) for r in rel.fetchall()], key=str)
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["interval_hpd", "treatment_ratio"])
+def test_oracle_with_hot_group_path(spark, monkeypatch, name):
+    """The bucketed ranking (used when one group is too big for a task)
+    gives exactly the oracle's answer on real queries."""
+    from traitlab.operators import ranking
+    monkeypatch.setattr(ranking, "PLAIN_GROUP_LIMIT", 0)
+    monkeypatch.setattr(ranking, "GLOBAL_PLAIN_LIMIT", 0)
+    test_oracle_spot_checks(spark, name)

@@ -57,7 +57,7 @@ def _order_key(df: DataFrame, col: str) -> Column:
 def rank_within(df: DataFrame, keys: Sequence[str], order: str,
                 tiebreak: Iterable[str] = (), rank_col: str = "rn",
                 count_col: str = "n", buckets: int = DEFAULT_BUCKETS,
-                accuracy: int = 10000, plain_limit: int | None = PLAIN_GROUP_LIMIT) -> DataFrame:
+                accuracy: int = 10000, plain_limit: int | None = None) -> DataFrame:
     """Add ``rank_col`` (row_number within ``keys`` ordered by ``order``,
     then ``tiebreak``) and ``count_col`` (group size).
 
@@ -67,7 +67,9 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
     global ranking: when the whole input has at most ``GLOBAL_PLAIN_LIMIT``
     rows).  Otherwise the bucketed path below keeps every task bounded,
     reusing the same cut points - so the size check costs no extra pass
-    over the data."""
+    over the data.  ``plain_limit`` defaults to ``PLAIN_GROUP_LIMIT``; 0
+    always takes the bucketed path."""
+    plain_limit = PLAIN_GROUP_LIMIT if plain_limit is None else plain_limit
     keys = list(keys)
     tiebreak = list(tiebreak)
     order_by = [F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak]]
