@@ -2,17 +2,19 @@
 
 A window ``PARTITION BY g ORDER BY v`` sends a whole group to one task; a
 draws table has few parameters and very many draws, so one group may hold a
-third of all rows.  ``rank_within`` computes the same 1-based row number in
-three parallel steps:
-
-1. a mergeable quantile sketch per group (``percentile_approx``, partial and
-   final aggregation) gives ``B - 1`` cut points;
-2. each row takes the bucket ``#cuts < key``, which is monotone in the order
-   key, so a window per (group, bucket) orders rows locally and in parallel;
-3. bucket sizes are prefix-summed into offsets (at most B per group, summed
-   inside one row with higher-order functions), joined back on (group,
-   bucket) - the big side is already partitioned on those columns by the
-   window, so that join does not shuffle it again.
+third of all rows.  ``rank_within`` therefore starts with one aggregation
+per group - its row count and a mergeable quantile sketch - and then:
+
+* if every group is within a checked bound (``PLAIN_GROUP_LIMIT`` rows; a
+  global ranking ``GLOBAL_PLAIN_LIMIT``), one plain window keyed by the
+  groups ranks them;
+* otherwise the sketch's ``B - 1`` cut points split each group into
+  buckets: each row takes the bucket ``#cuts < key`` (monotone in the order
+  key), a window per (group, bucket) ranks rows locally and in parallel,
+  and bucket sizes are prefix-summed into offsets (at most B per group,
+  summed inside one row with higher-order functions) that are joined back
+  on (group, bucket) - the big side is already partitioned on those
+  columns by the window, so that join does not shuffle it again.
 
 The sketch only balances the buckets; exactness comes from the counts, so a
 poor sketch costs time, never correctness.  Ties on the order key are
