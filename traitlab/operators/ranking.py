@@ -29,8 +29,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
-
 DEFAULT_BUCKETS = 64
 # Largest group (rows) that one task may rank with a plain keyed window.
 # Larger groups (a parameter holding a third of all draws) take the
@@ -137,7 +135,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     if ranked is None:
         tb = list(tiebreak)
         src = df.select(*keys, value, *[t for t in tb if t not in keys and t != value])
-        ranked = cut_lineage(rank_within(src.where(F.col(value).isNotNull()), keys, value, tb))
+        # used once below, so no stored copy (shared rankings come via ``ranked``)
+        ranked = rank_within(src.where(F.col(value).isNotNull()), keys, value, tb)
     pos = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
     lo = [F.floor(p_) + 1 for p_ in pos]
     hi = [F.ceil(p_) + 1 for p_ in pos]
