@@ -1,5 +1,7 @@
 """Operators with no direct query coverage of their edge cases."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,36 @@ def test_clip_to_limits(spark):
     df = spark.createDataFrame([(0.5,), (1.0,), (2.0,), (3.5,)], "x double")
     assert [r.x for r in RP.clip_to_limits(df, "x", 1.0, 3.0).collect()] == [1.0, 2.0]
     assert RP.clip_to_limits(df, "x", hi=1.0).count() == 2
+
+
+def test_order_levels_descending_with_ties(spark):
+    df = spark.createDataFrame([("a", 2.0), ("b", 5.0), ("c", 2.0)], "spp string, v double")
+    asc = {r.spp: r.sort_key for r in FA.order_levels(df, "v", tiebreak=["spp"]).collect()}
+    desc = {r.spp: r.sort_key for r in FA.order_levels(df, "v", desc=True, tiebreak=["spp"]).collect()}
+    assert asc == {"a": 1, "c": 2, "b": 3}
+    assert desc == {"b": 1, "a": 2, "c": 3}
+
+
+def test_point_interval_variants(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=800)
+    df = spark.createDataFrame([("m", int(i % 4), int(i // 4) + 1, "a", float(x)) for i, x in enumerate(v)],
+                               "model string, chain int, iter long, par string, value double")
+    m = D.point_interval(df, point="mean", interval="quantile").first()
+    assert m.point == pytest.approx(float(v.mean()))
+    lo, hi = np.quantile(v, [0.025, 0.975])
+    assert (m.lower, m.upper) == pytest.approx((lo, hi))
+    h = D.point_interval(df, interval="hdr").first()
+    assert h.interval_method == "hdr" and h.lower < h.point < h.upper
+
+
+def test_ribbon_exp_link_and_loo_summary(spark):
+    from traitlab.operators import compare as CM
+    coefs = spark.createDataFrame([(i, 0.0, 1.0) for i in range(5)], "iter int, b0 double, b1 double")
+    bounds = spark.createDataFrame([(0.0, 1.0)], "_glo double, _ghi double")
+    rib = {r.x_id: r for r in PD.ribbon(coefs, ["iter"], "b0", "b1", bounds, n=3, link="exp").collect()}
+    assert rib[2].point == pytest.approx(math.e) and rib[0].lower == pytest.approx(1.0)
+    el = spark.createDataFrame([(1, -1.0), (2, -3.0)], "id int, elpd double")
+    s = CM.loo_summary(el).first()
+    assert s.elpd_loo == -4.0 and s.n == 2 and s.se == pytest.approx(math.sqrt(2) * math.sqrt(2.0))

@@ -139,7 +139,7 @@ def point_interval(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "v
     """Point estimate + interval for every group of a long table.
 
     ``interval`` is ``hpd`` (shortest, D12), ``quantile`` (D11) or ``hdr``
-    (first piece of D13, as the reference uses it).
+    (the D13 piece holding the most draws; all pieces: ``hdr_pieces``).
     """
     keys = list(keys)
     ranked = rank_draws(draws, keys, value) if point == "median" or interval != "hdr" else None
@@ -152,7 +152,13 @@ def point_interval(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "v
     elif interval == "quantile":
         iv = quantile_interval(draws, keys, value, width, ranked=ranked, point=False)
     elif interval == "hdr":
-        iv = hdr_pieces(draws, keys, value, width).where(F.col("piece") == 1).select(*keys, "lower", "upper")
+        # one interval from the pieces: the piece holding the most draws
+        # (ties to the lowest) - with a histogram, sparse tail bins can form
+        # tiny separate pieces, so "the lowest piece" would be noise
+        pieces = hdr_pieces(draws, keys, value, width)
+        pick = Window.partitionBy(*keys).orderBy(F.col("n_in").desc(), F.col("piece"))
+        iv = (pieces.withColumn("_pick", F.row_number().over(pick)).where(F.col("_pick") == 1)
+              .select(*keys, "lower", "upper"))
     else:
         raise ValueError(f"unknown interval {interval!r}")
     return (pt.join(iv, keys)
