@@ -159,3 +159,12 @@ def test_bayes_r2_brute_force(coefs, obs):
         mu = d.b0 + d.b1 * o.x
         vm, vr = mu.var(ddof=1), (o.y - mu).var(ddof=1)
         assert got[int(d.iter)] == pytest.approx(vm / (vm + vr), rel=1e-9)
+
+
+def test_bootstrap_fast_hash(grouped):
+    a = FT.bootstrap_draws(grouped, "k", "y", replicates=300, hash_fn="xxhash64").orderBy("iter").collect()
+    b = FT.bootstrap_draws(grouped, "k", "y", replicates=300, hash_fn="xxhash64").orderBy("iter").collect()
+    assert a == b
+    n = grouped.count()
+    mean_w = np.mean([r.n_w for r in a]) / n
+    assert 0.9 < mean_w < 1.1          # Poisson(1) weights average 1
