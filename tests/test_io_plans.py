@@ -108,3 +108,21 @@ def test_cleanup_scratch_removes_only_session_files(spark):
     cleanup_scratch(spark)
     assert not path_exists(spark, p)
     assert path_exists(spark, shared_root(spark))
+
+
+def test_no_query_plans_a_cartesian_product(spark):
+    """Every registered query: no CartesianProduct, and any nested-loop
+    join has a broadcast build side (the one-row attach)."""
+    from conftest import SF001
+    need(f"{SF001}/lineitem.parquet")
+    import __spark_entry__ as E
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, fn in E.queries().items():
+            p = plan_of(fn(spark, SF001))
+            assert "CartesianProduct" not in p, name
+            for ln in p.splitlines():
+                if "BroadcastNestedLoopJoin" in ln:
+                    assert "BuildRight" in ln or "BuildLeft" in ln, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
