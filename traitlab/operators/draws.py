@@ -279,22 +279,30 @@ def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "
     """
     keys = list(keys)
     ranked = rank_draws(draws, keys, value)
-    mom = draws.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("std_error"))
+    v = F.col(value)
+    # one pass for the moments and the tail-p sign counts (NULLs skipped)
+    mom = draws.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("std_error"),
+                                   F.sum(F.when(v > 0, 1).otherwise(0)).alias("_pos"),
+                                   F.sum(F.when(v < 0, 1).otherwise(0)).alias("_neg"),
+                                   F.count(v).alias("_cnt"))
     q = quantile_interval(draws, keys, value, width, ranked=ranked, point=True)
     if interval == "hpd":
         iv = hpd_interval(draws, keys, value, width, ranked=ranked)
         q = q.select(*keys, "median").join(iv, keys)
     out = mom.join(q, keys)
     est = F.col("_mean") if estimate == "mean" else F.col("median")
-    out = out.select(*keys, est.alias("estimate"), "std_error",
-                     F.col("lower").alias("conf_low"), F.col("upper").alias("conf_high"), "median")
+    n = F.col("_cnt").cast("double")
+    tail = F.when(F.col("median") > 0, 2 * (1 - F.col("_pos") / n)).otherwise(2 * (1 - F.col("_neg") / n))
+    cols = [*keys, est.alias("estimate"), "std_error",
+            F.col("lower").alias("conf_low"), F.col("upper").alias("conf_high")]
+    if p:
+        cols.append(tail.alias("p"))   # D10, same rule as ``tail_p``
+    out = out.select(*cols)
     if rhat:
         out = out.join(split_rhat(draws, keys, value), keys, "left")
     if with_ess:
         out = out.join(ess(draws, keys, value), keys, "left")
-    if p:
-        out = out.join(tail_p(draws, keys, value, median=out.select(*keys, "median")), keys, "left")
-    out = (out.drop("median").withColumn("method", F.lit(estimate))
+    out = (out.withColumn("method", F.lit(estimate))
            .withColumn("interval", F.lit(interval)))
     if term and len(keys) == 1 and keys[0] != term:
         out = out.withColumnRenamed(keys[0], term)
