@@ -150,8 +150,8 @@ def per_draw_correlation(spark: SparkSession, d: str) -> DataFrame:
     # one table of per-draw r and r^2 (both medians come from one ranking)
     allr = cut_lineage(rl.unionByName(rd).withColumn("r2", F.col("r") * F.col("r")), "per-draw-r")
     keys = ["response", "treatment"]
-    st = R.gather(allr, ["iter", *keys], "stat", "v", ["r", "r2"])
-    med = group_quantiles(st, [*keys, "stat"], "v", [0.5], ["m"], tiebreak=["iter"])
+    stats_long = R.gather(allr, ["iter", *keys], "stat", "v", ["r", "r2"])
+    med = group_quantiles(stats_long, [*keys, "stat"], "v", [0.5], ["m"], tiebreak=["iter"])
     rs = R.spread(med, keys, "stat", "m", ["r", "r2"], prefix="med_").withColumnsRenamed(
         {"med_r": "r_median", "med_r2": "r2_median"})
     pm = V.regression_draws(spark, d)
