@@ -105,3 +105,19 @@ def signif_columns(df, cols, digits: int, keep_integer_digits: bool = False):
                   f"WHEN {e} >= 0 THEN round({x} * power(10.0, {e})) / power(10.0, {e}) "
                   f"ELSE round({x} / power(10.0, -{e})) * power(10.0, -{e}) END AS {q(c)}")
     return staged.selectExpr(*[rnd.get(c, q(c)) for c in df.columns])
+
+
+def round_fixed_sql(x: str, decimals: int) -> str:
+    """Round to a fixed number of decimals as ``round(x * 10^d) / 10^d``
+    (the same IEEE operations in Spark SQL and other engines)."""
+    return f"(round({x} * power(10.0, {decimals})) / power(10.0, {decimals}))"
+
+
+def round_fixed_columns(df, cols, decimals: int):
+    """``round_fixed_sql`` for several columns in one projection."""
+    cols = set(cols)
+    if not cols:
+        return df
+    q = lambda c: "`" + c.replace("`", "``") + "`"
+    return df.selectExpr(*[f"{round_fixed_sql(q(c), decimals)} AS {q(c)}" if c in cols else q(c)
+                           for c in df.columns])

@@ -161,20 +161,26 @@ def bootstrap_draws(df: DataFrame, key: str, y: str, x: str | None = None,
     ``md5`` (default) is reproducible by other engines.
     """
     rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("iter")
-    cols = [F.col(key), F.col(y)] + ([F.col(x)] if x else [])
     src = df.where(F.col(y).isNotNull() & (F.col(x).isNotNull() if x else F.lit(True)))
+    cols = [F.col(key), F.col(y)]
+    if x:
+        # The slope is shift-invariant: summing products of values shifted
+        # by their (unweighted) means avoids the cancellation of raw sums.
+        src = attach_scalars(src, src.agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy")))
+        cols += [(F.col(x) - F.col("_cx")).alias("_xs"), (F.col(y) - F.col("_cy")).alias("_ys")]
     uni = hash_uniform_fast if hash_fn == "xxhash64" else hash_uniform
     w = src.select(*cols, rep).withColumn("_w", poisson1_weight(uni(F.col(key), F.col("iter"))))
     wy = F.col("_w") * F.col(y)
     aggs = [F.sum("_w").alias("_sw"), F.sum(wy).alias("_swy")]
     if x:
-        wx = F.col("_w") * F.col(x)
-        aggs += [F.sum(wx).alias("_swx"), F.sum(wx * F.col(x)).alias("_swxx"), F.sum(wx * F.col(y)).alias("_swxy")]
+        wx = F.col("_w") * F.col("_xs")
+        aggs += [F.sum(wx).alias("_swx"), F.sum(wx * F.col("_xs")).alias("_swxx"),
+                 F.sum(wx * F.col("_ys")).alias("_swxy"), F.sum(F.col("_w") * F.col("_ys")).alias("_swys")]
     g = w.groupBy("iter").agg(*aggs)
     out = [F.col("iter").cast("int").alias("iter"), F.col("_sw").cast("long").alias("n_w"),
            (F.col("_swy") / F.nullif(F.col("_sw"), F.lit(0))).alias(f"mean_{y}")]
     if x:
-        num = F.col("_sw") * F.col("_swxy") - F.col("_swx") * F.col("_swy")
+        num = F.col("_sw") * F.col("_swxy") - F.col("_swx") * F.col("_swys")
         den = F.col("_sw") * F.col("_swxx") - F.col("_swx") * F.col("_swx")
         out.append((num / F.nullif(den, F.lit(0.0))).alias(f"b_{x}"))
     return g.select(*out)

@@ -228,7 +228,7 @@ def treatment_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------ generated quantities
 
-@query("generated_quantities", "iter spp gsmax_ww:d gsmax_wd:d kcatc_c:d",
+@query("generated_quantities", "iter spp gsmax_ww:d gsmax_wd:d kcatc_c:c",
        W("DS") + f"SELECT iter, spp, {gsmax_sql('gsmax_ww', 'kcatc')} AS gsmax_ww, "
        f"{gsmax_sql('gsmax_wd', 'kcatc')} AS gsmax_wd, kcatc - (SELECT avg(kcatc) FROM ds) AS kcatc_c FROM ds")
 def generated_quantities(spark: SparkSession, d: str) -> DataFrame:

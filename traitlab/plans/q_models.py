@@ -163,13 +163,15 @@ _U = "CAST(('0x' || substr(md5(CAST(k AS STRING) || '_' || CAST(iter AS STRING))
 def _boot_sql() -> str:
     w = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in FT.POISSON1_CDF)
     return (_PL_SQL + "src AS (SELECT k, gs, gsmax FROM pl WHERE gs IS NOT NULL AND gsmax IS NOT NULL), "
-            f"r AS (SELECT k, gs, gsmax, CAST(t.range AS INTEGER) AS iter FROM src CROSS JOIN range(1, 101) t), "
-            f"u AS (SELECT iter, gs, gsmax, {_U} AS u FROM r), "
-            f"wt AS (SELECT iter, gs, gsmax, {w} AS w FROM u), "
-            "s AS (SELECT iter, sum(w) AS sw, sum(w * gs) AS swy, sum(w * gsmax) AS swx, "
-            "sum(w * gsmax * gsmax) AS swxx, sum(w * gsmax * gs) AS swxy FROM wt GROUP BY iter) "
+            "ctr AS (SELECT avg(gsmax) AS cx, avg(gs) AS cy FROM src), "
+            f"r AS (SELECT k, gs, gsmax - cx AS xs, gs - cy AS ys, CAST(t.range AS INTEGER) AS iter "
+            f"FROM src CROSS JOIN ctr CROSS JOIN range(1, 101) t), "
+            f"u AS (SELECT iter, gs, xs, ys, {_U} AS u FROM r), "
+            f"wt AS (SELECT iter, gs, xs, ys, {w} AS w FROM u), "
+            "s AS (SELECT iter, sum(w) AS sw, sum(w * gs) AS swy, sum(w * xs) AS swx, "
+            "sum(w * xs * xs) AS swxx, sum(w * xs * ys) AS swxy, sum(w * ys) AS swys FROM wt GROUP BY iter) "
             "SELECT iter, CAST(sw AS BIGINT) AS n_w, swy / nullif(sw, 0) AS mean_gs, "
-            "(sw * swxy - swx * swy) / nullif(sw * swxx - swx * swx, 0) AS b_gsmax FROM s")
+            "(sw * swxy - swx * swys) / nullif(sw * swxx - swx * swx, 0) AS b_gsmax FROM s")
 
 
 @query("bootstrap_draws", "iter n_w mean_gs:d b_gsmax:d", _boot_sql())

@@ -52,7 +52,7 @@ def null_skipping_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------ global statistics
 
-@query("global_stats_centre", "id spp trait value:d value_c:d min:d max:d n median:d",
+@query("global_stats_centre", "id spp trait value:d value_c:c min:d max:d n median:d",
        W("T") + ", st AS (SELECT trait, min(value) AS min, max(value) AS max, count(value) AS n, "
        "avg(value) AS mean, median(value) AS median FROM t GROUP BY trait) "
        "SELECT t.id, t.spp, t.trait, t.value, t.value - st.mean AS value_c, st.min, st.max, st.n, st.median "

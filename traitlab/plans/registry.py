@@ -6,7 +6,9 @@ The output spec fixes column order and names on both sides; columns marked
 differs between engines in the last bits) does not change a value hash:
 first to 13 significant digits, which removes last-bit noise (so a value
 that is exactly a decimal tie stays exactly that tie on both sides), then
-to 9.
+to 9.  Columns marked ``:c`` are differences of nearly equal numbers
+(centred values): their noise is large relative to the value, so they are
+rounded absolutely instead - 11 decimals, then 6.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import signif_columns, signif_sql
+from ..functions.numeric import round_fixed_columns, round_fixed_sql, signif_columns, signif_sql
 
 SIG = 9
 
@@ -37,15 +39,16 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
-        sel, dbl = [], []
+        sel, dbl, cen = [], [], []
         for name, kind in self._spec():
             col = F.col(f"`{name}`")
-            if kind == "d":
+            if kind in ("d", "c"):
                 col = col.cast("double")
-                dbl.append(name)
+                (dbl if kind == "d" else cen).append(name)
             sel.append(col.alias(name))
         out = df.select(*sel)
-        return signif_columns(signif_columns(out, dbl, 13), dbl, SIG)
+        out = signif_columns(signif_columns(out, dbl, 13), dbl, SIG)
+        return round_fixed_columns(round_fixed_columns(out, cen, 11), cen, 6)
 
     def oracle(self) -> str | None:
         if self.sql is None:
@@ -53,8 +56,11 @@ class Query:
         sel = []
         for name, kind in self._spec():
             q = f'q."{name}"'
-            stable = signif_sql(signif_sql(f"CAST({q} AS DOUBLE)", 13), SIG)
-            sel.append((stable if kind == "d" else q) + f' AS "{name}"')
+            if kind == "d":
+                q = signif_sql(signif_sql(f"CAST({q} AS DOUBLE)", 13), SIG)
+            elif kind == "c":
+                q = round_fixed_sql(round_fixed_sql(f"CAST({q} AS DOUBLE)", 11), 6)
+            sel.append(q + f' AS "{name}"')
         return f"SELECT {', '.join(sel)} FROM ({self.sql}) q"
 
 
