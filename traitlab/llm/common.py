@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value, fn):
+    """``fn`` of a column that is computed once per row, however often ``fn``
+    uses it (also inside the function of a higher-order function, where a
+    plain expression would be computed again for every element)."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Connected components: ``(id, component)``, the smallest id reachable,
     one row per id that occurs in an edge.

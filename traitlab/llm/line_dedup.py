@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 TRIM = " \t\r\x0b\x0c"
 
 
@@ -84,17 +86,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _without(text_col: str):
     """The text's lines but those whose count among non-blank lines is in
-    ``__gone`` (sorted): the kept slices between the deleted lines, joined.
-    ``at`` holds the line number of each non-blank line."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    numbered = F.filter(F.transform(lines, lambda x, i: F.when(F.length(F.btrim(x, F.lit(TRIM))) > 0, i)),
-                        lambda i: i.isNotNull())
-
-    def cut(at):
-        holes = F.transform(F.col("__gone"), lambda g: F.get(at, g))
-        starts = F.concat(F.array(F.lit(0)), F.transform(holes, lambda h: h + 1))
-        ends = F.concat(holes, F.array(F.size(lines)))
+    ``__gone`` (sorted): the kept slices between the deleted lines, joined."""
+    def holes(lines):  # line numbers of the deleted lines
+        at = F.filter(F.transform(lines, lambda x, i: F.when(F.length(F.btrim(x, F.lit(TRIM))) > 0, i)),
+                      lambda i: i.isNotNull())
+        return F.struct(lines.alias("lines"),
+                        let(at, lambda a: F.transform(F.col("__gone"), lambda g: F.get(a, g))).alias("holes"))
+
+    def cut(s):
+        starts = F.concat(F.array(F.lit(0)), F.transform(s["holes"], lambda h: h + 1))
+        ends = F.concat(s["holes"], F.array(F.size(s["lines"])))
         spans = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: z["e"] > z["s"])
-        return F.array_join(F.flatten(F.transform(spans, lambda z: F.slice(lines, z["s"] + 1, z["e"] - z["s"]))), "\n")
+        parts = F.transform(spans, lambda z: F.slice(s["lines"], z["s"] + 1, z["e"] - z["s"]))
+        return F.array_join(F.flatten(parts), "\n")
 
-    return F.get(F.transform(F.array(numbered), cut), F.lit(0))
+    return let(let(F.split(F.col(text_col), "\n", -1), holes), cut)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, let, written
 
 #: Characters counted as symbols (fixed value of the contract).
 SYMBOLS = "[#*$%&|<>]"
@@ -36,15 +36,14 @@ def words(text: Column) -> Column:
 
 def _starts_of_repeats(h: Column) -> Column:
     """Sorted positions in ``h`` whose value occurs more than once."""
-    tagged = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    last = F.size(tagged) - 1
-
-    def mark(s, k):
-        before = F.when(k > 0, F.get(tagged, k - 1)["x"] == s["x"]).otherwise(F.lit(False))
-        after = F.when(k < last, F.get(tagged, k + 1)["x"] == s["x"]).otherwise(F.lit(False))
-        return F.when(before | after, s["i"])
+    def marked(tagged):
+        def mark(s, k):  # a position outside the array gives null, which equals nothing
+            same = (F.get(tagged, k - 1)["x"] == s["x"], F.get(tagged, k + 1)["x"] == s["x"])
+            return F.when(F.coalesce(same[0], F.lit(False)) | F.coalesce(same[1], F.lit(False)), s["i"])
+        return F.transform(tagged, mark)
 
-    return F.sort_array(F.filter(F.transform(tagged, mark), lambda i: i.isNotNull()))
+    tagged = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return F.sort_array(F.array_compact(let(tagged, marked)))
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
@@ -107,7 +106,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
          .withColumn("r_repeat", F.col("n_repeat_words") / n)
          .withColumn("r_word_chars", F.col("word_chars") / n)
          .withColumn("r_upper", F.col("__n_upper") / F.greatest(F.col("word_chars"), F.lit(1))))
-    c = written_counts(c)
+    c = written(c, "counts")  # read twice: by the sketches and by the filter
     t = thresholds(c.where(~F.col("base_failed")), [lang, source])
     t = t.withColumnsRenamed({lang: "t_lang", source: "t_source"})
     out = c.join(t, F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
@@ -117,9 +116,3 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"),
                     F.array_join("failed", ",").alias("failed")))
-
-
-def written_counts(c: DataFrame) -> DataFrame:
-    """The counts are read twice (sketches, filter): computed once."""
-    from .common import written
-    return written(c, "counts")
