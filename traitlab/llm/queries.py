@@ -121,6 +121,21 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op5_simhash_dedup")
+def op5_simhash_dedup(spark, sf_dir):
+    from .simhash_dedup import simhash_dedup
+    return simhash_dedup(table(spark, sf_dir, "documents"), shingle=3, budget=3)
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .suffix_dedup import suffix_dedup
+    cut = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def registered() -> dict:
     """The queries by name."""
     return dict(QUERIES)
