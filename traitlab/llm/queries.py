@@ -136,6 +136,30 @@ def op9_suffix_dedup(spark, sf_dir):
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .bpe import decode, encode
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return decode(ids, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark, sf_dir):
+    from .html_text import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict:
     """The queries by name."""
     return dict(QUERIES)
