@@ -160,6 +160,18 @@ def op4_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+@query("op7_quality_model")
+def op7_quality_model(spark, sf_dir):
+    from .quality_model import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    from .toxicity import toxicity_scores
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def registered() -> dict:
     """The queries by name."""
     return dict(QUERIES)
