@@ -51,20 +51,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def logistic_line(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """a, b of P(1) = sigmoid(a m + b), with targets drawn in from 0 and 1
-    by one row's weight, by Newton steps."""
+    by one row's weight: Newton steps, halved until the loss falls."""
     n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([(weight * (p - t) * m).sum(), (weight * (p - t)).sum()])
-        s = weight * p * (1 - p)
-        h = np.array([[(s * m * m).sum() + 1e-3, (s * m).sum()], [(s * m).sum(), s.sum() + 1e-3]])
-        d = np.linalg.solve(h, g)
-        a, b = a - d[0], b - d[1]
-        if abs(d).max() < 1e-8:
+    x = np.stack((m, np.ones(len(m))))
+
+    def loss(v):
+        z = v @ x
+        return float((weight * (np.logaddexp(0, z) - t * z)).sum()) + 5e-4 * float(v @ v)
+
+    v = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(v @ x, -30, 30)))
+        g = x @ (weight * (p - t)) + 1e-3 * v
+        h = (x * (weight * p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
+        d, now, size = np.linalg.solve(h, g), loss(v), 1.0
+        while size > 1e-9 and loss(v - size * d) > now:
+            size /= 2
+        v = v - size * d
+        if size * abs(d).max() < 1e-7:
             break
-    return float(a), float(b)
+    return float(v[0]), float(v[1])
 
 
 def sigmoid(z: float) -> float:

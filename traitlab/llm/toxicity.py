@@ -9,12 +9,12 @@ gives its logit; a document's logit is its largest window's.  The network is
 trained in numpy (Adam, back-propagation through time).
 
 Documents are labelled, windows are not.  Character-gram counts over all
-labelled rows give log odds per gram; the windows of a toxic training
-document with the highest odds are its examples, and of a clean one those
-with the highest odds (the hardest) and others dealt by a hash.  What reaches
-the driver is bounded by parameters: one row per gram bucket, ``WINDOWS``
-windows of each of ``2 * SAMPLE`` documents.  A second sample turns the
-document logits into probabilities.
+labelled rows give log odds per gram, where the embeddings start; the windows
+of a toxic training document with the highest odds are its examples, and of a
+clean one those with the highest odds (the hardest) and others dealt by a
+hash.  What reaches the driver is bounded by parameters: one row per gram
+bucket, ``WINDOWS`` windows of each of ``2 * SAMPLE`` documents.  A part of the
+sample that did not train turns the document logits into probabilities.
 """
 
 from __future__ import annotations
@@ -30,12 +30,15 @@ from .common import small_batches
 from .labelled import fold, logistic_line, training_rows, unpack
 
 WINDOW, STRIDE = 32, 24
-SAMPLE = 1500        # labelled documents per class for the network, as many again for the probabilities
+SAMPLE = 3000        # labelled documents per class: three quarters train, the rest give the probabilities
 WINDOWS = 4          # windows of a training document
-BUCKETS = 1 << 15    # hashed words, hashed character grams
+BUCKETS = 1 << 17    # hashed character grams
+WORD_BUCKETS = 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 10, 8, 8
-EPOCHS, BATCH, RATE = 4, 256, 0.01
+EPOCHS, BATCH, RATE = 3, 128, 0.005
 WORDS_KEPT = 120_000
+LEAST, CLEAR = 3, 2.0  # rows that make a gram count; odds that make a window an example
+STEPS = 300          # of the training, at least
 AT_ONCE = 1024       # windows run together
 
 
@@ -47,7 +50,7 @@ def char_grams(word: str) -> np.ndarray:
 
 
 def word_bucket(word: str) -> int:
-    return zlib.crc32(word.strip(".,;:!?\"'()").encode("utf-8", "surrogatepass"), 7) % BUCKETS
+    return zlib.crc32(word.strip(".,;:!?\"'()").encode("utf-8", "surrogatepass"), 7) % WORD_BUCKETS
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -66,7 +69,7 @@ class Network:
     def __init__(self, seed: int = 3):
         g, d, h = np.random.default_rng(seed), WORD_DIM + CHAR_DIM, HIDDEN
         r = lambda *s, scale: (g.standard_normal(s) * scale).astype(np.float32)
-        self.p = {"word": r(BUCKETS, WORD_DIM, scale=0.1), "char": r(BUCKETS, CHAR_DIM, scale=0.3),
+        self.p = {"word": r(WORD_BUCKETS, WORD_DIM, scale=0.02), "char": r(BUCKETS, CHAR_DIM, scale=0.05),
                   "in": r(d, 6 * h, scale=d ** -0.5), "bias": np.zeros(6 * h, np.float32),
                   "rec": r(2, h, 3 * h, scale=h ** -0.5), "att": r(2 * h, ATTENTION, scale=(2 * h) ** -0.5),
                   "pick": r(ATTENTION, scale=0.5), "out": r(2 * h, scale=0.3), "shift": np.zeros(1, np.float32)}
@@ -150,7 +153,7 @@ class Network:
         rng = np.random.default_rng(seed)
         mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, min(10 * EPOCHS, -(-STEPS * BATCH // len(texts))))):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 pick = order[at:at + BATCH]
@@ -252,7 +255,8 @@ class Remembered(dict):
 
 
 def gram_odds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of each character gram over its standard error, and the class
+    """Log odds of each character gram over its standard error (between -1
+    and 8; 0 for grams of fewer than ``LEAST`` toxic rows), and the class
     sizes, from all labelled rows (one row per bucket, class and task)."""
     def count(batches):
         n, grams, size = np.zeros((2, BUCKETS), np.int64), Remembered(), np.zeros(2, np.int64)
@@ -261,8 +265,9 @@ def gram_odds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for z, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w in set(words_of(unpack(z))):
                     seen[grams[w]] = True
-                n[y] += seen
-                seen[:] = False
+                at = np.flatnonzero(seen)
+                n[y, at] += 1
+                seen[at] = False
                 size[y] += 1
         for y in (0, 1):
             at = np.flatnonzero(n[y])
@@ -276,7 +281,9 @@ def gram_odds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n[y[bucket >= 0], bucket[bucket >= 0]] = c[bucket >= 0]
     size[y[bucket < 0]] = c[bucket < 0]
     odds = np.log((n[1] + 1) / (size[1] + 2)) - np.log((n[0] + 1) / (size[0] + 2))
-    return odds / np.sqrt(1 / (n[1] + 1) + 1 / (n[0] + 1)), size
+    odds /= np.sqrt(1 / (n[1] + 1) + 1 / (n[0] + 1))
+    odds[(odds > 0) & (n[1] < LEAST)] = 0  # a row or two would only name the documents counted
+    return np.clip(odds, -1, 8).astype(np.float32), size
 
 
 def _examples(odds: np.ndarray):
@@ -292,7 +299,7 @@ def _examples(odds: np.ndarray):
                 top = np.array([best[i:i + WINDOW].max() for i in first])
                 order = np.argsort(-top, kind="stable")
                 if y == 1:
-                    pick = order[:2]
+                    pick = [i for i in order[:2] if top[i] >= CLEAR]
                 else:
                     rng = np.random.default_rng(abs(h))
                     pick = np.unique(np.concatenate((order[:2], rng.choice(len(first), min(len(first), WINDOWS - 2), False))))
@@ -311,18 +318,18 @@ def fit(rows: DataFrame, sampled: DataFrame) -> tuple[Network, tuple[float, floa
     spark = rows.sparkSession
     odds, size = gram_odds(rows)
     net = Network()
+    net.p["char"][:, 0] = odds / 4  # what all labelled rows say, to start from
     base = float(np.log((size[1] + 1) / (size[0] + 1)))
     if not size.all():
         return net, (0.0, base)
-    halves = (F.pmod("h", F.lit(2)) == 0, F.pmod("h", F.lit(2)) == 1)
-    odds = odds.astype(np.float32)
-    got = (sampled.where(halves[0]).mapInArrow(_examples(odds), "y int, h long, window string").toArrow()
+    learn = F.pmod("h", F.lit(4)) > 0
+    got = (sampled.where(learn).mapInArrow(_examples(odds), "y int, h long, window string").toArrow()
            .sort_by([("h", "ascending"), ("y", "ascending"), ("window", "ascending")]))
     y = got.column("y").to_numpy()
     if len(set(y)) < 2:
         return net, (0.0, base)
     net.train([w.split() for w in got.column("window").to_pylist()], y.astype(np.float32))
-    s = _logits(sampled.where(halves[1]).select("y", "z"), net, spark).toArrow()
+    s = _logits(sampled.where(~learn).select("y", "z"), net, spark).toArrow()
     m, y = s.column("logit").to_numpy(), s.column("y").to_numpy()
     if len(set(y)) < 2:
         return net, (1.0, 0.0)
@@ -358,7 +365,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     counts with each.  A null id is not held out.  An empty table gives no
     rows.
     """
-    net, (a, b) = fit(*training_rows(docs, labels, id_col, text_col, label_col, parts, held, 2 * SAMPLE))
+    net, (a, b) = fit(*training_rows(docs, labels, id_col, text_col, label_col, parts, held, SAMPLE))
     s = _logits(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), net,
                 docs.sparkSession)
     score = 1 / (1 + F.exp(-(F.col("logit") * a + b)))
