@@ -37,7 +37,7 @@ WORD_BUCKETS = 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 10, 8, 8
 EPOCHS, BATCH, RATE = 3, 128, 0.005
 WORDS_KEPT = 120_000
-LEAST, CLEAR = 3, 2.0  # rows that make a gram count; odds that make a window an example
+LEAST, DOUBT, CLEAR = 3, 1.6, 1.0  # see sure_odds; odds that make a window an example
 STEPS = 300          # of the training, at least
 AT_ONCE = 1024       # windows run together
 
@@ -255,9 +255,8 @@ class Remembered(dict):
 
 
 def gram_odds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of each character gram over its standard error (between -1
-    and 8; 0 for grams of fewer than ``LEAST`` toxic rows), and the class
-    sizes, from all labelled rows (one row per bucket, class and task)."""
+    """Log odds of each character gram, and the class sizes, from all
+    labelled rows (one row per bucket, class and task)."""
     def count(batches):
         n, grams, size = np.zeros((2, BUCKETS), np.int64), Remembered(), np.zeros(2, np.int64)
         seen = np.zeros(BUCKETS, bool)
@@ -280,10 +279,18 @@ def gram_odds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n, size = np.zeros((2, BUCKETS)), np.zeros(2)
     n[y[bucket >= 0], bucket[bucket >= 0]] = c[bucket >= 0]
     size[y[bucket < 0]] = c[bucket < 0]
-    odds = np.log((n[1] + 1) / (size[1] + 2)) - np.log((n[0] + 1) / (size[0] + 2))
-    odds /= np.sqrt(1 / (n[1] + 1) + 1 / (n[0] + 1))
-    odds[(odds > 0) & (n[1] < LEAST)] = 0  # a row or two would only name the documents counted
-    return np.clip(odds, -1, 8).astype(np.float32), size
+    return sure_odds(n, size), size
+
+
+def sure_odds(n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Log odds of each gram (clean row of ``n`` first), drawn towards 0 by
+    ``DOUBT`` standard errors; 0 for grams of fewer than ``LEAST`` toxic
+    rows, which would only name the documents counted."""
+    odds = np.log((n[1] + 0.5) / (size[1] + 1)) - np.log((n[0] + 0.5) / (size[0] + 1))
+    error = np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
+    odds = np.sign(odds) * np.maximum(np.abs(odds) - DOUBT * error, 0)
+    odds[(odds > 0) & (n[1] < LEAST)] = 0
+    return odds.astype(np.float32)
 
 
 def _examples(odds: np.ndarray):
@@ -318,7 +325,7 @@ def fit(rows: DataFrame, sampled: DataFrame) -> tuple[Network, tuple[float, floa
     spark = rows.sparkSession
     odds, size = gram_odds(rows)
     net = Network()
-    net.p["char"][:, 0] = odds / 4  # what all labelled rows say, to start from
+    net.p["char"][:, 0] = odds  # what all labelled rows say, to start from
     base = float(np.log((size[1] + 1) / (size[0] + 1)))
     if not size.all():
         return net, (0.0, base)
