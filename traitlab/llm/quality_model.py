@@ -14,12 +14,12 @@ driver is bounded by parameters: one row per bucket, and the n-gram sets of
 ``SAMPLE`` rows per class.
 """
 
-from __future__ import annotations
-
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,23 +165,26 @@ def fit(rows: DataFrame, sampled: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """``key_col, score`` for every row of ``docs``, from its whole text."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the score of every row's whole text."""
     small_batches(docs.sparkSession)
     packed = (model.ratio.astype(np.float32), model.weight.astype(np.float32), model.bias, model.line)
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # two floats per bucket: 1 MB
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ratio, weight, bias, line = shared.value
         m, g = Model(ratio.astype(float), weight.astype(float), bias, line), Grams()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([m.score(g.of((t or "").encode("utf-8", "surrogatepass")))
-                                         for t in b.column(1).to_pylist()], pa.float64())],
-                names=[key_col, "score"])
+        for s in parts:
+            yield s.map(lambda t: m.score(g.of((t or "").encode("utf-8", "surrogatepass")))).astype(float)
+
+    return docs.withColumn(name, run(F.col(text_col)))
 
-    kind = docs.schema[key_col].dataType.simpleString()
-    return docs.select(key_col, text_col).mapInArrow(run, f"`{key_col}` {kind}, score double")
+
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            label_col: str = "quality", parts: int = 4, held: int = 2) -> Model:
+    """The model of the labelled rows outside the held-out fold."""
+    return fit(*training_rows(docs, labels, id_col, text_col, label_col, parts, held, 2 * SAMPLE))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -193,7 +196,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without a document teach nothing; a document with several labels counts
     with each.  A null id is not held out.  An empty table gives no rows.
     """
-    model = fit(*training_rows(docs, labels, id_col, text_col, label_col, parts, held, 2 * SAMPLE))
-    s = score(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
+    model = learned(docs, labels, id_col, text_col, label_col, parts, held)
+    s = with_score(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
     return s.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              cut: float = 0.7) -> DataFrame:
+    """``docs`` without the rows that score below ``cut``."""
+    scored = with_score(docs, learned(docs, labels, id_col, text_col), text_col, "__score")
+    return scored.where(F.col("__score") >= cut).drop("__score")

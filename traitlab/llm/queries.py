@@ -173,5 +173,8 @@ def op3_toxicity(spark, sf_dir):
 
 
 def registered() -> dict:
-    """The queries by name."""
-    return dict(QUERIES)
+    """The queries by name, and ``pipeline`` from corpus_pipeline.py."""
+    import corpus_pipeline
+    if corpus_pipeline.ORACLE_SQL is not None:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**QUERIES, "pipeline": corpus_pipeline.run}

@@ -30,8 +30,6 @@ so no group is ever gathered, however many copies a passage has.  Texts move
 compressed, twice: to the phrases left over, and to the removed spans.
 """
 
-from __future__ import annotations
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -326,3 +324,13 @@ def merged(spans) -> list:
     first = np.concatenate(([True], x[1:, 0] > top[:-1]))
     last = np.concatenate((first[1:], [True]))
     return list(zip(x[first, 0].tolist(), top[last].tolist()))
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+    """``docs``, columns as they are, with the repeated bytes cut out of the
+    text; what a cut leaves of a split character goes too."""
+    @F.pandas_udf(T.StringType())
+    def text(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: b.decode("utf-8", "ignore"))
+    cut = suffix_dedup(docs, id_col, text_col, length)
+    return cut.withColumn(text_col, text("kept_bytes")).select(*docs.columns)
