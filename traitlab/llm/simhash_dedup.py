@@ -35,7 +35,7 @@ from .common import components, forest, small_batches, written
 BITS = 64
 SEED = 42
 SUBTREE = 1 << 18      # fingerprints in a subtree, about
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 16
 MIN_TOP = 4
 
 
@@ -92,12 +92,9 @@ def trie_links(fp: np.ndarray, left: np.ndarray, right: np.ndarray | None, depth
     """
     n = len(fp)
     tree = np.arange(n)
-    a = np.array([[left[0], left[1]]])
-    b = a if right is None else np.array([[right[0], right[1]]])
-    diff = np.array([0 if right is None else int(fp[left[0]] ^ fp[right[0]]).bit_count() if depth == BITS
-                     else (int(fp[left[0]] >> np.uint64(BITS - depth)) ^ int(fp[right[0]] >> np.uint64(BITS - depth))).bit_count()
-                     if depth else 0])
-    stack = [(depth, a[:, 0], a[:, 1], b[:, 0], b[:, 1], diff)]
+    ends = (*left, *(left if right is None else right))
+    seen = 0 if right is None else int(fp[left[0]] ^ fp[right[0]]) >> (BITS - depth)
+    stack = [(depth, *(np.array([x], np.int32) for x in ends), np.array([seen.bit_count()], np.int32))]
     out_i, out_j = [], []
     changes = None
     while stack:
