@@ -210,7 +210,8 @@ def hamming_links(distinct: DataFrame, budget: int) -> DataFrame:
         return pa.table({"a": fp[i].view(np.int64), "b": fp[j].view(np.int64)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     dealt = distinct.select("fp").mapInArrow(deal, "p long, q long, fp long")
-    return dealt.groupBy("p", "q").applyInArrow(join, _LINK)
+    pairs = (len(near) + 1) * (1 << top) // 2
+    return dealt.repartition(min(pairs, 2048), "p", "q").groupBy("p", "q").applyInArrow(join, _LINK)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
