@@ -33,19 +33,45 @@ def test_rank_within_matches_window_on_skewed_keys(spark, rng):
                                "g string, v double, i long")
     w = Window.partitionBy("g").orderBy("v", "i")
     ref = df.select("i", F.row_number().over(w).alias("rn2"), F.count("*").over(Window.partitionBy("g")).alias("n2"))
-    for limit in (0, 1000, None):   # bucketed (forced), bucketed (hot key over the bound), plain
-        ours = rank_within(df, ["g"], "v", ["i"], buckets=16,
-                           plain_limit=limit if limit is not None else 10**9).select("i", "rn", "n")
+    for rows in (7, 100, 1000, None):   # many buckets, some, only the hot key split, none
+        ours = rank_within(df, ["g"], "v", ["i"], bucket_rows=rows).select("i", "rn", "n")
         bad = ours.join(ref, "i").where((F.col("rn") != F.col("rn2")) | (F.col("n") != F.col("n2"))).count()
         assert bad == 0 and ours.count() == 3000
 
 
 def test_global_rank_of_strings(spark):
     df = spark.createDataFrame([(s,) for s in ["Brand#10", "Brand#1", "Brand#2", "Brand#100", "A"]], "s string")
-    got = [r.s for r in rank_within(df, [], "s", buckets=4).orderBy("rn").collect()]
+    got = [r.s for r in rank_within(df, [], "s", bucket_rows=2).orderBy("rn").collect()]
     assert got == sorted(got) == ["A", "Brand#1", "Brand#10", "Brand#100", "Brand#2"]
 
 
+@pytest.mark.parametrize("rows", [3, None])
+def test_ranks_keep_null_keys_null_values_and_hot_ties(spark, rows):
+    data = [(None, 5.0, i) for i in range(40)] + [("a", None, i) for i in range(9)] + [("a", float(i % 4), 50 + i) for i in range(60)]
+    data += [("tie", 1.0, i) for i in range(200)] + [("tie", 0.0, 300), ("tie", 2.0, 301), (None, None, 99)]
+    df = spark.createDataFrame(data, "g string, v double, i long")
+    got = {(r.g, r.v, r.i): (r.rn, r.n) for r in rank_within(df, ["g"], "v", ["i"], bucket_rows=rows).collect()}
+    want = {}
+    for g in (None, "a", "tie"):
+        mine = sorted((r for r in data if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        want.update({r: (k + 1, len(mine)) for k, r in enumerate(mine)})
+    assert got == want
+    both = {r.i: r.rn for r in rank_within(df.where("g = 'tie'"), [], "v", ["i"], bucket_rows=rows).collect()}
+    assert both[300] == 1 and both[301] == 202 and both[0] == 2 and both[199] == 201
+
+
+def test_quantiles_with_null_keys_ties_and_large_groups(spark, rng):
+    vals = np.concatenate((np.round(rng.normal(size=20_000), 2), np.full(30_000, 0.5), rng.pareto(0.5, 10_000)))
+    df = spark.createDataFrame([(None if i % 2 else "x", float(v)) for i, v in enumerate(vals)] + [("none", None), (None, None)],
+                               "g string, value double")
+    probs = [0.0, 0.025, 0.4, 0.5, 0.975, 1.0]
+    got = {r.g: r[1:] for r in group_quantiles(df, ["g"], "value", probs).collect()}
+    assert set(got) == {None, "x"}
+    for g, part in ((None, vals[1::2]), ("x", vals[::2])):
+        assert got[g] == pytest.approx(tuple(np.quantile(part, probs)), rel=1e-12)
+    assert group_quantiles(df.limit(0), ["g"], "value", [0.5]).collect() == []
+
+
 def test_quantiles_match_numpy(spark, rng):
     vals = {"a": rng.normal(size=501), "b": rng.exponential(size=40), "c": np.array([3.0])}
     df = draws_df(spark, vals)
@@ -101,12 +127,12 @@ def test_split_rhat(spark, rng):
     assert got["shift"] > 1.5
 
 
-def brute_ess(chains, max_lag=200):
+def brute_ess(chains):
     m, n = chains.shape
     means = chains.mean(axis=1)
     W = chains.var(axis=1, ddof=1).mean()
     varp = (n - 1) / n * W + means.var(ddof=1)
-    L = min(max_lag, n // 2)
+    L = n // 2
     L -= L % 2
     d = chains - means[:, None]
     g = np.array([np.mean([np.sum(d[c, :n - t] * d[c, t:]) / n for c in range(m)]) for t in range(L)])
@@ -134,13 +160,29 @@ def test_ess_matches_numpy_definition(spark, rng):
             for i in range(n):
                 rows.append(("m", c, i + 1, name, float(arr[c, i])))
     df = spark.createDataFrame(rows, "model string, chain int, iter long, par string, value double")
-    got = {r.par: r.ess for r in D.ess(df, max_lag=50).collect()}
-    assert got["iid"] == pytest.approx(brute_ess(iid, 50), rel=1e-9)
-    assert got["ar"] == pytest.approx(brute_ess(ar, 50), rel=1e-9)
+    got = {r.par: r.ess for r in D.ess(df).collect()}
+    assert got["iid"] == pytest.approx(brute_ess(iid), rel=1e-9)
+    assert got["ar"] == pytest.approx(brute_ess(ar), rel=1e-9)
     assert got["ar"] < got["iid"]
     assert 0.6 * m * n < got["iid"] < 1.6 * m * n
 
 
+def test_diagnostics_of_thinned_draws_go_by_position(spark, rng):
+    n, m = 6000, 4
+    x = rng.normal(size=(m, n))
+    x[:, 3 * n // 4 + 500:] += 3.0  # a level shift late in every chain
+    rows = [("m", c, i + 1, "a", float(x[c, i])) for c in range(m) for i in range(n)]
+    df = spark.createDataFrame(rows, "model string, chain int, iter long, par string, value double")
+    t = D.thin(df, warmup=2000, every=10)
+    kept = np.array([[x[c, i] for i in range(n) if i + 1 > 2000 and (i + 1) % 10 == 0] for c in range(m)])
+    half = kept.shape[1] // 2
+    parts = np.concatenate((kept[:, :half], kept[:, half:]))
+    w, b = parts.var(axis=1, ddof=1).mean(), parts.mean(axis=1).var(ddof=1)
+    assert D.split_rhat(t).first().rhat == pytest.approx(math.sqrt(((half - 1) / half * w + b) / w), rel=1e-9)
+    assert D.split_rhat(t).first().rhat > 1.1
+    assert D.ess(t).first().ess == pytest.approx(brute_ess(kept), rel=1e-9)
+
+
 def test_dense_index_matches_row_number(spark, rng):
     ids = rng.permutation(2000)
     df = spark.createDataFrame([(int(i), int(i) % 3) for i in ids], "eid long, g int")

@@ -53,6 +53,5 @@ def test_oracle_with_hot_group_path(spark, monkeypatch, name):
     """The bucketed ranking (used when one group is too big for a task)
     gives exactly the oracle's answer on real queries."""
     from traitlab.operators import ranking
-    monkeypatch.setattr(ranking, "PLAIN_GROUP_LIMIT", 0)
-    monkeypatch.setattr(ranking, "GLOBAL_PLAIN_LIMIT", 0)
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 30)
     test_oracle_spot_checks(spark, name)

@@ -62,13 +62,13 @@ def test_centre_and_first(spark):
 
 
 def test_add_base_and_ratio(spark):
-    eff = spark.createDataFrame([(1, "s1", 0.5), (1, "s2", -0.5), (2, "s1", 1.0)], "iter int, spp string, value double")
-    base = spark.createDataFrame([(1, 2.0), (2, 3.0)], "iter int, base double")
-    got = {(r.iter, r.spp): r.value for r in D.add_base(eff, base, ["iter"]).collect()}
-    assert got == {(1, "s1"): 2.5, (1, "s2"): 1.5, (2, "s1"): 4.0}
-    r = spark.createDataFrame([(1.0, 0.0), (3.0, 2.0)], "a double, b double").select(
-        D.ratio(F.col("a"), F.col("b")).alias("r")).collect()
-    assert [x.r for x in r] == [None, 1.5]
+    rows = [(i, "b_treatment", 10.0 * i) for i in (1, 2)] + [(i, f"r_spp[{k},treatment]", float(k) + i) for i in (1, 2) for k in (1, 2)]
+    rows += [(1, "r_spp[1,Intercept]", 99.0), (3, "r_spp[1,treatment]", 5.0), (1, "b_Intercept", 7.0)]
+    draws = spark.createDataFrame(rows, "iter int, par string, value double")
+    got = {(r.iter, r.level): r.value for r in D.add_base(draws, r"^r_spp\[([^,]+),treatment\]$", "b_treatment").collect()}
+    assert got == {(1, "1"): 12.0, (1, "2"): 13.0, (2, "1"): 23.0, (2, "2"): 24.0}
+    r = spark.createDataFrame([(1.0, 2.0), (1.0, 0.0)], "a double, b double").select(D.ratio(F.col("a"), F.col("b")).alias("r"))
+    assert [x.r for x in r.collect()] == [0.5, None]
 
 
 def test_correlation_bounds_check(spark):
@@ -114,3 +114,18 @@ def test_ribbon_exp_link_and_loo_summary(spark):
     el = spark.createDataFrame([(1, -1.0), (2, -3.0)], "id int, elpd double")
     s = CM.loo_summary(el).first()
     assert s.elpd_loo == -4.0 and s.n == 2 and s.se == pytest.approx(math.sqrt(2) * math.sqrt(2.0))
+
+
+def test_generated_quantities_of_long_draws(spark):
+    from traitlab.functions.biophysics import B_CONST, M_CONST
+    from traitlab.operators import perdraw as PD
+    pop = {"b0_sd": 80.0, "b0_sp": 20.0, "b0_kcatc": 0.1, "b0_sco": -0.5}
+    eff = {"r_1_sd": 5.0, "r_2_sd": -3.0, "r_1_sp": 1.0, "r_2_sp": 0.5, "b_kcatc": 0.2, "b_sco": 1.5}
+    rows = [(1, p, None, v) for p, v in pop.items()] + [(1, p, s, v * k) for p, v in eff.items() for k, s in ((1, "A"), (2, "B"))]
+    means = spark.createDataFrame([(2.5, 112.0)], "mean_kcatc double, mean_sco double")
+    got = {r.spp: r for r in PD.generated_quantities(spark.createDataFrame(rows, "iter int, par string, spp string, value double"), means).collect()}
+    for k, s in ((1, "A"), (2, "B")):
+        g = lambda sd, sp: B_CONST * M_CONST * sd * (0.5 * (2 * sp) ** 2) ** 0.5
+        assert abs(got[s].gsmax_ww - g(80 + 5 * k, 20 + k)) < 1e-12
+        assert abs(got[s].gsmax_wd - g(80 + 2 * k, 20 + 1.5 * k)) < 1e-12
+        assert abs(got[s].kcatc - (2.6 + 0.2 * k)) < 1e-12 and abs(got[s].sco - (111.5 + 1.5 * k)) < 1e-12

@@ -1,51 +1,109 @@
-"""Goldens from the three trait CSV files (FIXTURES.md §2), found by header."""
+"""Trait tables from CSV files written here, against plain Python on the same
+rows.  The files carry the traps of real ones: byte-order mark, CRLF line
+ends, no final newline, NA, columns in another order, one surface missing."""
 
 import math
+import statistics as st
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import REF_DATA, csv_with_header
 from traitlab.functions import biophysics, units
 from traitlab.operators import summary as S
 from traitlab.operators import traits as TR
 from traitlab.sources import io
 
 KEYS = ["spp", "treatment", "rep"]
+SPECIES, TREATMENTS = ["ALB", "BET", "GAM"], ["WW", "WD"]
+
+
+def surface_rows():
+    rows = []
+    for i, s in enumerate(SPECIES):
+        for j, t in enumerate(TREATMENTS):
+            for rep in range(1, 5 if (s, t) != ("GAM", "WD") else 4):
+                for k, side in enumerate(("aB", "aD")):
+                    sd = round(30 + 11.37 * i + 5.21 * j + 1.93 * rep + 7.7 * k, 4)
+                    sp = round(18 + 1.71 * i + 0.83 * j + 0.59 * rep - 0.41 * k, 4)
+                    if (s, t, rep, side) == ("BET", "WW", 2, "aD"):
+                        sd = None
+                    rows.append((s, t, str(rep), side, sd, round(0.1 + 0.01 * rep, 3), sp))
+    return rows
+
+
+def leaf_rows():
+    rows = [(s, t, str(rep), float(400 + 37 * i + 11 * rep), None if (i + rep) % 4 == 0 else round(0.05 + 0.013 * rep + 0.02 * i, 4))
+            for i, s in enumerate(SPECIES) for t in TREATMENTS for rep in range(1, 5)]
+    return [r for r in rows if r[:3] != ("ALB", "WW", "1")]
+
+
+def trait_rows():
+    return [(s, t, round(b + 0.31 * i + 0.07 * k, 3)) for i, s in enumerate(SPECIES)
+            for t, b in (("kcatc", 2.1), ("sco", 101.5)) for k in range(3 + i)]
+
+
+def cell(v):
+    return "NA" if v is None else str(v)
 
 
 @pytest.fixture(scope="module")
-def stomata(spark):
-    return io.read_csv(spark, csv_with_header(REF_DATA, "spp,treatment,rep,surface"), io.SURFACE_SCHEMA)
+def folder(tmp_path_factory):
+    d = tmp_path_factory.mktemp("csv")
+    head = "spp,treatment,rep,surface,sd,si,sp"
+    (d / "surface.csv").write_text("\n".join([head, *(",".join(map(cell, r)) for r in surface_rows())]) + "\n")
+    # columns in another order, and one that nobody asked for
+    (d / "leaf.csv").write_text("\n".join(["gs,note,rep,treatment,spp,LA1", *(
+        ",".join(map(cell, (r[4], "x", r[2], r[1], r[0], r[3]))) for r in leaf_rows())]) + "\n")
+    body = "\r\n".join(["spp,trait,value", *(",".join(map(cell, r)) for r in trait_rows())])
+    (d / "traits.csv").write_bytes(b"\xef\xbb\xbf" + body.encode())
+    (d / "short.csv").write_text("spp,treatment\nALB,WW\n")
+    (d / "bad.csv").write_text("spp,trait,value\nALB,sco,abc\n")
+    return d
 
 
 @pytest.fixture(scope="module")
-def lags(spark):
-    return io.read_csv(spark, csv_with_header(REF_DATA, "spp,treatment,rep,LA1"), io.LEAF_SCHEMA)
+def surfaces(spark, folder):
+    return io.read_csv(spark, str(folder / "surface.csv"), io.SURFACE_SCHEMA)
 
 
 @pytest.fixture(scope="module")
-def kinetics(spark):
-    return io.read_excel_twin(spark, csv_with_header(REF_DATA, "spp,trait,value"))
+def leaves(spark, folder):
+    return io.read_csv(spark, str(folder / "leaf.csv"), io.LEAF_SCHEMA)
 
 
 @pytest.fixture(scope="module")
-def plants(stomata):
-    return TR.plants(stomata).cache()
+def plants(surfaces):
+    return TR.plants(surfaces)
+
 
+def plain_plants():
+    by = {}
+    for s, t, r, side, sd, _, sp in surface_rows():
+        by.setdefault((s, t, r), {})[side] = (sd, sp)
+    out = {}
+    for k, v in by.items():
+        (a, p), (b, q) = v["aB"], v["aD"]
+        sd = None if a is None or b is None else a + b
+        sp = (p + q) / 2
+        g = None if sd is None else biophysics.B_CONST * biophysics.M_CONST * sd * math.sqrt(0.5 * (2 * sp) ** 2)
+        out[k] = (sd, sp, g)
+    return out
 
-def test_scan_counts_and_nulls(stomata, lags, kinetics):
-    assert stomata.count() == 158
-    assert stomata.where(F.col("sd").isNull()).count() == 4
-    assert stomata.where(F.col("sp").isNull()).count() == 2
-    assert lags.count() == 94
-    assert lags.where(F.col("gs").isNull()).count() == 16
-    assert lags.where(F.col("LA1").isNull()).count() == 3
-    # BOM, CRLF and no final newline: 99 rows, clean first column name
-    assert kinetics.count() == 99
-    assert sorted(r.spp for r in kinetics.select("spp").distinct().collect())[0] == "ANT"
-    assert {r.trait: r.c for r in kinetics.groupBy("trait").agg(F.count("*").alias("c")).collect()} == \
-        {"kcatc": 38, "sco": 61}
+
+def test_scan_counts_nulls_and_order(surfaces, leaves, spark, folder):
+    assert [tuple(r) for r in surfaces.collect()] == surface_rows()
+    assert [tuple(r) for r in leaves.collect()] == leaf_rows()
+    t = io.read_excel_twin(spark, str(folder / "traits.csv"))
+    assert t.columns == ["spp", "trait", "value"] and [tuple(r) for r in t.collect()] == trait_rows()
+
+
+def test_scan_refuses_missing_columns_and_bad_numbers(spark, folder):
+    with pytest.raises(ValueError, match="no column rep"):
+        io.read_csv(spark, str(folder / "short.csv"), io.LEAF_SCHEMA)
+    with pytest.raises(Exception, match="abc|MALFORMED|FAILFAST"):
+        io.read_csv(spark, str(folder / "bad.csv"), io.LONG_TRAIT_SCHEMA).collect()
+    loose = io.read_csv(spark, str(folder / "bad.csv"), io.LONG_TRAIT_SCHEMA, strict=False).first()
+    assert tuple(loose) == ("ALB", "sco", None)
 
 
 def test_constants():
@@ -54,98 +112,73 @@ def test_constants():
 
 
 def test_pair_collapse_and_gsmax(plants):
-    assert plants.count() == 79
-    assert plants.dropna(subset=["sd", "sp"]).count() == 76
-    r = plants.where((F.col("spp") == "ANT") & (F.col("treatment") == "WD") & (F.col("rep") == "10")).first()
-    assert r.sd == pytest.approx(75.99391171993913, rel=1e-12)
-    assert r.sp == pytest.approx(29.5581390406155, rel=1e-12)
-    assert r.gsmax == pytest.approx(1.5256658414655175, rel=1e-12)
+    got = {(r.spp, r.treatment, r.rep): (r.sd, r.sp, r.gsmax) for r in plants.collect()}
+    want = plain_plants()
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-12), k
     assert units.unit_of(plants, "gsmax") == "mol/m^2/s"
 
 
 def test_gsmax_distribution(plants):
-    c = plants.dropna(subset=["sd", "sp"])
-    st = S.global_stats(c, "gsmax").first()
-    assert st.n == 76
-    assert st.min == pytest.approx(1.13293392, abs=1e-8)
-    assert st.max == pytest.approx(2.96696118, abs=1e-8)
-    assert st.mean == pytest.approx(1.90396462, abs=1e-8)
-    assert st.median == pytest.approx(1.83244331, abs=1e-8)
-    assert c.agg(F.stddev_samp("gsmax")).first()[0] == pytest.approx(0.40876697, abs=1e-8)
+    g = [v[2] for v in plain_plants().values() if v[2] is not None]
+    s = S.global_stats(plants.dropna(subset=["sd", "sp"]), "gsmax").first()
+    assert s.n == len(g)
+    assert (s.min, s.max, s["mean"], s.median) == pytest.approx((min(g), max(g), st.mean(g), st.median(g)), rel=1e-12)
 
 
 def test_group_summary_complete_plants(plants):
-    g = S.group_summary(plants.dropna(subset=["sd", "sp"]), ["spp", "treatment"], ["sd", "sp", "gsmax"],
-                        null_skipping=False)
-    assert g.count() == 20
+    by = {}
+    for (s, t, _), v in plain_plants().items():
+        if v[0] is not None:
+            by.setdefault((s, t), []).append(v)
+    g = S.group_summary(plants.dropna(subset=["sd", "sp"]), ["spp", "treatment"], ["sd", "sp", "gsmax"], null_skipping=False)
     rows = {(r.spp, r.treatment): r for r in g.collect()}
-    ant = rows[("ANT", "WD")]
-    assert ant.n == 4
-    assert ant.sd == pytest.approx(87.07635717909693, rel=1e-12)
-    assert ant.sd_sd == pytest.approx(9.88543113641602, rel=1e-12)
-    assert ant.se_sd == pytest.approx(4.94271556820801, rel=1e-12)
-    assert ant.sp == pytest.approx(28.860279271428873, rel=1e-12)
-    assert ant.gsmax == pytest.approx(1.6989035226185083, rel=1e-12)
-    assert ant.se_gsmax == pytest.approx(0.06125694636025361, rel=1e-12)
-    assert ant.lower_gsmax == pytest.approx(ant.gsmax - ant.se_gsmax)
-    assert rows[("ANT", "WW")].gsmax == pytest.approx(1.696369412652745, rel=1e-12)
-    assert rows[("RET", "WW")].gsmax == pytest.approx(1.7362401407922852, rel=1e-12)
-    assert rows[("RET", "WW")].n == 3
-    sizes = sorted(r.n for r in rows.values())
-    assert sizes.count(3) == 4 and sizes.count(4) == 16
-
-
-def test_full_join_counts(plants, lags):
-    j = TR.join_plants(plants, lags, KEYS, "full", indicator="side")
+    assert set(rows) == set(by)
+    for k, vs in by.items():
+        r = rows[k]
+        assert r.n == len(vs)
+        for i, c in enumerate(("sd", "sp", "gsmax")):
+            x = [v[i] for v in vs]
+            assert r[c] == pytest.approx(st.mean(x), rel=1e-12)
+            assert r[f"sd_{c}"] == pytest.approx(st.stdev(x), rel=1e-9)
+            assert r[f"se_{c}"] == pytest.approx(st.stdev(x) / math.sqrt(len(x)), rel=1e-9)
+            assert r[f"lower_{c}"] == pytest.approx(r[c] - r[f"se_{c}"])
+
+
+def test_full_join_counts(plants, leaves):
+    p, q = set(plain_plants()), {r[:3] for r in leaf_rows()}
+    j = TR.join_plants(plants, leaves, KEYS, "full", indicator="side")
     counts = {r.side: r.c for r in j.groupBy("side").agg(F.count("*").alias("c")).collect()}
-    assert j.count() == 95
-    assert counts == {"both": 78, "left_only": 1, "right_only": 16}
+    assert counts == {"both": len(p & q), "left_only": len(p - q), "right_only": len(q - p)}
     only = j.where(F.col("side") == "left_only").first()
-    assert (only.spp, only.treatment, only.rep) == ("RET", "WW", "5")
-    assert j.select("spp", "treatment").distinct().count() == 20
-
-
-def test_complete_cases(plants, lags):
-    j = TR.join_plants(plants, lags, KEYS, "full")
-    assert j.dropna(subset=["gs", "gsmax"]).count() == 65
-    assert j.dropna(subset=["LA1", "sd", "sp"]).count() == 73
-    r = j.dropna(subset=["gs", "gsmax"]).agg(F.min("gsmax"), F.max("gsmax")).first()
-    assert r[0] == pytest.approx(1.148770463651693, rel=1e-12)
-    assert r[1] == pytest.approx(2.9669611793133415, rel=1e-12)
-
-
-def test_null_skipping_cells(plants, lags):
-    j = TR.join_plants(lags, plants, KEYS, "full")
-    g = S.group_summary(j, ["spp", "treatment"], ["LA1", "gs", "sd", "sp"], null_skipping=True)
-    rows = {(r.spp, r.treatment): r for r in g.collect()}
-    ant = rows[("ANT", "WD")]
-    assert (ant.LA1, ant.n_LA1) == (596.75, 4)
-    assert ant.se_LA1 == pytest.approx(106.606265, abs=1e-6)
-    assert ant.gs == pytest.approx(0.0829803380, abs=1e-9) and ant.n_gs == 3
-    assert ant.se_gs == pytest.approx(0.0235121383, abs=1e-9)
-    bar = rows[("BAR", "WW")]
-    assert bar.n_gs == 5 and bar.n_sd == 4 and bar.n_sp == 5
-    assert bar.sd == pytest.approx(116.8406392694, abs=1e-9)
-    ret = rows[("RET", "WW")]
-    assert ret.n_sd == 3 and ret.LA1 == pytest.approx(990.75)
-
-
-def test_long_traits(kinetics):
-    g = S.group_summary(kinetics, ["trait"], ["value"], null_skipping=True, bounds=False)
-    rows = {r.trait: r for r in g.collect()}
-    assert rows["kcatc"].value == pytest.approx(2.5846842105263157, rel=1e-12)
-    assert rows["kcatc"].sd_value == pytest.approx(0.49384060812213587, rel=1e-12)
-    assert rows["sco"].value == pytest.approx(112.64918032786885, rel=1e-12)
-    assert rows["sco"].sd_value == pytest.approx(6.490624596313765, rel=1e-12)
-    g2 = S.group_summary(kinetics, ["spp", "trait"], ["value"], null_skipping=True, bounds=False)
-    r = {(x.spp, x.trait): x for x in g2.collect()}
-    assert r[("ANT", "kcatc")].n_value == 3 and r[("ANT", "kcatc")].value == pytest.approx(2.385)
-    assert r[("ANT", "kcatc")].se_value == pytest.approx(0.05216320542, abs=1e-10)
-    assert r[("RET", "sco")].value == pytest.approx(120.9714285714, abs=1e-9)
-
-
-def test_gsmax_closed_form(plants):
-    k = biophysics.B_CONST * biophysics.M_CONST * math.sqrt(2)
-    bad = plants.dropna(subset=["sd", "sp"]).where(
-        F.abs(F.col("gsmax") - F.lit(k) * F.col("sd") * F.abs(F.col("sp"))) > 1e-12).count()
-    assert bad == 0
+    assert (only.spp, only.treatment, only.rep) == ("ALB", "WW", "1")
+
+
+def test_complete_cases(plants, leaves):
+    gs = {r[:3]: r[4] for r in leaf_rows()}
+    both = [v[2] for k, v in plain_plants().items() if v[2] is not None and gs.get(k) is not None]
+    c = TR.join_plants(plants, leaves, KEYS, "full").dropna(subset=["gs", "gsmax"])
+    r = c.agg(F.min("gsmax"), F.max("gsmax"), F.count("*")).first()
+    assert tuple(r) == pytest.approx((min(both), max(both), len(both)), rel=1e-12)
+
+
+def test_null_skipping_cells(plants, leaves):
+    j = TR.join_plants(leaves, plants, KEYS, "full")
+    rows = {(r.spp, r.treatment): r for r in S.group_summary(j, ["spp", "treatment"], ["LA1", "gs", "sd"], null_skipping=True).collect()}
+    for s in SPECIES:
+        for t in TREATMENTS:
+            gs = [r[4] for r in leaf_rows() if r[:2] == (s, t) and r[4] is not None]
+            r = rows[(s, t)]
+            assert r.n_gs == len(gs) and r.gs == pytest.approx(st.mean(gs), rel=1e-12)
+            assert r.se_gs == pytest.approx(st.stdev(gs) / math.sqrt(len(gs)), rel=1e-9)
+    assert rows[("BET", "WW")].n_sd == 3
+
+
+def test_long_traits(spark, folder):
+    t = io.read_excel_twin(spark, str(folder / "traits.csv"))
+    rows = {(r.spp, r.trait): r for r in S.group_summary(t, ["spp", "trait"], ["value"], null_skipping=True, bounds=False).collect()}
+    for k, r in rows.items():
+        x = [v for s, tr, v in trait_rows() if (s, tr) == k]
+        assert r.n_value == len(x) and r.value == pytest.approx(st.mean(x), rel=1e-12)
+    assert len(rows) == 6

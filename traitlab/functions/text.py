@@ -1,7 +1,7 @@
 """Text formatting of numbers for report tables.
 
-Numbers become text through a fixed decimal cast, never through the
-engine's double-to-string (which prints ``1.0E-4``).  All helpers are SQL
+Numbers become text through decimal digits, never through the engine's
+double-to-string (which prints ``1.0E-4``).  All helpers are SQL
 text shared by Spark (``F.expr``) and by the oracles; they avoid
 backslashes (``[.]`` instead of an escaped dot) so both dialects read them
 the same way.
@@ -35,9 +35,21 @@ def clean_sql(x: str) -> str:
 
 
 def num_text_sql(x: str) -> str:
-    """T5: plain decimal text without trailing zeros (``0.0123``, ``100``)."""
+    """T5: plain decimal text without trailing zeros (``0.0123``, ``100``).
+
+    Numbers that a decimal of 38 digits, 10 of them after the point, holds
+    to 13 significant digits are printed through it; larger and smaller ones
+    from their 13 leading digits and their exponent."""
     s = f"CAST(CAST({x} AS DECIMAL(38,10)) AS STRING)"
-    return f"regexp_replace({s}, '[.]?0+$', '')"
+    plain = f"regexp_replace({s}, '[.]?0+$', '')"
+    e = f"CAST(floor(log10(abs({x}))) AS INTEGER)"
+    d = f"CAST(CAST(round(abs({x}) / power(10.0, {e}) * 1e12) AS BIGINT) AS STRING)"
+    lead = f"regexp_replace({d}, '0+$', '')"
+    up = f"({e} + length({d}) - 13)"  # one more if rounding made a fourteenth digit
+    minus = f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END)"
+    return (f"(CASE WHEN {x} <> 0 AND abs({x}) < 1e-3 THEN {minus} || '0.' || repeat('0', -{up} - 1) || {lead} "
+            f"WHEN abs({x}) >= 1e14 THEN {minus} || {lead} || repeat('0', {up} + 1 - length({lead})) "
+            f"ELSE {plain} END)")
 
 
 def fg_sql(x: str, digits: int) -> str:

@@ -2,10 +2,9 @@
 
 D10-D14, D17-D20, E1, E3, K14, K15, K17-K19.  Draws stay long and every
 statistic is a ``groupBy`` over the parameter keys.  Order statistics
-(median, quantiles, shortest interval) use the parallel exact ranking of
-``ranking.rank_within``, so a parameter holding most of the draws is still
-spread over many tasks; every later step works on per-parameter results
-that are tiny.
+(median, quantiles, shortest interval) use the exact, parallel methods of
+``ranking``, so a parameter holding most of the draws is still spread over
+many tasks; every later step works on per-parameter results that are tiny.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ranking import group_quantiles, rank_within
+from .ranking import group_quantiles, join_groups, rank_within
 
 KEYS = ("par",)
 
@@ -33,13 +32,10 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: str, out: str = "iter
 
 def rank_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
                tiebreak: Sequence[str] = ("chain", "iter")) -> DataFrame:
-    """Rank values within each parameter (columns ``rn``, ``n``).
-
-    The ranked table feeds several statistics (quantiles, median, HPD), so
-    it is checkpointed once into the shared folder."""
+    """Rank values within each parameter (columns ``rn``, ``n``)."""
     tb = [t for t in tiebreak if t in draws.columns and t not in keys and t != value]
     src = draws.select(*keys, value, *tb)
-    return cut_lineage(rank_within(src.where(F.col(value).isNotNull()), keys, value, tb))
+    return rank_within(src.where(F.col(value).isNotNull()), keys, value, tb)
 
 
 def tail_p(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
@@ -57,27 +53,27 @@ def tail_p(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
                 F.count(F.lit(1)).alias("_n")))
     if median is None:
         median = group_quantiles(draws, keys, value, [0.5], ["median"])
-    j = cnt.join(median.select(*keys, "median"), keys)
+    j = join_groups(cnt, median.select(*keys, "median"), keys)
     n = F.col("_n").cast("double")
     p = F.when(F.col("median") > 0, 2 * (1 - F.col("_pos") / n)).otherwise(2 * (1 - F.col("_neg") / n))
     return j.select(*keys, p.alias("p"))
 
 
 def quantile_interval(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
-                      width: float = 0.95, ranked: DataFrame | None = None,
-                      point: bool = True) -> DataFrame:
+                      width: float = 0.95, point: bool = True) -> DataFrame:
     """D11 (+ D9): linear-interpolation quantiles at (1-w)/2 and (1+w)/2."""
     probs = [(1 - width) / 2, (1 + width) / 2]
     names = ["lower", "upper"]
     if point:
         probs.append(0.5)
         names.append("median")
-    return group_quantiles(draws, keys, value, probs, names, ranked=ranked)
+    return group_quantiles(draws, keys, value, probs, names)
 
 
 def hpd_interval(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
-                 width: float = 0.95, ranked: DataFrame | None = None) -> DataFrame:
-    """D12 (+ E3): shortest interval holding ``floor(w n) + 1`` sorted draws.
+                 width: float = 0.95) -> DataFrame:
+    """D12 (+ E3): shortest interval holding ``floor(w n) + 1`` sorted draws
+    (NULL bounds where there is no such pair).
 
     Sorted draws v_1..v_n, k = floor(w n); among pairs (v_r, v_{r+k}) the
     smallest difference wins, ties to the smallest r.  The pairs come from
@@ -85,15 +81,17 @@ def hpd_interval(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "val
     partitions on the rank, never on the parameter alone.
     """
     keys = list(keys)
-    r = ranked if ranked is not None else rank_draws(draws, keys, value)
-    a = r.select(*keys, F.col("rn").alias("_r"), F.col(value).alias("_lo"),
-                 F.floor(F.lit(float(width)) * F.col("n")).cast("long").alias("_k"))
-    b = r.select(*[F.col(k).alias(f"_b_{k}") for k in keys],
-                 F.col("rn").alias("_r2"), F.col(value).alias("_hi"))
-    cond = [F.col(k) == F.col(f"_b_{k}") for k in keys] + [F.col("_r") + F.col("_k") == F.col("_r2")]
-    pairs = a.join(b, cond).select(*keys, "_r", "_lo", "_hi", (F.col("_hi") - F.col("_lo")).alias("_w"))
-    best = pairs.groupBy(*keys).agg(F.min(F.struct("_w", "_r", "_lo", "_hi")).alias("_m"))
-    return best.select(*keys, F.col("_m._lo").alias("lower"), F.col("_m._hi").alias("upper"))
+    k = F.floor(F.lit(float(width)) * F.col("n")).cast("long")
+    r = rank_draws(draws, keys, value).select(F.struct(*keys).alias("_g") if keys else F.struct(F.lit(0)).alias("_g"),
+                                              "rn", "n", F.col(value).alias("_v"), k.alias("_k"))
+    a = r.where("rn <= greatest(n - _k, 1)").select("_g", (F.col("rn") + F.col("_k")).alias("_at"),
+                                                    F.col("rn").alias("_r"), F.col("_v").alias("_lo"))
+    b = r.where("rn > _k").select("_g", F.col("rn").alias("_at"), F.col("_v").alias("_hi"))
+    pairs = a.join(b, ["_g", "_at"], "left")
+    best = pairs.groupBy("_g").agg(F.min(F.when(F.col("_hi").isNotNull(), F.struct(
+        (F.col("_hi") - F.col("_lo")).alias("_w"), "_r", "_lo", "_hi"))).alias("_m"))
+    return best.select(*[F.col(f"_g.{c}").alias(c) for c in keys], F.col("_m._lo").alias("lower"),
+                       F.col("_m._hi").alias("upper"))
 
 
 def hdr_pieces(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
@@ -135,33 +133,31 @@ def hdr_pieces(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value
 
 def point_interval(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
                    width: float = 0.95, point: str = "median",
-                   interval: str = "hpd") -> DataFrame:
+                   interval: str = "hpd", piece: str = "first") -> DataFrame:
     """Point estimate + interval for every group of a long table.
 
-    ``interval`` is ``hpd`` (shortest, D12), ``quantile`` (D11) or ``hdr``
-    (the D13 piece holding the most draws; all pieces: ``hdr_pieces``).
+    ``interval`` is ``hpd`` (shortest, D12), ``quantile`` (D11) or ``hdr``:
+    one D13 piece, the lowest (``piece="first"``) or the one holding the most
+    draws (``"heaviest"``); all pieces: ``hdr_pieces``.
     """
     keys = list(keys)
-    ranked = rank_draws(draws, keys, value) if point == "median" or interval != "hdr" else None
     if point == "median":
-        pt = group_quantiles(draws, keys, value, [0.5], ["point"], ranked=ranked)
+        pt = group_quantiles(draws, keys, value, [0.5], ["point"])
     else:
         pt = draws.groupBy(*keys).agg(F.avg(value).alias("point"))
     if interval == "hpd":
-        iv = hpd_interval(draws, keys, value, width, ranked=ranked)
+        iv = hpd_interval(draws, keys, value, width)
     elif interval == "quantile":
-        iv = quantile_interval(draws, keys, value, width, ranked=ranked, point=False)
+        iv = quantile_interval(draws, keys, value, width, point=False)
     elif interval == "hdr":
-        # one interval from the pieces: the piece holding the most draws
-        # (ties to the lowest) - with a histogram, sparse tail bins can form
-        # tiny separate pieces, so "the lowest piece" would be noise
         pieces = hdr_pieces(draws, keys, value, width)
-        pick = Window.partitionBy(*keys).orderBy(F.col("n_in").desc(), F.col("piece"))
+        first = [F.col("piece")] if piece == "first" else [F.col("n_in").desc(), F.col("piece")]
+        pick = Window.partitionBy(*keys).orderBy(*first)
         iv = (pieces.withColumn("_pick", F.row_number().over(pick)).where(F.col("_pick") == 1)
               .select(*keys, "lower", "upper"))
     else:
         raise ValueError(f"unknown interval {interval!r}")
-    return (pt.join(iv, keys)
+    return (join_groups(pt, iv, keys)
             .withColumn("width", F.lit(float(width)))
             .withColumn("point_method", F.lit(point))
             .withColumn("interval_method", F.lit(interval)))
@@ -171,14 +167,14 @@ def split_rhat(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value
                chain: str = "chain", it: str = "iter") -> DataFrame:
     """Split R-hat.
 
-    Each chain is cut in halves by ``iter * 2 <= n_chain``; per half the
-    mean, variance and size; then ``W = avg(var)``, ``B/n = var(means)`` and
-    ``sqrt(((n-1)/n W + B/n) / W)``.  Two small aggregations, no window.
+    Each chain is cut in halves by the position of its draws in ``it`` order
+    (so thinned or renumbered draws give the same halves); per half the mean,
+    variance and size; then ``W = avg(var)``, ``B/n = var(means)`` and
+    ``sqrt(((n-1)/n W + B/n) / W)``.
     """
     keys = list(keys)
-    nch = draws.groupBy(*keys, chain).agg(F.count(F.lit(1)).alias("_nc"))
-    x = draws.join(nch, keys + [chain]).withColumn(
-        "_half", F.when(F.col(it) * 2 <= F.col("_nc"), 1).otherwise(2))
+    x = rank_within(draws.select(*keys, chain, it, value), keys + [chain], it, rank_col="_at", count_col="_nc")
+    x = x.withColumn("_half", F.when(F.col("_at") * 2 <= F.col("_nc"), 1).otherwise(2))
     per = x.groupBy(*keys, chain, "_half").agg(F.avg(value).alias("_m"),
                                                F.var_samp(value).alias("_s2"),
                                                F.count(F.lit(1)).alias("_k"))
@@ -221,11 +217,11 @@ def _ess_pairs(draws: DataFrame, keys: list, value: str, chain: str, it: str, la
 
 
 def ess(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
-        chain: str = "chain", it: str = "iter", max_lag: int = 200,
-        rounds: Sequence[int] = (16, 64)) -> DataFrame:
+        chain: str = "chain", it: str = "iter", first_lags: int = 16) -> DataFrame:
     """Effective sample size with Geyer's initial positive sequence.
 
-    Lag-t autocovariances (t < L, L = even part of min(n/2, max_lag)) come
+    Lags count positions within the chain in ``it`` order, so thinning does
+    not change them.  Lag-t autocovariances (t < L, L = even part of n/2) come
     from a block self-join: draws are cut into blocks of the current lag
     count and each block meets itself and the next one, so a pair
     (i, i + t) is formed inside one task and summed at once (partial
@@ -234,29 +230,30 @@ def ess(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
     rho_2k+1`` are kept up to the first negative one, made non-increasing
     by a running minimum, and ``ESS = m n / (-1 + 2 sum P_k)``.
 
-    Lags are computed in growing ``rounds`` (then ``max_lag``): the sum
-    stops at the first negative pair, so once every group has stopped
-    inside the computed lags (or reached its cap), later lags cannot change
-    the result and are not computed.
+    Lags are computed in rounds, four times as many each: the sum stops at
+    the first negative pair, so once every group has stopped inside the
+    computed lags (or has no more), later lags cannot change the result.  A
+    round's table (groups x lags / 2 rows) is written, as the check and the
+    result both read it.
     """
     keys = list(keys)
+    draws = rank_within(draws.select(*keys, chain, it, value), keys + [chain], it, rank_col="_at", count_col="_all")
+    draws = draws.drop(it, "_all")
+    it = "_at"
     cs = draws.groupBy(*keys, chain).agg(F.avg(value).alias("_cm"), F.var_samp(value).alias("_cv"),
                                          F.count(F.lit(1)).alias("_nc"))
     gs = cs.groupBy(*keys).agg(F.min("_nc").alias("_n"), F.count(F.lit(1)).alias("_m"),
                                F.avg("_cv").alias("_W"), F.var_samp("_cm").alias("_Bn"))
-    gs = gs.withColumn("_L", F.least(F.lit(int(max_lag)), F.floor(F.col("_n") / 2)))
+    gs = gs.withColumn("_L", F.floor(F.col("_n") / 2))
     gs = gs.withColumn("_L", F.col("_L") - F.col("_L") % 2)
-    schedule = sorted({int(r) for r in rounds if 0 < int(r) < max_lag} | {int(max_lag)})
-    schedule = [r + (r % 2) for r in schedule]
-    for lags in schedule:
-        # tiny (groups x L/2 rows): stored once, then checked and reused
+    lags = first_lags + first_lags % 2
+    while True:
         pk = cut_lineage(_ess_pairs(draws, keys, value, chain, it, lags, cs, gs), "ess-pairs")
-        if lags >= max_lag:
-            break
         open_groups = (pk.groupBy(*keys).agg(F.first("_stop").alias("_stop"), F.first("_L").alias("_L"))
                        .where(F.col("_stop").isNull() & (F.col("_L") > lags)).limit(1).count())
         if open_groups == 0:
             break
+        lags *= 4
     pk = pk.where(F.col("_stop").isNull() | (F.col("_k") < F.col("_stop")))
     wk = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     pk = pk.withColumn("_Pm", F.min("_P").over(wk))
@@ -278,18 +275,18 @@ def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "
     keys (C5: p-values are left-joined).
     """
     keys = list(keys)
-    ranked = rank_draws(draws, keys, value)
     v = F.col(value)
     # one pass for the moments and the tail-p sign counts (NULLs skipped)
     mom = draws.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("std_error"),
                                    F.sum(F.when(v > 0, 1).otherwise(0)).alias("_pos"),
                                    F.sum(F.when(v < 0, 1).otherwise(0)).alias("_neg"),
                                    F.count(v).alias("_cnt"))
-    q = quantile_interval(draws, keys, value, width, ranked=ranked, point=True)
     if interval == "hpd":
-        iv = hpd_interval(draws, keys, value, width, ranked=ranked)
-        q = q.select(*keys, "median").join(iv, keys)
-    out = mom.join(q, keys)
+        q = join_groups(group_quantiles(draws, keys, value, [0.5], ["median"]),
+                        hpd_interval(draws, keys, value, width), keys)
+    else:
+        q = quantile_interval(draws, keys, value, width, point=True)
+    out = join_groups(mom, q, keys)
     est = F.col("_mean") if estimate == "mean" else F.col("median")
     n = F.col("_cnt").cast("double")
     tail = F.when(F.col("median") > 0, 2 * (1 - F.col("_pos") / n)).otherwise(2 * (1 - F.col("_neg") / n))
@@ -299,9 +296,9 @@ def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "
         cols.append(tail.alias("p"))   # D10, same rule as ``tail_p``
     out = out.select(*cols)
     if rhat:
-        out = out.join(split_rhat(draws, keys, value), keys, "left")
+        out = join_groups(out, split_rhat(draws, keys, value), keys, "left")
     if with_ess:
-        out = out.join(ess(draws, keys, value), keys, "left")
+        out = join_groups(out, ess(draws, keys, value), keys, "left")
     out = (out.withColumn("method", F.lit(estimate))
            .withColumn("interval", F.lit(interval)))
     if term and len(keys) == 1 and keys[0] != term:
@@ -309,11 +306,19 @@ def summarise_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "
     return out
 
 
-def add_base(effects: DataFrame, base: DataFrame, on: Sequence[str], value: str = "value",
-             base_value: str = "base", out: str | None = None) -> DataFrame:
-    """Population + group effect per draw (join on the draw key)."""
-    j = effects.join(base.select(*on, F.col(base_value).alias("_base")), list(on))
-    return j.withColumn(out or value, F.col(value) + F.col("_base")).drop("_base")
+def add_base(draws: DataFrame, effect: str, base: str, by: Sequence[str] = ("iter",), par: str = "par",
+             value: str = "value") -> DataFrame:
+    """Population + group effect per draw, both out of one long table.
+
+    Rows of the effect are those whose parameter matches the pattern
+    ``effect`` (its first group is the level); the base is the parameter named
+    ``base``.  Returns (by..., level, value): effect + base of the same draw.
+    """
+    by = list(by)
+    b = draws.where(F.col(par) == base).select(*by, F.col(value).alias("_base"))
+    e = (draws.where(F.col(par).rlike(effect))
+         .select(*by, F.regexp_extract(F.col(par), effect, 1).alias("level"), F.col(value).alias("_e")))
+    return e.join(b, by).select(*by, "level", (F.col("_e") + F.col("_base")).alias(value))
 
 
 def ratio(num: Column, den: Column) -> Column:

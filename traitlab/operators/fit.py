@@ -9,6 +9,8 @@ only as small dimension tables (AQE broadcasts them).
 
 from __future__ import annotations
 
+import itertools
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 from .perdraw import guarded_corr
 from .ranking import attach_scalars
 
-# Poisson(1) cumulative probabilities P(X <= k), k = 0..4,
-# the cut points that turn a uniform draw into a bootstrap weight.
-POISSON1_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)
+# Poisson(1) cumulative probabilities P(X <= k): the cut points that turn a
+# uniform draw into a bootstrap weight, as many as a 32-bit uniform can reach.
+POISSON1_CDF = tuple(p for p in itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(20))
+                     if p <= 1 - 2.0 ** -32)
 
 
 def gram(df: DataFrame, group: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
@@ -142,7 +145,7 @@ def hash_uniform_fast(key: Column, rep: Column) -> Column:
 
 
 def poisson1_weight(u: Column) -> Column:
-    """Inverse-CDF Poisson(1) weight (0..5) of a uniform number."""
+    """Inverse-CDF Poisson(1) weight of a uniform number."""
     w = F.lit(0)
     for c in POISSON1_CDF:
         w = w + F.when(u >= c, 1).otherwise(0)
@@ -150,19 +153,20 @@ def poisson1_weight(u: Column) -> Column:
 
 
 def bootstrap_draws(df: DataFrame, key: str, y: str, x: str | None = None,
-                    replicates: int = 100, hash_fn: str = "md5") -> DataFrame:
+                    replicates: int = 100, hash_fn: str = "md5", by: Sequence[str] = ()) -> DataFrame:
     """K8: Poisson bootstrap draws of a weighted mean (and of a weighted
     simple slope of y on x).
 
     Every row emits its B replicate weights in place (``explode``), and the
     aggregation by replicate is partial on the map side, so only B partial
-    sums per task are shuffled.  Returns (iter, n_w, mean_<y>[, b_<x>]).
+    sums per task (and per group of ``by``) are shuffled.  Returns (by...,
+    iter, n_w, mean_<y>[, b_<x>]); ``as_draws`` gives the shared long shape.
     ``hash_fn="xxhash64"`` is the fast weight source for large inputs;
     ``md5`` (default) is reproducible by other engines.
     """
     rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("iter")
     src = df.where(F.col(y).isNotNull() & (F.col(x).isNotNull() if x else F.lit(True)))
-    cols = [F.col(key), F.col(y)]
+    cols = [F.col(key), F.col(y), *[F.col(c) for c in by if c not in (key, y)]]
     if x:
         # The slope is shift-invariant: summing products of values shifted
         # by their (unweighted) means avoids the cancellation of raw sums.
@@ -176,11 +180,23 @@ def bootstrap_draws(df: DataFrame, key: str, y: str, x: str | None = None,
         wx = F.col("_w") * F.col("_xs")
         aggs += [F.sum(wx).alias("_swx"), F.sum(wx * F.col("_xs")).alias("_swxx"),
                  F.sum(wx * F.col("_ys")).alias("_swxy"), F.sum(F.col("_w") * F.col("_ys")).alias("_swys")]
-    g = w.groupBy("iter").agg(*aggs)
-    out = [F.col("iter").cast("int").alias("iter"), F.col("_sw").cast("long").alias("n_w"),
+    g = w.groupBy(*by, "iter").agg(*aggs)
+    out = [*by, F.col("iter").cast("int").alias("iter"), F.col("_sw").cast("long").alias("n_w"),
            (F.col("_swy") / F.nullif(F.col("_sw"), F.lit(0))).alias(f"mean_{y}")]
     if x:
         num = F.col("_sw") * F.col("_swxy") - F.col("_swx") * F.col("_swys")
         den = F.col("_sw") * F.col("_swxx") - F.col("_swx") * F.col("_swx")
         out.append((num / F.nullif(den, F.lit(0.0))).alias(f"b_{x}"))
     return g.select(*out)
+
+
+def as_draws(boot: DataFrame, model: str, values: dict[str, str], by: Sequence[str] = (),
+             chain: int = 1) -> DataFrame:
+    """K8 output in the shared shape ``(model, chain, iter, par, value)``:
+    ``values`` maps a column to its parameter's base name, which carries the
+    groups of ``by`` as an index (``mean[A]``)."""
+    index = F.concat(F.lit("["), F.concat_ws(",", *[F.col(c).cast("string") for c in by]), F.lit("]")) if by else F.lit("")
+    items = [F.struct(F.concat(F.lit(name), index).alias("par"), F.col(c).cast("double").alias("value"))
+             for c, name in values.items()]
+    return (boot.select(F.col("iter").cast("long").alias("iter"), *by, F.explode(F.array(*items)).alias("_p"))
+            .select(F.lit(model).alias("model"), F.lit(chain).alias("chain"), "iter", "_p.par", "_p.value"))

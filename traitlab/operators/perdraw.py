@@ -97,14 +97,27 @@ def ribbon(coefs: DataFrame, keys: Sequence[str], b0: str, b1: str, bounds: Data
     return point_interval(g, keys2, "mu", width, "median", interval)
 
 
-def generated_quantities(ds: DataFrame, sd_ww: str, sd_wd: str, sp: str, centre_col: str,
-                         iter_col: str = "iter") -> DataFrame:
-    """K9: per draw and species, gsmax under both treatments from density
-    and pore-length draws (J4), and a trait centred on its overall mean
-    (D8, one-row mean attached by broadcast)."""
-    mean = ds.agg(F.avg(centre_col).alias("_mu"))
-    j = attach_scalars(ds, mean)
-    return j.select(iter_col, "spp",
-                    biophysics.gsmax(F.col(sd_ww), F.col(sp)).alias("gsmax_ww"),
-                    biophysics.gsmax(F.col(sd_wd), F.col(sp)).alias("gsmax_wd"),
-                    (F.col(centre_col) - F.col("_mu")).alias(f"{centre_col}_c"))
+def generated_quantities(draws: DataFrame, means: DataFrame) -> DataFrame:
+    """K9: per draw and species, gsmax of both treatments, kcatc and sco.
+
+    ``draws`` is long, (iter, par, spp, value): population parameters
+    ``b0_sd``, ``b0_sp``, ``b0_kcatc``, ``b0_sco`` (spp NULL) and, per
+    species, the effects ``r_1_sd``, ``r_2_sd``, ``r_1_sp``, ``r_2_sp``,
+    ``b_kcatc``, ``b_sco``.  Density and pore length each are population +
+    species, and under WD + treatment effect; gsmax is J4 of the two; kcatc
+    and sco add the data's mean (``means``: one row, ``mean_kcatc``,
+    ``mean_sco``), on which they were centred (D8).
+    """
+    def of(par: str) -> Column:
+        return F.max(F.when(F.col("par") == par, F.col("value"))).alias(par)
+
+    pop = draws.where(F.col("spp").isNull()).groupBy("iter").agg(*[of(p) for p in ("b0_sd", "b0_sp", "b0_kcatc", "b0_sco")])
+    eff = draws.where(F.col("spp").isNotNull()).groupBy("iter", "spp").agg(
+        *[of(p) for p in ("r_1_sd", "r_2_sd", "r_1_sp", "r_2_sp", "b_kcatc", "b_sco")])
+    j = attach_scalars(eff.join(pop, "iter"), means)
+    sd, sp = F.col("b0_sd") + F.col("r_1_sd"), F.col("b0_sp") + F.col("r_1_sp")
+    return j.select("iter", "spp",
+                    biophysics.gsmax(sd + F.col("r_2_sd"), sp + F.col("r_2_sp")).alias("gsmax_wd"),
+                    biophysics.gsmax(sd, sp).alias("gsmax_ww"),
+                    (F.col("b0_kcatc") + F.col("b_kcatc") + F.col("mean_kcatc")).alias("kcatc"),
+                    (F.col("b0_sco") + F.col("b_sco") + F.col("mean_sco")).alias("sco"))

@@ -2,23 +2,25 @@
 
 A window ``PARTITION BY g ORDER BY v`` sends a whole group to one task; a
 draws table has few parameters and very many draws, so one group may hold a
-third of all rows.  ``rank_within`` therefore starts with one aggregation
-per group - its row count and a mergeable quantile sketch - and then:
-
-* if every group is within a checked bound (``PLAIN_GROUP_LIMIT`` rows; a
-  global ranking ``GLOBAL_PLAIN_LIMIT``), one plain window keyed by the
-  groups ranks them;
-* otherwise the sketch's ``B - 1`` cut points split each group into
-  buckets: each row takes the bucket ``#cuts < key`` (monotone in the order
-  key), a window per (group, bucket) ranks rows locally and in parallel,
-  and bucket sizes are prefix-summed into offsets (at most B per group,
-  summed inside one row with higher-order functions) that are joined back
-  on (group, bucket) - the big side is already partitioned on those
-  columns by the window, so that join does not shuffle it again.
-
-The sketch only balances the buckets; exactness comes from the counts, so a
-poor sketch costs time, never correctness.  Ties on the order key are
-broken by ``tiebreak`` columns and never straddle buckets.
+third of all rows.  There is one path for every size:
+
+``group_quantiles`` brackets and refines.  A mergeable sketch per group gives,
+for each probability, two values that are sure to lie around the wanted
+order statistic (the sketch's rank error is bounded).  The second pass
+aggregates: rows outside all brackets become one count per gap between them,
+rows inside are counted per value, both with map-side combine.  A running sum
+over what is left (a few ten-thousandths of the rows) finds the exact
+positions.  No row is sorted, stored or shuffled for its rank.
+
+``rank_within`` ranks every row, for statistics that need all ranks (shortest
+interval, draw numbers).  The sketch's cut points split each group into
+buckets of about ``BUCKET_ROWS`` rows; a window per (group, bucket) ranks rows
+locally, and bucket sizes are prefix-summed into offsets.  The sketch only
+balances: exactness comes from the counts.  A value so frequent that several
+cut points coincide on it is split further by the first tiebreak column.
+
+Groups are compared as structs of their keys, in which NULL equals NULL: rows
+with NULL keys are a group like any other, NULL order values come first.
 """
 
 from __future__ import annotations
@@ -29,18 +31,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BUCKETS = 64
-# Largest group (rows) that one task may rank with a plain keyed window.
-# Larger groups (a parameter holding a third of all draws) take the
-# bucketed path; the bound is checked on the data before choosing.
-PLAIN_GROUP_LIMIT = 2_000_000
-# A global ranking (no keys) may use one plain window only when the whole
-# input is checked to be this small (e.g. a dictionary of categories).
-GLOBAL_PLAIN_LIMIT = 100_000
+# Rows of a bucket that one task ranks, about, and the most buckets a sketch
+# splits a group into (beyond BUCKET_ROWS * CUTS rows, buckets grow).
+BUCKET_ROWS = 1_000_000
+CUTS = 512
+# Sketch accuracy: a rank is off by at most n / ACCURACY; brackets reach
+# MARGIN such steps to either side.
+ACCURACY = 10_000
+MARGIN = 3
 
 
 def _order_key(df: DataFrame, col: str) -> Column:
-    """Numeric key, monotone in ``col`` (strings: first 7 UTF-8 bytes)."""
+    """Numeric key, monotone in ``col`` (strings: first 7 UTF-8 bytes; equal
+    keys only share a bucket, the window orders by the column itself)."""
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, T.StringType):
@@ -54,113 +57,119 @@ def _order_key(df: DataFrame, col: str) -> Column:
     return c
 
 
+def _group(keys: Sequence[str]) -> Column:
+    """A group's keys as one never-null value."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+
+
 def rank_within(df: DataFrame, keys: Sequence[str], order: str,
                 tiebreak: Iterable[str] = (), rank_col: str = "rn",
-                count_col: str = "n", buckets: int = DEFAULT_BUCKETS,
-                accuracy: int = 10000, plain_limit: int | None = None) -> DataFrame:
+                count_col: str = "n", bucket_rows: int | None = None) -> DataFrame:
     """Add ``rank_col`` (row_number within ``keys`` ordered by ``order``,
-    then ``tiebreak``) and ``count_col`` (group size).
-
-    One aggregation gives, per group, the row count and the bucket cut
-    points (a small table, cached).  When the largest group has at most
-    ``plain_limit`` rows a plain window keyed by the groups is enough (a
-    global ranking: when the whole input has at most ``GLOBAL_PLAIN_LIMIT``
-    rows).  Otherwise the bucketed path below keeps every task bounded,
-    reusing the same cut points - so the size check costs no extra pass
-    over the data.  ``plain_limit`` defaults to ``PLAIN_GROUP_LIMIT``; 0
-    always takes the bucketed path."""
-    plain_limit = PLAIN_GROUP_LIMIT if plain_limit is None else plain_limit
-    keys = list(keys)
+    then ``tiebreak``) and ``count_col`` (group size), both long.
+
+    Every row is kept, whatever is NULL in it; an empty table stays empty.
+    """
+    bucket_rows = BUCKET_ROWS if bucket_rows is None else bucket_rows
     tiebreak = list(tiebreak)
     order_by = [F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak]]
-    probs = [i / buckets for i in range(1, buckets)]
-    keyed = df.withColumn("_ok", _order_key(df, order))
-    drop_group = not keys
-    if drop_group:
-        # A global ranking is the one-group case: the per-bucket windows stay
-        # parallel; only the offsets of the B buckets form one small group.
-        keyed = keyed.withColumn("_grp", F.lit(0))
-        gkeys = ["_grp"]
-    else:
-        gkeys = keys
-    # groups x B numbers: kept in memory so the check and the bucketed join
-    # read it once computed (lost blocks are recomputed from lineage)
-    sketch = (keyed.groupBy(*gkeys)
-              .agg(F.percentile_approx("_ok", probs, accuracy).alias("_cuts"),
-                   F.count(F.lit(1)).alias("_gn"))
-              .cache())
-    if plain_limit:
-        biggest = sketch.agg(F.max("_gn")).first()[0] or 0
-        limit = plain_limit if keys else min(plain_limit, GLOBAL_PLAIN_LIMIT)
-        if biggest <= limit:
-            # bounded by the check above: one task per group (or one small task)
-            w = Window.partitionBy(*keys).orderBy(*order_by) if keys else Window.orderBy(*order_by)
-            out = df.withColumn(rank_col, F.row_number().over(w).cast("long"))
-            if keys:
-                return out.withColumn(count_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-            return out.withColumn(count_col, F.lit(biggest).cast("long"))
-    b = keyed.join(sketch, gkeys)
-    b = (b.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_ok"))))
-         .withColumnRenamed("_gn", count_col)
-         .drop("_cuts", "_ok"))
-    w = Window.partitionBy(*gkeys, "_b").orderBy(*order_by)
-    local = b.withColumn("_lr", F.row_number().over(w))
-    sizes = local.groupBy(*gkeys, "_b").agg(F.max("_lr").alias("_bn"))
-    # Offsets: per group at most B (bucket, size) pairs, prefix-summed in
-    # place with higher-order functions (no window over the size table).
-    offsets = (sizes.groupBy(*gkeys)
-               .agg(F.sort_array(F.collect_list(F.struct("_b", "_bn"))).alias("_s"))
-               .selectExpr(*[f"`{k}`" for k in gkeys],
-                           "inline(transform(_s, (x, i) -> named_struct('_b', x._b, '_off', "
-                           "aggregate(slice(_s, 1, i), 0L, (acc, y) -> acc + y._bn))))"))
-    out = local.join(offsets, gkeys + ["_b"])
-    out = (out.withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("long"))
-           .drop("_lr", "_off", "_b"))
-    return out.drop("_grp") if drop_group else out
+    tie = _order_key(df, tiebreak[0]) if tiebreak else F.lit(None).cast("long")
+    keyed = df.withColumns({"_g": _group(keys), "_ok": _order_key(df, order), "_tk": tie})
+    probs = [i / CUTS for i in range(1, CUTS)]
+    none = F.array().cast("array<double>")
+    # each group uses as many of the cut points as its size asks for
+    parts = F.least(F.lit(CUTS), F.ceil(F.col("_gn") / F.lit(float(bucket_rows)))).cast("int")
+
+    def used(cuts: str) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_parts") - 1, F.lit(1))),
+                           lambda i: F.get(F.col(cuts), F.floor(i * CUTS / F.col("_parts")).cast("int") - 1).cast("double"))
+        return F.when((F.col("_parts") > 1) & F.col(cuts).isNotNull(), some).otherwise(none)
+
+    sketch = (keyed.groupBy("_g")
+              .agg(F.count(F.lit(1)).alias("_gn"), F.percentile_approx("_ok", probs, ACCURACY).alias("_c1"),
+                   F.percentile_approx("_tk", probs, ACCURACY).alias("_c2"))
+              .withColumn("_parts", parts)
+              .select("_g", "_gn", used("_c1").alias("_cuts"), used("_c2").alias("_ties")))
+    b = keyed.join(sketch, "_g")
+    first = F.size(F.filter("_cuts", lambda c: c < F.col("_ok")))
+    b = b.withColumn("_b1", first)
+    often = ((F.get("_cuts", F.col("_b1")) == F.col("_ok")) & (F.get("_cuts", F.col("_b1") + 1) == F.col("_ok")))
+    second = 1 + F.size(F.filter("_ties", lambda c: c < F.col("_tk")))
+    b = (b.withColumn("_b", F.col("_b1") * (2 * CUTS) + F.when(F.coalesce(often, F.lit(False)), second).otherwise(0))
+         .withColumnRenamed("_gn", count_col).drop("_cuts", "_ties", "_ok", "_tk", "_b1"))
+    local = b.withColumn("_lr", F.row_number().over(Window.partitionBy("_g", "_b").orderBy(*order_by)))
+    sizes = local.groupBy("_g", "_b").agg(F.max("_lr").alias("_bn"))
+    # per group a bounded number of (bucket, size) pairs, prefix-summed in place
+    offsets = (sizes.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_b", "_bn"))).alias("_s"))
+               .selectExpr("_g", "inline(transform(_s, (x, i) -> named_struct('_b', x._b, '_off', "
+                                 "aggregate(slice(_s, 1, i), 0L, (acc, y) -> acc + y._bn))))"))
+    out = local.join(offsets, ["_g", "_b"])
+    return out.withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("long")).drop("_lr", "_off", "_b", "_g")
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], names: Sequence[str] | None = None,
-                    tiebreak: Iterable[str] = (), ranked: DataFrame | None = None,
                     with_count: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles per group (``quantile_cont``).
 
-    Only the two rows around each quantile position are kept after
-    ranking, so the final aggregation is tiny.  Pass ``ranked`` (output of
-    ``rank_within`` on ``value``) to share one ranking between several
-    statistics.
+    NULL values are left out; a group without any other gives no row.  NULL
+    keys are a group.  See the module's docstring for how.
     """
     keys = list(keys)
     names = list(names) if names else [f"q{p}" for p in probs]
-    if ranked is None:
-        tb = list(tiebreak)
-        src = df.select(*keys, value, *[t for t in tb if t not in keys and t != value])
-        # used once below, so no stored copy (shared rankings come via ``ranked``)
-        ranked = rank_within(src.where(F.col(value).isNotNull()), keys, value, tb)
-    pos = [(F.col("n") - 1).cast("double") * F.lit(float(p)) for p in probs]
-    lo = [F.floor(p_) + 1 for p_ in pos]
-    hi = [F.ceil(p_) + 1 for p_ in pos]
-    cond = None
-    for a, b in zip(lo, hi):
-        c = (F.col("rn") == a) | (F.col("rn") == b)
-        cond = c if cond is None else (cond | c)
-    near = ranked.where(cond)
-    aggs = []
-    for i, (a, b) in enumerate(zip(lo, hi)):
-        aggs.append(F.max(F.when(F.col("rn") == a, F.col(value))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("rn") == b, F.col(value))).alias(f"_hi{i}"))
-    aggs.append(F.max("n").alias("_n"))
-    g = near.groupBy(*keys).agg(*aggs)
-    cols = [F.col(k) for k in keys]
+    d = df.where(F.col(value).isNotNull()).select(_group(keys).alias("_g"), F.col(value).cast("double").alias("_v"))
+    step = MARGIN / ACCURACY
+    ends = [max(0.0, p - step) for p in probs] + [min(1.0, p + step) for p in probs]
+    sketch = d.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                 F.percentile_approx("_v", ends, ACCURACY).alias("_e"))
+    # in a small group a step is less than the rank or two by which position
+    # conventions differ: there the bracket is the whole group
+    small = F.col("_n") * step < 3
+    brackets = F.array(*[
+        F.struct((F.when(small, F.col("_min")).otherwise(F.get("_e", F.lit(i))) if ends[i] > 0 else F.col("_min")).alias("lo"),
+                 (F.when(small, F.col("_max")).otherwise(F.get("_e", F.lit(i + len(probs))))
+                  if ends[i + len(probs)] < 1 else F.col("_max")).alias("hi"))
+        for i in range(len(probs))])
+    sketch = sketch.select("_g", "_n", brackets.alias("_br"))
+    v = F.col("_v")
+    inside = F.exists("_br", lambda b: (b["lo"] <= v) & (v <= b["hi"]))
+    gap = F.size(F.filter("_br", lambda b: b["hi"] < v))  # brackets below a row that is in none
+    cells = (d.join(sketch, "_g")
+             .select("_g", "_n", "_v", F.when(inside, v).alias("_in"), F.when(~inside, gap).alias("_gap"))
+             .groupBy("_g", "_in", "_gap").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_m"), F.first("_n").alias("_n")))
+    run = Window.partitionBy("_g").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_upto", F.sum("_c").over(run))
+    n = F.col("_n")
+
+    def at(position: Column) -> Column:  # the value at a 1-based position
+        here = (F.col("_upto") - F.col("_c") < position) & (position <= F.col("_upto"))
+        return F.max(F.when(here, F.col("_in")))
+
+    aggs = [F.max(n).alias("_n")]
+    for i, p in enumerate(probs):
+        pos = (n - 1).cast("double") * F.lit(float(p))
+        aggs += [at(F.floor(pos) + 1).alias(f"_lo{i}"), at(F.ceil(pos) + 1).alias(f"_hi{i}")]
+    g = cells.groupBy("_g").agg(*aggs)
+    cols = [F.col(f"_g.{k}").alias(k) for k in keys]
     for i, p in enumerate(probs):
-        frac = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        frac = frac - F.floor(frac)
-        cols.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac)
+        pos = (n - 1).cast("double") * F.lit(float(p))
+        found = F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (pos - F.floor(pos))
+        sure = F.col(f"_lo{i}").isNotNull() & F.col(f"_hi{i}").isNotNull()
+        cols.append(F.when(sure, found).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
                     .alias(names[i]))
     if with_count:
-        cols.append(F.col("_n").alias("n"))
+        cols.append(n.alias("n"))
     return g.select(*cols)
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per-group tables on ``keys``; NULL keys meet NULL keys."""
+    keys = list(keys)
+    if not keys:
+        return attach_scalars(left, right)
+    r = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"_k_{k}" for k in keys])
+
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row table to every row.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import attach_scalars, group_quantiles
+from .ranking import attach_scalars, group_quantiles, join_groups
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -76,9 +76,7 @@ def global_stats(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame
     base = df.groupBy(*keys).agg(F.min(col).alias("min"), F.max(col).alias("max"),
                                  F.count(col).alias("n"), F.avg(col).alias("mean"))
     med = group_quantiles(df, keys, col, [0.5], names=["median"])
-    if keys:
-        return base.join(med, keys)
-    return attach_scalars(base, med)
+    return join_groups(base, med, keys, "left")
 
 
 def centre(df: DataFrame, col: str, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:

@@ -12,7 +12,6 @@ from ..operators import factors as FA
 from ..operators import perdraw as PD
 from ..operators import reshape as R
 from ..operators.ranking import group_quantiles
-from ..session import cut_lineage
 from . import sqlgen as G
 from . import views as V
 from .registry import query
@@ -44,14 +43,14 @@ def interval_hdr_pieces(spark: SparkSession, d: str) -> DataFrame:
     return D.hdr_pieces(V.draws_events(spark, d), ["par"], "value", 0.95, 50)
 
 
-_ESS_SQL = W("DR") + (
+_ESS_BODY = (
     ", cs AS (SELECT par, chain, avg(value) AS cm, var_samp(value) AS cv, count(*) AS nc FROM dr GROUP BY par, chain), "
     "gs AS (SELECT par, min(nc) AS n, count(*) AS m, avg(cv) AS w, var_samp(cm) AS bn FROM cs GROUP BY par), "
-    "gl AS (SELECT gs.*, least(200, floor(n / 2)) - least(200, floor(n / 2)) % 2 AS l FROM gs), "
+    "gl AS (SELECT gs.*, floor(n / 2) - floor(n / 2) % 2 AS l FROM gs), "
     "dd AS (SELECT dr.par, dr.chain, dr.iter, dr.value - cs.cm AS d, cs.nc FROM dr JOIN cs "
     "ON dr.par = cs.par AND dr.chain = cs.chain), "
     "ac AS (SELECT a.par, a.chain, b.iter - a.iter AS t, sum(a.d * b.d) / min(a.nc) AS ac FROM dd a JOIN dd b "
-    "ON a.par = b.par AND a.chain = b.chain AND b.iter >= a.iter AND b.iter < a.iter + 200 "
+    "ON a.par = b.par AND a.chain = b.chain AND b.iter >= a.iter AND b.iter <= a.iter + a.nc / 2 "
     "GROUP BY a.par, a.chain, b.iter - a.iter), "
     "g AS (SELECT par, t, avg(ac) AS g FROM ac GROUP BY par, t), "
     "r AS (SELECT g.par, g.t, 1 - (gl.w - g.g * gl.n / (gl.n - 1)) / "
@@ -63,6 +62,7 @@ _ESS_SQL = W("DR") + (
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pm FROM pk JOIN st ON pk.par = st.par "
     "WHERE st.stop IS NULL OR pk.k < st.stop) "
     "SELECT par, min(m) * min(n) / nullif(-1 + 2 * sum(pm), 0) AS ess FROM kept GROUP BY par")
+_ESS_SQL = W("DR") + _ESS_BODY
 
 
 @query("ess", "par ess:d", _ESS_SQL)
@@ -72,6 +72,20 @@ def ess(spark: SparkSession, d: str) -> DataFrame:
     return D.ess(V.draws_events(spark, d), ["par"])
 
 
+_THINNED = (", tr AS (SELECT par, chain, row_number() OVER (PARTITION BY par, chain ORDER BY iter) AS iter, value "
+            "FROM dr WHERE iter > 40 AND iter % 3 = 0)")
+
+
+@query("thinned_diagnostics", "par rhat:d ess:d",
+       W("DR") + _THINNED + ", " + G.rhat_cte("tr") + ", es AS (SELECT * FROM (WITH dr AS (SELECT * FROM tr)"
+       + _ESS_BODY + ") x) SELECT rh.par, rh.rhat, es.ess FROM rh JOIN es ON rh.par = es.par")
+def thinned_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """K18 + D19 + D20: split R-hat and effective sample size of thinned
+    draws (warm-up 40, every 3rd), by position within the chain."""
+    t = D.thin(V.draws_events(spark, d), warmup=40, every=3)
+    return D.split_rhat(t, ["par"]).join(D.ess(t, ["par"]), "par")
+
+
 # ------------------------------------------------------------ per-draw regression
 
 _REG_NAMES = [(r, t, f"b0_{r}_{t}", f"b_{r}_gsmax_{t}") for r, t in V.PAIRS]
@@ -110,9 +124,9 @@ def _pdc_sql() -> str:
                             for r, t in V.PAIRS)
     return (W("DS", "PM") + f", cr AS (SELECT iter, {c} FROM ds GROUP BY iter), rl AS ({rl}), "
             "a AS (SELECT iter, spp, gsmax_wd / nullif(gsmax_ww, 0) AS gsmax_diff FROM ds), "
-            "b AS (SELECT l_orderkey % 200 AS iter, l_linenumber AS spp, "
+            "b AS (SELECT l_suppkey AS iter, l_linenumber AS spp, "
             "avg(l_tax) FILTER (WHERE l_linestatus = 'O') / nullif(avg(l_tax) FILTER (WHERE l_linestatus = 'F'), 0) "
-            "AS gs_diff FROM lineitem GROUP BY l_orderkey % 200, l_linenumber), "
+            "AS gs_diff FROM lineitem GROUP BY l_suppkey, l_linenumber), "
             "fj AS (SELECT coalesce(a.iter, b.iter) AS iter, a.gsmax_diff, b.gs_diff FROM a FULL OUTER JOIN b "
             "ON a.iter = b.iter AND a.spp = b.spp), "
             f"rd AS (SELECT iter, 'delta' AS response, 'ratio' AS treatment, {_corr_sql('gsmax_diff', 'gs_diff')} AS r "
@@ -140,18 +154,18 @@ def per_draw_correlation(spark: SparkSession, d: str) -> DataFrame:
     a = ds.select("iter", "spp", D.ratio(F.col("gsmax_wd"), F.col("gsmax_ww")).alias("gsmax_diff"))
     li = V.table(spark, d, "lineitem")
     st = F.col("l_linestatus")
-    b = (li.groupBy((F.col("l_orderkey") % 200).alias("iter"), F.col("l_linenumber").alias("spp"))
+    b = (li.groupBy(F.col("l_suppkey").alias("iter"), F.col("l_linenumber").alias("spp"))
          .agg(D.ratio(F.avg(F.when(st == "O", F.col("l_tax"))), F.avg(F.when(st == "F", F.col("l_tax"))))
               .alias("gs_diff")))
     fj = a.join(b, ["iter", "spp"], "full")
     rd = PD.per_draw_correlation(fj, ["iter"], [("delta", "gsmax_diff", "gs_diff")])
     rd = rd.select("iter", F.lit("delta").alias("response"), F.lit("ratio").alias("treatment"),
                    F.col("r_delta").alias("r"))
-    # one table of per-draw r and r^2 (both medians come from one ranking)
-    allr = cut_lineage(rl.unionByName(rd).withColumn("r2", F.col("r") * F.col("r")), "per-draw-r")
+    # r and r^2 as one long table: both medians come from one pass
+    allr = rl.unionByName(rd).withColumn("r2", F.col("r") * F.col("r"))
     keys = ["response", "treatment"]
     stats_long = R.gather(allr, ["iter", *keys], "stat", "v", ["r", "r2"])
-    med = group_quantiles(stats_long, [*keys, "stat"], "v", [0.5], ["m"], tiebreak=["iter"])
+    med = group_quantiles(stats_long, [*keys, "stat"], "v", [0.5], ["m"])
     rs = R.spread(med, keys, "stat", "m", ["r", "r2"], prefix="med_").withColumnsRenamed(
         {"med_r": "r_median", "med_r2": "r2_median"})
     pm = V.regression_draws(spark, d)
@@ -192,13 +206,27 @@ def grid_ribbon(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------ treatment ratio
 
+def _effects_long(spark: SparkSession, d: str) -> DataFrame:
+    """(iter, par, value): the per-draw base ``b_treatment`` (log of mean
+    quantity over mean price, a parameter of its own) and the effects
+    ``r_spp[<species>,treatment]`` (log ratio of a species' gsmax, K15)."""
+    li = V.table(spark, d, "lineitem")
+    base = (li.groupBy(F.col("l_suppkey").alias("iter"))
+            .agg(safe_ln(F.avg("l_quantity") / F.avg("l_extendedprice")).alias("value"))
+            .select("iter", F.lit("b_treatment").alias("par"), "value"))
+    ds = V.draws_species(spark, d)
+    eff = ds.select("iter", F.concat(F.lit("r_spp["), F.col("spp").cast("string"), F.lit(",treatment]")).alias("par"),
+                    safe_ln(D.ratio(F.col("gsmax_wd"), F.col("gsmax_ww"))).alias("value"))
+    return base.unionByName(eff)
+
+
 def _ratio_sql() -> str:
-    return (W("DS") + ", r AS (SELECT iter, spp, gsmax_wd / nullif(gsmax_ww, 0) AS ratio FROM ds), "
-            "lr AS (SELECT iter, spp, CASE WHEN ratio > 0 THEN ln(ratio) END AS lr FROM r), "
-            "bs AS (SELECT iter, avg(lr) AS base FROM lr GROUP BY iter), "
-            "v AS (SELECT lr.iter, lr.spp, exp((lr.lr - bs.base) + bs.base) AS value FROM lr JOIN bs ON lr.iter = bs.iter), "
+    return (W("DS") + ", bs AS (SELECT l_suppkey AS iter, ln(avg(l_quantity) / avg(l_extendedprice)) AS base FROM lineitem GROUP BY l_suppkey), "
+            "r AS (SELECT iter, spp, gsmax_wd / nullif(gsmax_ww, 0) AS ratio FROM ds), "
+            "v AS (SELECT r.iter, CAST(r.spp AS STRING) AS spp, exp(CASE WHEN ratio > 0 THEN ln(ratio) END + bs.base) AS value "
+            "FROM r JOIN bs ON r.iter = bs.iter), "
             + G.hpd_cte("v", ["spp"], "value", "iter") + ", " + G.median_cte("v", ["spp"], "value") + ", "
-            "o AS (SELECT CAST(med.spp AS STRING) AS spp1, med.point, hpd.lower, hpd.upper, "
+            "o AS (SELECT med.spp AS spp1, med.point, hpd.lower, hpd.upper, "
             "CAST(row_number() OVER (ORDER BY med.point, med.spp) AS BIGINT) AS sort_key "
             "FROM med JOIN hpd ON med.spp = hpd.spp), "
             "dic AS (SELECT spp1, CAST(dense_rank() OVER (ORDER BY spp1) AS INTEGER) AS spp_code "
@@ -209,32 +237,62 @@ def _ratio_sql() -> str:
 
 @query("treatment_ratio", "spp1 spp_code point:d lower:d upper:d sort_key", _ratio_sql())
 def treatment_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """K15 + K14 + D14 + F1/F3 + C4: per-draw treatment ratio per species
-    (rebuilt as population + species effect on the log scale), median and
-    HPD per species, species ordered by the median, full join with the
-    species dictionary."""
-    ds = V.draws_species(spark, d)
-    lr = ds.select("iter", "spp", safe_ln(D.ratio(F.col("gsmax_wd"), F.col("gsmax_ww"))).alias("lr"))
-    base = lr.groupBy("iter").agg(F.avg("lr").alias("base"))
-    eff = lr.join(base, "iter").select("iter", "spp", (F.col("lr") - F.col("base")).alias("effect"))
-    rec = D.add_base(eff, base, ["iter"], value="effect", base_value="base", out="lr2")
-    v = rec.select("iter", "spp", F.exp("lr2").alias("value"))
+    """K14 + K15 + D14 + F1/F3 + C4: species effects and the population
+    parameter of one long table, added per draw by name and exponentiated;
+    median and HPD per species, species ordered by the median, full join with
+    the species dictionary."""
+    v = D.add_base(_effects_long(spark, d), r"^r_spp\[([^,\]]+),treatment\]$", "b_treatment")
+    v = v.select("iter", F.col("level").alias("spp"), F.exp("value").alias("value"))
     pi = D.point_interval(v, ["spp"], "value", 0.95, "median", "hpd")
-    ordered = FA.order_levels(pi, "point", "sort_key", tiebreak=["spp"])
-    ordered = ordered.withColumn("spp1", F.col("spp").cast("string"))
-    dic = FA.dictionary(ds.select(F.col("spp").cast("string")), name="spp1", code="spp_code")
+    ordered = FA.order_levels(pi, "point", "sort_key", tiebreak=["spp"]).withColumnRenamed("spp", "spp1")
+    dic = FA.dictionary(V.draws_species(spark, d).select(F.col("spp").cast("string")), name="spp1", code="spp_code")
     return ordered.join(dic, "spp1", "full")
 
 
 # ------------------------------------------------------------ generated quantities
 
-@query("generated_quantities", "iter spp gsmax_ww:d gsmax_wd:d kcatc_c:c",
-       W("DS") + f"SELECT iter, spp, {gsmax_sql('gsmax_ww', 'kcatc')} AS gsmax_ww, "
-       f"{gsmax_sql('gsmax_wd', 'kcatc')} AS gsmax_wd, kcatc - (SELECT avg(kcatc) FROM ds) AS kcatc_c FROM ds")
+#: Long parameter draws of K9 out of lineitem, each parameter from a measure
+#: of its own: (parameter, per species, SQL aggregate).
+_GQ_PARS = [
+    ("b0_sd", False, "avg(l_quantity)"), ("b0_sp", False, "avg(l_extendedprice) / 1000"),
+    ("b0_kcatc", False, "avg(l_tax)"), ("b0_sco", False, "avg(l_discount) * 10"),
+    ("r_1_sd", True, "avg(l_tax) * 100"), ("r_2_sd", True, "avg(CASE WHEN l_linestatus = 'F' THEN l_discount END) * 100"),
+    ("r_1_sp", True, "avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END) / 10"),
+    ("r_2_sp", True, "avg(CASE WHEN l_linestatus = 'F' THEN l_tax END) * 10"),
+    ("b_kcatc", True, "avg(l_discount)"), ("b_sco", True, "avg(l_tax) * 10"),
+]
+
+
+def _gq_draws(spark: SparkSession, d: str) -> DataFrame:
+    li = V.table(spark, d, "lineitem").withColumn("iter", F.col("l_suppkey"))
+    parts = []
+    for species in (False, True):
+        names = [(p, e) for p, s, e in _GQ_PARS if s == species]
+        by = ["iter", F.col("l_linenumber").alias("spp")] if species else ["iter"]
+        w = li.groupBy(*by).agg(*[F.expr(e).alias(p) for p, e in names])
+        w = w if species else w.withColumn("spp", F.lit(None).cast("int"))
+        parts.append(w.unpivot(["iter", "spp"], [p for p, _ in names], "par", "value"))
+    return parts[0].unionByName(parts[1])
+
+
+def _gq_sql() -> str:
+    agg = {s: ", ".join(f"{e} AS {p}" for p, k, e in _GQ_PARS if k == s) for s in (False, True)}
+    return (f"WITH p AS (SELECT l_suppkey AS iter, {agg[False]} FROM lineitem GROUP BY l_suppkey), "
+            f"e AS (SELECT l_suppkey AS iter, l_linenumber AS spp, {agg[True]} FROM lineitem GROUP BY l_suppkey, l_linenumber), "
+            "m AS (SELECT avg(p_size) AS mean_kcatc, avg(p_retailprice) AS mean_sco FROM part) "
+            f"SELECT e.iter, e.spp, {gsmax_sql('(b0_sd + r_1_sd + r_2_sd)', '(b0_sp + r_1_sp + r_2_sp)')} AS gsmax_wd, "
+            f"{gsmax_sql('(b0_sd + r_1_sd)', '(b0_sp + r_1_sp)')} AS gsmax_ww, "
+            "b0_kcatc + b_kcatc + mean_kcatc AS kcatc, b0_sco + b_sco + mean_sco AS sco "
+            "FROM e JOIN p ON e.iter = p.iter CROSS JOIN m")
+
+
+@query("generated_quantities", "iter spp gsmax_wd:d gsmax_ww:d kcatc:d sco:d", _gq_sql())
 def generated_quantities(spark: SparkSession, d: str) -> DataFrame:
-    """K9 + D8: per draw and species, gsmax of both treatments from density
-    and pore-length draws, and a centred trait."""
-    return PD.generated_quantities(V.draws_species(spark, d), "gsmax_ww", "gsmax_wd", "kcatc", "kcatc")
+    """K9 + D8: per draw and species, gsmax of both treatments from
+    population, species and treatment parameters of density and pore length,
+    and kcatc and sco with the data's mean added."""
+    means = V.table(spark, d, "part").agg(F.avg("p_size").alias("mean_kcatc"), F.avg("p_retailprice").alias("mean_sco"))
+    return PD.generated_quantities(_gq_draws(spark, d), means)
 
 
 # ------------------------------------------------------------ validity checks

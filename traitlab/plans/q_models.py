@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.biophysics import gsmax_sql
 from ..functions.numeric import safe_ln, safe_ln_sql
 from ..operators import compare as CM
+from ..operators import draws as D
 from ..operators import factors as FA
 from ..operators import fit as FT
 from ..operators import perdraw as PD
 from ..operators import traits as TR
+from . import sqlgen as G
 from . import views as V
 from .registry import query
 
@@ -161,7 +163,7 @@ _U = "CAST(('0x' || substr(md5(CAST(k AS STRING) || '_' || CAST(iter AS STRING))
 
 
 def _boot_sql() -> str:
-    w = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in FT.POISSON1_CDF)
+    w = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in FT.POISSON1_CDF)
     return (_PL_SQL + "src AS (SELECT k, gs, gsmax FROM pl WHERE gs IS NOT NULL AND gsmax IS NOT NULL), "
             "ctr AS (SELECT avg(gsmax) AS cx, avg(gs) AS cy FROM src), "
             f"r AS (SELECT k, gs, gsmax - cx AS xs, gs - cy AS ys, CAST(t.range AS INTEGER) AS iter "
@@ -181,6 +183,27 @@ def bootstrap_draws(spark: SparkSession, d: str) -> DataFrame:
     return FT.bootstrap_draws(_plants_leaf(spark, d), "k", "gs", "gsmax", replicates=100)
 
 
+def _boot_species_sql() -> str:
+    w = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in FT.POISSON1_CDF)
+    return (_PL_SQL + "src AS (SELECT k, spp, gs FROM pl WHERE gs IS NOT NULL), "
+            "r AS (SELECT k, spp, gs, CAST(t.range AS INTEGER) AS iter FROM src CROSS JOIN range(1, 61) t), "
+            f"u AS (SELECT spp, iter, gs, {_U} AS u FROM r), wt AS (SELECT spp, iter, gs, {w} AS w FROM u), "
+            "b AS (SELECT 'mean_gs[' || spp || ']' AS par, iter, sum(w * gs) / nullif(sum(w), 0) AS value "
+            "FROM wt GROUP BY spp, iter), " + G.hpd_cte("b", ["par"], "value", "iter") + " "
+            "SELECT b.par AS term, avg(b.value) AS estimate, stddev_samp(b.value) AS std_error, min(hpd.lower) AS conf_low, "
+            "min(hpd.upper) AS conf_high FROM b JOIN hpd ON b.par = hpd.par GROUP BY b.par")
+
+
+@query("bootstrap_species", "term estimate:d std_error:d conf_low:d conf_high:d", _boot_species_sql())
+def bootstrap_species(spark: SparkSession, d: str) -> DataFrame:
+    """K8 + D17 + D12: 60 bootstrap replicates of each species' mean gs, as
+    long draws (model, chain, iter, par, value), summarised by mean, standard
+    error and shortest interval."""
+    boot = FT.bootstrap_draws(_plants_leaf(spark, d), "k", "gs", replicates=60, by=["spp"])
+    draws = FT.as_draws(boot, "boot", {"mean_gs": "mean_gs"}, by=["spp"])
+    return D.summarise_draws(draws, ["par"], estimate="mean", interval="hpd", p=False)
+
+
 # ------------------------------------------------------------ prediction and comparison
 
 def _obs(spark: SparkSession, d: str) -> DataFrame:

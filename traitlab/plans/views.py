@@ -8,23 +8,18 @@ them; every view is defined twice, here as DataFrame code and in
 * G  leaf table: orders
 * T  long traits: part unpivoted to (size, price)
 * DR draws: events as (model, chain, iter, par, value)
-* DS draws by species: lineitem aggregated per (orderkey % 200, line number)
+* DS draws by species: lineitem aggregated per (supplier, line number): draws grow with the data
 * PM regression draws: one regression per DS draw and (response, treatment)
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import draws as D
 from ..operators import perdraw
 from ..operators.traits import pair_collapse
-from ..session import shared_root
-from ..sources import io
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -57,28 +52,7 @@ def long_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot(["id", "spp"], ["size", "price"], "trait", "value")
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], builder) -> DataFrame:
-    """A5 for derived draws tables: built once per input snapshot, stored in
-    the shared folder, then read.  The key covers the input files' path,
-    size and modification time, so new inputs give a new copy."""
-    sig = []
-    for t in sources:
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            sig.append(f"{os.path.abspath(p)}:{st.st_size}:{st.st_mtime_ns}")
-        except OSError:  # not a local path: key on the path alone
-            sig.append(p)
-    key = hashlib.sha1("|".join(sig).encode()).hexdigest()[:16]
-    return io.materialize(spark, f"{shared_root(spark)}/traitlab/views/{name}-{key}", builder)
-
-
 def draws_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DR: draws from events (stored once per input, see ``_stored``)."""
-    return _stored(spark, sf_dir, "draws_events", ("events",), lambda: build_draws_events(spark, sf_dir))
-
-
-def build_draws_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DR: draws from events; chain = event_id % 4, iter dense per chain."""
     e = table(spark, sf_dir, "events")
     base = e.select(F.col("event_type").alias("par"), (F.col("event_id") % 4).cast("int").alias("chain"),
@@ -88,15 +62,10 @@ def build_draws_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draws_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DS (stored once per input, see ``_stored``)."""
-    return _stored(spark, sf_dir, "draws_species", ("lineitem",), lambda: build_draws_species(spark, sf_dir))
-
-
-def build_draws_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DS: (iter, spp, gsmax_ww, gsmax_wd, kcatc, sco)."""
     li = table(spark, sf_dir, "lineitem")
     st = F.col("l_linestatus")
-    return (li.groupBy((F.col("l_orderkey") % 200).alias("iter"), F.col("l_linenumber").alias("spp"))
+    return (li.groupBy(F.col("l_suppkey").alias("iter"), F.col("l_linenumber").alias("spp"))
             .agg(F.avg(F.when(st == "O", F.col("l_quantity"))).alias("gsmax_ww"),
                  F.avg(F.when(st == "F", F.col("l_quantity"))).alias("gsmax_wd"),
                  (F.avg("l_extendedprice") / 1000).alias("kcatc"),
@@ -138,11 +107,11 @@ SQL = {
     "DR": ("SELECT 'events' AS model, CAST(event_id % 4 AS INTEGER) AS chain, "
            "CAST(row_number() OVER (PARTITION BY event_type, event_id % 4 ORDER BY event_id) AS BIGINT) AS iter, "
            "event_type AS par, value - 30 AS value FROM events"),
-    "DS": ("SELECT l_orderkey % 200 AS iter, l_linenumber AS spp, "
+    "DS": ("SELECT l_suppkey AS iter, l_linenumber AS spp, "
            "avg(l_quantity) FILTER (WHERE l_linestatus = 'O') AS gsmax_ww, "
            "avg(l_quantity) FILTER (WHERE l_linestatus = 'F') AS gsmax_wd, "
            "avg(l_extendedprice) / 1000 AS kcatc, avg(l_discount) * 100 AS sco "
-           "FROM lineitem GROUP BY l_orderkey % 200, l_linenumber"),
+           "FROM lineitem GROUP BY l_suppkey, l_linenumber"),
 }
 SQL["C"] = ("SELECT k, max(sd) FILTER (WHERE surface = 'F') + max(sd) FILTER (WHERE surface = 'O') AS sd, "
             "(max(sp) FILTER (WHERE surface = 'F') + max(sp) FILTER (WHERE surface = 'O')) / 2 AS sp "

@@ -8,7 +8,6 @@
 
 from __future__ import annotations
 
-import uuid
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,17 +52,27 @@ DRAWS_SCHEMA = T.StructType([
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              strict: bool = True) -> DataFrame:
-    """A1: header line, explicit schema, ``NA`` as NULL.
+    """A1: columns by header name, types from ``schema``, ``NA`` as NULL.
 
-    A UTF-8 byte-order mark and CRLF line ends are handled by the reader.
+    The header line is read first (one line): the file's columns may come in
+    any order and may be more than ``schema`` names; a missing one is an
+    error.  A UTF-8 byte-order mark and CRLF line ends are handled.
     ``strict`` fails on malformed rows instead of nulling them.
     """
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("nullValue", "NA")
-            .option("mode", "FAILFAST" if strict else "PERMISSIVE")
-            .option("encoding", "UTF-8")
-            .csv(path))
+    head = spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns
+    names = [c.lstrip("\ufeff").strip() for c in head]
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in header {', '.join(names)}")
+    kinds = {f.name: f.dataType for f in schema.fields}
+    in_file = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    df = (spark.read.schema(in_file)
+          .option("header", True)
+          .option("nullValue", "NA")
+          .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+          .option("encoding", "UTF-8")
+          .csv(path))
+    return df.select(*[f.name for f in schema.fields])
 
 
 def read_excel_twin(spark: SparkSession, csv_twin: str,
@@ -97,8 +106,9 @@ def write_draws(draws: DataFrame, root: str, mode: str = "overwrite") -> None:
 
 def read_draws(spark: SparkSession, root: str,
                models: Iterable[str] | None = None) -> DataFrame:
-    """A3: read the draws store; a model filter prunes partitions."""
-    df = spark.read.parquet(root)
+    """A3: read the draws store; a model filter prunes partitions (a model's
+    name stays text, also where it looks like a number)."""
+    df = spark.read.schema(DRAWS_SCHEMA).parquet(root)
     if models is not None:
         df = df.where(F.col("model").isin(list(models)))
     return df.select(*[f.name for f in DRAWS_SCHEMA.fields])
@@ -107,76 +117,48 @@ def read_draws(spark: SparkSession, root: str,
 def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame],
                 rerun: bool = False, partition_by: Iterable[str] = (),
                 writer: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
-    """A5: compute-or-reuse.
-
-    When ``rerun`` is set or no complete copy is stored at ``path`` (the
-    ``_SUCCESS`` marker of a finished write), build the DataFrame and write
-    it; then always read the stored copy, which also cuts the lineage of
-    whatever produced it.  A new copy is written to a unique sibling folder
-    and renamed into place, so concurrent builders never read a half-written
-    or half-deleted table: the first finished copy wins, later ones are
-    dropped (``rerun`` replaces the old copy).  ``writer(df, folder)``
-    replaces the default parquet write (e.g. ``write_draws``).
+    """A5: compute-or-reuse, the switch between fitting again and reading a
+    saved result.
+
+    When ``rerun`` is set or ``path`` has no finished copy (the ``_SUCCESS``
+    marker of Spark's committer), build the DataFrame and write it; then read
+    the stored copy.  Whether the copy is still wanted is the caller's choice
+    (``rerun``): inputs are not tracked.  ``writer(df, folder)`` replaces the
+    default parquet write (e.g. ``write_draws``).
     """
     path = path.rstrip("/")
     if rerun or not path_exists(spark, f"{path}/_SUCCESS"):
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
         if writer is not None:
-            writer(builder(), tmp)
+            writer(builder(), path)
         else:
-            w = builder().write.mode("overwrite")
             parts = list(partition_by)
-            if parts:
-                w = w.partitionBy(*parts)
-            w.parquet(tmp)
-        _commit_folder(spark, tmp, path, replace=rerun)
+            w = builder().write.mode("overwrite")
+            (w.partitionBy(*parts) if parts else w).parquet(path)
     return spark.read.parquet(path)
 
 
-def _commit_folder(spark: SparkSession, tmp: str, path: str, replace: bool) -> None:
-    """Rename ``tmp`` to ``path`` through the session's Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
-    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if replace and fs.exists(dst):
-        fs.delete(dst, True)
-    parent = dst.getParent()
-    if parent is not None and not fs.exists(parent):
-        fs.mkdirs(parent)
-    if fs.exists(dst) or not fs.rename(src, dst):
-        # another writer committed first: keep its copy, drop ours
-        fs.delete(src, True)
-        return
-    nested = jvm.org.apache.hadoop.fs.Path(dst, src.getName())
-    if fs.exists(nested):
-        # a racing writer created ``dst`` between the check and the rename,
-        # and the rename moved our folder into it: remove ours from there
-        fs.delete(nested, True)
-
-
 def base_name(par: Column) -> Column:
     """Name of a parameter without its ``[i]`` / ``[i,j]`` index."""
     return F.regexp_replace(par, r"\[[^\]]*\]$", "")
 
 
 def select_pars(draws: DataFrame, pars: Iterable[str], par_col: str = "par") -> DataFrame:
-    """Keep the chosen parameters; a base name selects all its elements."""
-    pars = list(pars)
-    p = F.col(par_col)
-    return draws.where(p.isin(pars) | base_name(p).isin(pars))
+    """Keep the chosen parameters; a base name selects all its elements
+    (equality and prefix tests, which reach the scan)."""
+    p, keep = F.col(par_col), F.lit(False)
+    for name in pars:
+        keep = keep | (p == name) | (p.startswith(f"{name}[") & p.endswith("]"))
+    return draws.where(keep)
 
 
 def write_table(df: DataFrame, path: str, order_by: Iterable[str] = ()) -> None:
     """A presentation table (string cells) written as CSV with header.
 
-    Rows carry their own sort key column; the table is written as parts
-    (no single-task funnel) and readers sort by that key.
+    With ``order_by`` the parts are range-sorted, so the files read in name
+    order give the rows in order; no task holds the whole table.
     """
-    out = df
     keys = list(order_by)
-    if keys:
-        out = out.sortWithinPartitions(*keys)
-    write_csv(out, path)
+    write_csv(df.orderBy(*keys) if keys else df, path)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
