@@ -32,7 +32,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """``(rows, sampled)``, both ``(z, y, h)``: packed text, label 0 or 1, a
     hash of the id.
 
-    ``rows`` has every labelled document outside the held-out fold;
+    ``rows`` has every labelled document outside the held-out fold (a shuffle
+    join at every size: the labels grow with the corpus);
     ``sampled`` the first ``sample`` labels of each class by the hash - few
     enough (2 * ``sample`` rows) to be broadcast to the documents.  Null and
     other labels, null ids and labels without a document are left out.
@@ -42,7 +43,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
              .withColumn("h", F.xxhash64(F.lit(11), F.col("id"))))
     d = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     rows = (d.where(fold("doc", parts) != held).select("doc", packed("text").alias("z"))
-            .join(known, F.col("doc") == F.col("id")).select("z", "y", "h"))
+            .join(known.hint("merge"), F.col("doc") == F.col("id")).select("z", "y", "h"))
     few = [known.where(F.col("y") == c).orderBy("h", "id").limit(sample) for c in (0, 1)]
     sampled = (d.join(F.broadcast(few[0].union(few[1])), F.col("doc") == F.col("id"))
                .select(packed("text").alias("z"), "y", "h"))

@@ -36,17 +36,31 @@ BUCKETS = 1 << 17    # hashed character grams
 WORD_BUCKETS = 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 10, 8, 8
 EPOCHS, BATCH, RATE = 3, 128, 0.005
-WORDS_KEPT = 120_000
+WORDS_KEPT = 250_000
 LEAST, DOUBT, CLEAR = 3, 1.6, 1.0  # see sure_odds; odds that make a window an example
 STEPS = 300          # of the training, at least
 AT_ONCE = 1024       # windows run together
 
 
-def char_grams(word: str) -> np.ndarray:
-    """Buckets of a word's character grams."""
-    w = f"^{word}$"
-    grams = {w[i:i + n] for n in (3, 4) for i in range(max(1, len(w) - n + 1))}
-    return np.array(sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams), np.int64)
+def char_grams(words: list) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character grams of words (non-empty), laid end to end,
+    and their number per word: every 3 and 4 characters of ``^word$``."""
+    text = "".join([f"^{w}$" for w in words])
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(size) - size
+    hashes, owner = [], []
+    code = c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA6B) ^ c[2:] * np.uint32(0xC2B2AE35)
+    for n in (3, 4):
+        number = np.maximum(size - n + 1, 0)
+        own = np.repeat(np.arange(len(words)), number)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(number) - number, number) + start[own]
+        h = code[at] if n == 3 else (code[at] ^ c[at + 3] * np.uint32(0x27D4EB2F)) + np.uint32(4)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        hashes.append((h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1))
+        owner.append(own)
+    order = np.argsort(np.concatenate(owner), kind="stable")
+    return np.concatenate(hashes)[order].astype(np.int64), 2 * size - 5
 
 
 def word_bucket(word: str) -> int:
@@ -146,7 +160,8 @@ class Network:
         if not vocabulary:
             return
         bucket = np.array([word_bucket(w) for w in vocabulary])
-        grams = [char_grams(w) for w in vocabulary]
+        grams, per_word = char_grams(list(vocabulary))
+        begin = np.cumsum(per_word) - per_word
         ids = np.full((len(texts), WINDOW), -1)
         for i, t in enumerate(texts):
             ids[i, :len(t)] = [vocabulary[w] for w in t]
@@ -160,8 +175,8 @@ class Network:
                 real = (ids[pick].T >= 0).astype(np.float32)
                 used, inverse = np.unique(np.maximum(ids[pick].T, 0), return_inverse=True)
                 inverse = inverse.reshape(WINDOW, len(pick))
-                counts = np.array([len(grams[i]) for i in used])
-                flat = np.concatenate([grams[i] for i in used])
+                counts = per_word[used]
+                flat = grams[np.repeat(begin[used] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
                 x = self.embed(bucket[used], flat, counts)
                 logit, kept = self.forward(self.project(x)[inverse], real, keep=True)
                 d = ((_sigmoid(logit) - y[pick]) / len(pick)).astype(np.float32)
@@ -202,9 +217,7 @@ class Scorer:
             self.table = grown
         for lo in range(0, len(new), 4096):
             part = new[lo:lo + 4096]
-            grams = [char_grams(w) for w in part]
-            x = self.net.embed(np.array([word_bucket(w) for w in part]), np.concatenate(grams),
-                               np.array([len(g) for g in grams]))
+            x = self.net.embed(np.array([word_bucket(w) for w in part]), *char_grams(part))
             self.table[at + lo:at + lo + len(part)] = self.net.project(x)
         self.index.update(zip(new, range(at, need)))
 
@@ -244,26 +257,16 @@ def words_of(text: str | bytes | None) -> list:
     return (text or "").lower().split()
 
 
-class Remembered(dict):
-    """char_grams per word, forgotten when many."""
-
-    def __missing__(self, word):
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = g = char_grams(word)
-        return g
-
-
 def gram_odds(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of each character gram, and the class sizes, from all
     labelled rows (one row per bucket, class and task)."""
     def count(batches):
-        n, grams, size = np.zeros((2, BUCKETS), np.int64), Remembered(), np.zeros(2, np.int64)
+        n, size = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         seen = np.zeros(BUCKETS, bool)
         for b in batches:
             for z, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in set(words_of(unpack(z))):
-                    seen[grams[w]] = True
+                if words := list(set(words_of(unpack(z)))):
+                    seen[char_grams(words)[0]] = True
                 at = np.flatnonzero(seen)
                 n[y, at] += 1
                 seen[at] = False
@@ -296,12 +299,14 @@ def sure_odds(n: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _examples(odds: np.ndarray):
     """Packed labelled texts -> their training windows, words joined by a space."""
     def run(batches):
-        grams = Remembered()
         for b in batches:
             ys, hs, out = [], [], []
             for z, y, h in zip(*(b.column(i).to_pylist() for i in range(3))):
                 words = words_of(unpack(z))
-                best = np.array([odds[grams[w]].max() for w in words] or [0.0])
+                best = np.zeros(1)
+                if words:
+                    flat, counts = char_grams(words)
+                    best = np.maximum.reduceat(odds[flat], np.cumsum(counts) - counts)
                 first = windows_of(len(words))
                 top = np.array([best[i:i + WINDOW].max() for i in first])
                 order = np.argsort(-top, kind="stable")
