@@ -144,7 +144,8 @@ def fit(rows: DataFrame, sampled: DataFrame) -> Model:
 
     got = sampled.mapInArrow(grams, "y int, h long, grams binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy()
-    sets = [np.frombuffer(x, "<u4").astype(np.int64) for x in got.column("grams").to_pylist()]
+    sets = [np.frombuffer(x, "<u4") for x in got.column("grams").to_pylist()]
+    del got
     taken = {c: np.flatnonzero(y == c) for c in (0, 1)}
     first = np.sort(np.concatenate([v[:max(1, (len(v) + 1) // 2)] for v in taken.values()]))
     second = np.setdiff1d(np.arange(len(y)), first)
@@ -152,7 +153,7 @@ def fit(rows: DataFrame, sampled: DataFrame) -> Model:
     for i in first:
         r = ratio[sets[i]]
         norm = float(np.sqrt(r @ r)) or 1.0
-        rows_.append((sets[i], r / norm))
+        rows_.append((sets[i], (r / norm).astype(np.float32)))
     sign = np.where(y[first] == 1, 1.0, -1.0)
     cost = COST * len(first) / (2 * np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum()))
     w, bias = dual_descent(rows_, sign, cost)
