@@ -135,8 +135,8 @@ def test_no_query_plans_a_cartesian_product(spark):
     import __spark_entry__ as E
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for name, fn in E.queries().items():
-            p = plan_of(fn(spark, SF001))
+        for name, q in E.REGISTRY.items():
+            p = plan_of(q.run(spark, SF001))
             assert "CartesianProduct" not in p, name
             for ln in p.splitlines():
                 if "BroadcastNestedLoopJoin" in ln:

@@ -35,13 +35,17 @@ def clean_sql(x: str) -> str:
 
 
 def num_text_sql(x: str) -> str:
-    """T5: plain decimal text without trailing zeros (``0.0123``, ``100``).
-
-    Numbers that a decimal of 38 digits, 10 of them after the point, holds
-    to 13 significant digits are printed through it; larger and smaller ones
-    from their 13 leading digits and their exponent."""
+    """T5: plain decimal text without trailing zeros (``0.0123``, ``100``),
+    for numbers that a decimal with 10 places holds.  ``x`` may be a long
+    expression; ``num_text_any_sql`` takes numbers of any size."""
     s = f"CAST(CAST({x} AS DECIMAL(38,10)) AS STRING)"
-    plain = f"regexp_replace({s}, '[.]?0+$', '')"
+    return f"regexp_replace({s}, '[.]?0+$', '')"
+
+
+def num_text_any_sql(x: str) -> str:
+    """T5 for a column of any magnitude: large and small numbers are printed
+    from their 13 leading digits and their exponent.  ``x`` is repeated many
+    times, so it should be a column, not an expression."""
     e = f"CAST(floor(log10(abs({x}))) AS INTEGER)"
     d = f"CAST(CAST(round(abs({x}) / power(10.0, {e}) * 1e12) AS BIGINT) AS STRING)"
     lead = f"regexp_replace({d}, '0+$', '')"
@@ -49,7 +53,7 @@ def num_text_sql(x: str) -> str:
     minus = f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END)"
     return (f"(CASE WHEN {x} <> 0 AND abs({x}) < 1e-3 THEN {minus} || '0.' || repeat('0', -{up} - 1) || {lead} "
             f"WHEN abs({x}) >= 1e14 THEN {minus} || {lead} || repeat('0', {up} + 1 - length({lead})) "
-            f"ELSE {plain} END)")
+            f"ELSE {num_text_sql(x)} END)")
 
 
 def fg_sql(x: str, digits: int) -> str:
@@ -133,7 +137,7 @@ def text_cells(df: DataFrame, cells: dict[str, str], digits: int, pad: bool = Fa
     df = signif_columns(df, tmp.values(), 13)
     df = signif_columns(df, tmp.values(), digits, keep_integer_digits=fg)
     df = df.selectExpr(*[f"`{c}`" for c in base],
-                       *[f"{num_text_sql(t)} AS {t}" for t in tmp.values()])
+                       *[f"{num_text_any_sql(t)} AS {t}" for t in tmp.values()])
     final = [f"`{c}`" for c in base if c not in cells]
     for o, t in tmp.items():
         final.append(f"{add_zeroes_sql(t, digits) if pad else t} AS `{o}`")

@@ -90,7 +90,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
                    F.percentile_approx("_tk", probs, ACCURACY).alias("_c2"))
               .withColumn("_parts", parts)
               .select("_g", "_gn", used("_c1").alias("_cuts"), used("_c2").alias("_ties")))
-    b = keyed.join(sketch, "_g")
+    b = keyed.join(sketch if keys else F.broadcast(sketch), "_g")  # without keys the sketch is one row
     first = F.size(F.filter("_cuts", lambda c: c < F.col("_ok")))
     b = b.withColumn("_b1", first)
     often = ((F.get("_cuts", F.col("_b1")) == F.col("_ok")) & (F.get("_cuts", F.col("_b1") + 1) == F.col("_ok")))
@@ -134,7 +134,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     v = F.col("_v")
     inside = F.exists("_br", lambda b: (b["lo"] <= v) & (v <= b["hi"]))
     gap = F.size(F.filter("_br", lambda b: b["hi"] < v))  # brackets below a row that is in none
-    cells = (d.join(sketch, "_g")
+    cells = (d.join(sketch if keys else F.broadcast(sketch), "_g")
              .select("_g", "_n", "_v", F.when(inside, v).alias("_in"), F.when(~inside, gap).alias("_gap"))
              .groupBy("_g", "_in", "_gap").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_m"), F.first("_n").alias("_n")))
     run = Window.partitionBy("_g").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
