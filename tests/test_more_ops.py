@@ -101,7 +101,10 @@ def test_point_interval_variants(spark):
     assert m.point == pytest.approx(float(v.mean()))
     lo, hi = np.quantile(v, [0.025, 0.975])
     assert (m.lower, m.upper) == pytest.approx((lo, hi))
+    first = D.hdr_pieces(df).orderBy("piece").first()
     h = D.point_interval(df, interval="hdr").first()
+    assert (h.lower, h.upper) == (first.lower, first.upper)
+    h = D.point_interval(df, interval="hdr", piece="heaviest").first()
     assert h.interval_method == "hdr" and h.lower < h.point < h.upper
 
 
