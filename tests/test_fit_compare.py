@@ -46,6 +46,26 @@ def test_within_regression_equals_lstsq_with_group_dummies(grouped):
     assert (r.n, r.groups) == (len(pdf), 6)
 
 
+def test_within_regression_with_interaction_and_nulls(spark, grouped):
+    df = grouped.withColumn("ab", F.col("a") * F.col("b"))
+    df = df.unionByName(spark.createDataFrame([("g1", 99, None, 1.0, 2.0, None), (None, 1, 0.0, 3.0, 1.0, 0.0), (None, 2, 1.0, 5.0, 4.0, 5.0)],
+                                              "grp string, k int, a double, b double, y double, ab double"))
+    pdf = df.toPandas().dropna(subset=["a", "b", "y"])
+    grp = pdf.grp.fillna("none")
+    X = np.column_stack([pdf.a, pdf.b, pdf.ab, *[(grp == g).astype(float) for g in sorted(grp.unique())]])
+    coef = np.linalg.lstsq(X, pdf.y, rcond=None)[0]
+    r = FT.within_regression(df, ["grp"], "y", "a", "b", "ab").first()
+    assert [r.b_a, r.b_b, r.b_ab] == [pytest.approx(c, rel=1e-8) for c in coef[:3]]
+    assert (r.n, r.groups) == (len(pdf), 7)
+
+
+def test_within_regression_singular_or_empty_is_null(grouped):
+    r = FT.within_regression(grouped.withColumn("c", F.col("a") * 2), ["grp"], "y", "a", "c").first()
+    assert r.b_c is None and r.b_a is None and r.groups == 6
+    r = FT.within_regression(grouped.where("false"), ["grp"], "y", "a", "b").first()
+    assert (r.b_a, r.b_b, r.n, r.groups) == (None, None, 0, 0)
+
+
 def test_pool_means_shrinks_between_group_and_grand_mean(grouped):
     out = FT.pool_means(grouped, "grp", "y").collect()
     pdf = grouped.toPandas()
@@ -120,15 +140,19 @@ def test_predict_equals_brute_force(coefs, obs):
         assert got[r.id].pred_sd == pytest.approx(math.sqrt(mu.var(ddof=1) + (c.sigma ** 2).mean()), rel=1e-9)
 
 
+def neg_xy():
+    return CM.neg_loglik(F.col("x"), F.col("y"))
+
+
 def test_loglik_and_loo_brute_force(coefs, obs):
     c, o = coefs.toPandas(), obs.toPandas()
-    ll = CM.pointwise_loglik(obs, "x", "y", CM.draws_array(coefs)).toPandas()
+    ll = CM.pointwise_loglik(obs, coefs, neg_xy(), ["id"]).toPandas()
     assert len(ll) == len(c) * len(o)
     r = ll[(ll.id == 2) & (ll.iter == 7)].loglik.iloc[0]
     d = c[c.iter == 7].iloc[0]
     mu = d.b0 + d.b1 * 1.0
     assert r == pytest.approx(-0.5 * math.log(2 * math.pi) - math.log(d.sigma) - 0.5 * ((3.2 - mu) / d.sigma) ** 2)
-    e = {x.id: x.elpd for x in CM.elpd_loo(obs, "x", "y", CM.draws_array(coefs)).collect()}
+    e = {x.id: x.elpd for x in CM.elpd_loo(obs, coefs, neg_xy(), ["id"]).collect()}
     for i in o.id:
         lli = ll[ll.id == i].loglik.values
         assert e[i] == pytest.approx(-math.log(np.mean(np.exp(-lli))), rel=1e-9)
@@ -137,19 +161,36 @@ def test_loglik_and_loo_brute_force(coefs, obs):
 def test_loo_constant_likelihood(spark, obs):
     # every draw identical: elpd_i equals that log-likelihood exactly
     same = spark.createDataFrame([(i, 1.0, 2.0, 0.5) for i in range(10)], "iter int, b0 double, b1 double, sigma double")
-    e = {x.id: x.elpd for x in CM.elpd_loo(obs, "x", "y", CM.draws_array(same)).collect()}
-    ll = CM.pointwise_loglik(obs, "x", "y", CM.draws_array(same)).where("iter = 0").collect()
-    for r in ll:
-        assert e[r.id] == pytest.approx(r.loglik, rel=1e-12)
-    cmp = CM.loo_compare(CM.elpd_loo(obs, "x", "y", CM.draws_array(same)),
-                         CM.elpd_loo(obs, "x", "y", CM.draws_array(same)), "id").first()
-    assert cmp.elpd_diff == pytest.approx(0.0, abs=1e-12)
-
-
-def test_draws_array_size_check(spark, coefs, obs):
-    arr = CM.draws_array(coefs, max_draws=10)
-    with pytest.raises(Exception):
-        CM.elpd_loo(obs, "x", "y", arr).collect()
+    e = CM.elpd_loo(obs, same, neg_xy(), ["id"])
+    ll = {r.id: r.loglik for r in CM.pointwise_loglik(obs, same, neg_xy(), ["id"]).where("iter = 0").collect()}
+    got = {x.id: x.elpd for x in e.collect()}
+    assert got == {i: pytest.approx(v, rel=1e-12) for i, v in ll.items()}
+
+
+def test_loo_compare_ranks_models_against_the_best(spark):
+    rows = [(None, m, i, float(v)) for m, vs in (("a", (-1, -2, -3)), ("b", (-1, -1, -2)), ("c", (-3, -1, -1))) for i, v in enumerate(vs)]
+    e = spark.createDataFrame(rows, "grp string, model string, id int, elpd double")
+    got = {r.model: r for r in CM.loo_compare(e, "model", ["id"], ["grp"]).collect()}
+    assert len(got) == 3 and got["b"].elpd_diff == 0.0 and got["b"].se_diff == 0.0 and got["b"].elpd_loo == -4.0
+    assert got["a"].elpd_diff == -2.0 and got["a"].n == 3
+    assert got["c"].se_diff == pytest.approx(math.sqrt(3) * np.std([-2.0, 0.0, 1.0], ddof=1))
+
+
+def test_draws_meet_only_their_own_model(spark):
+    obs = spark.createDataFrame([(1, "m"), (2, "m"), (3, None), (4, "z")], "id int, model string")
+    draws = spark.createDataFrame([(i, m) for i in range(200) for m in ("m", None)], "iter int, model string")
+    n = {r.id: r["count"] for r in CM.meet(obs, draws, ["model"]).groupBy("id").count().collect()}
+    assert n == {1: 200, 2: 200, 3: 200}
+
+
+def test_bivariate_loglik(spark):
+    d = spark.createDataFrame([(1, 0.5, -1.0, 2.0, 0.7, 0.6)], "iter int, m1 double, m2 double, s1 double, s2 double, rho double")
+    o = spark.createDataFrame([(1, 1.5, -0.2), (2, 0.0, 0.0)], "id int, y1 double, y2 double")
+    cov = np.array([[4.0, 0.6 * 1.4], [0.6 * 1.4, 0.49]])
+    for r in CM.pointwise_loglik(o, d, CM.neg_loglik_pair(F.col("y1"), F.col("y2")), ["id"]).collect():
+        z = np.array({1: (1.5, -0.2), 2: (0.0, 0.0)}[r.id]) - (0.5, -1.0)
+        want = -math.log(2 * math.pi) - 0.5 * math.log(np.linalg.det(cov)) - 0.5 * z @ np.linalg.solve(cov, z)
+        assert r.loglik == pytest.approx(want, rel=1e-12)
 
 
 def test_bayes_r2_brute_force(coefs, obs):

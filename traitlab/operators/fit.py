@@ -40,27 +40,38 @@ def gram(df: DataFrame, group: Sequence[str], xs: Sequence[str], y: str) -> Data
     return src.groupBy(*group).agg(*aggs)
 
 
-def within_regression(df: DataFrame, group: Sequence[str], y: str, a: str, b: str) -> DataFrame:
-    """K4: y ~ a + b with group intercepts, by within-group least squares.
+def within_sums(df: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """One row per group of the complete rows: ``n``, the means ``m_<i>`` and
+    the sums of products of deviations from them ``s_<i>_<j>`` (i <= j,
+    places in ``cols``).  One pass, no raw sums, so nothing cancels."""
+    n = F.count(F.lit(1))
+    aggs = [n.alias("n")] + [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
+    for i, a in enumerate(cols):
+        aggs += [(F.covar_pop(a, cols[j]) * n).alias(f"s_{i}_{j}") for j in range(i, len(cols))]
+    return df.dropna(subset=list(cols)).groupBy(*group).agg(*aggs)
+
+
+def within_regression(df: DataFrame, group: Sequence[str], y: str, *xs: str) -> DataFrame:
+    """K4: y ~ xs with group intercepts, by within-group least squares.
 
-    Columns are demeaned within groups (group means joined back), then the
-    2x2 normal equations are solved in closed form; a zero determinant
-    gives NULL.  Returns one row (b_a, b_b, n, groups).
+    Rows with a NULL in y or xs are left out; products (interactions) are
+    columns like any other.  The within-group sums of products are added over
+    groups and the normal equations solved by elimination, one step a
+    projection of the one row.  Returns (b_<x>..., n, groups); a predictor
+    that the ones before it determine makes the coefficients NULL.
     """
-    group = list(group)
-    means = df.groupBy(*group).agg(F.avg(y).alias("_my"), F.avg(a).alias("_ma"), F.avg(b).alias("_mb"))
-    dm = df.join(means, group).select(
-        (F.col(y) - F.col("_my")).alias("_y"), (F.col(a) - F.col("_ma")).alias("_a"),
-        (F.col(b) - F.col("_mb")).alias("_b"))
-    s = dm.agg(F.sum(F.col("_a") * F.col("_a")).alias("aa"), F.sum(F.col("_b") * F.col("_b")).alias("bb"),
-               F.sum(F.col("_a") * F.col("_b")).alias("ab"), F.sum(F.col("_a") * F.col("_y")).alias("ay"),
-               F.sum(F.col("_b") * F.col("_y")).alias("by"), F.count(F.lit(1)).alias("n"))
-    det = F.nullif(F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab"), F.lit(0.0))
-    k = means.agg(F.count(F.lit(1)).alias("groups"))
-    out = s.select(((F.col("bb") * F.col("ay") - F.col("ab") * F.col("by")) / det).alias(f"b_{a}"),
-                   ((F.col("aa") * F.col("by") - F.col("ab") * F.col("ay")) / det).alias(f"b_{b}"),
-                   "n")
-    return attach_scalars(out, k)
+    cols, k = [*xs, y], len(xs)
+    g = within_sums(df, group, cols)
+    s = g.agg(*[F.sum(f"s_{i}_{j}").alias(f"a_{i}_{j}") for i in range(k) for j in range(i, k + 1)],
+              F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("groups"))
+    s = s.select("n", "groups", *[F.col(f"a_{min(i, j)}_{max(i, j)}").alias(f"a_{i}_{j}") for i in range(k) for j in range(k + 1)],
+                 *[F.col(f"a_{i}_{i}").alias(f"d_{i}") for i in range(k)])
+    for p in range(k):
+        pivot = F.when(F.col(f"a_{p}_{p}") > 1e-11 * F.col(f"d_{p}"), F.col(f"a_{p}_{p}"))
+        s = s.withColumns({f"a_{p}_{j}": F.col(f"a_{p}_{j}") / pivot for j in range(p, k + 1)})
+        s = s.withColumns({f"a_{i}_{j}": F.col(f"a_{i}_{j}") - F.col(f"a_{i}_{p}") * F.col(f"a_{p}_{j}")
+                           for i in range(k) if i != p for j in range(p + 1, k + 1)})
+    return s.select(*[F.col(f"a_{i}_{k}").alias(f"b_{x}") for i, x in enumerate(xs)], "n", "groups")
 
 
 def pool_means(df: DataFrame, group: str, y: str) -> DataFrame:
@@ -118,15 +129,10 @@ def pool_effects(df: DataFrame, group: str, y: str, treat: str, treated: str, re
 def among_within_correlation(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """K7: correlation of group means (among) and of residuals from group
     means (within), both guarded against zero variance (T1)."""
-    d = df.dropna(subset=[x, y])
-    means = d.groupBy(group).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    among = means.agg(guarded_corr(F.col("_mx"), F.col("_my")).alias("r_among"),
-                      F.count(F.lit(1)).alias("groups"))
-    res = d.join(means, group).select((F.col(x) - F.col("_mx")).alias("_rx"),
-                                      (F.col(y) - F.col("_my")).alias("_ry"))
-    within = res.agg(guarded_corr(F.col("_rx"), F.col("_ry")).alias("r_within"),
-                     F.count(F.lit(1)).alias("n"))
-    return attach_scalars(among, within)
+    g = within_sums(df, [group], [x, y])
+    scale = F.nullif(F.sqrt(F.sum("s_0_0") * F.sum("s_1_1")), F.lit(0.0))
+    return g.agg(guarded_corr(F.col("m_0"), F.col("m_1")).alias("r_among"), F.count(F.lit(1)).alias("groups"),
+                 (F.sum("s_0_1") / scale).alias("r_within"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def hash_uniform(key: Column, rep: Column) -> Column:
