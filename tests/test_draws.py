@@ -210,3 +210,13 @@ def test_summarise_draws_columns(spark, rng):
     assert r["a"].method == "median" and r["a"].interval == "hpd"
     assert r["a"].conf_low < r["a"].estimate < r["a"].conf_high
     assert r["b"].p < 0.05
+
+
+def test_null_parameter_is_a_group_everywhere(spark):
+    rows = [("m", c, i, p, float((i * 7 + c) % 23) - 3) for p in ("a", None) for c in (1, 2) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "model string, chain int, iter long, par string, value double")
+    for stat in (D.hdr_pieces, D.split_rhat, D.ess, D.hpd_interval, D.quantile_interval, D.tail_p):
+        got = {}
+        for r in stat(df, ["par"]).collect():
+            got.setdefault(r.par, set()).add(tuple(v for k, v in r.asDict().items() if k != "par"))
+        assert set(got) == {"a", None} and got["a"] == got[None], stat.__name__

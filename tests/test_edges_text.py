@@ -143,3 +143,17 @@ def test_number_text_of_very_small_and_large_numbers(spark):
     for v, t in cases.items():
         sql = f"WITH a AS (SELECT CAST({v!r} AS DOUBLE) AS x), b AS (SELECT {TX.signif_sql('x', 3)} AS y FROM a)"
         assert duckdb.execute(f"{sql} SELECT {TX.num_text_any_sql('y')} FROM b").fetchone()[0] == t, v
+
+
+def test_drop_units_strips_the_unit_only(spark):
+    from traitlab.functions import units as U
+    df = U.with_unit(spark.createDataFrame([(1.0, 2.0)], "a double, b double"), "a", "um")
+    out = U.drop_units(df)
+    assert U.unit_of(df, "a") == "um" and U.unit_of(out, "a") is None and out.first() == df.first()
+
+
+def test_round_half_even(spark):
+    from traitlab.functions.numeric import round_half_even
+    df = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,), (0.125,), (None,)], "x double")
+    got = [tuple(r) for r in df.select(round_half_even("x").alias("a"), round_half_even("x", 2).alias("b")).collect()]
+    assert [a for a, _ in got] == [0.0, 2.0, 2.0, 0.0, 0.0, None] and got[4][1] == 0.12

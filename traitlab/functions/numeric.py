@@ -45,11 +45,6 @@ def round_half_even(x, digits: int = 0) -> Column:
     return F.bround(_c(x), digits)
 
 
-def round_half_up(x, digits: int = 0) -> Column:
-    """I3, SQL's round: half away from zero."""
-    return F.round(_c(x), digits)
-
-
 def safe_ln(x) -> Column:
     """I1 with T2: ln of a non-positive value is NULL, never -Inf/NaN."""
     c = _c(x)
@@ -60,11 +55,6 @@ def safe_ln_sql(x: str) -> str:
     return f"(CASE WHEN {x} > 0 THEN ln({x}) END)"
 
 
-def safe_div(a, b) -> Column:
-    """Division that is NULL on a zero denominator (ANSI mode safe)."""
-    return _c(a) / F.nullif(_c(b), F.lit(0.0))
-
-
 def grid_value(lo: Column, hi: Column, idx: Column, n: int) -> Column:
     """I16: point ``idx`` (0-based) of ``n`` even points from lo to hi."""
     if n == 1:
@@ -72,10 +62,6 @@ def grid_value(lo: Column, hi: Column, idx: Column, n: int) -> Column:
     return lo + idx.cast("double") * (hi - lo) / F.lit(float(n - 1))
 
 
-def grid_value_sql(lo: str, hi: str, idx: str, n: int) -> str:
-    return f"({lo} + CAST({idx} AS DOUBLE) * ({hi} - {lo}) / {float(n - 1)})"
-
-
 def signif_columns(df, cols, digits: int, keep_integer_digits: bool = False):
     """``signif`` of several columns in two small projections: the decimal
     exponent first, then the rounding that uses it.  Each expression stays

@@ -22,7 +22,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import ACCURACY, MARGIN, attach_scalars, group_quantiles, join_groups
+from .ranking import ACCURACY, MARGIN, group_quantiles, join_groups
 
 BLOCKS = 64  # of the draws of one model
 LOG_2PI = math.log(2 * math.pi)
@@ -45,7 +45,7 @@ def predict(newdata: DataFrame, x: str, moments: DataFrame, keys: tuple[str, ...
     + E[sigma^2] - exactly the sample variance of mu over draws plus the
     residual noise.
     """
-    j = newdata.join(moments, list(keys)) if keys else attach_scalars(newdata, moments)
+    j = join_groups(newdata, moments, keys)
     xx = F.col(x)
     var = F.col("_v0") + xx * xx * F.col("_v1") + 2 * xx * F.col("_c01") + F.col("_es2")
     return (j.withColumn("pred_mean", F.col("_e0") + F.col("_e1") * xx)

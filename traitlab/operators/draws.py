@@ -110,11 +110,11 @@ def hdr_pieces(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value
     stats = d.groupBy(*keys).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"),
                                  F.count(F.lit(1)).alias("_n"))
     stats = stats.withColumn("_bw", (F.col("_mx") - F.col("_mn")) / F.lit(float(bins)))
-    binned = d.join(stats.select(*keys, "_mn", "_bw"), keys).withColumn(
+    binned = join_groups(d, stats.select(*keys, "_mn", "_bw"), keys).withColumn(
         "_bin", F.coalesce(F.least(F.floor((v - F.col("_mn")) / F.nullif(F.col("_bw"), F.lit(0.0))),
                                    F.lit(bins - 1)), F.lit(0)).cast("int"))
     hist = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    hist = hist.join(stats, keys)
+    hist = join_groups(hist, stats, keys)
     w_take = Window.partitionBy(*keys).orderBy(F.col("_c").desc(), F.col("_bin")) \
         .rowsBetween(Window.unboundedPreceding, -1)
     kept = (hist.withColumn("_before", F.coalesce(F.sum("_c").over(w_take), F.lit(0)))
@@ -190,21 +190,21 @@ def _ess_pairs(draws: DataFrame, keys: list, value: str, chain: str, it: str, la
     """Geyer pair sums P_k (k < L/2, L = min(lags, group's lag cap)) with the
     stop index of each group; lag products come from a block self-join."""
     B = int(lags)
-    d = (draws.join(cs.select(*keys, chain, "_cm", "_nc"), keys + [chain])
+    d = (join_groups(draws, cs.select(*keys, chain, "_cm", "_nc"), keys + [chain])
          .select(*keys, chain, F.col(it).alias("_i"), (F.col(value) - F.col("_cm")).alias("_d"), "_nc"))
     d = d.withColumn("_blk", F.floor((F.col("_i") - 1) / B))
     left = d.select(*keys, chain, "_blk", "_i", "_d", "_nc")
     right = d.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(chain).alias("_r_chain"),
                      F.explode(F.array(F.col("_blk"), F.col("_blk") - 1)).alias("_r_blk"),
                      F.col("_i").alias("_j"), F.col("_d").alias("_dj"))
-    cond = ([F.col(k) == F.col(f"_r_{k}") for k in keys]
-            + [F.col(chain) == F.col("_r_chain"), F.col("_blk") == F.col("_r_blk")])
+    cond = ([F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+            + [F.col(chain).eqNullSafe(F.col("_r_chain")), F.col("_blk") == F.col("_r_blk")])
     lagged = (left.join(right, cond)
               .withColumn("_t", F.col("_j") - F.col("_i"))
               .where((F.col("_t") >= 0) & (F.col("_t") < B)))
     acov = (lagged.groupBy(*keys, chain, "_t")
             .agg((F.sum(F.col("_d") * F.col("_dj")) / F.first("_nc")).alias("_ac")))
-    g = (acov.groupBy(*keys, "_t").agg(F.avg("_ac").alias("_g")).join(gs, keys)
+    g = (join_groups(acov.groupBy(*keys, "_t").agg(F.avg("_ac").alias("_g")), gs, keys)
          .where(F.col("_t") < F.least(F.col("_L"), F.lit(B))))
     n = F.col("_n").cast("double")
     varp = (n - 1) / n * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0))
@@ -213,7 +213,7 @@ def _ess_pairs(draws: DataFrame, keys: list, value: str, chain: str, it: str, la
     pk = g.groupBy(*keys, "_k").agg(F.sum("_rho").alias("_P"), F.first("_m").alias("_m"),
                                     F.first("_n").alias("_n"), F.first("_L").alias("_L"))
     neg = pk.where(F.col("_P") < 0).groupBy(*keys).agg(F.min("_k").alias("_stop"))
-    return pk.join(neg, keys, "left")
+    return join_groups(pk, neg, keys, "left")
 
 
 def ess(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
@@ -318,7 +318,7 @@ def add_base(draws: DataFrame, effect: str, base: str, by: Sequence[str] = ("ite
     b = draws.where(F.col(par) == base).select(*by, F.col(value).alias("_base"))
     e = (draws.where(F.col(par).rlike(effect))
          .select(*by, F.regexp_extract(F.col(par), effect, 1).alias("level"), F.col(value).alias("_e")))
-    return e.join(b, by).select(*by, "level", (F.col("_e") + F.col("_base")).alias(value))
+    return join_groups(e, b, by).select(*by, "level", (F.col("_e") + F.col("_base")).alias(value))
 
 
 def ratio(num: Column, den: Column) -> Column:

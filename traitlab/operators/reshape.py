@@ -13,6 +13,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import join_groups
 from .summary import numeric_columns
 
 
@@ -37,7 +38,7 @@ def spread(df: DataFrame, ids: Sequence[str], key: str, value: str,
     if prefix:
         wide = wide.select(*ids, *[F.col(f"`{v}`").alias(prefix + v) for v in values])
     if strict:
-        wide = wide.join(cnt, list(ids))
+        wide = join_groups(wide, cnt, ids)
     return wide
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import attach_scalars, group_quantiles, join_groups
+from .ranking import group_quantiles, join_groups
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -79,17 +79,19 @@ def global_stats(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame
     return join_groups(base, med, keys, "left")
 
 
-def centre(df: DataFrame, col: str, keys: Sequence[str] = (), out: str | None = None) -> DataFrame:
+def centre(df: DataFrame, col: str, keys: Sequence[str] = (), out: str | None = None,
+           stats: DataFrame | None = None) -> DataFrame:
     """Subtract the (group or global) mean.
 
     The mean is a one-row-per-group aggregate attached back by a broadcast
-    join - never an unpartitioned window.
+    join - never an unpartitioned window.  ``stats`` (of ``global_stats``) saves
+    the aggregate; its other columns are attached too.
     """
     out = out or f"{col}_c"
     keys = list(keys)
-    means = df.groupBy(*keys).agg(F.avg(col).alias("_mean"))
-    j = df.join(means, keys) if keys else attach_scalars(df, means)
-    return j.withColumn(out, F.col(col) - F.col("_mean")).drop("_mean")
+    means = df.groupBy(*keys).agg(F.avg(col).alias("mean")) if stats is None else stats
+    means = means.withColumnRenamed("mean", "_mean")
+    return join_groups(df, means, keys).withColumn(out, F.col(col) - F.col("_mean")).drop("_mean")
 
 
 def scalar(df: DataFrame, agg: Column, name: str) -> DataFrame:
@@ -98,12 +100,6 @@ def scalar(df: DataFrame, agg: Column, name: str) -> DataFrame:
     return df.agg(agg.alias(name))
 
 
-def error_bars(df: DataFrame, col: str, se_col: str) -> DataFrame:
-    """X - se and x + se."""
-    return (df.withColumn(f"lower_{col}", F.col(col) - F.col(se_col))
-              .withColumn(f"upper_{col}", F.col(col) + F.col(se_col)))
-
-
 def first_in_group(df: DataFrame, keys: Sequence[str], col: str, out: str | None = None) -> DataFrame:
     """The (constant) value of ``col`` in each group, made
     deterministic with ``min``."""

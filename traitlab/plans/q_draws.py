@@ -11,7 +11,8 @@ from ..operators import draws as D
 from ..operators import factors as FA
 from ..operators import perdraw as PD
 from ..operators import reshape as R
-from ..operators.ranking import group_quantiles
+from ..operators import traits as TR
+from ..operators.ranking import group_quantiles, join_groups
 from . import sqlgen as G
 from . import views as V
 from .registry import query
@@ -313,3 +314,40 @@ def draw_checks(spark: SparkSession, d: str) -> DataFrame:
     chain, bound violations and values outside the axis clip."""
     t = D.thin(V.draws_events(spark, d), warmup=100, every=2)
     return D.check_draws(t, ["par"], "value", lower=-30, upper=470, clip=(-25, 300))
+
+
+# ------------------------------------------------------------ NULL keys
+
+@query("null_group_statistics", "par estimate:d std_error:d conf_low:d conf_high:d p:d hpd_lower:d hpd_upper:d",
+       "WITH t AS (SELECT coalesce(nullif(l_returnflag, 'A'), '') AS par, l_quantity - 25 AS value, "
+       "l_orderkey * 10 + l_linenumber AS iter FROM lineitem), " + G.hpd_cte("t", ["par"], "value", "iter") + " "
+       "SELECT nullif(t.par, '') AS par, median(value) AS estimate, stddev_samp(value) AS std_error, "
+       "quantile_cont(value, 0.025) AS conf_low, quantile_cont(value, 0.975) AS conf_high, "
+       + G.tail_p_expr("value") + " AS p, min(hpd.lower) AS hpd_lower, min(hpd.upper) AS hpd_upper "
+       "FROM t JOIN hpd ON hpd.par = t.par GROUP BY t.par")
+def null_group_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """D9-D12, E3 where a key is NULL and values are heavily tied: quantities
+    (fifty values) by return flag, one flag made NULL."""
+    t = V.table(spark, d, "lineitem").select(
+        F.expr("nullif(l_returnflag, 'A')").alias("par"), (F.col("l_quantity") - 25).alias("value"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("iter"))
+    hpd = D.hpd_interval(t, ["par"]).withColumnsRenamed({"lower": "hpd_lower", "upper": "hpd_upper"})
+    return join_groups(D.summarise_draws(t, ["par"], estimate="median", term=None), hpd, ["par"])
+
+
+@query("null_key_join", "size n_parts price:d n_items mean_price:d side",
+       "WITH a AS (SELECT CASE WHEN p_size % 5 > 0 THEN p_size END AS size, count(*) AS n_parts, "
+       "avg(p_retailprice) AS price FROM part GROUP BY ALL), "
+       "b AS (SELECT CASE WHEN CAST(l_quantity AS INTEGER) % 7 > 0 THEN CAST(l_quantity AS INTEGER) END AS size, "
+       "count(*) AS n_items, avg(l_extendedprice) AS mean_price FROM lineitem GROUP BY ALL) "
+       "SELECT coalesce(a.size, b.size) AS size, n_parts, price, n_items, mean_price, CASE WHEN n_parts IS NULL THEN 'right_only' "
+       "WHEN n_items IS NULL THEN 'left_only' ELSE 'both' END AS side FROM a FULL JOIN b ON a.size IS NOT DISTINCT FROM b.size")
+def null_key_join(spark: SparkSession, d: str) -> DataFrame:
+    """Full join of two keyed tables, NULL meeting NULL, keys missing on
+    either side (sizes of parts, quantities of line items)."""
+    size, qty = F.col("p_size"), F.col("l_quantity").cast("int")
+    a = (V.table(spark, d, "part").groupBy(F.when(size % 5 > 0, size).alias("size"))
+         .agg(F.count(F.lit(1)).alias("n_parts"), F.avg("p_retailprice").alias("price")))
+    b = (V.table(spark, d, "lineitem").groupBy(F.when(qty % 7 > 0, qty).alias("size"))
+         .agg(F.count(F.lit(1)).alias("n_items"), F.avg("l_extendedprice").alias("mean_price")))
+    return TR.join_plants(a, b, ["size"], "full", null_safe=True, indicator="side")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..functions.numeric import round_half_even
 from ..operators import draws as D
 from ..operators import factors as FA
 from ..operators import report as RP
@@ -109,7 +110,7 @@ def _report_sql() -> str:
             "JOIN hpd ON s.spp1 = hpd.spp1 AND s.tr = hpd.tr LEFT JOIN dic ON s.spp1 = dic.spp1 AND s.tr = dic.tr "
             "LEFT JOIN kc ON s.spp1 = kc.spp1) "
             "SELECT CAST(row_number() OVER (ORDER BY CAST(spp1 AS INTEGER), upper(tr)) AS BIGINT) AS sort_key, species, "
-            f"upper(tr) AS treatment, spp1, {txt}, round(estimate, 2) AS estimate_2dp, "
+            f"upper(tr) AS treatment, spp1, {txt}, round_even(estimate, 2) AS estimate_2dp, "
             f"{_REPORT_TEXT['kcatc_cell']} AS kcatc_cell FROM j "
             f"UNION ALL SELECT 0, '', '', '', {TX._lit(GSMAX_UNIT)}, '', '', NULL, ''")
 
@@ -143,7 +144,7 @@ def species_report(spark: SparkSession, d: str) -> DataFrame:
     j = j.withColumns({"hpd_interval": RP.interval_text("_lo", "_hi"),
                        "kcatc_cell": F.concat(F.col("_kc_mu"), F.lit(TX.PM), F.col("_kc_se"))})
     body = j.select("sort_key", "species", "treatment", "spp1", "gsmax", "se", "hpd_interval",
-                    F.round("estimate", 2).alias("estimate_2dp"), "kcatc_cell")
+                    round_half_even("estimate", 2).alias("estimate_2dp"), "kcatc_cell")
     table = RP.add_header_row(body, {"species": "", "treatment": "", "spp1": "", "gsmax": GSMAX_UNIT,
                                      "se": "", "hpd_interval": "", "kcatc_cell": ""})
     path = scratch_path(spark, "species-report")

@@ -61,8 +61,7 @@ def global_stats_centre(spark: SparkSession, d: str) -> DataFrame:
     """D7 + D8 + D9 + B15: per-trait min / max / n / exact median attached to
     every row, and the value centred on the trait mean."""
     t = V.long_traits(spark, d)
-    stats = S.global_stats(t, "value", ["trait"])
-    return S.centre(t, "value", ["trait"], out="value_c").join(stats.drop("mean"), "trait")
+    return S.centre(t, "value", ["trait"], out="value_c", stats=S.global_stats(t, "value", ["trait"]))
 
 
 # ------------------------------------------------------------ codes and distinct
@@ -79,9 +78,10 @@ def group_first_distinct(spark: SparkSession, d: str) -> DataFrame:
     categories of two tables, with per-category counts and first value."""
     t, g = V.long_traits(spark, d), V.leaf(spark, d)
     dic = FA.dictionary(t.select("spp"), g.select("spp"), name="spp", code="code")
-    tc = t.groupBy("spp").agg(F.count(F.lit(1)).alias("n_t"), F.min("trait").alias("first_trait"))
+    tc = t.groupBy("spp").agg(F.count(F.lit(1)).alias("n_t"))
     gc = g.groupBy("spp").agg(F.count(F.lit(1)).alias("n_g"))
-    return dic.join(tc, "spp", "left").join(gc, "spp", "left").fillna(0, ["n_t", "n_g"])
+    first = S.first_in_group(t, ["spp"], "trait", "first_trait")
+    return dic.join(tc, "spp", "left").join(gc, "spp", "left").join(first, "spp", "left").fillna(0, ["n_t", "n_g"])
 
 
 # ------------------------------------------------------------ log, pivot, rename

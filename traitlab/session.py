@@ -9,7 +9,6 @@ the shared checkpoint folder.  On a cluster that folder is named by
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -44,12 +43,15 @@ def shared_root(spark: SparkSession) -> str:
     """Shared folder for written tables and checkpoints.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir);
-    only when neither is set (local runs) do we make one and register it.
+    only when neither is set, and the master is local, do we make one and
+    register it: on a cluster a machine-local folder would lose rows.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="traitlab-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     elif not spark.sparkContext.getCheckpointDir():
@@ -86,8 +88,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cleanup_scratch(spark: SparkSession) -> None:
     """Delete this session's scratch tables (lineage cuts, round trips).
 
-    Call when the DataFrames built on them are no longer needed; stored
-    derived tables (``traitlab/views``) are kept, they are reusable."""
+    Call when the DataFrames built on them are no longer needed."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -101,8 +102,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (for tests that inspect written files)."""
-    return path[5:] if path.startswith("file:") else os.fspath(path)
