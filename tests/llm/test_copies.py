@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from traitlab.llm.common import components
-from traitlab.llm.embedding_dedup import embedding_dedup
+from traitlab.llm.embedding_dedup import candidates, embedding_dedup, plan_tables
 from traitlab.llm.simhash_dedup import fingerprint, keep_first, simhash_dedup, trie_links
 from traitlab.llm.suffix_dedup import drop_repeats, suffix_dedup
 
@@ -82,6 +82,42 @@ def test_embedding_recall_on_a_table(spark):
     assert 0.99 * want <= got[0] <= want  # the table itself has no pair at 0.93
 
 
+def pairs_at(cosine, n, dim=64, seed=11):
+    """``n`` pairs of unit vectors, the i-th at ``cosine[i]``."""
+    rng = np.random.default_rng(seed)
+    x, u = rng.standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = np.asarray(cosine)[:, None]
+    return x, c * x + np.sqrt(1 - c * c) * u
+
+
+@pytest.mark.parametrize("largest", [3_000, 100_000])
+def test_embedding_tables_share_a_filter_with_every_pair_at_the_threshold(largest):
+    plans = plan_tables(64, largest, 0.93)
+    x, y = pairs_at(np.full(3000, 0.93), 3000)
+    a, b = ({(int(r), int(f)) for r, f in zip(*candidates(z, plans))} for z in (x, y))
+    assert {r for r, _ in a & b} == set(range(3000))
+
+
+def test_embedding_pairs_just_above_the_threshold(spark):
+    x, y = pairs_at(np.linspace(0.9301, 0.95, 3000), 3000)
+    rows = [(2 * i + k, [float(v) for v in z], 1) for i in range(3000) for k, z in enumerate((x[i], y[i]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(df).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(6000)}
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 5])
+def test_embedding_short_vectors(spark, dim):
+    x = np.random.default_rng(dim).standard_normal((60, dim))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 1) for i in range(60)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup(df).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == dict(enumerate(((y @ y.T >= 0.93).sum(axis=1) - 1).tolist()))
+
+
 def test_embedding_empty_table(spark):
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, a int")).collect() == []
 

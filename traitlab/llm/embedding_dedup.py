@@ -13,10 +13,18 @@ in double precision.  Equal vectors are one class first, so copies are
 neither filtered nor joined twice.
 
 B follows the largest label so that a filter holds a few vectors of a label
-at any size, and a vector passes ``HITS`` filters on average.  A pair just at
-cosine 0.93 passes a given filter together about a third as often as one
-vector alone, so it shares about 20 filters and is missed with a chance near
-e^-20; tests measure recall against brute force.
+at any size, and a vector passes ``HITS`` filters on average.  The filters of
+one table share codewords, so a vector's number of hits varies widely and a
+pair just at the threshold shares none with a chance of some per cent, which
+grows with the label.  So there are several tables, each with a rotation and
+codewords of its own, and the candidates are the pairs of any of them.
+Random rotations make the tables' misses of a pair independent, whatever the
+data; tables are added until the product of their miss rates, each measured
+on ``PROBES`` pairs exactly at the threshold and raised by three standard
+errors, is at most ``MISSED``.  Where ``MOST_TABLES`` do not reach that (very
+short vectors or a low threshold, when a fixed share of all pairs are links),
+all pairs of a label are candidates.  Tests measure recall against brute
+force.
 """
 
 from __future__ import annotations
@@ -34,13 +42,16 @@ from .common import components, small_batches, written
 HITS = 64          # filters passed by a vector, on average
 IN_FILTER = 3.0    # vectors of the largest label in a filter, on average
 SKETCH = 256       # sign bits
+MISSED = 1e-6      # chance that a pair just at the threshold is no candidate
+PROBES = 2000      # pairs on which a table's miss rate is measured
+MOST_TABLES = 12
 SEED = 20231
 
 
-def plan_filters(dim: int, largest: int, seed: int = SEED) -> dict:
-    """Rotation, codewords, cap height and sketch directions for a label of
+def plan_filters(dim: int, largest: int, seed: int = SEED, table: int = 0) -> dict:
+    """Rotation, codewords and cap height of one table for a label of
     ``largest`` vectors of length ``dim``."""
-    rng = np.random.default_rng([seed, dim])
+    rng = np.random.default_rng([seed, dim, table] if table else [seed, dim])
     d = max(2, dim + dim % 2)
     rot = np.linalg.qr(rng.standard_normal((d, d)))[0][:dim]
     share = min(0.25, IN_FILTER / max(1, largest))
@@ -55,8 +66,49 @@ def plan_filters(dim: int, largest: int, seed: int = SEED) -> dict:
         mid = (lo + hi) / 2
         n = sum(b * b - int(np.searchsorted(r, mid - l).sum()) for l, r in zip(left, right))
         lo, hi = (mid, hi) if n > HITS * len(probe) else (lo, mid)
-    signs = rng.standard_normal((dim, SKETCH))
-    return {"rot": rot, "codes": codes, "height": (lo + hi) / 2, "b": b, "signs": signs}
+    return {"rot": rot, "codes": codes, "height": (lo + hi) / 2, "b": b}
+
+
+def miss_rate(plan: dict, cosine: float, seed: int, pairs: int = PROBES) -> float:
+    """Share of random pairs exactly at ``cosine`` that have no filter of the
+    table in common, raised by three standard errors (and never 0)."""
+    rng = np.random.default_rng([seed, pairs])
+    dim, cosine = len(plan["rot"]), max(-1.0, min(1.0, cosine))
+    missed = 0
+    for at in range(0, pairs, 256):
+        x, u = rng.standard_normal((2, min(256, pairs - at), dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        u -= (u * x).sum(axis=1, keepdims=True) * x
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        keys = [r * plan["b"] ** 2 + f for r, f in (decode(x, plan), decode(cosine * x + math.sqrt(1 - cosine ** 2) * u, plan))]
+        missed += len(x) - len(np.unique(np.intersect1d(*keys) // plan["b"] ** 2))
+    return min(1.0, (missed + 3 * math.sqrt(missed + 1)) / pairs)
+
+
+def plan_tables(dim: int, largest: int, cosine: float, seed: int = SEED) -> list[dict]:
+    """Tables that together miss a pair at ``cosine`` with a chance of at most
+    ``MISSED``; none if that takes too many."""
+    if dim < 2:  # unit numbers are equal or opposite
+        return [plan_filters(dim, largest, seed)]
+    plans, missed = [], 1.0
+    for table in range(MOST_TABLES):
+        plans.append(plan_filters(dim, largest, seed, table))
+        missed *= miss_rate(plans[-1], cosine, seed + table)
+        if missed <= MISSED:
+            return plans
+        if table == 0 and missed ** MOST_TABLES > MISSED:
+            break
+    return []
+
+
+def candidates(x: np.ndarray, plans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) over all tables, each with filter numbers of its own;
+    without tables every vector passes the one filter 0."""
+    if not plans:
+        return np.arange(len(x)), np.zeros(len(x), int)
+    found = [decode(x, p) for p in plans]
+    start = np.cumsum([0] + [p["b"] ** 2 for p in plans])
+    return np.concatenate([r for r, _ in found]), np.concatenate([f + at for (_, f), at in zip(found, start)])
 
 
 def decode(x: np.ndarray, plan: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +132,12 @@ def decode(x: np.ndarray, plan: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(filters)
 
 
-def sketches(x: np.ndarray, plan: dict) -> np.ndarray:
-    return np.packbits(x @ plan["signs"] > 0, axis=1).view(np.int64)
+def sign_directions(dim: int, seed: int = SEED) -> np.ndarray:
+    return np.random.default_rng([seed, dim, SKETCH]).standard_normal((dim, SKETCH))
+
+
+def sketches(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    return np.packbits(x @ signs > 0, axis=1).view(np.int64)
 
 
 def _far(cosine: float) -> int:
@@ -95,15 +151,15 @@ _FILTER_ROW = T.StructType([T.StructField("label", T.LongType()), T.StructField(
                            + [T.StructField(f"s{i}", T.LongType()) for i in range(SKETCH // 64)])
 
 
-def _filter_rows(plan: dict):
+def _filter_rows(plans: list[dict], signs: np.ndarray):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 x = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                rows, filters = decode(x, plan)
-                sk = sketches(x, plan)[rows]
+                rows, filters = candidates(x, plans)
+                sk = sketches(x, signs)[rows]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label").take(pa.array(rows)), pa.array(filters.astype(np.int64)),
                      part.column("id").take(pa.array(rows))] + [pa.array(c) for c in sk.T],
@@ -137,10 +193,10 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     sizes = reps.groupBy(F.size("vec").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
     links = None
     for dim, largest in sorted((r["dim"], r["n"]) for r in sizes):  # vector lengths: one row each
-        plan = plan_filters(dim, largest)
+        plans = plan_tables(dim, largest, cosine)
         same = reps.where(F.size("vec") == dim)
         hits = written(same.select("label", F.col("class").alias("id"), "vec")
-                       .mapInArrow(_filter_rows(plan), _FILTER_ROW), "filters")
+                       .mapInArrow(_filter_rows(plans, sign_directions(dim)), _FILTER_ROW), "filters")
         other = hits.select("label", "filter", *[F.col(c).alias(f"o_{c}") for c in hits.columns[2:]])
         bits = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}"))) for i in range(SKETCH // 64)), F.lit(0))
         pairs = (hits.join(other, ["label", "filter"]).where((F.col("id") < F.col("o_id")) & (bits <= _far(cosine)))
