@@ -30,8 +30,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go from the texts."""
-    return _same_columns(line_dedup(docs), docs)
+    """Later copies of repeated runs of two lines or of 20 words go from the texts."""
+    return _same_columns(line_dedup(docs, min_words=20), docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

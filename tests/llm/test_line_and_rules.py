@@ -52,6 +52,42 @@ def test_line_dedup_empty_table_and_clashing_columns(spark):
     assert got[1].text == "a\nb" and got[2].text == "" and got[2].seq == 8 and got[2].doc == "e"
 
 
+def plain_with_words(rows, k, words):
+    """``later_copies`` for runs of ``k`` lines, or of fewer with ``words`` words."""
+    seqs = {i: [(n, x.strip(" \t\r\x0b\x0c")) for n, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")]
+            for i, t in rows if i is not None and t is not None}
+    gone = set()
+    for d in range(1, k + 1):
+        first = {}
+        for i in sorted(seqs):
+            for a in range(len(seqs[i]) - d + 1):
+                run = tuple(x for _, x in seqs[i][a:a + d])
+                if first.setdefault(run, (i, a)) != (i, a) and (d == k or sum(len(x.split()) for x in run) >= words):
+                    gone |= {(i, seqs[i][a + j][0]) for j in range(d)}
+    return {i: (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)) for i, t in rows}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_line_dedup_of_long_lines_against_plain_python(spark, k):
+    line = " ".join(f"w{i}" for i in range(24))
+    rows = ROWS + [(20, line), (21, line), (22, f"x1\n  {line}\t\ny1"), (23, "one two three\nfour five six"),
+                   (24, "p\none two three\nfour five six\nq"), (25, "one two three\nr"), (26, "two words"), (27, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (5, 20):
+        got = {r.doc_id: r.text for r in line_dedup(df, min_lines=k, min_words=words).collect()}
+        assert got == plain_with_words(rows, k, words)
+        assert got[20] == line and got[21] == "" and got[22] == "x1\ny1"
+
+
+def test_pipeline_stage_cuts_copies_of_one_long_line(spark):
+    import corpus_pipeline
+    line = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, line, "en", "s", len(line)), (2, line, "en", "s", len(line)), (3, "short line", "en", "s", 10), (4, "short line", "en", "s", 10)]
+    out = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, DOCS), SF)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [
+        (1, line, len(line)), (2, "", 0), (3, "short line", 10), (4, "short line", 10)]
+
+
 def base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]

@@ -15,6 +15,11 @@ A maximal repeated run of at least ``min_lines`` lines is the union of the
 ``min_lines``-line runs in it, so a line is deleted exactly if some repeated
 run of ``min_lines`` lines covers it and starts after that run's first start
 in (doc_id, line) order.  Blank lines stay where they are.
+
+With ``min_words``, repeated runs of fewer lines count too if their lines
+have at least that many words (runs of anything but ASCII white space)
+together, so one long line or a document of one line is a run as well.  Then
+every depth below ``min_lines`` is visited, one line deeper at a time.
 """
 
 from __future__ import annotations
@@ -22,53 +27,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import SPACE, let
 
 TRIM = " \t\r\x0b\x0c"
 
 
 def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, seq, line, h1, h2)``: one row per non-blank line; ``seq``
-    counts non-blank lines of the document, ``line`` all of them."""
+    """``(doc, seq, line, h1, h2, words)``: one row per non-blank line;
+    ``seq`` counts non-blank lines of the document, ``line`` all of them."""
     trimmed = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.btrim(x, F.lit(TRIM)))
     marks = F.filter(
         F.transform(trimmed, lambda x, i: F.struct(i.alias("line"), F.length(x).alias("len"),
                                                    F.xxhash64(x).alias("h1"),
-                                                   F.xxhash64(F.lit(1), x, F.lit(2)).alias("h2"))),
+                                                   F.xxhash64(F.lit(1), x, F.lit(2)).alias("h2"),
+                                                   F.size(F.split(x, SPACE)).cast("long").alias("words"))),
         lambda s: s["len"] > 0)
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(marks).alias("seq", "m"))
-    return rows.where("doc IS NOT NULL").select("doc", "seq", "m.line", "m.h1", "m.h2")
+    return rows.where("doc IS NOT NULL").select("doc", "seq", "m.line", "m.h1", "m.h2", "m.words")
 
 
-def _named(pos: DataFrame, keys: list[str]) -> DataFrame:
+def _named(pos: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """Positions whose key occurs more than once, with the group's smallest
     position as name (``n_doc``, ``n_seq``)."""
     groups = (pos.groupBy(*keys)
               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "seq")).alias("first"))
               .where("n > 1").select(*keys, F.col("first.doc").alias("n_doc"), F.col("first.seq").alias("n_seq")))
-    return pos.join(groups, keys).select("doc", "seq", "line", "n_doc", "n_seq")
+    return pos.join(groups, keys).select("doc", "seq", *keep, "n_doc", "n_seq")
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_lines: int = 2) -> DataFrame:
+                 min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """``(doc, seq)`` of every line that a later copy of a repeated run of at
-    least ``min_lines`` lines covers."""
+    least ``min_lines`` lines, or of at least ``min_words`` words, covers."""
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    named = _named(line_positions(docs, id_col, text_col), ["h1", "h2"])
-    depth = 1
+
+    def covered(runs: DataFrame, depth: int) -> DataFrame:
+        later = runs.where("doc <> n_doc OR seq <> n_seq")
+        return later.select("doc", F.explode(F.sequence(F.col("seq"), F.col("seq") + (depth - 1))).alias("seq"))
+
+    positions = line_positions(docs, id_col, text_col)
+    if min_words is None:
+        keep = ["line"]
+        positions = positions.drop("words")
+    else:  # words of the line, and of the run from it
+        keep = ["words", "run_words"]
+        positions = positions.withColumn("run_words", F.col("words")).drop("line")
+    named = _named(positions, ["h1", "h2"], keep)
+    depth, gone = 1, []
     while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        ahead = named.select("doc", (F.col("seq") - step).alias("seq"),
-                             F.col("n_doc").alias("a_doc"), F.col("n_seq").alias("a_seq"))
+        if min_words is None:
+            step = min(depth, min_lines - depth)
+        else:
+            gone.append(covered(named.where(F.col("run_words") >= min_words), depth))
+            step = 1
+        ahead = named.select("doc", (F.col("seq") - step).alias("seq"), F.col("n_doc").alias("a_doc"),
+                             F.col("n_seq").alias("a_seq"), *[F.col(c).alias(f"a_{c}") for c in keep[1:]])
         pairs = named.join(ahead, ["doc", "seq"]).withColumnsRenamed({"n_doc": "b_doc", "n_seq": "b_seq"})
-        named = _named(pairs, ["b_doc", "b_seq", "a_doc", "a_seq"])
+        if min_words is not None:
+            pairs = pairs.withColumn("run_words", F.col("words") + F.col("a_run_words"))
+        named = _named(pairs, ["b_doc", "b_seq", "a_doc", "a_seq"], keep)
         depth += step
-    later = named.where("doc <> n_doc OR seq <> n_seq")
-    return later.select("doc", F.explode(F.sequence(F.col("seq"), F.col("seq") + (min_lines - 1))).alias("seq")).distinct()
+    out = covered(named, min_lines)
+    for g in gone:
+        out = out.union(g)
+    return out.distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
+               min_words: int | None = None) -> DataFrame:
     """``docs`` with the later copies of repeated line runs cut out of the
     text, plus ``n_lines_removed`` (long).
 
@@ -77,7 +104,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id is never compared.  Rows that share an id are one document each
     only if ids are unique, as ``doc_id`` is; an empty table gives none.
     """
-    gone = (later_copies(docs, id_col, text_col, min_lines)
+    gone = (later_copies(docs, id_col, text_col, min_lines, min_words)
             .groupBy("doc").agg(F.sort_array(F.collect_list("seq")).alias("__gone")))
     out = docs.join(gone.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
     return (out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_without(text_col)))
