@@ -158,6 +158,36 @@ def test_html_main_text():
     assert content("only text, no tags.") == "only text, no tags." and content("<p>a<p>b &lt;c") == "a\nb <c"
 
 
+def prose(n, word):
+    return " ".join(f"The {word} number {i}, as told before, is a long one." for i in range(n))
+
+
+def shell(inner):
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(6))
+    return (f"<html><body><nav><ul>{links}</ul></nav><div class='ad'>{prose(9, 'ad')}</div>{inner}"
+            f"<div class='x9'><ul>{links}</ul></div><footer>{prose(3, 'foot')}</footer></body></html>")
+
+
+def test_html_articles_of_different_paths():
+    page = shell(f"<article class='lead'><h1>One</h1><p>{prose(80, 'lead')}</p><p>Short.</p></article>"
+                 f"<article class='brief'><h2>Two</h2><p>{prose(16, 'brief')}</p><p>Brief.</p></article>")
+    assert content(page) == "\n".join(["One", prose(80, "lead"), "Short.", "Two", prose(16, "brief"), "Brief."])
+
+
+def test_html_lead_outside_the_body_div():
+    for tag in ("article", "main", "div class='story'"):
+        page = shell(f"<h1>Title</h1><div class='lead'><p>{prose(5, 'lead')}</p></div><{tag}><p>{prose(60, 'body')}</p>"
+                     f"<h2>Part</h2><p>{prose(30, 'more')}</p><p>End.</p></{tag.split()[0]}>")
+        assert content(page) == "\n".join(["Title", prose(5, "lead"), prose(60, "body"), "Part", prose(30, "more"), "End."])
+
+
+def test_html_sections_without_article():
+    parts = [f"<div class='s{i}'><h2>Part {i}</h2><p>{prose(4 + i, 'part')}</p><p>Note.</p></div>" for i in range(4)]
+    want = [x for i in range(4) for x in (f"Part {i}", prose(4 + i, "part"), "Note.")]
+    assert content(shell("".join(parts))) == "\n".join(want)
+    assert content(shell("<section><h1>Top</h1>" + "".join(parts) + "</section>")) == "\n".join(["Top", *want])
+
+
 def test_html_extract_rows(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (3, "u", "<p>x, y.</p>"), (None, "v", "<b>z"), (4, "w", "<p>" + "<b>q " * 3000)]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")

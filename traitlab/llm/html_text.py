@@ -7,10 +7,15 @@ ratio of a path is text per block, fused (multiplied) with punctuation per
 block, both on a log scale.  Ratios are smoothed along the page with the
 neighbouring blocks that share the parent path, so a short paragraph among
 long ones keeps its place.  Paths whose smoothed, fused
-ratio reaches the page's threshold (a share of its deviation) are content;
-the article is the subtree that holds most of them, and its blocks are
-returned in page order - those of paths that name what is not part of an
-article (menus, headers, footers, notices, adverts, forms, comments) never.
+ratio reaches the page's threshold (a share of its deviation) are content and
+all of their blocks are returned, in page order, wherever they stand.  Blocks
+of a lower ratio (headings, short paragraphs) come with them below the parent
+of a content path, below a common ancestor of several (the page's own body
+counts for its direct children only), and as headings right before content.
+On a page with content in <article> or <main>, those are taken as the region
+of lower ratios instead.  Text under a tag whose name, class, id or role says
+that it is not part of an article (menus, headers, footers, notices, adverts,
+forms, comments) is never read, whatever its ratio.
 """
 
 from __future__ import annotations
@@ -57,6 +62,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACES = re.compile(r"\s+")
 SHARE = 0.5
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Block:
@@ -187,22 +193,36 @@ def content(page: str | None) -> str:
         smooth.append(sum(near) / len(near))
     mean = sum(smooth) / len(smooth)
     bar = SHARE * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    weight: dict[str, float] = {}
-    for i, (b, t) in enumerate(found):
-        if smooth[i] >= bar:  # content counts for every path above it
-            p = parent[i]
-            while p:
-                weight[p] = weight.get(p, 0.0) + len(t)
-                p = p.rpartition("/")[0]
-    if not weight:
-        return "\n".join(t for _, t in found)
-    total = max(weight.values())
-    roots = []
-    for tag in ("article", "main"):
-        roots = roots or [p for p in weight if p.rpartition("/")[2].split(".")[0] == tag and weight[p] >= 0.3 * total]
-    if not roots:  # the deepest path that holds nearly all content
-        roots = [max((p for p in weight if weight[p] >= 0.9 * total), key=lambda p: (p.count("/"), weight[p]))]
-    return "\n".join(t for b, t in found if any(b.path == r or b.path.startswith(r + "/") for r in roots))
+    passed = [x >= bar for x in smooth]
+    regions = _regions({b.path for (b, _), x in zip(found, passed) if x})
+    keep = [x or any(b.path.startswith(r + "/") or b.path == r for r in regions[0]) or q in regions[1]
+            for (b, _), x, q in zip(found, passed, parent)]
+    for i in range(len(keep) - 2, -1, -1):  # a heading goes with what follows it
+        keep[i] = keep[i] or keep[i + 1] and _tag(found[i][0].path) in HEADINGS
+    return "\n".join(t for (_, t), x in zip(found, keep) if x)
+
+
+def _tag(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
+def _regions(paths: set[str]) -> tuple[set[str], set[str]]:
+    """Where blocks of a lower ratio stay: below the paths of the first set,
+    and right below those of the second."""
+    above: dict[str, set] = {}  # path: its children on the way to content
+    for p in paths:
+        while p:
+            up = p.rpartition("/")[0]
+            if p in above.setdefault(up, set()):
+                break
+            above[up].add(p)
+            p = up
+    marked = {p for p in above.keys() | paths if _tag(p) in ("article", "main")}
+    if marked:
+        return marked, set()
+    found = {p.rpartition("/")[0] for p in paths} | {p for p, c in above.items() if len(c) > 1}
+    page = {p for p in found if _tag(p) in ("", "html", "body")}
+    return found - page, page
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
