@@ -172,6 +172,69 @@ def op3_toxicity(spark, sf_dir):
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain rounds: every part against every entry of its codebook."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT vec_id, part, p, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT s.vec_id, s.part, s.p, b.entry,
+           list_sum(list_transform(range(1, len(s.p) + 1), lambda i: (s.p[i] - b.e[i]) * (s.p[i] - b.e[i])))::BIGINT AS d
+    FROM s JOIN b{r} b ON b.part = s.part) GROUP BY vec_id, part, p)"""
+    step = """m{r} AS (
+  SELECT part, entry, list(z ORDER BY nth) AS e FROM (
+    SELECT part, entry, nth, CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS z
+    FROM (SELECT part, entry, unnest(p) AS x, unnest(range(len(p))) AS nth FROM a{r}) GROUP BY part, entry, nth)
+  GROUP BY part, entry),
+b{n} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM b{r} b LEFT JOIN m{r} m ON m.part = b.part AND m.entry = b.entry)"""
+    ctes = [f"""v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT vec_id, k.part, list_slice(v, k.part * (len(v) // {parts}) + 1, (k.part + 1) * (len(v) // {parts})) AS p
+  FROM v CROSS JOIN (SELECT unnest(range({parts})) AS part) k),
+b0 AS MATERIALIZED (
+  SELECT s.part, f.entry, s.p AS e FROM s JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) f
+  ON f.vec_id = s.vec_id)"""]
+    for r in range(rounds):
+        ctes += [near.format(r=r), step.format(r=r, n=r + 1)]
+    ctes.append(near.format(r=rounds))
+    return "WITH " + ",\n".join(ctes) + f""",
+c AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id),
+w AS (SELECT v.label, c.* FROM c JOIN v ON v.vec_id = c.vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM w CROSS JOIN h
+"""
+
+
+@query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark, sf_dir):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from .vector_codes import compress
+    codes, books = compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    text = ",".join(str(x) for book in books for entry in book.tolist() for x in entry)
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                        F.lit(hashlib.sha256(text.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+@query("op12_piece_bpe")
+def op12_piece_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .piece_bpe import encode
+    ids = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def registered() -> dict:
     """The queries by name, and ``pipeline`` from corpus_pipeline.py."""
     import corpus_pipeline
