@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from conftest import SF001, SF01, need
+from helpers import SF001, SF01, need
 
 import __spark_entry__ as E
 

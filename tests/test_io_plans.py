@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF01, need
+from helpers import SF01, need
 from traitlab.operators import draws as D
 from traitlab.operators.ranking import rank_within
 from traitlab.plans import views as V
@@ -130,7 +130,7 @@ def test_cleanup_scratch_removes_only_session_files(spark):
 def test_no_query_plans_a_cartesian_product(spark):
     """Every registered query: no CartesianProduct, and any nested-loop
     join has a broadcast build side (the one-row attach)."""
-    from conftest import SF001
+    from helpers import SF001
     need(f"{SF001}/lineitem.parquet")
     import __spark_entry__ as E
     spark.conf.set("spark.sql.adaptive.enabled", "false")
