@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def matrix(column, dim: int) -> np.ndarray:
+    """An Arrow list column without nulls as a matrix of doubles ``dim`` wide;
+    shorter lists go on with 0."""
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(n), dim))
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    return out
+
+
 def let(value, fn):
     """``fn`` of a column that is computed once per row, however often ``fn``
     uses it (also inside the function of a higher-order function, where a

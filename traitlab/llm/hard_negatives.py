@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import matrix, written
 
 SAMPLE = 4096      # rows on which the tree is fitted
 FANOUT = 8         # split points of a node
@@ -146,13 +146,8 @@ def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def floors(column, scale: float, dim: int) -> np.ndarray:
-    """floor(scale * x) of an array column as a matrix ``dim`` wide; shorter
-    vectors go on with 0."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        out[i, :len(r)] = r
-    return np.floor(out * scale)
+    """floor(scale * x) of an Arrow list column."""
+    return np.floor(matrix(column, dim) * scale)
 
 
 def first_rows(score: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +173,7 @@ class Index:
         rows = written(rows, "vectors")
         r = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
         self.dim, count = r[0] or 0, r[1]
-        sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"]
+        sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
         self.tree = tree = Tree(floors(sample, scale, self.dim), count)
         dim = self.dim
 

@@ -25,24 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import matrix, written
 
 ROWS = 2048            # vectors whose pairs with entries a task holds at once
 FEW_GROUPS = 100_000   # groups whose sums are broadcast; more are joined by shuffle
 SPREAD = 64            # tasks that share one group's rows there
 
 
-def integers(rows: list, scale: int, dim: int) -> np.ndarray:
-    """floor(scale * x) of vectors as a matrix ``dim`` wide; shorter vectors
-    go on with 0.  Python's integers where 64 bits might not do."""
-    out = np.zeros((len(rows), dim))
-    for i, r in enumerate(rows):
-        out[i, :len(r)] = r
-    top = np.abs(out).max(initial=0) * scale
-    if top < 2.0 ** 52:
-        return np.floor(out * scale).astype(np.int64)
-    big = [[math.floor(v * scale) if abs(v) < 2.0 ** 52 else int(v) * scale for v in r] for r in out.tolist()]
-    return np.array(big, dtype=object).reshape(len(rows), dim)
+def integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x); Python's integers where 64 bits might not do."""
+    if np.abs(x).max(initial=0) * scale < 2.0 ** 52:
+        return np.floor(x * scale).astype(np.int64)
+    big = [[math.floor(v * scale) if abs(v) < 2.0 ** 52 else int(v) * scale for v in r] for r in x.tolist()]
+    return np.array(big, dtype=object).reshape(x.shape)
 
 
 def sequency_order(m: int) -> np.ndarray:
@@ -130,9 +125,9 @@ def train(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6
     v = usable(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "v")
     length = v.agg(F.max(F.size("v"))).first()[0] or 0
     width = -(-length // parts)
-    first = [r.v for r in v.orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).collect()]
-    books = _parts(integers(first, scale, width * parts), parts)
-    if not first or not width:
+    first = v.orderBy(F.col("id").asc_nulls_last(), "v").limit(entries).select("v").toArrow()["v"].combine_chunks()
+    books = _parts(integers(matrix(first, width * parts), scale), parts)
+    if not len(first) or not width:
         return books
     for _ in range(rounds):
         now = books
@@ -141,7 +136,7 @@ def train(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6
             sums = [np.zeros(b.shape, object if b.dtype == object else np.int64) for b in now]
             counts = np.zeros((parts, len(now[0])), np.int64)
             for b in batches:
-                x = integers(b.column(0).to_pylist(), scale, width * parts)
+                x = integers(matrix(b.column(0), width * parts), scale)
                 for p, (xp, book) in enumerate(zip(_parts(x, parts), now)):
                     code, _ = nearest(xp, book)
                     counts[p] += np.bincount(code, minlength=len(book))
@@ -174,7 +169,7 @@ def encode(vectors: DataFrame, books: list, scale: int = 4096, id_col: str = "ve
 
     def run(batches):
         for b in batches:
-            x = integers(b.column("_v").to_pylist(), scale, width * parts)
+            x = integers(matrix(b.column("_v"), width * parts), scale)
             codes, error = np.zeros((len(x), parts), np.uint8), np.zeros(len(x), object)
             for p, (xp, book) in enumerate(zip(_parts(x, parts), books)):
                 codes[:, p], dist = nearest(xp, book)
