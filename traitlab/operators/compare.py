@@ -22,9 +22,11 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import linalg
+from ..session import cut_lineage
 from .ranking import ACCURACY, MARGIN, group_quantiles, join_groups
 
-BLOCKS = 64  # of the draws of one model
+BLOCK_DRAWS = 2048  # draws of one model in a block, on average
 LOG_2PI = math.log(2 * math.pi)
 
 
@@ -59,19 +61,39 @@ def usable_draws(coefs: DataFrame, b0: str = "b0", b1: str = "b1", sigma: str =
 
 
 def meet(few: DataFrame, draws: DataFrame, keys: Sequence[str] = (), it: str = "iter",
-         blocks: int = BLOCKS) -> DataFrame:
+         per_block: int | None = None) -> DataFrame:
     """Every row of ``few`` beside every draw of its model (equal ``keys``,
-    NULL included), block by block."""
+    NULL included), block by block; the number of a model's blocks follows
+    the count of its draws."""
     keys = list(keys)
-    left = few.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = draws.withColumn("_block", F.pmod(F.xxhash64(it), F.lit(blocks)).cast("int"))
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(float(per_block or BLOCK_DRAWS))).cast("int")
+    sizes = draws.groupBy(*keys).agg(blocks.alias("_blocks"))
+    left = join_groups(few, sizes, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    right = join_groups(draws, sizes, keys).withColumn("_block", F.pmod(F.xxhash64(it), "_blocks").cast("int")).drop("_blocks")
     return join_groups(right, left, [*keys, "_block"]).drop("_block")
 
 
 def neg_loglik(x: Column, y: Column, b0: str = "b0", b1: str = "b1", sigma: str = "sigma") -> Column:
     """-log N(y | b0 + b1 x, sigma)."""
-    z = (y - F.col(b0) - F.col(b1) * x) / F.col(sigma)
-    return F.lit(0.5 * LOG_2PI) + F.log(F.col(sigma)) + F.lit(0.5) * z * z
+    return neg_loglik_at(y, F.col(b0) + F.col(b1) * x, F.col(sigma))
+
+
+def neg_loglik_at(y: Column, mu: Column, sigma: Column) -> Column:
+    """-log N(y | mu, sigma)."""
+    z = (y - mu) / sigma
+    return F.lit(0.5 * LOG_2PI) + F.log(sigma) + F.lit(0.5) * z * z
+
+
+def neg_loglik_normal(y: Column, mean: Column, chol: Column) -> Column:
+    """-log of the normal density of any dimension: ``y`` and ``mean`` arrays,
+    ``chol`` the Cholesky factor of the covariance (``linalg.cholesky``)."""
+    z = linalg.forward(chol, F.zip_with(y, mean, lambda a, b: a - b))
+    return F.lit(0.5 * LOG_2PI) * F.size(y) + linalg.log_det_half(chol) + F.lit(0.5) * linalg.let(z, lambda x: linalg.dot(x, x))
+
+
+def covariance_of(sds: Column, corr: Column) -> Column:
+    """The covariance matrix of standard deviations and a correlation matrix."""
+    return F.transform(corr, lambda row, i: F.zip_with(row, sds, lambda r, s: r * s * F.get(sds, i)))
 
 
 def neg_loglik_pair(y1: Column, y2: Column, m1: str = "m1", m2: str = "m2", s1: str = "s1", s2: str = "s2",
@@ -97,8 +119,10 @@ def elpd_loo(obs: DataFrame, draws: DataFrame, neg: Column, ids: Sequence[str],
     ``elpd_i = -(M_i + ln(avg_s exp(-ll_is - M_i)))``, ``M_i = max_s(-ll_is)``.
 
     Two passes, each a partial aggregate per observation: the shift, the sum.
+    Draws and observations, read twice, are written once.
     """
     one = [*keys, *ids]
+    obs, draws = cut_lineage(obs, "obs"), cut_lineage(draws, "draws")
     top = meet(obs, draws, keys, it).groupBy(*one).agg(F.max(neg).alias("_shift"))
     again = meet(join_groups(obs, top, one), draws, keys, it)
     s = again.groupBy(*one).agg(F.avg(F.exp(neg - F.col("_shift"))).alias("_a"), F.max("_shift").alias("_shift"))
@@ -167,9 +191,10 @@ def elpd_psis(obs: DataFrame, draws: DataFrame, neg: Column, ids: Sequence[str],
 
     Draws meet the observations three times: for the sketch, for the sum of
     the ratios below its cut, and for the few above it, which alone are
-    ranked and fitted.
+    ranked and fitted.  Both are written once.
     """
     one = [*keys, *ids]
+    obs, draws = cut_lineage(obs, "obs"), cut_lineage(draws, "draws")
     s = F.col("_S").cast("double")
     size = (meet(obs, draws, keys, it).groupBy(*one)
             .agg(F.count(F.lit(1)).alias("_S"), F.max(neg).alias("_shift"),

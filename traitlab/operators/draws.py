@@ -14,6 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import linalg
 from ..session import cut_lineage
 from .ranking import group_quantiles, join_groups, rank_within
 
@@ -358,6 +359,18 @@ def check_draws(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "valu
     return g.withColumn("equal_chains", F.col("min_chain_n") == F.col("max_chain_n"))
 
 
+def check_correlations(draws: DataFrame, corr: str, keys: Sequence[str] = (), tiny: float = linalg.TINY) -> DataFrame:
+    """K17 for drawn correlation matrices (an array column): per ``keys`` the
+    draws, those with a NULL entry, and those that are not a valid
+    correlation matrix (bounds, symmetry, positive definite; NULLs included)."""
+    c = F.col(corr)
+    whole = F.coalesce(F.forall(c, lambda row: F.forall(row, lambda x: x.isNotNull())), F.lit(False))
+    valid = linalg.is_correlation(c, tiny)
+    checked = draws.select(*keys, whole.alias("_whole"), valid.alias("_valid"))
+    return checked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_draws"), F.count_if(~F.col("_whole")).alias("n_incomplete"),
+                                      F.count_if(~F.col("_valid")).alias("n_invalid"))
+
+
 def correlation_bounds_ok(col: Column) -> Column:
     """A correlation draw lies in [-1, 1]."""
     return col.between(-1.0, 1.0)

@@ -16,8 +16,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import linalg as L
 from .perdraw import guarded_corr
-from .ranking import attach_scalars
+from .ranking import attach_scalars, join_groups
 
 # Poisson(1) cumulative probabilities P(X <= k): the cut points that turn a
 # uniform draw into a bootstrap weight, as many as a 32-bit uniform can reach.
@@ -74,6 +75,49 @@ def within_regression(df: DataFrame, group: Sequence[str], y: str, *xs: str) ->
     return s.select(*[F.col(f"a_{i}_{k}").alias(f"b_{x}") for i, x in enumerate(xs)], "n", "groups")
 
 
+def _normal_equations(k: int) -> tuple[Column, Column]:
+    """Matrix and right side out of columns ``s_<i>_<j>`` (i <= j <= k, the
+    last is y)."""
+    m = F.array(*[F.array(*[F.col(f"s_{min(i, j)}_{max(i, j)}") for j in range(k)]) for i in range(k)])
+    return m, F.array(*[F.col(f"s_{i}_{k}") for i in range(k)])
+
+
+def _solved(sums: DataFrame, k: int, n: Column, lost: Column, keep: Sequence) -> DataFrame:
+    """(keep..., _b, sigma): coefficients of every row's system at once, and
+    the residual sd with ``n - lost - k`` degrees of freedom."""
+    m, r = _normal_equations(k)
+    s = sums.withColumn("_b", L.solve(m, r)).withColumn("_r", r)
+    sse = F.greatest(F.col(f"s_{k}_{k}") - L.dot(F.col("_b"), F.col("_r")), F.lit(0.0))
+    free = n - lost - k
+    return s.select(*keep, "_b", F.when(free > 0, F.sqrt(sse / free)).alias("sigma"))
+
+
+def regression_draws(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], group: str | None = None,
+                     intercept: str = "Intercept") -> DataFrame:
+    """Coefficients of ``y ~ xs`` within each of ``by`` (a draw) as long draws
+    (by..., term, value): terms ``Intercept``, the names in ``xs``, ``sigma``.
+
+    With ``group`` there is an intercept per group instead, the term
+    ``<intercept>[<group>]`` (K4 per draw): slopes from the within-group sums,
+    intercepts from the group means.  Rows with a NULL are left out; where a
+    predictor is determined by those before it, or no degree of freedom is
+    left, there are no terms.
+    """
+    by, k, cols = list(by), len(xs), [*xs, y]
+    inner = [*by, group] if group else by
+    g = within_sums(df, inner, cols)
+    sums = g.groupBy(*by).agg(*[F.sum(f"s_{i}_{j}").alias(f"s_{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)],
+                              F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_g"))
+    fit = _solved(sums, k, F.col("_n"), F.col("_g"), by).where("sigma IS NOT NULL AND forall(_b, x -> x IS NOT NULL)")
+    means = g.select(*inner, F.array(*[F.col(f"m_{i}") for i in range(k)]).alias("_m"), F.col(f"m_{k}").alias("_my"))
+    level = join_groups(means, fit, by).select(
+        *by, (F.concat(F.lit(f"{intercept}["), F.col(group).cast("string"), F.lit("]")) if group else F.lit(intercept)).alias("term"),
+        (F.col("_my") - L.dot(F.col("_b"), F.col("_m"))).alias("value"))
+    slopes = F.array(*[F.struct(F.lit(x).alias("term"), F.get("_b", F.lit(i)).alias("value")) for i, x in enumerate(xs)],
+                     F.struct(F.lit("sigma").alias("term"), F.col("sigma").alias("value")))
+    return level.unionByName(fit.select(*by, F.explode(slopes).alias("_t")).select(*by, "_t.term", "_t.value"))
+
+
 def pool_means(df: DataFrame, group: str, y: str) -> DataFrame:
     """K5: partial pooling of group means (one-way ANOVA moments).
 
@@ -196,6 +240,108 @@ def bootstrap_draws(df: DataFrame, key: str, y: str, x: str | None = None,
     return g.select(*out)
 
 
+#: Uniform numbers out of one hash: groups of eight hex digits.
+PER_HASH = 8
+
+
+def bootstrap_weights(df: DataFrame, key: str, replicates: int) -> DataFrame:
+    """Rows times replicates (``iter`` from 1) with a Poisson(1) weight ``_w``
+    above zero.  One sha256 of the key and a block's number, ``<key>_<block>``,
+    gives the weights of ``PER_HASH`` replicates."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // PER_HASH)))
+    h = df.withColumn("_blk", blocks)
+    h = h.withColumn("_h", F.sha2(F.concat(F.col(key).cast("string"), F.lit("_"), F.col("_blk").cast("string")), 256))
+    h = h.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.lit(PER_HASH), replicates - F.col("_blk") * PER_HASH) - 1)))
+    u = F.conv(F.substring("_h", F.col("_j") * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
+    h = h.withColumn("_u", u).where(F.col("_u") >= POISSON1_CDF[0])
+    w = F.lit(len(POISSON1_CDF))
+    for i in reversed(range(1, len(POISSON1_CDF))):
+        w = F.when(F.col("_u") < POISSON1_CDF[i], i).otherwise(w)
+    return (h.withColumn("_w", w.cast("double")).withColumn("iter", F.col("_blk") * PER_HASH + F.col("_j") + 1)
+            .drop("_blk", "_h", "_j", "_u"))
+
+
+def bootstrap_regression(df: DataFrame, key: str, group: str, y: str, xs: Sequence[str], replicates: int = 100,
+                         model: str = "boot", chain: int = 1) -> DataFrame:
+    """K8 on K4: in each Poisson-bootstrap replicate the weighted regression
+    ``y ~ xs`` with group intercepts, as long draws (model, chain, iter, par,
+    value) with the parameters ``b_<x>`` and ``sigma``.
+
+    Rows emit their weights in place; sums of products of values, shifted by
+    their overall means, are added per (group, replicate) on the map side;
+    what is left is one row per replicate, all systems solved in one
+    projection.  Rows with a NULL are left out; a replicate in which a
+    predictor is determined by those before it gives no rows.
+    """
+    k, cols = len(xs), [*xs, y]
+    src = df.dropna(subset=cols)
+    src = attach_scalars(src.select(key, group, *cols), src.agg(*[F.avg(c).alias(f"_c{i}") for i, c in enumerate(cols)]))
+    src = src.select(key, group, *[(F.col(c) - F.col(f"_c{i}")).alias(f"z_{i}") for i, c in enumerate(cols)])
+    w = bootstrap_weights(src, key, replicates)
+    wz = [F.col("_w") * F.col(f"z_{i}") for i in range(k + 1)]
+    g = w.groupBy(group, "iter").agg(F.sum("_w").alias("_sw"), *[F.sum(wz[i]).alias(f"t_{i}") for i in range(k + 1)],
+                                     *[F.sum(wz[i] * F.col(f"z_{j}")).alias(f"p_{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)])
+    within = [F.sum(F.col(f"p_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("_sw")).alias(f"s_{i}_{j}")
+              for i in range(k + 1) for j in range(i, k + 1)]
+    sums = g.groupBy("iter").agg(*within, F.sum("_sw").alias("_n"), F.count(F.lit(1)).alias("_g"))
+    fit = _solved(sums, k, F.col("_n"), F.col("_g"), ["iter"])
+    items = [F.struct(F.lit(f"b_{x}").alias("par"), F.get("_b", F.lit(i)).alias("value")) for i, x in enumerate(xs)]
+    items.append(F.struct(F.lit("sigma").alias("par"), F.col("sigma").alias("value")))
+    return (fit.select(F.col("iter").cast("long").alias("iter"), F.explode(F.array(*items)).alias("_p"))
+            .select(F.lit(model).alias("model"), F.lit(chain).alias("chain"), "iter", "_p.par", "_p.value").where("value IS NOT NULL"))
+
+
+def pool_correlated(df: DataFrame, group: str, ys: Sequence[str], treat: str, treated: str, reference: str,
+                    effects: str = "both") -> DataFrame:
+    """K5 / K6 with correlated group effects over several responses: (grp,
+    n1, n0, raw, shrunk, between), arrays over the effects.
+
+    A group's effects are, per response, the mean under ``reference`` and the
+    difference that ``treated`` makes (``effects="both"``), or the
+    differences only (``"treatment"``).  Their sampling covariance V_g comes
+    from the covariances of the responses within (group, treatment); the
+    between-group covariance by moments is T = cov(effects) - mean(V_g),
+    with negative eigenvalues set to zero; each group's effects are shrunk
+    to the mean effects m by ``m + T (T + V_g)^-1 (d_g - m)``.  Rows with a
+    NULL in ys are left out, and groups with fewer than two rows of either
+    treatment.  ``between`` is T.
+    """
+    r = len(ys)
+    d = df.where(F.col(treat).isin(treated, reference)).dropna(subset=list(ys))
+    cells = within_sums(d.withColumn("_t", (F.col(treat) == treated).cast("int")), [group, "_t"], list(ys))
+    cells = cells.where("n >= 2").groupBy(group).agg(*[
+        F.max(F.when(F.col("_t") == t, F.struct("n", F.array(*[F.col(f"m_{i}") for i in range(r)]).alias("m"), F.array(*[
+            F.array(*[F.col(f"s_{min(i, j)}_{max(i, j)}") / (F.col("n") - 1) / F.col("n") for j in range(r)])
+            for i in range(r)]).alias("v")))).alias(f"c{t}") for t in (0, 1)]).where("c0 IS NOT NULL AND c1 IS NOT NULL")
+
+    def m(t, i):
+        return F.get(F.col(f"c{t}.m"), F.lit(i))
+
+    def v(t, i, j):
+        return F.get(F.get(F.col(f"c{t}.v"), F.lit(i)), F.lit(j))
+
+    kinds = ("mean", "diff") if effects == "both" else ("diff",)
+    names = [(kind, i) for i in range(r) for kind in kinds]
+
+    def cov(a, b):
+        (ka, i), (kb, j) = a, b
+        if ka == kb == "diff":
+            return v(0, i, j) + v(1, i, j)
+        return v(0, i, j) if ka == kb else -v(0, i, j)
+
+    g = cells.select(F.col(group).alias("grp"), F.col("c1.n").alias("n1"), F.col("c0.n").alias("n0"),
+                     F.array(*[m(0, i) if kind == "mean" else m(1, i) - m(0, i) for kind, i in names]).alias("raw"),
+                     F.array(*[F.array(*[cov(a, b) for b in names]) for a in names]).alias("_v"))
+    k = len(names)
+    one = g.agg(F.array(*[F.avg(F.get("raw", F.lit(i))) for i in range(k)]).alias("_m"), F.array(*[F.array(*[
+        F.covar_samp(F.get("raw", F.lit(i)), F.get("raw", F.lit(j))) - F.avg(F.get(F.get("_v", F.lit(i)), F.lit(j)))
+        for j in range(k)]) for i in range(k)]).alias("_t"))
+    one = one.select("_m", L.nearest_valid(F.col("_t")).alias("between"))
+    j = attach_scalars(g, one).withColumn("_d", F.zip_with("raw", "_m", lambda a, b: a - b))
+    j = j.withColumn("_s", L.times(F.col("between"), L.solve(L.matrix_add(F.col("between"), F.col("_v")), F.col("_d"))))
+    return j.select("grp", "n1", "n0", "raw", F.zip_with("_m", "_s", lambda a, b: a + b).alias("shrunk"), "between")
+
+
 def as_draws(boot: DataFrame, model: str, values: dict[str, str], by: Sequence[str] = (),
              chain: int = 1) -> DataFrame:
     """K8 output in the shared shape ``(model, chain, iter, par, value)``:
