@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg as L
+from ..session import cut_lineage
 from .compare import meet
 from .draws import point_interval
 from .ranking import join_groups
@@ -92,29 +93,31 @@ def linear_predictor(design: DataFrame, draws: DataFrame, ids: Sequence[str], ke
 def term_ribbon(design: DataFrame, draws: DataFrame, ids: Sequence[str], keys: Sequence[str] = (), it: str = "iter",
                 link: str = "identity", width: float = 0.95, interval: str = "hpd") -> DataFrame:
     """K10 with any terms: point and interval of the (back-transformed)
-    predictor per row of the design."""
-    mu = linear_predictor(design, draws, ids, keys, it)
+    predictor per row of the design.  The predictors, read several times, are
+    written once."""
+    mu = cut_lineage(linear_predictor(design, draws, ids, keys, it), "predictor")
     if link == "exp":
         mu = mu.withColumn("mu", F.exp("mu"))
     return point_interval(mu, list(ids), "mu", width, "median", interval)
 
 
 def covariance(rows: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
-    """(keys..., mean, cov, n): mean vector and sample covariance matrix of an
+    """(keys..., mean, cov): mean vector and sample covariance matrix of an
     array column.  Each row emits its upper triangle in place, one partial
     aggregate per (keys, i, j) follows."""
     keys = list(keys)
     pairs = F.flatten(F.transform(vec, lambda a, i: F.transform(
         F.slice(F.col(vec), i + 1, F.size(vec) - i), lambda b, j: F.struct(i.alias("i"), (i + j).alias("j"), a.alias("a"), b.alias("b")))))
-    g = (rows.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.*").groupBy(*keys, "i", "j")
-         .agg(F.covar_samp("a", "b").alias("c"), F.avg("a").alias("m"), F.count(F.lit(1)).alias("n")))
-    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", F.col("c").alias("x")))).otherwise(
-        F.array(F.struct("i", "j", F.col("c").alias("x")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("c").alias("x"))))
+    at, i, j = F.struct("_p.i", "_p.j"), F.col("_at.i"), F.col("_at.j")
+    g = (rows.select(*keys, F.explode(pairs).alias("_p")).groupBy(*keys, at.alias("_at"))
+         .agg(F.covar_samp("_p.a", "_p.b").alias("_cv"), F.avg("_p.a").alias("_av")))
+    x = F.col("_cv").alias("x")
+    both = F.when(i == j, F.array(F.struct(i.alias("i"), j.alias("j"), x))).otherwise(
+        F.array(F.struct(i.alias("i"), j.alias("j"), x), F.struct(j.alias("i"), i.alias("j"), x)))
     return (g.groupBy(*keys).agg(
-        F.flatten(F.collect_list(both)).alias("_e"), F.max("n").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", "m")))).alias("_m"))
-        .select(*keys, F.transform("_m", lambda e: e["m"]).alias("mean"),
-                L.matrix_of(F.col("_e"), F.size("_m")).alias("cov"), "n"))
+        F.flatten(F.collect_list(both)).alias("_e"),
+        F.array_sort(F.collect_list(F.when(i == j, F.struct(i.alias("i"), F.col("_av").alias("m"))))).alias("_m"))
+        .select(*keys, F.transform("_m", lambda e: e["m"]).alias("mean"), L.matrix_of(F.col("_e"), F.size("_m")).alias("cov")))
 
 
 def predict_terms(design: DataFrame, draws: DataFrame, ids: Sequence[str], keys: Sequence[str] = (), it: str = "iter",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..session import cut_lineage
-from .ranking import group_quantiles, join_groups, rank_within
+from .ranking import group_quantiles, join_groups, rank_within, tails
 
 KEYS = ("par",)
 
@@ -77,21 +77,24 @@ def hpd_interval(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "val
     (NULL bounds where there is no such pair).
 
     Sorted draws v_1..v_n, k = floor(w n); among pairs (v_r, v_{r+k}) the
-    smallest difference wins, ties to the smallest r.  The pairs come from
-    an equi-join of the ranked draws with themselves on (keys, r + k), which
-    partitions on the rank, never on the parameter alone.
+    smallest difference wins, ties to the smallest r.  r is among the lowest
+    n - k ranks and r + k among the highest, so only the two ends of each
+    group (``ranking.tails``, about 1 - w of the draws each) are written and
+    ranked.  The pairs come from an equi-join of the ends on (keys, r + k),
+    which partitions on the rank, never on the parameter alone.
     """
     keys = list(keys)
-    k = F.floor(F.lit(float(width)) * F.col("n")).cast("long")
-    r = rank_draws(draws, keys, value).select(F.struct(*keys).alias("_g") if keys else F.struct(F.lit(0)).alias("_g"),
-                                              "rn", "n", F.col(value).alias("_v"), k.alias("_k"))
-    a = r.where("rn <= greatest(n - _k, 1)").select("_g", (F.col("rn") + F.col("_k")).alias("_at"),
-                                                    F.col("rn").alias("_r"), F.col("_v").alias("_lo"))
-    b = r.where("rn > _k").select("_g", F.col("rn").alias("_at"), F.col("_v").alias("_hi"))
-    pairs = a.join(b, ["_g", "_at"], "left")
-    best = pairs.groupBy("_g").agg(F.min(F.when(F.col("_hi").isNotNull(), F.struct(
+    tb = [t for t in ("chain", "iter") if t in draws.columns and t not in keys and t != value]
+    ends = cut_lineage(tails(draws, keys, value, 1 - width, tb), "ends")
+    k = F.floor(F.lit(float(width)) * F.col("_n")).cast("long")
+    r = rank_within(ends, ["_of", "_side"], value, tb, rank_col="_r", count_col="_c").withColumn("_k", k)
+    a = r.where("_side = 0 AND _r <= greatest(_n - _k, 1)").select(
+        "_of", (F.col("_r") + F.col("_k")).alias("_at"), "_r", F.col(value).alias("_lo"))
+    b = r.where("_side = 1").select("_of", (F.col("_r") + F.col("_n") - F.col("_c")).alias("_at"), F.col(value).alias("_hi")).where("_at IS NOT NULL")
+    pairs = a.join(b, ["_of", "_at"], "left")
+    best = pairs.groupBy("_of").agg(F.min(F.when(F.col("_hi").isNotNull(), F.struct(
         (F.col("_hi") - F.col("_lo")).alias("_w"), "_r", "_lo", "_hi"))).alias("_m"))
-    return best.select(*[F.col(f"_g.{c}").alias(c) for c in keys], F.col("_m._lo").alias("lower"),
+    return best.select(*[F.col(f"_of.{c}").alias(c) for c in keys], F.col("_m._lo").alias("lower"),
                        F.col("_m._hi").alias("upper"))
 
 
@@ -186,35 +189,53 @@ def split_rhat(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value
     return g.select(*keys, rhat.alias("rhat"))
 
 
-def _ess_pairs(draws: DataFrame, keys: list, value: str, chain: str, it: str, lags: int,
-               cs: DataFrame, gs: DataFrame) -> DataFrame:
-    """Geyer pair sums P_k (k < L/2, L = min(lags, group's lag cap)) with the
-    stop index of each group; lag products come from a block self-join."""
-    B = int(lags)
-    d = (join_groups(draws, cs.select(*keys, chain, "_cm", "_nc"), keys + [chain])
-         .select(*keys, chain, F.col(it).alias("_i"), (F.col(value) - F.col("_cm")).alias("_d"), "_nc"))
-    d = d.withColumn("_blk", F.floor((F.col("_i") - 1) / B))
-    left = d.select(*keys, chain, "_blk", "_i", "_d", "_nc")
-    right = d.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(chain).alias("_r_chain"),
-                     F.explode(F.array(F.col("_blk"), F.col("_blk") - 1)).alias("_r_blk"),
-                     F.col("_i").alias("_j"), F.col("_d").alias("_dj"))
-    cond = ([F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-            + [F.col(chain).eqNullSafe(F.col("_r_chain")), F.col("_blk") == F.col("_r_blk")])
-    lagged = (left.join(right, cond)
-              .withColumn("_t", F.col("_j") - F.col("_i"))
-              .where((F.col("_t") >= 0) & (F.col("_t") < B)))
-    acov = (lagged.groupBy(*keys, chain, "_t")
-            .agg((F.sum(F.col("_d") * F.col("_dj")) / F.first("_nc")).alias("_ac")))
+#: Draws of a chain in one array, for products at a lag.
+BLOCK = 1024
+
+
+def _chain_blocks(draws: DataFrame, keys: list, value: str, chain: str, it: str) -> DataFrame:
+    """(keys..., chain, _blk, _d): deviations from the chain's mean in arrays
+    of ``BLOCK`` consecutive draws (by position in ``it`` order), and the
+    chain's ``_nc``, ``_cm``, ``_cv``."""
+    at = rank_within(draws.select(*keys, chain, it, value), keys + [chain], it, rank_col="_at", count_col="_all")
+    cs = draws.groupBy(*keys, chain).agg(F.avg(value).alias("_cm"), F.var_samp(value).alias("_cv"), F.count(F.lit(1)).alias("_nc"))
+    d = join_groups(at.select(*keys, chain, "_at", F.col(value).alias("_v")), cs, keys + [chain])
+    return (d.groupBy(*keys, chain, "_nc", "_cm", "_cv", F.floor((F.col("_at") - 1) / BLOCK).alias("_blk"))
+            .agg(F.array_sort(F.collect_list(F.struct("_at", (F.col("_v") - F.col("_cm")).alias("d")))).alias("_s"))
+            .select(*keys, chain, "_nc", "_cm", "_cv", "_blk", F.transform("_s", lambda x: x["d"]).alias("_d")))
+
+
+def _ess_pairs(blocks: DataFrame, gs: DataFrame, keys: list, chain: str, lo: int, hi: int) -> DataFrame:
+    """Geyer pair sums (keys..., _k, _P, _m, _n, _L) of lags lo <= t < hi (both
+    even) below the group's lag cap.
+
+    A block's draws meet those at lag t in the block t / BLOCK further on and
+    the one after it, joined into one array: a join on (chain, block), then
+    one product sum per (block, lag), added over blocks.
+    """
+    far = blocks.withColumn("_m", F.explode(F.sequence(F.lit(lo // BLOCK), F.lit((hi - 1) // BLOCK))))
+    right = blocks.select(*[F.col(c).alias(f"_r_{c}") for c in (*keys, chain)], F.col("_blk").alias("_rb"), F.col("_d").alias("_rd"))
+
+    def beside(df: DataFrame, step: int, name: str) -> DataFrame:
+        cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in (*keys, chain)] + [F.col("_blk") + F.col("_m") + step == F.col("_rb")]
+        return (df.join(right, cond, "inner" if step == 0 else "left").withColumnRenamed("_rd", name)
+                .drop("_rb", *[f"_r_{c}" for c in (*keys, chain)]))
+
+    both = beside(beside(far, 0, "_x"), 1, "_y")
+    both = both.withColumn("_x", F.concat("_x", F.coalesce("_y", F.array().cast("array<double>"))))
+    first, last = F.greatest(F.lit(lo), F.col("_m") * BLOCK), F.least(F.lit(hi), (F.col("_m") + 1) * BLOCK) - 1
+    lagged = both.withColumn("_t", F.explode(F.sequence(first, last))).where(F.col("_t") - F.col("_m") * BLOCK < F.size("_x"))
+    there = F.slice("_x", (F.col("_t") - F.col("_m") * BLOCK + 1).cast("int"), F.size("_d"))
+    product = linalg.total(F.zip_with(there, "_d", lambda x, y: F.coalesce(x * y, F.lit(0.0))))
+    acov = lagged.groupBy(*keys, chain, "_t").agg((F.sum(product) / F.first("_nc")).alias("_ac"))
     g = (join_groups(acov.groupBy(*keys, "_t").agg(F.avg("_ac").alias("_g")), gs, keys)
-         .where(F.col("_t") < F.least(F.col("_L"), F.lit(B))))
+         .where(F.col("_t") < F.col("_L")))
     n = F.col("_n").cast("double")
     varp = (n - 1) / n * F.col("_W") + F.coalesce(F.col("_Bn"), F.lit(0.0))
     rho = 1 - (F.col("_W") - F.col("_g") * n / (n - 1)) / F.nullif(varp, F.lit(0.0))
     g = g.withColumn("_rho", rho).withColumn("_k", F.floor(F.col("_t") / 2))
-    pk = g.groupBy(*keys, "_k").agg(F.sum("_rho").alias("_P"), F.first("_m").alias("_m"),
-                                    F.first("_n").alias("_n"), F.first("_L").alias("_L"))
-    neg = pk.where(F.col("_P") < 0).groupBy(*keys).agg(F.min("_k").alias("_stop"))
-    return join_groups(pk, neg, keys, "left")
+    return g.groupBy(*keys, "_k").agg(F.sum("_rho").alias("_P"), F.first("_m").alias("_m"),
+                                      F.first("_n").alias("_n"), F.first("_L").alias("_L"))
 
 
 def ess(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
@@ -222,40 +243,35 @@ def ess(draws: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
     """Effective sample size with Geyer's initial positive sequence.
 
     Lags count positions within the chain in ``it`` order, so thinning does
-    not change them.  Lag-t autocovariances (t < L, L = even part of n/2) come
-    from a block self-join: draws are cut into blocks of the current lag
-    count and each block meets itself and the next one, so a pair
-    (i, i + t) is formed inside one task and summed at once (partial
-    aggregation) - the shuffle carries 2 rows per draw, not L.
+    not change them.  Lag-t autocovariances (t < L, L = even part of n/2) are
+    sums of products over blocks of ``BLOCK`` draws, each with the part of the
+    chain t further on; the blocks are written once.
     ``rho_t = 1 - (W - g_t n/(n-1)) / var+``; pairs ``P_k = rho_2k +
     rho_2k+1`` are kept up to the first negative one, made non-increasing
     by a running minimum, and ``ESS = m n / (-1 + 2 sum P_k)``.
 
-    Lags are computed in rounds, four times as many each: the sum stops at
-    the first negative pair, so once every group has stopped inside the
-    computed lags (or has no more), later lags cannot change the result.  A
-    round's table (groups x lags / 2 rows) is written, as the check and the
-    result both read it.
+    Lags are computed in rounds up to four times as far each, only the new
+    ones: the sum stops at the first negative pair, so once every group has
+    stopped inside the computed lags (or has no more), later lags cannot
+    change the result.  A round's table (groups x new lags / 2 rows) is
+    written, as the check and the result both read it.
     """
     keys = list(keys)
-    draws = rank_within(draws.select(*keys, chain, it, value), keys + [chain], it, rank_col="_at", count_col="_all")
-    draws = draws.drop(it, "_all")
-    it = "_at"
-    cs = draws.groupBy(*keys, chain).agg(F.avg(value).alias("_cm"), F.var_samp(value).alias("_cv"),
-                                         F.count(F.lit(1)).alias("_nc"))
+    blocks = cut_lineage(_chain_blocks(draws, keys, value, chain, it), "ess-blocks")
+    cs = blocks.groupBy(*keys, chain).agg(*[F.first(c).alias(c) for c in ("_nc", "_cm", "_cv")])
     gs = cs.groupBy(*keys).agg(F.min("_nc").alias("_n"), F.count(F.lit(1)).alias("_m"),
                                F.avg("_cv").alias("_W"), F.var_samp("_cm").alias("_Bn"))
     gs = gs.withColumn("_L", F.floor(F.col("_n") / 2))
     gs = gs.withColumn("_L", F.col("_L") - F.col("_L") % 2)
-    lags = first_lags + first_lags % 2
+    done, lo, hi = None, 0, first_lags + first_lags % 2
     while True:
-        pk = cut_lineage(_ess_pairs(draws, keys, value, chain, it, lags, cs, gs), "ess-pairs")
-        open_groups = (pk.groupBy(*keys).agg(F.first("_stop").alias("_stop"), F.first("_L").alias("_L"))
-                       .where(F.col("_stop").isNull() & (F.col("_L") > lags)).limit(1).count())
-        if open_groups == 0:
+        new = cut_lineage(_ess_pairs(blocks, gs, keys, chain, lo, hi), "ess-pairs")
+        done = new if done is None else done.unionByName(new)
+        state = done.groupBy(*keys).agg(F.min(F.when(F.col("_P") < 0, F.col("_k"))).alias("_stop"), F.first("_L").alias("_L"))
+        if state.where(F.col("_stop").isNull() & (F.col("_L") > hi)).limit(1).count() == 0:
             break
-        lags *= 4
-    pk = pk.where(F.col("_stop").isNull() | (F.col("_k") < F.col("_stop")))
+        lo, hi = hi, hi * 4
+    pk = join_groups(done, state.drop("_L"), keys).where(F.col("_stop").isNull() | (F.col("_k") < F.col("_stop")))
     wk = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     pk = pk.withColumn("_Pm", F.min("_P").over(wk))
     tot = pk.groupBy(*keys).agg(F.sum("_Pm").alias("_S"), F.first("_m").alias("_m"),

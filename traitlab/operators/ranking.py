@@ -12,9 +12,9 @@ rows inside are counted per value, both with map-side combine.  A running sum
 over what is left (a few ten-thousandths of the rows) finds the exact
 positions.  No row is sorted, stored or shuffled for its rank.
 
-``rank_within`` ranks every row, for statistics that need all ranks (shortest
-interval, draw numbers).  The sketch's cut points split each group into
-buckets of about ``BUCKET_ROWS`` rows; a window per (group, bucket) ranks rows
+``rank_within`` ranks every row it is given, for statistics that need ranks
+(draw numbers; ``tails`` cuts out the two ends of each group that a shortest
+interval needs).  The sketch's cut points split each larger group into buckets of about ``BUCKET_ROWS`` rows; a window per (group, bucket) ranks rows
 locally, and bucket sizes are prefix-summed into offsets.  The sketch only
 balances: exactness comes from the counts.  A value so frequent that several
 cut points coincide on it is split further by the first tiebreak column.
@@ -75,22 +75,31 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
     order_by = [F.col(order).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in tiebreak]]
     tie = _order_key(df, tiebreak[0]) if tiebreak else F.lit(None).cast("long")
     keyed = df.withColumns({"_g": _group(keys), "_ok": _order_key(df, order), "_tk": tie})
-    probs = [i / CUTS for i in range(1, CUTS)]
+    probs = ", ".join(f"{i / CUTS!r}D" for i in range(1, CUTS))  # one expression text: hundreds of literals are slow to send
+
+    def cut_points(key: str) -> Column:
+        return F.expr(f"percentile_approx({key}, array({probs}), {ACCURACY})")
+
     none = F.array().cast("array<double>")
-    # each group uses as many of the cut points as its size asks for
+    # each group uses as many of the cut points as its size asks for; groups
+    # of one bucket need no sketch
     parts = F.least(F.lit(CUTS), F.ceil(F.col("_gn") / F.lit(float(bucket_rows)))).cast("int")
 
     def used(cuts: str) -> Column:
-        some = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_parts") - 1, F.lit(1))),
+        some = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1),
                            lambda i: F.get(F.col(cuts), F.floor(i * CUTS / F.col("_parts")).cast("int") - 1).cast("double"))
-        return F.when((F.col("_parts") > 1) & F.col(cuts).isNotNull(), some).otherwise(none)
+        return F.coalesce(some, none)
+
+    def small(table: DataFrame) -> DataFrame:  # without keys it is one row
+        return table if keys else F.broadcast(table)
 
-    sketch = (keyed.groupBy("_g")
-              .agg(F.count(F.lit(1)).alias("_gn"), F.percentile_approx("_ok", probs, ACCURACY).alias("_c1"),
-                   F.percentile_approx("_tk", probs, ACCURACY).alias("_c2"))
+    counts = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_gn"))
+    sketch = (keyed.join(small(counts.where(F.col("_gn") > bucket_rows)), "_g").groupBy("_g")
+              .agg(F.first("_gn").alias("_gn"), cut_points("_ok").alias("_c1"), cut_points("_tk").alias("_c2"))
               .withColumn("_parts", parts)
-              .select("_g", "_gn", used("_c1").alias("_cuts"), used("_c2").alias("_ties")))
-    b = keyed.join(sketch if keys else F.broadcast(sketch), "_g")  # without keys the sketch is one row
+              .select("_g", used("_c1").alias("_cuts"), used("_c2").alias("_ties")))
+    b = keyed.join(small(counts), "_g").join(small(sketch), "_g", "left")
+    b = b.withColumns({"_cuts": F.coalesce("_cuts", none), "_ties": F.coalesce("_ties", none)})
     first = F.size(F.filter("_cuts", lambda c: c < F.col("_ok")))
     b = b.withColumn("_b1", first)
     often = ((F.get("_cuts", F.col("_b1")) == F.col("_ok")) & (F.get("_cuts", F.col("_b1") + 1) == F.col("_ok")))
@@ -98,7 +107,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
     b = (b.withColumn("_b", F.col("_b1") * (2 * CUTS) + F.when(F.coalesce(often, F.lit(False)), second).otherwise(0))
          .withColumnRenamed("_gn", count_col).drop("_cuts", "_ties", "_ok", "_tk", "_b1"))
     local = b.withColumn("_lr", F.row_number().over(Window.partitionBy("_g", "_b").orderBy(*order_by)))
-    sizes = local.groupBy("_g", "_b").agg(F.max("_lr").alias("_bn"))
+    sizes = b.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_bn"))
     # per group a bounded number of (bucket, size) pairs, prefix-summed in place
     offsets = (sizes.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_b", "_bn"))).alias("_s"))
                .selectExpr("_g", "inline(transform(_s, (x, i) -> named_struct('_b', x._b, '_off', "
@@ -107,6 +116,34 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
     return out.withColumn(rank_col, (F.col("_lr") + F.col("_off")).cast("long")).drop("_lr", "_off", "_b", "_g")
 
 
+# How far beyond the wanted share of ranks a tail may reach, the first of them
+# that is at least three ranks of the group (the whole group where none is).
+REACH = (MARGIN / ACCURACY, 0.005, 0.02, 0.1)
+
+
+def tails(df: DataFrame, keys: Sequence[str], value: str, share: float, carry: Sequence[str] = ()) -> DataFrame:
+    """The rows at the two ends of each group: (_of, _side, value, carry...,
+    _n) with side 0 the lowest and 1 the highest values, each with at least
+    ``ceil(share * n)`` rows (and few more), ``_n`` the group's rows.  A row
+    may be on both sides.  NULL values are left out.
+
+    The ends are cut by a mergeable sketch whose rank error is bounded; ranks
+    on side 0 count from the lowest row, on side 1 from the highest.
+    """
+    v = F.col(value)
+    d = df.where(v.isNotNull()).select(_group(keys).alias("_g"), value, *carry)
+    ends = [min(1.0, share + r) for r in REACH] + [max(0.0, 1 - share - r) for r in REACH]
+    sketch = d.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(v, ends, ACCURACY).alias("_e"))
+    at = F.size(F.filter(F.array(*[F.lit(r) for r in REACH]), lambda r: r * F.col("_n") < 3))
+    inside = at < len(REACH)
+    sketch = sketch.select("_g", "_n", F.when(inside, F.get("_e", at)).alias("_lo"),
+                           F.when(inside, F.get("_e", at + len(REACH))).alias("_hi"))
+    d = d.join(sketch if keys else F.broadcast(sketch), "_g")
+    low, high = F.col("_lo").isNull() | (v <= F.col("_lo")), F.col("_hi").isNull() | (v >= F.col("_hi"))
+    sides = F.filter(F.array(F.when(low, 0), F.when(high, 1)), lambda s: s.isNotNull())
+    return d.where(low | high).withColumn("_side", F.explode(sides)).withColumnRenamed("_g", "_of").drop("_lo", "_hi")
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], names: Sequence[str] | None = None,
                     with_count: bool = False) -> DataFrame:

@@ -23,7 +23,8 @@ from ..operators import design as DS
 from ..operators import draws as D
 from ..operators import fit as FT
 from ..operators import perdraw as PD
-from ..operators.ranking import attach_scalars, group_quantiles, join_groups
+from ..operators.ranking import group_quantiles, join_groups
+from ..session import cut_lineage
 from . import sqlgen as G
 from . import views as V
 from .q_models import _DESIGN_SQL, _PL_SQL, _design, _det, _plants_leaf
@@ -36,12 +37,13 @@ GRID = 50
 
 
 def plots(spark: SparkSession, d: str, by: tuple[str, ...] = ("iter",)) -> DataFrame:
-    """(iter, spp, drought, x, kcatc, sco), or without iter over all suppliers."""
+    """(iter, spp, drought, x, kcatc, sco), or without iter over all suppliers;
+    one pass over lineitem, written."""
     li = V.table(spark, d, "lineitem").withColumn("drought", (F.col("l_linestatus") == "F").cast("double"))
     cols = {"iter": "l_suppkey", "spp": "l_linenumber"}
-    return li.groupBy(*[F.col(cols[c]).alias(c) for c in (*by, "spp")], "drought").agg(
+    return cut_lineage(li.groupBy(*[F.col(cols[c]).alias(c) for c in (*by, "spp")], "drought").agg(
         F.avg("l_quantity").alias("x"), (F.avg("l_extendedprice") / 1000).alias("kcatc"),
-        (F.avg("l_discount") * 100).alias("sco"))
+        (F.avg("l_discount") * 100).alias("sco")), "plots")
 
 
 def by_response(p: DataFrame) -> DataFrame:

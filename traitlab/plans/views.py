@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import draws as D
 from ..operators import perdraw
 from ..operators.traits import pair_collapse
+from ..session import cut_lineage
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -53,23 +54,25 @@ def long_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draws_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DR: draws from events; chain = event_id % 4, iter dense per chain."""
+    """DR: draws from events; chain = event_id % 4, iter dense per chain; written
+    once."""
     e = table(spark, sf_dir, "events")
     base = e.select(F.col("event_type").alias("par"), (F.col("event_id") % 4).cast("int").alias("chain"),
                     "event_id", (F.col("value") - 30).alias("value"))
     idx = D.dense_index(base, ["par", "chain"], "event_id", out="iter")
-    return idx.select(F.lit("events").alias("model"), "chain", "iter", "par", "value")
+    return cut_lineage(idx.select(F.lit("events").alias("model"), "chain", "iter", "par", "value"), "draws-events")
 
 
 def draws_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DS: (iter, spp, gsmax_ww, gsmax_wd, kcatc, sco)."""
+    """DS: (iter, spp, gsmax_ww, gsmax_wd, kcatc, sco); written once, as most
+    statistics read the draws several times."""
     li = table(spark, sf_dir, "lineitem")
     st = F.col("l_linestatus")
-    return (li.groupBy(F.col("l_suppkey").alias("iter"), F.col("l_linenumber").alias("spp"))
+    return cut_lineage(li.groupBy(F.col("l_suppkey").alias("iter"), F.col("l_linenumber").alias("spp"))
             .agg(F.avg(F.when(st == "O", F.col("l_quantity"))).alias("gsmax_ww"),
                  F.avg(F.when(st == "F", F.col("l_quantity"))).alias("gsmax_wd"),
                  (F.avg("l_extendedprice") / 1000).alias("kcatc"),
-                 (F.avg("l_discount") * 100).alias("sco")))
+                 (F.avg("l_discount") * 100).alias("sco")), "draws-species")
 
 
 # (response, treatment) pairs of the per-draw regressions (fixed values).
