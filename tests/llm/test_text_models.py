@@ -6,11 +6,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 import public_tokenizers
 import pytest
 import tiktoken
 
-from traitlab.llm import bpe, toxicity
+from traitlab.llm import bpe, packing, toxicity
 from traitlab.llm.html_text import content, extract
 from traitlab.llm.labelled import logistic_line
 from traitlab.llm.packing import best_fit, pack
@@ -237,6 +238,62 @@ def test_pack_places_every_token_once(spark):
     assert pack(df.limit(0)).collect() == []
 
 
+def check_bins(got, rows, capacity):
+    """No bin too full, slots in order, every token of every row placed, no
+    source or cluster twice in a bin."""
+    bins, tokens = defaultdict(list), defaultdict(int)
+    for r in got:
+        bins[r.bin_id].append(r)
+        tokens[r.doc_id] += r.n_tokens
+    want = defaultdict(int)
+    for i, t, _ in rows:
+        want[i] += len((t or "").split())
+    assert tokens == {i: n for i, n in want.items() if n}
+    assert None not in bins
+    for b in bins.values():
+        assert sum(r.n_tokens for r in b) <= capacity and sorted(r.slot for r in b) == list(range(len(b)))
+    return bins
+
+
+def test_pack_repeated_rows_null_ids_and_shared_ids(spark):
+    rows = [(1, "a " * 2050, "s"), (1, "a " * 2050, "s"), (None, "b " * 3000, "s"), (None, "b " * 3000, None), (2, "c " * 4096, "t"),
+            (2, "d " * 4096, "t")] + [(7, "e f g", "u")] * 300 + [(i, "h " * i, "hot") for i in range(10, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("bin", F.lit("x"))
+    bins = check_bins(pack(df, capacity=2048, shard=64).collect(), rows, 2048)
+    assert all(len([r for r in b if r.doc_id == 7]) <= 1 for b in bins.values())  # copies are one cluster
+    assert all(len([r for r in b if r.doc_id and r.doc_id >= 10]) <= 1 for b in bins.values())  # one source
+
+
+def test_loose_bins_of_all_shards_are_packed_again(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, f"w{i} " * rng.randint(20, 70), f"s{rng.randint(0, 400)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bins = check_bins(pack(df, capacity=100, shard=8).collect(), rows, 100)
+    monkeypatch.setattr(packing, "LOOSE", 0)
+    once = check_bins(pack(df, capacity=100, shard=8).collect(), rows, 100)
+    source = {i: s for i, _, s in rows}
+    assert all(len({source[r.doc_id] for r in b}) == len(b) for b in bins.values())
+    assert len(bins) < 0.95 * len(once)
+
+
+def test_best_fit_of_items_with_several_values():
+    got = best_fit([60, 50, 40, 30, 10], [{"a", "b"}, {"c"}, {"b"}, {"d"}, None], [None, {1, 2}, {2}, None, {1}], 100)
+    assert got == [0, 1, 2, 0, 0]
+
+
+def test_pack_by_model_tokens(spark):
+    import public_tokenizers
+
+    from traitlab.llm.bpe import encode
+    rows = [(i, "naïve words and 漢字 " * i, "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ids = encode(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = pack(df.join(ids.select("doc_id", F.col("n_tokens").alias("n")), "doc_id"), length=F.col("n"), source=F.lit(None), capacity=128)
+    want = {r.doc_id: r.n_tokens for r in ids.collect() if r.n_tokens}
+    assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} == want
+    assert got.groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).where("n > 128").count() == 0
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as C
 
