@@ -143,3 +143,33 @@ def test_no_query_plans_a_cartesian_product(spark):
                     assert "BuildRight" in ln or "BuildLeft" in ln, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_materialize_follows_inputs_and_parameters(spark):
+    path, calls = scratch_path(spark, "test-stale"), []
+
+    def run(values, **params):
+        src = spark.createDataFrame([(v,) for v in values], "v int")
+
+        def build():
+            calls.append(values)
+            return src.agg(F.sum("v").alias("s"))
+
+        return io.materialize(spark, path, build, inputs={"src": src}, params=params).first().s
+
+    assert run([1, 2, 3]) == 6 and run([1, 2, 3]) == 6 and run([3, 1, 2]) == 6  # order does not count
+    assert len(calls) == 1
+    assert run([1, 2, 4]) == 7 and len(calls) == 2  # as many rows, other values
+    assert run([1, 1, 5]) == 7 and len(calls) == 3  # even with an equal sum
+    assert run([1, 1, 5], draws=10) == 7 and len(calls) == 4
+    assert run([1, 1, 5], draws=10) == 7 and len(calls) == 4
+    # a copy without a manifest is stale; one without inputs is not looked at
+    assert io.materialize(spark, path, lambda: spark.range(1)).first().s == 7
+    io.materialize(spark, path, lambda: spark.createDataFrame([(9,)], "s int"), rerun=True)
+    assert run([1, 1, 5], draws=10) == 7 and len(calls) == 5
+
+
+def test_fingerprint_of_columns_of_any_type(spark):
+    df = spark.sql("SELECT map('a', 1) AS m, array(1, NULL) AS a, CAST(NULL AS STRING) AS s, struct(1 AS x) AS st")
+    a, b = io.fingerprint(df), io.fingerprint(df.withColumn("m", F.expr("map('a', 2)")))
+    assert a["rows"] == 1 and a["sum"] != b["sum"] and a == io.fingerprint(df)

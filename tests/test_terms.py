@@ -243,3 +243,50 @@ def test_ess_over_many_blocks(spark, monkeypatch, block):
     assert got.keys() == chains.keys()
     for p, x in chains.items():
         assert np.isclose(got[p], plain_ess(x), rtol=1e-9)
+
+
+def test_quantiles_in_narrowing_rounds(spark, monkeypatch):
+    rng = RNG(8)
+    groups = {"normal": rng.normal(size=20000), "wide": np.exp(8 * rng.normal(size=20000)), "ties": rng.integers(0, 4, 9000).astype(float),
+              "few": rng.normal(size=11), "same": np.full(5000, 2.5), None: rng.gamma(1, size=4000)}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("null", None)], "g string, v double")
+    monkeypatch.setattr(ranking, "MOST_CELLS", 5)
+    monkeypatch.setattr(ranking, "SPLITS", 4)
+    written = []
+    keep = ranking.cut_lineage
+    monkeypatch.setattr(ranking, "cut_lineage", lambda t, name: written.append(name) or keep(t, name))
+    probs = [0.025, 0.5, 0.975]
+    got = {r.g: tuple(r)[1:] for r in ranking.group_quantiles(df, ["g"], "v", probs).collect()}
+    assert len(written) >= 1 + 2 * 3  # the sketch, and at least three rounds
+    assert got.keys() == groups.keys()
+    for g, v in groups.items():
+        assert np.allclose(got[g], np.quantile(v, probs), rtol=1e-12)
+
+
+def test_a_sketch_that_is_off_falls_back_to_the_group(spark, monkeypatch):
+    v = RNG(9).normal(size=3000)
+    df = spark.createDataFrame([("a", float(x)) for x in v], "g string, v double")
+    d = df.select(F.struct("g").alias("_g"), F.col("v").alias("_v"))
+    wrong = spark.createDataFrame([(3000, float(v.min()), float(v.max()), [(9.0, 9.5), (-9.0, -8.0)])],
+                                  "_n long, _min double, _max double, _br array<struct<lo:double,hi:double>>")
+    wrong = wrong.select(F.struct(F.lit("a").alias("g")).alias("_g"), "_n", "_min", "_max", "_br")
+    monkeypatch.setattr(ranking, "MOST_CELLS", 100)
+    lo, hi = zip(*ranking._narrowed(d, wrong, [0.3, 0.9]).first()._br)
+    s = np.sort(v)
+    for i, p in enumerate((0.3, 0.9)):
+        at = (len(v) - 1) * p
+        assert lo[i] <= s[math.floor(at)] and s[math.ceil(at)] <= hi[i]
+        assert ((v >= lo[i]) & (v <= hi[i])).sum() <= 100
+
+
+def test_density_pieces_of_a_mixture(spark):
+    rng = RNG(10)
+    two = np.r_[rng.normal(-5, 0.5, 3000), rng.normal(4, 1, 5000)]
+    rows = [("two", float(x)) for x in two] + [("same", 1.5)] * 40 + [("two", None), (None, 1.0), (None, 2.0)]
+    got = {}
+    for r in D.hdr_density(spark.createDataFrame(rows, "par string, value double")).collect():
+        got.setdefault(r.par, []).append((r.piece, r.lower, r.upper, r.mass))
+    a, b = sorted(got["two"])
+    assert (a[0], b[0]) == (1, 2) and a[1] < -5 < a[2] < 0 < b[1] < 4 < b[2]
+    assert 0.95 <= a[3] + b[3] < 0.97 and abs(a[3] - 0.375) < 0.03
+    assert got["same"] == [(1, 1.5, 1.5, 1.0)] and None in got

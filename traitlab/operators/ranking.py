@@ -10,7 +10,9 @@ order statistic (the sketch's rank error is bounded).  The second pass
 aggregates: rows outside all brackets become one count per gap between them,
 rows inside are counted per value, both with map-side combine.  A running sum
 over what is left (a few ten-thousandths of the rows) finds the exact
-positions.  No row is sorted, stored or shuffled for its rank.
+positions.  No row is sorted, stored or shuffled for its rank.  Where that
+could still be more than ``MOST_CELLS`` rows of a group, the brackets are
+narrowed first, in rounds that only count.
 
 ``rank_within`` ranks every row it is given, for statistics that need ranks
 (draw numbers; ``tails`` cuts out the two ends of each group that a shortest
@@ -31,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 # Rows of a bucket that one task ranks, about, and the most buckets a sketch
 # splits a group into (beyond BUCKET_ROWS * CUTS rows, buckets grow).
 BUCKET_ROWS = 1_000_000
@@ -39,6 +43,10 @@ CUTS = 512
 # MARGIN such steps to either side.
 ACCURACY = 10_000
 MARGIN = 3
+# Rows of a group between the brackets' ends that one task sorts at most, and
+# the ranges a bracket is cut into while it holds more.
+MOST_CELLS = 1_000_000
+SPLITS = 1024
 
 
 def _order_key(df: DataFrame, col: str) -> Column:
@@ -167,7 +175,10 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                  (F.when(small, F.col("_max")).otherwise(F.get("_e", F.lit(i + len(probs))))
                   if ends[i + len(probs)] < 1 else F.col("_max")).alias("hi"))
         for i in range(len(probs))])
-    sketch = sketch.select("_g", "_n", brackets.alias("_br"))
+    sketch = sketch.select("_g", "_n", "_min", "_max", brackets.alias("_br"))
+    if _plan_rows(d) * 2 * step * len(probs) > MOST_CELLS:
+        sketch = _narrowed(d, sketch, probs)
+    sketch = sketch.drop("_min", "_max")
     v = F.col("_v")
     inside = F.exists("_br", lambda b: (b["lo"] <= v) & (v <= b["hi"]))
     gap = F.size(F.filter("_br", lambda b: b["hi"] < v))  # brackets below a row that is in none
@@ -198,6 +209,57 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         cols.append(n.alias("n"))
     return g.select(*cols)
 
+
+def _plan_rows(d: DataFrame) -> float:
+    """At most about how many rows a (group, double) table has, by Spark's
+    own size estimate of its plan."""
+    return float(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 8
+
+
+def _narrowed(d: DataFrame, sketch: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``sketch`` with brackets that hold ``MOST_CELLS`` rows at most, or one
+    value each.
+
+    The counts are known now, so a table of small groups is left as it is.  A
+    round cuts each bracket into ``SPLITS`` equal ranges of values, counts
+    the rows in each and below (one partial aggregate over all rows), and
+    keeps the ranges with the wanted positions, from their least to their
+    largest value.  A position that is not in its bracket makes the whole
+    group the bracket, and the rounds go on from there.
+    """
+    sketch = cut_lineage(sketch, "brackets")
+    most = sketch.agg(F.max("_n")).first()[0] or 0
+    held = most if most * MARGIN / ACCURACY < 3 else most * 2 * MARGIN / ACCURACY
+    while held > MOST_CELLS:
+        lo, hi, v = F.col("_b.lo"), F.col("_b.hi"), F.col("_v")
+        width = F.nullif(hi - lo, F.lit(0.0))
+        cut = F.when(v < lo, -1).otherwise(F.coalesce(F.least(F.floor((v - lo) / width * SPLITS), F.lit(SPLITS - 1)), F.lit(0))).cast("int")
+        rows = (d.join(sketch.select("_g", "_br"), "_g").select("_g", "_v", F.posexplode("_br").alias("_i", "_b")).where(v <= hi)
+                .select("_g", "_i", "_v", cut.alias("_cut")).groupBy("_g", "_i", "_cut")
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        run = Window.partitionBy("_g", "_i").orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
+        every = sketch.select("_g", "_n", "_min", "_max", F.posexplode("_br").alias("_i", "_b"))
+        rows = every.drop("_b").join(rows.withColumn("_upto", F.sum("_c").over(run)), ["_g", "_i"], "left")
+        share = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i"))
+        pos = (F.col("_n") - 1).cast("double") * share
+        first, last = F.floor(pos) + 1, F.ceil(pos) + 1
+        wanted = (F.col("_cut") >= 0) & (F.col("_upto") >= first) & (F.col("_upto") - F.col("_c") < last)
+        below = F.coalesce(F.max(F.when(F.col("_cut") < 0, F.col("_upto"))), F.lit(0))
+        kept = rows.groupBy("_g", "_n", "_min", "_max", "_i").agg(
+            F.min(F.when(wanted, F.col("_lo"))).alias("_lo"), F.max(F.when(wanted, F.col("_hi"))).alias("_hi"),
+            F.sum(F.when(wanted, F.col("_c"))).alias("_c"),
+            ((below >= F.max(first)) | (F.coalesce(F.max("_upto"), F.lit(0)) < F.max(last))).alias("_off"))
+        kept = kept.select("_g", "_n", "_min", "_max", "_i", F.when(F.col("_off"), F.col("_n")).otherwise(F.col("_c")).alias("_c"),
+                           F.struct(F.when(F.col("_off"), F.col("_min")).otherwise(F.col("_lo")).alias("lo"),
+                                    F.when(F.col("_off"), F.col("_max")).otherwise(F.col("_hi")).alias("hi")).alias("_b"))
+        kept = cut_lineage(kept, "brackets")
+        held = kept.where("_b.lo < _b.hi").agg(F.max("_c")).first()[0] or 0
+        sketch = kept.groupBy("_g", "_n", "_min", "_max").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_i", "_b"))), lambda x: x["_b"]).alias("_br"))
+        sketch = cut_lineage(sketch, "brackets")
+    return sketch
+
+
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-group tables on ``keys``; NULL keys meet NULL keys."""
     keys = list(keys)

@@ -10,6 +10,7 @@ from ..functions.numeric import safe_ln
 from ..operators import draws as D
 from ..operators import factors as FA
 from ..operators import perdraw as PD
+from ..operators import report as RP
 from ..operators import reshape as R
 from ..operators import traits as TR
 from ..operators.ranking import group_quantiles, join_groups
@@ -44,6 +45,52 @@ def interval_hdr_pieces(spark: SparkSession, d: str) -> DataFrame:
     return D.hdr_pieces(V.draws_events(spark, d), ["par"], "value", 0.95, 50)
 
 
+_KDE_SQL = W("DR") + (
+    ", st AS (SELECT par, min(value) AS mn, max(value) AS mx, count(*) AS n, (max(value) - min(value)) / 127 AS step, "
+    "0.9 * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * pow(count(*), -0.2) AS bw "
+    "FROM dr WHERE value IS NOT NULL GROUP BY par), "
+    "b AS (SELECT dr.par, least((value - mn) / step, 127.0::DOUBLE) AS x FROM dr JOIN st ON st.par = dr.par WHERE value IS NOT NULL), "
+    "t AS (SELECT par, CAST(floor(x) AS INTEGER) AS i, 1 - (x - floor(x)) AS w FROM b UNION ALL "
+    "SELECT par, CAST(floor(x) AS INTEGER) + 1, x - floor(x) FROM b WHERE x > floor(x)), "
+    "h AS (SELECT par, i, sum(w) AS w FROM t GROUP BY par, i), "
+    "k AS (SELECT h.par, CAST(j.range AS INTEGER) AS j, sum(h.w * exp(-0.5 * pow((h.i - j.range) * step / bw, 2))) AS y, min(mn) AS mn, "
+    "min(step) AS step FROM h JOIN st ON st.par = h.par CROSS JOIN range(0, 128) j GROUP BY h.par, j.range), "
+    "s AS (SELECT *, y / sum(y) OVER (PARTITION BY par) AS share FROM k), "
+    "c AS (SELECT *, coalesce(sum(share) OVER (PARTITION BY par ORDER BY y DESC, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    "AS before FROM s), "
+    "p AS (SELECT *, j - row_number() OVER (PARTITION BY par ORDER BY j) AS island FROM c WHERE before < CAST(0.95 AS DOUBLE)), "
+    "g AS (SELECT par, island, min(j) AS j0, max(j) AS j1, sum(share) AS mass, min(mn) AS mn, min(step) AS step FROM p GROUP BY par, island) "
+    "SELECT par, CAST(row_number() OVER (PARTITION BY par ORDER BY j0) AS INTEGER) AS piece, mn + j0 * step AS lower, "
+    "mn + j1 * step AS upper, mass FROM g")
+
+
+@query("interval_hdr_density", "par piece lower:d upper:d mass:d", _KDE_SQL)
+def interval_hdr_density(spark: SparkSession, d: str) -> DataFrame:
+    """D13 on a kernel density: pieces of the 95 % highest-density region per
+    parameter, binned convolution."""
+    return D.hdr_density(V.draws_events(spark, d), ["par"], "value", 0.95)
+
+
+@query("axis_limits", "model chain iter par value:d",
+       W("DR") + "SELECT model, chain, iter, par, value FROM dr WHERE value >= -20 AND value <= 40")
+def axis_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The draws inside a plot's axis limits; those outside are not shown."""
+    return RP.clip_to_limits(V.draws_events(spark, d), "value", -20.0, 40.0)
+
+
+@query("vector_rows", "iter name response treatment value:d",
+       W("PM") + "SELECT iter, 'b1' AS name, response, treatment, b1 AS value FROM pm UNION ALL "
+       "SELECT iter, 'sigma', response, treatment, sigma FROM pm")
+def vector_rows(spark: SparkSession, d: str) -> DataFrame:
+    """H6: vector parameters ``par[i,j]`` of a long table to rows with their
+    base name and indices as columns."""
+    pm = V.regression_draws(spark, d)
+    index = F.concat(F.lit("["), "response", F.lit(","), "treatment", F.lit("]"))
+    items = F.array(*[F.struct(F.concat(F.lit(p), index).alias("par"), F.col(p).alias("value")) for p in ("b1", "sigma")])
+    long = pm.select("iter", F.explode(items).alias("_p")).select("iter", "_p.par", "_p.value")
+    return R.split_index(long, "par", "name", ("response", "treatment"))
+
+
 _ESS_BODY = (
     ", cs AS (SELECT par, chain, avg(value) AS cm, var_samp(value) AS cv, count(*) AS nc FROM dr GROUP BY par, chain), "
     "gs AS (SELECT par, min(nc) AS n, count(*) AS m, avg(cv) AS w, var_samp(cm) AS bn FROM cs GROUP BY par), "

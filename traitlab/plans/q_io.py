@@ -12,7 +12,7 @@ from ..operators import draws as D
 from ..operators import factors as FA
 from ..operators import report as RP
 from ..operators import reshape as R
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import io
 from . import sqlgen as G
 from . import views as V
@@ -48,6 +48,40 @@ def scan_traits(spark: SparkSession, d: str) -> DataFrame:
     return FA.complete_cases(t, ["size", "price"]).where(F.col("type") == "ECONOMY")
 
 
+@query("excel_twin", "spp trait value:d",
+       "SELECT p_brand AS spp, 'size' AS trait, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL "
+       "SELECT p_brand, 'price', p_retailprice FROM part")
+def excel_twin(spark: SparkSession, d: str) -> DataFrame:
+    """A2: a long trait table (spp, trait, value) kept as a workbook, read
+    through its CSV twin in the shared folder."""
+    path = scratch_path(spark, "twin-csv")
+    io.write_csv(V.long_traits(spark, d).select("spp", "trait", "value"), path)
+    return io.read_excel_twin(spark, path)
+
+
+@query("refit_when_stale", "version spp n mean_price:d",
+       "SELECT 1 AS version, p_brand AS spp, count(*) AS n, avg(p_retailprice) AS mean_price FROM part GROUP BY p_brand UNION ALL "
+       "SELECT 2, p_brand, count(*), avg(p_retailprice + 1) FROM part GROUP BY p_brand UNION ALL "
+       "SELECT 3, p_brand, count(*), avg(p_retailprice + 1) FROM part WHERE p_size > 10 GROUP BY p_brand")
+def refit_when_stale(spark: SparkSession, d: str) -> DataFrame:
+    """A5 with staleness: one stored result, asked for with the table, with
+    the table's prices changed (as many rows), and with another setting; each
+    time the stored copy follows what it was asked for."""
+    part = V.table(spark, d, "part").select("p_brand", "p_size", "p_retailprice")
+    path, out = scratch_path(spark, "fit"), None
+    for version, shift, least in ((1, 0, None), (2, 1, None), (3, 1, 10)):
+        src = part.withColumn("p_retailprice", F.col("p_retailprice") + shift)
+
+        def build(src=src, least=least):
+            kept = src if least is None else src.where(F.col("p_size") > least)
+            return kept.groupBy(F.col("p_brand").alias("spp")).agg(F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("mean_price"))
+
+        stored = io.materialize(spark, path, build, inputs={"part": src}, params={"least": least})
+        stored = cut_lineage(stored.select(F.lit(version).alias("version"), "spp", "n", "mean_price"), "fit-copy")
+        out = stored if out is None else out.unionByName(stored)
+    return out
+
+
 def _perdraw_long(spark: SparkSession, d: str) -> DataFrame:
     pm = V.regression_draws(spark, d)
     return pm.select(F.lit("perdraw").alias("model"), F.lit(1).alias("chain"), F.col("iter").cast("long").alias("iter"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import units
 from ..functions.biophysics import gsmax_sql
 from ..operators import draws as D
 from ..operators import summary as S
@@ -46,6 +47,18 @@ def gsmax_trait(spark: SparkSession, d: str) -> DataFrame:
     return TR.add_gsmax(V.pair_collapse_p(spark, d))
 
 
+@query("unit_conversion", "k sd_m2:d sp_mm:d gsmax_mmol:d",
+       W("C") + f"SELECT k, sd * 1e6 AS sd_m2, sp * 1e-3 AS sp_mm, {gsmax_sql('sd', 'sp')} * 1e3 AS gsmax_mmol FROM c")
+def unit_conversion(spark: SparkSession, d: str) -> DataFrame:
+    """Columns carry units; density to 1/m^2, pore length to mm and gsmax
+    to mmol, then plain numbers."""
+    pl = TR.add_gsmax(V.pair_collapse_p(spark, d))
+    for col, unit in (("sd", "1/m^2"), ("sp", "mm"), ("gsmax", "mmol/m^2/s")):
+        pl = units.convert(pl, col, unit)
+    pl = units.drop_units(pl)
+    return pl.select("k", F.col("sd").alias("sd_m2"), F.col("sp").alias("sp_mm"), F.col("gsmax").alias("gsmax_mmol"))
+
+
 def _plants_complete(spark: SparkSession, d: str) -> DataFrame:
     pl = TR.add_gsmax(V.pair_collapse_p(spark, d)).join(V.leaf(spark, d), "k")
     return pl.dropna(subset=["sd", "sp"])

@@ -102,3 +102,40 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def file_length(spark: SparkSession, path: str) -> int:
+    fs, p = _file(spark, path)
+    return int(fs.getFileStatus(p).getLen())
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """A small text file's content; None if there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file, over one that is there."""
+    fs, p = _file(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def remove_file(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, False)

@@ -8,13 +8,14 @@
 
 from __future__ import annotations
 
+import json
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import path_exists
+from ..session import file_length, path_exists, read_small, remove_file, write_small
 
 # Schemas of the three trait tables and of long draws (fixed values).
 SURFACE_SCHEMA = T.StructType([
@@ -114,26 +115,55 @@ def read_draws(spark: SparkSession, root: str,
     return df.select(*[f.name for f in DRAWS_SCHEMA.fields])
 
 
+def fingerprint(df: DataFrame) -> dict:
+    """What a table holds, whatever the order of its rows: schema, row count,
+    and two checksums (sum and xor of 64-bit row hashes), from one scan; with
+    the names and lengths of the files under it."""
+    spark, names = df.sparkSession, df.columns
+    cols = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in names]
+    r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.lit(0), *cols).cast("decimal(38,0)")),
+               F.bit_xor(F.xxhash64(F.lit(1), *cols))).first()
+    files = sorted([f, file_length(spark, f)] for f in df.inputFiles())
+    return {"schema": df.schema.simpleString(), "rows": r[0], "sum": str(r[1]), "xor": str(r[2]), "files": files}
+
+
+#: Manifest file beside a stored result; readers skip names with an underscore.
+MANIFEST = "_MANIFEST.json"
+
+
 def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame],
                 rerun: bool = False, partition_by: Iterable[str] = (),
-                writer: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+                writer: Callable[[DataFrame, str], None] | None = None,
+                inputs: dict[str, DataFrame] | None = None, params: dict | None = None) -> DataFrame:
     """A5: compute-or-reuse, the switch between fitting again and reading a
     saved result.
 
-    When ``rerun`` is set or ``path`` has no finished copy (the ``_SUCCESS``
-    marker of Spark's committer), build the DataFrame and write it; then read
-    the stored copy.  Whether the copy is still wanted is the caller's choice
-    (``rerun``): inputs are not tracked.  ``writer(df, folder)`` replaces the
-    default parquet write (e.g. ``write_draws``).
+    The DataFrame is built and written when ``rerun`` is set, when ``path``
+    has no finished copy (the ``_SUCCESS`` marker of Spark's committer), or
+    when the copy is stale; then the stored copy is read.  With ``inputs``
+    (named tables the builder reads) or ``params`` (its settings) a manifest
+    of both lies beside the data, ``MANIFEST``: each input's ``fingerprint``
+    and the parameters.  A copy whose manifest differs, or that has none, is
+    stale.  The manifest goes before the data is rewritten and comes back
+    last, so an interrupted run never leaves a manifest on data it does not
+    describe.  ``writer(df, folder)`` replaces the default parquet write
+    (e.g. ``write_draws``).
     """
     path = path.rstrip("/")
-    if rerun or not path_exists(spark, f"{path}/_SUCCESS"):
+    tracked = inputs is not None or params is not None
+    want = json.dumps({"inputs": {k: fingerprint(v) for k, v in sorted((inputs or {}).items())}, "params": params or {}},
+                      sort_keys=True, default=str) if tracked else None
+    fresh = path_exists(spark, f"{path}/_SUCCESS") and (not tracked or read_small(spark, f"{path}/{MANIFEST}") == want)
+    if rerun or not fresh:
+        remove_file(spark, f"{path}/{MANIFEST}")
         if writer is not None:
             writer(builder(), path)
         else:
             parts = list(partition_by)
             w = builder().write.mode("overwrite")
             (w.partitionBy(*parts) if parts else w).parquet(path)
+        if tracked:
+            write_small(spark, f"{path}/{MANIFEST}", want)
     return spark.read.parquet(path)
 
 
