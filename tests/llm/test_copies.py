@@ -226,7 +226,30 @@ def test_repeated_bytes_across_pieces_of_a_long_text(spark, monkeypatch):
     at = M.CHUNK - 150
     rows = [(1, long_), (2, "-" + long_[at:at + 320] + "+"), (None, long_[:500])]
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (320, 1), 2: (320, 1), None: (0, 0)}
+    assert got == {1: (820, 2), 2: (320, 1), None: (500, 1)}  # a text without an id is compared like any other
+
+
+def test_repeated_bytes_of_shared_and_missing_ids(spark, monkeypatch):
+    from traitlab.llm import common
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, b, c = word(500), word(500), word(300)
+    rows = [(1, a + word(50)), (1, word(40) + b), (None, word(30) + a), (None, c), (None, c), (None, None), (2, word(400)), (3, b[100:400])]
+    rows += [(4, a[:350])] * 40  # one row many times
+    want = sorted(map(str, (v for v in plain_repeats(list(enumerate(t for _, t in rows)), 200).values())))
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, h string")
+    for share in (2000, 1):  # with share 1 every group is dealt to parts
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        got = [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept_bytes).hexdigest()) for r in suffix_dedup(df).collect()]
+        assert sorted(map(str, got)) == want
+
+
+def test_rows_of_hot_keys_are_dealt_to_parts(spark):
+    from traitlab.llm.common import join_hot, written
+    rows = spark.range(30000).selectExpr("CASE WHEN id < 20000 THEN 0 ELSE id % 5000 END AS k", "id")
+    groups = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "groups")
+    got = join_hot(rows, groups, ["k"], "n")
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in rows.join(groups, "k").collect())
 
 
 def test_repeated_bytes_equal_rows_and_empty_table(spark):

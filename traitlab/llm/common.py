@@ -42,6 +42,24 @@ def matrix(column, dim: int) -> np.ndarray:
     return out
 
 
+#: A group with more rows than this share of all is dealt to several tasks.
+HOT_SHARE = 2000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list, count: str) -> DataFrame:
+    """``rows`` joined with ``groups`` on ``keys`` by shuffle; ``groups`` (a
+    written table) has a row per key with its number of rows, ``count``.  A
+    group with more than one in ``HOT_SHARE`` of the counted rows, of which
+    there are at most ``HOT_SHARE``, is broadcast by key, its rows are dealt
+    to as many parts, and its row of ``groups`` is copied to each."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    most = max(1000, total // HOT_SHARE)
+    hot = F.broadcast(groups.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("_parts")))
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), "_parts"), F.lit(0)).cast("int"))
+    right = groups.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return left.drop("_parts").join(right.drop("_parts").hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")
+
+
 def let(value, fn):
     """``fn`` of a column that is computed once per row, however often ``fn``
     uses it (also inside the function of a higher-order function, where a

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let
+from .common import SPACE, join_hot, let, written
 
 TRIM = " \t\r\x0b\x0c"
 
@@ -48,11 +48,12 @@ def line_positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _named(pos: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """Positions whose key occurs more than once, with the group's smallest
-    position as name (``n_doc``, ``n_seq``)."""
+    position as name (``n_doc``, ``n_seq``); the rows of a frequent key (a
+    line that many documents share) are dealt to several tasks."""
     groups = (pos.groupBy(*keys)
               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "seq")).alias("first"))
-              .where("n > 1").select(*keys, F.col("first.doc").alias("n_doc"), F.col("first.seq").alias("n_seq")))
-    return pos.join(groups, keys).select("doc", "seq", *keep, "n_doc", "n_seq")
+              .where("n > 1").select(*keys, "n", F.col("first.doc").alias("n_doc"), F.col("first.seq").alias("n_seq")))
+    return join_hot(pos, written(groups, "names"), keys, "n").select("doc", "seq", *keep, "n_doc", "n_seq")
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -26,8 +26,13 @@ over ``length`` bytes matters here, so hash order (128 bits) stands for byte
 order.
 
 Every stage is a count per key (with map-side combine) and a join on the key,
-so no group is ever gathered, however many copies a passage has.  Texts move
-compressed, twice: to the phrases left over, and to the removed spans.
+in which the rows of a frequent key are dealt to several tasks
+(``common.join_hot``), so no group is ever gathered, however many copies a
+passage has.  Texts move compressed, twice: to the phrases left over, and to
+the removed spans.
+
+A row is named by its id and a hash of its text, so rows that share an id, or
+have none, are texts of their own; equal rows are copies of each other.
 """
 
 import numpy as np
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, written
+from .common import join_hot, small_batches, written
 
 GRAM = 8
 COARSE, FINE = 100, 10
@@ -136,19 +141,20 @@ def pieces(texts: list, length: int):
         yield out
 
 
+_DOC = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType())])
+_DOC_ARROW = pa.struct([("id", pa.int64()), ("h", pa.int64())])
 _ROW = T.StructType([T.StructField("core", T.LongType()), T.StructField("body", T.LongType()),
-                     T.StructField("doc", T.LongType()), T.StructField("at", T.LongType()),
+                     T.StructField("doc", _DOC), T.StructField("at", T.LongType()),
                      T.StructField("far", T.IntegerType()), T.StructField("near", T.IntegerType()),
                      T.StructField("wanted", T.BooleanType())])
 
 
 def _occurrences(length: int):
-    """docs (id, text) -> phrase occurrences: trigger position ``at``, the
+    """docs (doc, text) -> phrase occurrences: trigger position ``at``, the
     distances ``far`` .. ``near`` of its window starts before it."""
     def run(batches):
         pow_ = powers(2 * CHUNK + 2 * length)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             for part in pieces(texts, length):
                 data = np.frombuffer(b"".join(x[2] for x in part), np.uint8)
@@ -166,7 +172,7 @@ def _occurrences(length: int):
                 shift = np.array([x[1] for x in part]) - begins
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(core.view(np.int64)), pa.array(body.view(np.int64)),
-                     pa.array(ids[np.array([x[0] for x in part])[k]].astype(np.int64)),
+                     b.column(0).take(pa.array(np.array([x[0] for x in part])[k])),
                      pa.array((trig + shift[k]).astype(np.int64)), pa.array((trig - first).astype(np.int32)),
                      pa.array((trig - last).astype(np.int32)), pa.array(np.ones(len(k), bool))],
                     names=_ROW.names)
@@ -210,13 +216,12 @@ def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """``(repeated, open)`` of occurrences: those whose whole text occurs
     again, and - for the cores that some wanted single phrase shares with
     another phrase - one occurrence of every phrase."""
-    shared = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    live = written(rows.join(shared.hint("shuffle_hash"), "core"), name)
+    shared = written(rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), name + "-cores")
+    live = written(join_hot(rows, shared, ["core"], "n").drop("n"), name)
     phrase = live.groupBy("core", "body").agg(F.count(F.lit(1)).alias("n"),
                                               F.min(F.struct("doc", "at", "far", "near", "wanted")).alias("one"))
-    copied = phrase.where("n > 1").select("core", "body")
-    repeated = (live.where("wanted").join(copied.hint("shuffle_hash"), ["core", "body"])
-                .select("doc", "at", "far", "near"))
+    copied = written(phrase.where("n > 1").select("core", "body", "n"), name + "-copied")
+    repeated = join_hot(live.where("wanted"), copied, ["core", "body"], "n").select("doc", "at", "far", "near")
     single = F.sum((F.col("n") == 1).cast("int") * F.col("one.wanted").cast("int"))
     mixed = (phrase.groupBy("core").agg(F.count(F.lit(1)).alias("d"), single.alias("s"))
              .where("d > 1 AND s > 0").select("core"))
@@ -238,7 +243,7 @@ def _packed(docs: DataFrame, text_col: str) -> DataFrame:
 def _open_texts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     """The bytes of each open phrase, read from its document."""
     per = (open_.groupBy("doc").agg(F.collect_list(F.struct("at", "far", "near", "wanted")).alias("asked")))
-    both = per.join(_packed(docs, "text"), F.col("doc") == F.col("id")).select("doc", "__z", "asked")
+    both = per.join(_packed(docs, "text"), "doc").select("doc", "__z", "asked")
     out = T.StructType(_ROW.fields[2:] + [T.StructField("text", T.BinaryType())])
 
     def cut(batches):
@@ -250,20 +255,24 @@ def _open_texts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
                     [{"doc": doc, "at": a["at"], "far": a["far"], "near": a["near"], "wanted": a["wanted"],
                       "text": t[a["at"] - a["far"]:a["at"] - a["near"] + length]}
                      for a in asked if a["at"] >= a["far"] and a["at"] - a["near"] + length <= len(t)],
-                    schema=pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("far", pa.int32()),
+                    schema=pa.schema([("doc", _DOC_ARROW), ("at", pa.int64()), ("far", pa.int32()),
                                       ("near", pa.int32()), ("wanted", pa.bool_()), ("text", pa.binary())]))
 
     return both.mapInArrow(cut, out)
 
 
+def _named(id_col: str, text_col: str):
+    """A row's name; NULL ids are equal to each other."""
+    return F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``(doc, s, e)``: byte spans [s, e) that together cover exactly the
     bytes in repeated ``length``-byte strings; spans may overlap."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     small_batches(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
-        f"id IS NOT NULL AND octet_length(text) >= {length}")
+    d = docs.select(_named(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).where(f"octet_length(text) >= {length}")
     spans = lambda x: x.select("doc", (F.col("at") - F.col("far")).alias("s"),
                                (F.col("at") - F.col("near") + length).alias("e"))
     whole, open_ = _settle(d.mapInArrow(_occurrences(length), _ROW), "occurrences")
@@ -286,13 +295,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``n_spans`` (long) added.
 
     A null text counts as empty: nothing is removed and its kept bytes are
-    empty.  A row with a null id is not compared.  Equal rows are copies of
-    each other; rows that share an id are taken for one text.  Every other
-    column, whatever its name, is carried; an empty table gives none.
+    empty.  Equal rows are copies of each other; rows that share an id, or
+    whose id is null, are compared like any others.  Every other column,
+    whatever its name, is carried; an empty table gives none.
     """
     found = repeated_spans(docs, id_col, text_col, length)
-    per = found.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("__spans")).withColumnRenamed("doc", "__doc")
-    both = (_packed(docs, text_col).join(per, F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc"))
+    # a set: equal rows have equal spans, which go together before the shuffle
+    per = found.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("__spans")).withColumnRenamed("doc", "__doc")
+    both = _packed(docs.withColumn("__doc", _named(id_col, text_col)), text_col).join(per, "__doc", "left").drop("__doc")
     result = T.StructType([T.StructField("kept_bytes", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
 
