@@ -142,6 +142,14 @@ def test_windows_cover_every_word():
         assert first[0] == 0 and first[-1] + toxicity.WINDOW >= n and (np.diff(first) == toxicity.STRIDE).all()
 
 
+def test_a_passage_lies_whole_in_a_window_at_every_offset():
+    most = toxicity.WINDOW - toxicity.STRIDE + 1
+    for n in (most, 60, 200):
+        first = toxicity.windows_of(n)
+        for at in range(n - most + 1):
+            assert ((first <= at) & (at + most <= first + toxicity.WINDOW)).any()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy now.</div>
 <article><h1>A title</h1><p><b>First para, with

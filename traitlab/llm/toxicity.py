@@ -3,8 +3,9 @@
 A text is its lower-cased words.  A word enters the network as a word
 embedding (hashed) beside the mean of its character-gram embeddings (3 and 4
 characters with word ends, hashed), so a form never seen is read by its
-letters.  All overlapping windows of ``WINDOW`` words (every ``STRIDE``) are
-run through the network; attention pools a window's states and a linear layer
+letters.  Overlapping windows of ``WINDOW`` words, one from every ``STRIDE``-th
+word, so that any ``WINDOW - STRIDE + 1`` words lie whole in one, are run
+through the network; attention pools a window's states and a linear layer
 gives its logit; a document's logit is its largest window's.  The network is
 trained in numpy (Adam, back-propagation through time).
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .labelled import fold, logistic_line, training_rows, unpack
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 8
 SAMPLE = 3000        # labelled documents per class: three quarters train, the rest give the probabilities
 WINDOWS = 4          # windows of a training document
 BUCKETS = 1 << 17    # hashed character grams
@@ -185,15 +186,19 @@ class Network:
                 np.add.at(dproj, inverse.ravel(), dgates.reshape(-1, dgates.shape[2]))
                 g["in"], g["bias"] = x.T @ dproj, dproj.sum(axis=0)
                 dx = dproj @ self.p["in"].T
-                g["word"], g["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
-                np.add.at(g["word"], bucket[used], dx[:, :WORD_DIM])
-                np.add.at(g["char"], flat, np.repeat(dx[:, WORD_DIM:] / counts[:, None], counts, axis=0))
+                rows = {k: slice(None) for k in g}  # of the embeddings, only the rows that the batch touched
+                for k, at_, v in (("word", bucket[used], dx[:, :WORD_DIM]),
+                                  ("char", flat, np.repeat(dx[:, WORD_DIM:] / counts[:, None], counts, axis=0))):
+                    rows[k], place = np.unique(at_, return_inverse=True)
+                    g[k] = np.zeros((len(rows[k]), v.shape[1]), np.float32)
+                    np.add.at(g[k], place, v)
                 step += 1
                 for k, v in g.items():
-                    mean[k] += 0.1 * (v - mean[k])
-                    square[k] += 0.001 * (v * v - square[k])
-                    up = (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.999 ** step)) + 1e-8)
-                    self.p[k] = (self.p[k] - RATE * up).astype(np.float32)
+                    at_ = rows[k]
+                    mean[k][at_] += 0.1 * (v - mean[k][at_])
+                    square[k][at_] += 0.001 * (v * v - square[k][at_])
+                    up = (mean[k][at_] / (1 - 0.9 ** step)) / (np.sqrt(square[k][at_] / (1 - 0.999 ** step)) + 1e-8)
+                    self.p[k][at_] -= (RATE * up).astype(np.float32)
 
 
 class Scorer:
@@ -236,15 +241,17 @@ class Scorer:
 
     def _some(self, texts: list) -> np.ndarray:
         self._known(texts)
-        get, rows, count = self.index.__getitem__, [], []
+        get, ids, start, count, size = self.index.__getitem__, [], [], [], 0
         for t in texts:
             first = windows_of(len(t))
-            ids = np.zeros(first[-1] + WINDOW, np.int64)  # 0: no word
-            ids[:len(t)] = np.fromiter(map(get, t), np.int64, len(t))
-            rows.append(ids[first[:, None] + np.arange(WINDOW)])
+            own = np.zeros(first[-1] + WINDOW, np.int64)  # 0: no word
+            own[:len(t)] = np.fromiter(map(get, t), np.int64, len(t))
+            ids.append(own)
+            start.append(first + size)
+            size += len(own)
             count.append(len(first))
-        rows = np.concatenate(rows)
-        logit = np.concatenate([self._windows(rows[i:i + AT_ONCE].T) for i in range(0, len(rows), AT_ONCE)])
+        ids, start, steps = np.concatenate(ids), np.concatenate(start), np.arange(WINDOW)[:, None]
+        logit = np.concatenate([self._windows(ids[start[i:i + AT_ONCE] + steps]) for i in range(0, len(start), AT_ONCE)])
         return np.maximum.reduceat(logit, np.cumsum(count) - count)
 
     def _windows(self, ids: np.ndarray) -> np.ndarray:
