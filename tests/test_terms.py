@@ -290,3 +290,29 @@ def test_density_pieces_of_a_mixture(spark):
     assert (a[0], b[0]) == (1, 2) and a[1] < -5 < a[2] < 0 < b[1] < 4 < b[2]
     assert 0.95 <= a[3] + b[3] < 0.97 and abs(a[3] - 0.375) < 0.03
     assert got["same"] == [(1, 1.5, 1.5, 1.0)] and None in got
+
+
+@pytest.mark.parametrize("kind", ["text", "number", "ties", "nulls"])
+def test_large_buckets_are_split_again(spark, monkeypatch, kind):
+    rng = RNG(11)
+    n = 3000
+    value = {"text": lambda i: "shared-prefix-" + ("é" if i % 2 else "") + "".join(rng.choice(list("abc"), 12)),
+             "number": lambda i: float(np.exp(12 * rng.normal())), "ties": lambda i: 7.0 if i % 10 else float(i),
+             "nulls": lambda i: None if i % 3 else float(rng.normal())}[kind]
+    rows = [("g" if i % 4 else None, value(i), i) for i in range(n)]
+    df = spark.createDataFrame(rows, f"g string, v {'string' if kind == 'text' else 'double'}, t int")
+    monkeypatch.setattr(ranking, "CUTS", 4)
+    sizes, real = [], ranking._split_more
+
+    def watched(b, *args):
+        out = real(b, *args)
+        sizes.extend(r["count"] for r in out.groupBy("_g", "_b").count().collect())
+        return out
+
+    monkeypatch.setattr(ranking, "_split_more", watched)
+    got = {(r.g, r.t): (r.rn, r.n) for r in ranking.rank_within(df, ["g"], "v", ["t"], bucket_rows=20).collect()}
+    assert sizes and max(sizes) <= 40
+    for g in ("g", None):
+        own = [r for r in rows if r[0] == g]
+        own.sort(key=lambda r: (r[1] is not None, (r[1].encode() if kind == "text" else r[1]) if r[1] is not None else 0, r[2]))
+        assert [got[g, r[2]] for r in own] == [(i + 1, len(own)) for i in range(len(own))]

@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 
 # Rows of a bucket that one task ranks, about, and the most buckets a sketch
-# splits a group into (beyond BUCKET_ROWS * CUTS rows, buckets grow).
+# splits a group into (where the plan may hold more than BUCKET_ROWS * CUTS
+# rows, buckets above twice that size are split again).
 BUCKET_ROWS = 1_000_000
 CUTS = 512
 # Sketch accuracy: a rank is off by at most n / ACCURACY; brackets reach
@@ -111,9 +112,14 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
     first = F.size(F.filter("_cuts", lambda c: c < F.col("_ok")))
     b = b.withColumn("_b1", first)
     often = ((F.get("_cuts", F.col("_b1")) == F.col("_ok")) & (F.get("_cuts", F.col("_b1") + 1) == F.col("_ok")))
+    text = isinstance(df.schema[order].dataType, T.StringType)
+    if text:  # equal keys are not equal texts: no split by the tiebreak here
+        often = F.lit(False)
     second = 1 + F.size(F.filter("_ties", lambda c: c < F.col("_tk")))
     b = (b.withColumn("_b", F.col("_b1") * (2 * CUTS) + F.when(F.coalesce(often, F.lit(False)), second).otherwise(0))
          .withColumnRenamed("_gn", count_col).drop("_cuts", "_ties", "_ok", "_tk", "_b1"))
+    if _plan_rows(keyed.select("_g", "_ok")) > (1 if text else CUTS) * bucket_rows:
+        b = _split_more(b, order, tiebreak[0] if tiebreak else None, bucket_rows)
     local = b.withColumn("_lr", F.row_number().over(Window.partitionBy("_g", "_b").orderBy(*order_by)))
     sizes = b.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_bn"))
     # per group a bounded number of (bucket, size) pairs, prefix-summed in place
@@ -210,6 +216,58 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return g.select(*cols)
 
 
+def _byte_key(col: str, low: str, high: str, text: bool) -> Column:
+    """A number, monotone in ``col`` between ``low`` and ``high`` and not the
+    same for both: of a text, the seven bytes after the part that the two
+    have in common."""
+    if not text:
+        return F.col(col).cast("double")
+    a, b, c = (F.hex(F.encode(F.col(x), "UTF-8")) for x in (low, high, col))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b)) + 1),
+                           lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i)))
+    same = F.least(same, F.length(a), F.length(b))
+    same = (same - same % 2).cast("int")  # whole bytes
+    return F.conv(F.rpad(F.substr(c, same + 1, F.lit(14)), 14, "0"), 16, 10).cast("double")
+
+
+def _split_more(b: DataFrame, order: str, tie: str | None, bucket_rows: int) -> DataFrame:
+    """``b`` with buckets of at most ``2 * bucket_rows`` rows: ``_b`` becomes
+    a path, longer where a bucket was split again.
+
+    A round sketches only the buckets that are too large, by the order column
+    (of texts, the bytes after what the bucket has in common) or, where that
+    is one value, by the tiebreak; rows equal to a cut point are a bucket of
+    their own and NULLs come first, so each round makes progress.  Rows equal
+    in both stay together.  Rows and buckets are written each round.
+    """
+    kinds = {c: isinstance(b.schema[c].dataType, T.StringType) for c in (order, tie) if c}
+    probs = ", ".join(f"{i / CUTS!r}D" for i in range(1, CUTS))
+    b = cut_lineage(b.withColumn("_b", F.array("_b")), "buckets")
+    while True:
+        ends = []
+        for i, c in enumerate(kinds):
+            plain = F.col(c) if kinds[c] else _order_key(b, c)
+            ends += [F.min(plain).alias(f"_lo{i}"), F.max(plain).alias(f"_hi{i}"), F.count(c).alias(f"_nn{i}")]
+        st = b.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_bn"), *ends).where(F.col("_bn") > 2 * bucket_rows)
+        by = F.lit(None).cast("int")
+        for i in reversed(range(len(kinds))):
+            mixed = ~F.col(f"_lo{i}").eqNullSafe(F.col(f"_hi{i}")) | ((F.col(f"_nn{i}") > 0) & (F.col(f"_nn{i}") < F.col("_bn")))
+            by = F.when(mixed, i).otherwise(by)
+        st = cut_lineage(st.withColumn("_by", by).where("_by IS NOT NULL"), "large")
+        if st.limit(1).count() == 0:
+            return b
+        key = F.lit(None).cast("double")
+        for i, c in enumerate(kinds):
+            k = _byte_key(c, f"_lo{i}", f"_hi{i}", True) if kinds[c] else _order_key(b, c).cast("double")
+            key = F.when(F.col("_by") == i, k).otherwise(key)
+        keyed = b.join(st, ["_g", "_b"], "left").withColumn("_key", key)
+        sketch = (keyed.where("_by IS NOT NULL").groupBy("_g", "_b")
+                  .agg(F.expr(f"array_distinct(percentile_approx(_key, array({probs}), {ACCURACY}))").alias("_cuts")))
+        at = 2 * F.size(F.filter("_cuts", lambda x: x < F.col("_key"))) + F.exists("_cuts", lambda x: x == F.col("_key")).cast("int")
+        new = F.when(F.col("_by").isNull(), 0).when(F.col("_key").isNull(), -1).otherwise(F.coalesce(at, F.lit(0)))
+        b = cut_lineage(keyed.join(sketch, ["_g", "_b"], "left").withColumn("_b", F.concat("_b", F.array(new))).select(*b.columns), "buckets")
+
+
 def _plan_rows(d: DataFrame) -> float:
     """At most about how many rows a (group, double) table has, by Spark's
     own size estimate of its plan."""
