@@ -194,7 +194,7 @@ def per_draw_correlation(spark: SparkSession, d: str) -> DataFrame:
     (guarded against zero variance), the correlation of two per-draw
     ratios joined on (draw, species), medians of r and r^2, and a full
     join with the slopes' tail p-values on (response, treatment)."""
-    ds = V.draws_species(spark, d)
+    ds = V.stored_species(spark, d)
     pc = PD.per_draw_correlation(ds, ["iter"], [(f"{r}_{t}", f"gsmax_{t}", r) for r, t in V.PAIRS])
     rl = R.gather(pc.select("iter", *[f"r_{r}_{t}" for r, t in V.PAIRS]), ["iter"], "name", "r")
     rl = rl.select("iter", F.regexp_extract("name", "^r_([a-z]+)_", 1).alias("response"),
@@ -243,7 +243,7 @@ def grid_ribbon(spark: SparkSession, d: str) -> DataFrame:
     """C8 + I16 + K10 (+ D14): each draw's regression line over a 100-point
     grid spanning the species' gsmax mean -/+ se, then median and shortest
     95 % interval per (response, treatment, grid point)."""
-    ds = V.draws_species(spark, d)
+    ds = V.stored_species(spark, d)
     sp = ds.groupBy("spp").agg(F.avg("gsmax_wd").alias("mwd"), F.stddev_samp("gsmax_wd").alias("swd"),
                                F.avg("gsmax_ww").alias("mww"), F.stddev_samp("gsmax_ww").alias("sww"))
     bounds = PD.grid_bounds(sp, F.least(F.col("mwd") - F.col("swd"), F.col("mww") - F.col("sww")),
@@ -262,7 +262,7 @@ def _effects_long(spark: SparkSession, d: str) -> DataFrame:
     base = (li.groupBy(F.col("l_suppkey").alias("iter"))
             .agg(safe_ln(F.avg("l_quantity") / F.avg("l_extendedprice")).alias("value"))
             .select("iter", F.lit("b_treatment").alias("par"), "value"))
-    ds = V.draws_species(spark, d)
+    ds = V.stored_species(spark, d)
     eff = ds.select("iter", F.concat(F.lit("r_spp["), F.col("spp").cast("string"), F.lit(",treatment]")).alias("par"),
                     safe_ln(D.ratio(F.col("gsmax_wd"), F.col("gsmax_ww"))).alias("value"))
     return base.unionByName(eff)
@@ -293,7 +293,7 @@ def treatment_ratio(spark: SparkSession, d: str) -> DataFrame:
     v = v.select("iter", F.col("level").alias("spp"), F.exp("value").alias("value"))
     pi = D.point_interval(v, ["spp"], "value", 0.95, "median", "hpd")
     ordered = FA.order_levels(pi, "point", "sort_key", tiebreak=["spp"]).withColumnRenamed("spp", "spp1")
-    dic = FA.dictionary(V.draws_species(spark, d).select(F.col("spp").cast("string")), name="spp1", code="spp_code")
+    dic = FA.dictionary(V.stored_species(spark, d).select(F.col("spp").cast("string")), name="spp1", code="spp_code")
     return ordered.join(dic, "spp1", "full")
 
 

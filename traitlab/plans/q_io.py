@@ -157,7 +157,7 @@ def species_report(spark: SparkSession, d: str) -> DataFrame:
     names from a de-duplicated dictionary, a keyed bind of the kcatc
     summary, sorted by numeric species code under a unit header row; the
     table is written as CSV and read back."""
-    ds = V.draws_species(spark, d)
+    ds = V.stored_species(spark, d)
     long = (R.gather(ds.select("iter", "spp", F.col("gsmax_ww").alias("ww"), F.col("gsmax_wd").alias("wd")),
                      ["iter", "spp"], "tr", "value")
             .withColumn("spp1", F.col("spp").cast("string")).drop("spp"))

@@ -284,7 +284,7 @@ _NEG = CM.neg_loglik
 def _model_draws(spark: SparkSession, d: str) -> DataFrame:
     """Draws of three models of each response and treatment: a line, a mean
     without slope, a slope through the origin."""
-    dsl = V.draws_species_long(V.draws_species(spark, d))
+    dsl = V.draws_species_long(V.stored_species(spark, d))
     line = CM.usable_draws(PD.per_draw_regression(dsl, ["iter", "response", "treatment"], "y", "x"))
     n, xx, xy, yy = F.count(F.lit(1)), F.sum(F.col("x") * F.col("x")), F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))
     g = (dsl.where("x IS NOT NULL AND y IS NOT NULL").groupBy("iter", "response", "treatment")
@@ -316,7 +316,7 @@ _MD_SQL = (_DD_SQL + ", q AS (SELECT iter, response, treatment, avg(y) AS my, st
 def _new_rows(spark: SparkSession, d: str) -> DataFrame:
     """New rows to predict: every (species, response, treatment) at the
     species' mean gsmax over draws."""
-    xs = (V.draws_species(spark, d).groupBy("spp")
+    xs = (V.stored_species(spark, d).groupBy("spp")
           .agg(F.avg("gsmax_ww").alias("ww"), F.avg("gsmax_wd").alias("wd")))
     nd = PD.crossing(PD.crossing(xs, "treatment", list(TREATMENTS)), "response", list(RESPONSES))
     return nd.select("spp", "response", "treatment",
@@ -383,7 +383,7 @@ def pointwise_loglik(spark: SparkSession, d: str) -> DataFrame:
 def bivariate_loglik(spark: SparkSession, d: str) -> DataFrame:
     """K12, bivariate normal: log-likelihood of each species' (kcatc, sco)
     under each draw's means, sds and correlation."""
-    both = V.draws_species(spark, d).dropna(subset=["kcatc", "sco"])
+    both = V.stored_species(spark, d).dropna(subset=["kcatc", "sco"])
     draws = both.groupBy("iter").agg(
         F.avg("kcatc").alias("m1"), F.avg("sco").alias("m2"), F.stddev_samp("kcatc").alias("s1"),
         F.stddev_samp("sco").alias("s2"), PD.guarded_corr(F.col("kcatc"), F.col("sco")).alias("rho"))

@@ -156,7 +156,7 @@ def repivot_mu_bounds(spark: SparkSession, d: str) -> DataFrame:
     names parsed into (species, trait, treatment), treatment-free traits
     copied to both treatments, and one pivot gives mu / lower / upper per
     trait for each (species, treatment)."""
-    ds = V.draws_species(spark, d)
+    ds = V.stored_species(spark, d)
     long = R.gather(ds.select("iter", "spp", *_TRAIT_COLS), ["iter", "spp"], "tc", "value")
     long = long.withColumn("par", F.concat(F.col("tc"), F.lit("_spp["), F.col("spp").cast("string"), F.lit("]")))
     summ = long.groupBy("par").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("se"))
@@ -180,7 +180,7 @@ def repivot_mu_bounds(spark: SparkSession, d: str) -> DataFrame:
 def select_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     """B3 + B10 + I6 + B6 + B7: columns chosen and shifted by name pattern,
     a prefix removed by regex, regex and membership predicates."""
-    ds = V.draws_species(spark, d)
+    ds = V.stored_species(spark, d)
     sel = R.select_matching(ds, r"^gsmax_", keep=["iter", "spp", "kcatc"])
     sel = R.mutate_matching(sel, r"^gsmax_w[wd]$", lambda c: c + F.col("kcatc"))
     lab = F.concat(F.lit("spp_"), F.col("spp").cast("string"))

@@ -363,7 +363,7 @@ _MVN_DRAWS_SQL = (
 
 def _mvn_draws(spark: SparkSession, d: str) -> DataFrame:
     """Per draw: means, sds and correlation matrix over species, as arrays."""
-    ds = V.draws_species(spark, d).dropna(subset=list(VARS))
+    ds = V.stored_species(spark, d).dropna(subset=list(VARS))
     return ds.groupBy("iter").agg(
         F.array(*[F.avg(v) for v in VARS]).alias("mean"), F.array(*[F.stddev_samp(v) for v in VARS]).alias("sds"),
         F.array(*[F.array(*[F.lit(1.0) if i == j else PD.guarded_corr(F.col(VARS[min(i, j)]), F.col(VARS[max(i, j)])) for j in range(4)])
@@ -390,7 +390,7 @@ def normal_loglik_4d(spark: SparkSession, d: str) -> DataFrame:
     matrix, by the Cholesky factor; invalid matrices give no rows."""
     draws = _mvn_draws(spark, d).where(L.is_positive_definite(F.col("corr"), 1e-9))
     draws = draws.select("iter", "mean", L.cholesky(CM.covariance_of(F.col("sds"), F.col("corr"))).alias("chol"))
-    ds = V.draws_species(spark, d).dropna(subset=list(VARS))
+    ds = V.stored_species(spark, d).dropna(subset=list(VARS))
     obs = ds.groupBy("spp").agg(F.array(*[F.avg(v) for v in VARS]).alias("y"))
     return CM.pointwise_loglik(obs, draws, CM.neg_loglik_normal(F.col("y"), F.col("mean"), F.col("chol")), ["spp"])
 
@@ -415,7 +415,7 @@ def correlation_draw_checks(spark: SparkSession, d: str) -> DataFrame:
     """K17 for correlation matrices: how many draws have a matrix that is
     incomplete or not a valid correlation matrix (each entry from species of
     one parity, so that validity is not given)."""
-    ds = V.draws_species(spark, d)
+    ds = V.stored_species(spark, d)
 
     def corr(i, j):
         a, b = VARS[min(i, j)], VARS[max(i, j)]

@@ -64,15 +64,19 @@ def draws_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draws_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DS: (iter, spp, gsmax_ww, gsmax_wd, kcatc, sco); written once, as most
-    statistics read the draws several times."""
+    """DS: (iter, spp, gsmax_ww, gsmax_wd, kcatc, sco)."""
     li = table(spark, sf_dir, "lineitem")
     st = F.col("l_linestatus")
-    return cut_lineage(li.groupBy(F.col("l_suppkey").alias("iter"), F.col("l_linenumber").alias("spp"))
+    return (li.groupBy(F.col("l_suppkey").alias("iter"), F.col("l_linenumber").alias("spp"))
             .agg(F.avg(F.when(st == "O", F.col("l_quantity"))).alias("gsmax_ww"),
                  F.avg(F.when(st == "F", F.col("l_quantity"))).alias("gsmax_wd"),
                  (F.avg("l_extendedprice") / 1000).alias("kcatc"),
-                 (F.avg("l_discount") * 100).alias("sco")), "draws-species")
+                 (F.avg("l_discount") * 100).alias("sco")))
+
+
+def stored_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DS written once, for statistics that read the draws several times."""
+    return cut_lineage(draws_species(spark, sf_dir), "draws-species")
 
 
 # (response, treatment) pairs of the per-draw regressions (fixed values).
@@ -89,7 +93,7 @@ def draws_species_long(ds: DataFrame) -> DataFrame:
 
 def regression_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PM: (iter, response, treatment, b0, b1, sigma, n)."""
-    return perdraw.per_draw_regression(draws_species_long(draws_species(spark, sf_dir)),
+    return perdraw.per_draw_regression(draws_species_long(stored_species(spark, sf_dir)),
                                        ["iter", "response", "treatment"], "y", "x")
 
 
