@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), calls one operator of
 ``traitlab.llm`` with production parameters on all rows it is given, and
 returns a DataFrame; all but the last keep the columns of ``documents``.  A
 stage's rows are written as Parquet before the next one reads them.
+
+Every stage takes null or repeated ids, null, empty and very long texts,
+repeated rows, an empty table and further columns of any name (which it
+carries, up to the packing): a null text is scored as an empty one, has no
+lines, words or bytes to lose, counts as a text without words for the near
+duplicates, and takes no place in a bin.
 """
 
 from __future__ import annotations

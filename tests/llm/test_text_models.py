@@ -330,3 +330,24 @@ def test_pipeline_stage_by_stage(spark):
     got = C.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in got} == {i for i, t in texts.items() if t.split()}
     assert sorted(map(tuple, C.run(spark, sf).collect())) == sorted(map(tuple, got))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.01"
+    long_ = "line of a very long text, number one.\n" * 3000
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, "one two three\nfour five", "en", "a"), (3, "one two three\nfour five", "en", "a"),
+            (None, "some other words here", "en", "b"), (None, None, None, None), (4, long_, "en", "a")]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 1, "x") for r in rows],
+                               "doc_id long, text string, lang string, source string, n_chars int, seq int, core string")
+    for name, stage in C.STAGES:
+        out = stage(spark, df, sf)
+        if name != "best-fit packing":
+            assert out.columns == df.columns, name
+        got = out.collect()
+        if name in ("line dedup", "suffix-array dedup"):
+            assert len(got) == len(rows), name
+            assert sum(r.text is None for r in got) == (2 if name == "line dedup" else 0), name  # cut texts are never null
+        empty = stage(spark, df.where("false"), sf)
+        assert empty.collect() == [], name
