@@ -10,10 +10,11 @@ from ..functions import text as TX
 from ..functions.numeric import round_half_even
 from ..operators import draws as D
 from ..operators import factors as FA
+from ..operators import perdraw as PD
 from ..operators import report as RP
 from ..operators import reshape as R
 from ..session import cut_lineage, scratch_path
-from ..sources import io
+from ..sources import dealt, io
 from . import sqlgen as G
 from . import views as V
 from .registry import query
@@ -184,3 +185,50 @@ def species_report(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "species-report")
     io.write_table(table, path, order_by=["sort_key"])
     return io.read_table(spark, path, REPORT_SCHEMA)
+
+
+# ------------------------------------------------------- draws dealt by draw
+
+def _tax_draws(spark: SparkSession, d: str) -> DataFrame:
+    li, st = V.table(spark, d, "lineitem"), F.col("l_linestatus")
+    return (li.groupBy(F.col("l_suppkey").alias("iter"), F.col("l_linenumber").alias("spp"))
+            .agg(D.ratio(F.avg(F.when(st == "O", F.col("l_tax"))), F.avg(F.when(st == "F", F.col("l_tax")))).alias("value")))
+
+
+def _as_model(df: DataFrame, model: str) -> DataFrame:
+    return df.select(F.lit(model).alias("model"), (F.col("iter") % 4).cast("int").alias("chain"), F.col("iter").cast("long").alias("iter"),
+                     F.concat(F.lit("diff["), F.col("spp").cast("string"), F.lit("]")).alias("par"), "value")
+
+
+_DEALT_SQL = (
+    W("DS") + ", a AS (SELECT iter, spp, gsmax_wd / nullif(gsmax_ww, 0) AS v FROM ds WHERE spp <> 7), "
+    "b AS (SELECT l_suppkey AS iter, l_linenumber AS spp, avg(l_tax) FILTER (WHERE l_linestatus = 'O') / "
+    "nullif(avg(l_tax) FILTER (WHERE l_linestatus = 'F'), 0) AS v FROM lineitem GROUP BY l_suppkey, l_linenumber), "
+    "j AS (SELECT coalesce(a.iter, b.iter) AS iter, a.v AS a, b.v AS b FROM a FULL OUTER JOIN b ON a.iter = b.iter AND a.spp = b.spp), "
+    "r AS (SELECT iter, CASE WHEN stddev_samp(a) FILTER (WHERE b IS NOT NULL) * stddev_samp(b) FILTER (WHERE a IS NOT NULL) > 0 "
+    "THEN covar_samp(a, b) / (stddev_samp(a) FILTER (WHERE b IS NOT NULL) * stddev_samp(b) FILTER (WHERE a IS NOT NULL)) END AS r "
+    "FROM j GROUP BY iter), "
+    "ma AS (SELECT iter, avg(v) AS m, count(*) AS n FROM a GROUP BY iter), mb AS (SELECT iter, avg(v) AS m, count(*) AS n FROM b GROUP BY iter) "
+    "SELECT CAST(r.iter % 4 AS INTEGER) AS chain, CAST(r.iter AS BIGINT) AS iter, r.r AS r, ma.m AS anatomy, mb.m AS flow, "
+    "ma.n AS n_anatomy, mb.n AS n_flow FROM r LEFT JOIN ma ON r.iter = ma.iter LEFT JOIN mb ON r.iter = mb.iter")
+
+
+@query("dealt_draws", "chain iter r:d anatomy:d flow:d n_anatomy n_flow", _DEALT_SQL)
+def dealt_draws(spark: SparkSession, d: str) -> DataFrame:
+    """C3 + C5 + D16 on a store dealt by draw: the ratios of two models are
+    written once (the second added to the store of the first), then joined by
+    parameter, correlated within each draw, and the correlations joined with
+    each model's mean per draw; nothing is shuffled after the write."""
+    root = scratch_path(spark, "dealt-draws")
+    ds = V.draws_species(spark, d).where("spp <> 7")
+    anatomy = cut_lineage(_as_model(ds.withColumn("value", D.ratio(F.col("gsmax_wd"), F.col("gsmax_ww"))), "anatomy"), "dealt-model")
+    dealt.write_dealt(anatomy, root)
+    dealt.add_dealt(cut_lineage(_as_model(_tax_draws(spark, d), "flow"), "dealt-model"), root)
+    both = dealt.side_by_side(dealt.read_dealt(spark, root), {"a": F.col("model") == "anatomy", "b": F.col("model") == "flow"})
+    draw = list(dealt.DRAW)
+    out = PD.per_draw_correlation(both, draw, [("ab", "a", "b")]).select(*draw, F.col("r_ab").alias("r"))
+    for model in ("anatomy", "flow"):
+        per = (dealt.read_dealt(spark, root, models=[model]).groupBy(*draw)
+               .agg(F.avg("value").alias(model), F.count(F.lit(1)).alias(f"n_{model}")))
+        out = out.join(per, draw, "left")
+    return out
