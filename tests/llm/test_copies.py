@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from traitlab.llm.common import components
 from traitlab.llm.embedding_dedup import candidates, embedding_dedup, plan_tables
-from traitlab.llm.simhash_dedup import fingerprint, keep_first, simhash_dedup, trie_links
+from traitlab.llm.simhash_dedup import fingerprint, hamming_links, keep_first, large_nodes, simhash_dedup, trie_links
 from traitlab.llm.suffix_dedup import drop_repeats, suffix_dedup
 
 
@@ -257,3 +257,28 @@ def test_repeated_bytes_equal_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, t), (1, t)], "doc_id long, text string")
     assert [r.n_removed for r in suffix_dedup(df).collect()] == [400, 400]
     assert suffix_dedup(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("subtree", [8, 1 << 18])
+def test_hamming_links_of_crowded_subtrees(spark, subtree):
+    """A third of the fingerprints share their first 40 bits: nodes above the
+    limit are split, and the links connect what brute force connects."""
+    rng = np.random.default_rng(subtree)
+    fps = set(rng.integers(0, 1 << 63, 60, np.uint64).tolist())
+    for centre in (0xF123456789ABCDEF, 0x0F0F0F0F0F0F0F0F):
+        for _ in range(60):
+            fps.add(centre ^ sum(1 << int(b) for b in rng.choice(24, rng.integers(0, 5), replace=False)))
+    fps |= {x ^ (1 << 62) for x in list(fps)[:20]} | {0, (1 << 64) - 1, (1 << 64) - 2, 1 << 63}
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = [(r.a, r.b) for r in hamming_links(df, 3, subtree).collect()]
+    plain = [(x, y) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= 3]
+    wide = [(a % (1 << 64), b % (1 << 64)) for a, b in links]
+    assert all((a ^ b).bit_count() <= 3 for a, b in wide)
+    assert groups(fps, wide) == groups(fps, plain)
+    top = max(4, (len(fps) // subtree).bit_length())
+    base, leaves = large_nodes(df, top, subtree)
+    assert bool(base) == (subtree < 60)
+    for start, depth in leaves:
+        assert sum(x >> (64 - depth) == start >> (64 - depth) for x in fps) <= subtree or depth == 64

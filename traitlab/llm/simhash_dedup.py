@@ -9,10 +9,13 @@ their branches differ, and a pair whose difference exceeds the budget is
 pruned with everything below it.
 
 The trie is split at ``top`` bits, chosen from the number of distinct
-fingerprints so that a subtree fits in a task.  A fingerprint travels to its
-own subtree and to each later subtree whose prefix differs by at most the
-budget (the pruning rule applied to the first ``top`` levels), so each pair
-of subtrees is joined in exactly one task.  A task returns a spanning forest
+fingerprints, and a node that holds more than ``SUBTREE`` of them (near copies
+share their first bits) is split again, four bits at a time, by counts per
+prefix, until each leaf fits.  A fingerprint travels to its own leaf and to
+each pair of its leaf with another whose prefix differs from it by at most
+the budget (the pruning rule applied to the first levels), so each pair of
+leaves is joined in exactly one task, of at most twice ``SUBTREE``
+fingerprints below ``top``.  A task returns a spanning forest
 of the links it finds, at most one link per fingerprint and task, never all
 pairs; node pairs whose fingerprints are already one tree are not followed,
 which keeps dense groups of near copies cheap.  Copies share a fingerprint
@@ -34,9 +37,10 @@ from .common import components, forest, small_batches, written
 
 BITS = 64
 SEED = 42
-SUBTREE = 1 << 18      # fingerprints in a subtree, about
+SUBTREE = 1 << 18      # most fingerprints in a leaf of the split trie
 PAIRS_AT_ONCE = 1 << 16
 MIN_TOP = 4
+DEEPER = 4             # bits by which a node that is too large is split
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -179,39 +183,83 @@ def _split(fp, lo, hi, bit):
 _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def hamming_links(distinct: DataFrame, budget: int) -> DataFrame:
+def _prefix(fp, depth: int):
+    return F.shiftrightunsigned(fp, BITS - depth)
+
+
+def large_nodes(distinct: DataFrame, top: int, subtree: int):
+    """Base nodes (prefixes of ``top`` bits) with more than ``subtree``
+    fingerprints, and the leaves they are split into: ``(start, depth)``, the
+    smallest fingerprint a leaf may hold and the bits that it shares.
+
+    Only counts per prefix reach the driver: of each level at most
+    ``2 ** DEEPER`` children per large node, of which there are at most one
+    per ``subtree`` fingerprints.
+    """
+    spark, fp = distinct.sparkSession, F.col("fp")
+    base = sorted(r.p for r in distinct.groupBy(_prefix(fp, top).alias("p")).count().where(F.col("count") > subtree).collect())
+    leaves, large, depth = [], base, top
+    while large:
+        under, deeper = spark.createDataFrame([(x,) for x in large], "node long"), min(BITS, depth + DEEPER)
+        rows = distinct.withColumn("node", _prefix(fp, depth)).join(F.broadcast(under), "node", "left_semi")
+        child = rows.groupBy(_prefix(fp, deeper).alias("p")).count().collect()
+        # at 64 bits a prefix is one fingerprint, its long is signed
+        leaves += [((r.p % (1 << BITS)) << (BITS - deeper), deeper) for r in child if r["count"] <= subtree or deeper == BITS]
+        large, depth = sorted(r.p for r in child if r["count"] > subtree and deeper < BITS), deeper
+    return base, sorted(leaves)
+
+
+def hamming_links(distinct: DataFrame, budget: int, subtree: int | None = None) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints (column ``fp``) within
     ``budget`` bits that connect everything such links connect."""
-    spark = distinct.sparkSession
+    subtree = subtree or SUBTREE
     n = distinct.count()
-    top = max(MIN_TOP, (max(1, n) // SUBTREE).bit_length())
+    top = max(MIN_TOP, (max(1, n) // subtree).bit_length())
     near = near_prefixes(top, budget)
+    base, deep = large_nodes(distinct, top, subtree)
+    base = np.array(base, np.uint64)
+    starts, depths = np.array([x for x, _ in deep], np.uint64), np.array([d for _, d in deep], np.int64)
+    shift, starts_depths = np.uint64(BITS - top), list(zip(starts, depths.tolist()))
+
+    def pair(fp, own, own_depth, other, other_depth):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(own, other).view(np.int64)), pa.array(np.maximum(own, other).view(np.int64)),
+             pa.array(np.minimum(own_depth, other_depth).astype(np.int32)), pa.array(fp.view(np.int64))], names=["p", "q", "depth", "fp"])
 
     def deal(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own = fp >> np.uint64(BITS - top)
-            for mask in near:  # the subtree pair (p, q), p <= q, that this fingerprint is part of
-                other = own ^ np.uint64(mask)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(own, other).astype(np.int64)), pa.array(np.maximum(own, other).astype(np.int64)),
-                     pa.array(fp.view(np.int64))], names=["p", "q", "fp"])
+            own, depth = (fp >> shift) << shift, np.full(len(fp), top)
+            split = np.isin(fp >> shift, base)
+            if split.any():  # the leaf below the base node: the last that starts at or before the fingerprint
+                at = np.searchsorted(starts, fp[split], "right") - 1
+                own[split], depth[split] = starts[at], depths[at]
+            for mask in near:  # the pair with a base node that is a leaf, itself included
+                other = (fp >> shift) ^ np.uint64(mask)
+                whole = ~np.isin(other, base)
+                if whole.any():
+                    yield pair(fp[whole], own[whole], depth[whole], other[whole] << shift, top)
+            for start, d in starts_depths:  # the pair with a leaf below a base node
+                close = np.bitwise_count((fp ^ start) >> np.uint64(BITS - d)) <= budget
+                if close.any():
+                    yield pair(fp[close], own[close], depth[close], start, d)
 
     def join(key, frame):
-        p, q = key[0].as_py(), key[1].as_py()
+        p, q = (np.array([k.as_py()], np.int64).view(np.uint64)[0] for k in key[:2])
+        depth = key[2].as_py()
         fp = np.sort(frame.column("fp").to_numpy().view(np.uint64))
-        cut = int(np.searchsorted(fp >> np.uint64(BITS - top), q))
+        cut = int(np.searchsorted(fp, q))
         if p == q:
-            i, j = trie_links(fp, (0, len(fp)), None, top, budget)
+            i, j = trie_links(fp, (0, len(fp)), None, depth, budget)
         elif 0 < cut < len(fp):
-            i, j = trie_links(fp, (0, cut), (cut, len(fp)), top, budget)
+            i, j = trie_links(fp, (0, cut), (cut, len(fp)), depth, budget)
         else:
             i = j = np.zeros(0, int)
         return pa.table({"a": fp[i].view(np.int64), "b": fp[j].view(np.int64)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    dealt = distinct.select("fp").mapInArrow(deal, "p long, q long, fp long")
-    pairs = (len(near) + 1) * (1 << top) // 2
-    return dealt.repartition(min(pairs, 2048), "p", "q").groupBy("p", "q").applyInArrow(join, _LINK)
+    dealt = distinct.select("fp").mapInArrow(deal, "p long, q long, depth int, fp long")
+    pairs = (len(near) + 1) * ((1 << top) + len(deep)) // 2
+    return dealt.repartition(min(pairs, 2048), "p", "q").groupBy("p", "q", "depth").applyInArrow(join, _LINK)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
