@@ -15,7 +15,7 @@ from traitlab.llm import bpe, packing, toxicity
 from traitlab.llm.html_text import content, extract
 from traitlab.llm.labelled import logistic_line
 from traitlab.llm.packing import best_fit, pack
-from traitlab.llm.quality_model import BUCKETS, Grams, dual_descent, quality_scores
+from traitlab.llm.quality_model import BUCKETS, Grams, Scaled, dual_descent, packed, quality_scores, unpacked
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SF1 = "/root/testdata/sf0.1"
@@ -80,6 +80,17 @@ def test_toxicity_on_held_out_rows(spark):
 EDGES = [(1, None), (2, ""), (3, " \n"), (4, "w" * 200_000), (5, "a b " * 30_000), (None, "null id"), (5, "again"), (6, "\x00퟿")]
 
 
+def test_packed_sets_are_bounded_and_come_back():
+    rng = np.random.default_rng(3)
+    ratio = rng.normal(size=BUCKETS)
+    for n in (0, 1, 4095, 4096, 4097, 60_000, BUCKETS):
+        grams = np.sort(rng.choice(BUCKETS, n, replace=False))
+        raw = packed(grams)
+        assert len(raw) <= BUCKETS // 8 and unpacked(raw).tolist() == grams.tolist()
+        at, v = Scaled([raw], ratio)[0]
+        assert at.tolist() == grams.tolist() and (not n or abs(float(v @ v) - 1) < 1e-3)
+
+
 @pytest.mark.parametrize("run", [quality_scores, toxicity.toxicity_scores])
 def test_scores_of_edge_rows_and_poor_labels(spark, run):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in EDGES], "doc_id long, text string, score string, y int")

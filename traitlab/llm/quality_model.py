@@ -11,7 +11,8 @@ of a second, disjoint sample.
 
 Counting and scoring run on whole texts in Spark tasks.  What reaches the
 driver is bounded by parameters: one row per bucket, and the n-gram sets of
-``SAMPLE`` rows per class.
+``2 * SAMPLE`` rows per class, each of at most ``BUCKETS / 8`` bytes however
+long its text.
 """
 
 import zlib
@@ -66,9 +67,42 @@ class Grams:
         return out
 
 
-def dual_descent(rows: list, y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 1):
+def packed(grams: np.ndarray) -> bytes:
+    """A set as its sorted buckets, or as a flag per bucket where that is
+    shorter: at most ``BUCKETS / 8`` bytes."""
+    if 4 * len(grams) < BUCKETS // 8:
+        return grams.astype("<u4").tobytes()
+    flags = np.zeros(BUCKETS, bool)
+    flags[grams] = True
+    return np.packbits(flags).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """Sorted buckets of a ``packed`` set."""
+    if len(raw) < BUCKETS // 8:
+        return np.frombuffer(raw, "<u4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
+
+
+class Scaled:
+    """Rows ``(indices, values)`` of packed sets, scaled by ``ratio`` to unit
+    length; a row is unpacked when it is asked for, so the sets stay packed."""
+
+    def __init__(self, sets: list, ratio: np.ndarray):
+        self.sets, self.ratio = sets, ratio
+
+    def __len__(self):
+        return len(self.sets)
+
+    def __getitem__(self, i: int):
+        grams = unpacked(self.sets[i])
+        r = self.ratio[grams]
+        return grams, (r / (float(np.sqrt(r @ r)) or 1.0)).astype(np.float32)
+
+
+def dual_descent(rows, y: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 1):
     """Weights and bias of min |w|^2/2 + sum cost * hinge, by coordinate
-    descent on the dual (box [0, cost]); rows are (indices, values)."""
+    descent on the dual (box [0, cost]); rows, a list or the like, are (indices, values)."""
     rng = np.random.default_rng(seed)
     w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
     norm = np.array([float(v @ v) + 1.0 for _, v in rows])
@@ -139,27 +173,22 @@ def fit(rows: DataFrame, sampled: DataFrame) -> Model:
         g = Grams()
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(2), pa.array([g.of(unpack(t)).astype("<u4").tobytes() for t in b.column(0).to_pylist()], pa.binary())],
+                [b.column(1), b.column(2), pa.array([packed(g.of(unpack(t))) for t in b.column(0).to_pylist()], pa.binary())],
                 names=["y", "h", "grams"])
 
     got = sampled.mapInArrow(grams, "y int, h long, grams binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy()
-    sets = [np.frombuffer(x, "<u4") for x in got.column("grams").to_pylist()]
+    sets = got.column("grams").to_pylist()
     del got
     taken = {c: np.flatnonzero(y == c) for c in (0, 1)}
     first = np.sort(np.concatenate([v[:max(1, (len(v) + 1) // 2)] for v in taken.values()]))
     second = np.setdiff1d(np.arange(len(y)), first)
-    rows_ = []
-    for i in first:
-        r = ratio[sets[i]]
-        norm = float(np.sqrt(r @ r)) or 1.0
-        rows_.append((sets[i], (r / norm).astype(np.float32)))
     sign = np.where(y[first] == 1, 1.0, -1.0)
     cost = COST * len(first) / (2 * np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum()))
-    w, bias = dual_descent(rows_, sign, cost)
+    w, bias = dual_descent(Scaled([sets[i] for i in first], ratio), sign, cost)
     model = Model(ratio, ratio * w, bias)
     use = second if len(set(y[second])) == 2 else first
-    m = np.array([model.margin(sets[i]) for i in use])
+    m = np.array([model.margin(unpacked(sets[i])) for i in use])
     share = size / np.array([(y[use] == c).sum() for c in (0, 1)])  # rows that a sampled row stands for
     weight = share[y[use]] * len(use) / share[y[use]].sum()
     model.line = logistic_line(m, y[use], weight)
