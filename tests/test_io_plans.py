@@ -1,10 +1,12 @@
 """Sources/sinks round trips and plan-shape checks (scale rules)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from helpers import SF01, need
 from traitlab.operators import draws as D
-from traitlab.operators.ranking import rank_within
+from traitlab.operators.ranking import group_quantiles, rank_within, tails
 from traitlab.plans import views as V
 from traitlab.session import scratch_path
 from traitlab.sources import io
@@ -173,3 +175,10 @@ def test_fingerprint_of_columns_of_any_type(spark):
     df = spark.sql("SELECT map('a', 1) AS m, array(1, NULL) AS a, CAST(NULL AS STRING) AS s, struct(1 AS x) AS st")
     a, b = io.fingerprint(df), io.fingerprint(df.withColumn("m", F.expr("map('a', 2)")))
     assert a["rows"] == 1 and a["sum"] != b["sum"] and a == io.fingerprint(df)
+
+
+def test_rows_of_few_groups_are_not_shuffled_by_group(spark):
+    df = spark.range(3_000_000).select((F.col("id") % 3).alias("par"), (F.col("id") % 50).cast("double").alias("value"), F.col("id").alias("iter"))
+    for out in (group_quantiles(df, ["par"], "value", [0.5]), tails(df, ["par"], "value", 0.05, ["iter"]),
+                rank_within(df, ["par"], "value", ["iter"])):
+        assert not re.search(r"SortMergeJoin \[_g#\d+\],", plan_of(out))

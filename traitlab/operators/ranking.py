@@ -21,6 +21,10 @@ locally, and bucket sizes are prefix-summed into offsets.  The sketch only
 balances: exactness comes from the counts.  A value so frequent that several
 cut points coincide on it is split further by the first tiebreak column.
 
+What is known per group (counts, sketches) is written before the rows meet
+it, so that its size is known: few groups are broadcast, and no task gets all
+rows of one by its key.
+
 Groups are compared as structs of their keys, in which NULL equals NULL: rows
 with NULL keys are a group like any other, NULL order values come first.
 """
@@ -102,11 +106,12 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: str,
     def small(table: DataFrame) -> DataFrame:  # without keys it is one row
         return table if keys else F.broadcast(table)
 
-    counts = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_gn"))
+    counts = cut_lineage(keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_gn")), "group-counts")
     sketch = (keyed.join(small(counts.where(F.col("_gn") > bucket_rows)), "_g").groupBy("_g")
               .agg(F.first("_gn").alias("_gn"), cut_points("_ok").alias("_c1"), cut_points("_tk").alias("_c2"))
               .withColumn("_parts", parts)
               .select("_g", used("_c1").alias("_cuts"), used("_c2").alias("_ties")))
+    sketch = cut_lineage(sketch, "group-cuts")
     b = keyed.join(small(counts), "_g").join(small(sketch), "_g", "left")
     b = b.withColumns({"_cuts": F.coalesce("_cuts", none), "_ties": F.coalesce("_ties", none)})
     first = F.size(F.filter("_cuts", lambda c: c < F.col("_ok")))
@@ -152,6 +157,7 @@ def tails(df: DataFrame, keys: Sequence[str], value: str, share: float, carry: S
     inside = at < len(REACH)
     sketch = sketch.select("_g", "_n", F.when(inside, F.get("_e", at)).alias("_lo"),
                            F.when(inside, F.get("_e", at + len(REACH))).alias("_hi"))
+    sketch = cut_lineage(sketch, "ends-sketch")
     d = d.join(sketch if keys else F.broadcast(sketch), "_g")
     low, high = F.col("_lo").isNull() | (v <= F.col("_lo")), F.col("_hi").isNull() | (v >= F.col("_hi"))
     sides = F.filter(F.array(F.when(low, 0), F.when(high, 1)), lambda s: s.isNotNull())
@@ -181,7 +187,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                  (F.when(small, F.col("_max")).otherwise(F.get("_e", F.lit(i + len(probs))))
                   if ends[i + len(probs)] < 1 else F.col("_max")).alias("hi"))
         for i in range(len(probs))])
-    sketch = sketch.select("_g", "_n", "_min", "_max", brackets.alias("_br"))
+    sketch = cut_lineage(sketch.select("_g", "_n", "_min", "_max", brackets.alias("_br")), "brackets")
     if _plan_rows(d) * 2 * step * len(probs) > MOST_CELLS:
         sketch = _narrowed(d, sketch, probs)
     sketch = sketch.drop("_min", "_max")
@@ -275,7 +281,7 @@ def _plan_rows(d: DataFrame) -> float:
 
 
 def _narrowed(d: DataFrame, sketch: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """``sketch`` with brackets that hold ``MOST_CELLS`` rows at most, or one
+    """``sketch`` (a written table) with brackets that hold ``MOST_CELLS`` rows at most, or one
     value each.
 
     The counts are known now, so a table of small groups is left as it is.  A
@@ -285,7 +291,6 @@ def _narrowed(d: DataFrame, sketch: DataFrame, probs: Sequence[float]) -> DataFr
     largest value.  A position that is not in its bracket makes the whole
     group the bracket, and the rounds go on from there.
     """
-    sketch = cut_lineage(sketch, "brackets")
     most = sketch.agg(F.max("_n")).first()[0] or 0
     held = most if most * MARGIN / ACCURACY < 3 else most * 2 * MARGIN / ACCURACY
     while held > MOST_CELLS:
