@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from helpers import SF01, need
 from traitlab.operators import draws as D
 from traitlab.operators.ranking import group_quantiles, rank_within, tails
@@ -182,3 +183,8 @@ def test_rows_of_few_groups_are_not_shuffled_by_group(spark):
     for out in (group_quantiles(df, ["par"], "value", [0.5]), tails(df, ["par"], "value", 0.05, ["iter"]),
                 rank_within(df, ["par"], "value", ["iter"])):
         assert not re.search(r"SortMergeJoin \[_g#\d+\],", plan_of(out))
+
+
+def test_summaries_read_bootstrap_replicates_that_are_written(spark):
+    for name, work in (("bootstrap_regression_summary", "sha2("), ("bootstrap_species", "md5(")):
+        assert work not in plan_of(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))

@@ -17,6 +17,7 @@ from ..operators import fit as FT
 from ..operators import perdraw as PD
 from ..operators import traits as TR
 from ..operators.ranking import group_quantiles, join_groups
+from ..session import cut_lineage
 from . import sqlgen as G
 from . import views as V
 from .registry import query
@@ -232,7 +233,7 @@ def bootstrap_species(spark: SparkSession, d: str) -> DataFrame:
     long draws (model, chain, iter, par, value), summarised by mean, standard
     error and shortest interval."""
     boot = FT.bootstrap_draws(_plants_leaf(spark, d), "k", "gs", replicates=60, by=["spp"])
-    draws = FT.as_draws(boot, "boot", {"mean_gs": "mean_gs"}, by=["spp"])
+    draws = cut_lineage(FT.as_draws(boot, "boot", {"mean_gs": "mean_gs"}, by=["spp"]), "boot-draws")
     return D.summarise_draws(draws, ["par"], estimate="mean", interval="hpd", p=False)
 
 
@@ -474,6 +475,6 @@ def bayes_r2(spark: SparkSession, d: str) -> DataFrame:
 def bayes_r2_summary(spark: SparkSession, d: str) -> DataFrame:
     """K16, summarised over draws: mean, median and 95 % interval."""
     keys = ["response", "treatment"]
-    r2 = bayes_r2(spark, d)
+    r2 = cut_lineage(bayes_r2(spark, d), "r2")
     q = group_quantiles(r2, keys, "r2", [0.025, 0.5, 0.975], ["r2_lower", "r2_median", "r2_upper"])
     return join_groups(r2.groupBy(*keys).agg(F.avg("r2").alias("r2_mean")), q, keys)

@@ -236,7 +236,7 @@ def bayes_r2_terms(spark: SparkSession, d: str) -> DataFrame:
        "quantile_cont(r2, 0.5) AS r2_median, quantile_cont(r2, 0.975) AS r2_upper FROM r2 GROUP BY ALL")
 def bayes_r2_terms_summary(spark: SparkSession, d: str) -> DataFrame:
     """K16 with several predictors, summarised over draws."""
-    r2 = bayes_r2_terms(spark, d)
+    r2 = cut_lineage(bayes_r2_terms(spark, d), "r2")
     q = group_quantiles(r2, KEYS, "r2", [0.025, 0.5, 0.975], ["r2_lower", "r2_median", "r2_upper"])
     return join_groups(r2.groupBy(*KEYS).agg(F.avg("r2").alias("r2_mean")), q, KEYS)
 
@@ -289,7 +289,8 @@ def bootstrap_regression(spark: SparkSession, d: str) -> DataFrame:
        "min(hpd.upper) AS conf_high FROM bd JOIN hpd ON hpd.par = bd.par GROUP BY bd.par")
 def bootstrap_regression_summary(spark: SparkSession, d: str) -> DataFrame:
     """K8 on K4, then D17 and D12 on the replicates' coefficients."""
-    return D.summarise_draws(_boot(spark, d), ["par"], estimate="mean", interval="hpd", p=False)
+    draws = cut_lineage(_boot(spark, d), "boot-draws")  # each statistic reads the draws, none weighs the rows again
+    return D.summarise_draws(draws, ["par"], estimate="mean", interval="hpd", p=False)
 
 
 _EFFECT_YS = ("gs", "gx")
