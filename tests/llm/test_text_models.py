@@ -91,6 +91,16 @@ def test_packed_sets_are_bounded_and_come_back():
         assert at.tolist() == grams.tolist() and (not n or abs(float(v @ v) - 1) < 1e-3)
 
 
+def test_packed_sets_take_a_byte_or_two_a_bucket():
+    rng = np.random.default_rng(5)
+    for n in (600, 1500, 6000, 15000):
+        grams = np.sort(rng.choice(BUCKETS, n, replace=False))
+        raw = packed(grams)
+        assert len(raw) <= n + BUCKETS // 255 < 2 * n and unpacked(raw).tolist() == grams.tolist()
+    for edge in ([0], [254], [255], [0, 255, 510, 511], [0, BUCKETS - 1], list(range(BUCKETS // 8 - 1))):
+        assert unpacked(packed(np.array(edge))).tolist() == edge
+
+
 @pytest.mark.parametrize("run", [quality_scores, toxicity.toxicity_scores])
 def test_scores_of_edge_rows_and_poor_labels(spark, run):
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in EDGES], "doc_id long, text string, score string, y int")

@@ -68,10 +68,15 @@ class Grams:
 
 
 def packed(grams: np.ndarray) -> bytes:
-    """A set as its sorted buckets, or as a flag per bucket where that is
-    shorter: at most ``BUCKETS / 8`` bytes."""
-    if 4 * len(grams) < BUCKETS // 8:
-        return grams.astype("<u4").tobytes()
+    """A set as the steps between its sorted buckets, a byte of 255 for every
+    255 and one for the rest, or as a flag per bucket where that is shorter:
+    at most ``BUCKETS / 8`` bytes."""
+    step = np.diff(grams, prepend=0)
+    ends = np.cumsum(step // 255 + 1)
+    if not len(ends) or ends[-1] < BUCKETS // 8:
+        out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+        out[ends - 1] = step % 255
+        return out.tobytes()
     flags = np.zeros(BUCKETS, bool)
     flags[grams] = True
     return np.packbits(flags).tobytes()
@@ -80,7 +85,8 @@ def packed(grams: np.ndarray) -> bytes:
 def unpacked(raw: bytes) -> np.ndarray:
     """Sorted buckets of a ``packed`` set."""
     if len(raw) < BUCKETS // 8:
-        return np.frombuffer(raw, "<u4")
+        step = np.frombuffer(raw, np.uint8)
+        return np.cumsum(step, dtype=np.int64)[step < 255]
     return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
 
 
