@@ -29,8 +29,8 @@ def unpack(z: bytes) -> bytes:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                   parts: int, held: int, sample: int) -> tuple[DataFrame, DataFrame]:
-    """``(rows, sampled)``, both ``(z, y, h)``: packed text, label 0 or 1, a
-    hash of the id.
+    """``(rows, sampled)``: ``(z, y, h)``, packed text, label 0 or 1, a hash of
+    the id, and ``(raw, y, h)``, the same with the text's bytes as they are.
 
     ``rows`` has every labelled document outside the held-out fold (a shuffle
     join at every size: the labels grow with the corpus);
@@ -46,7 +46,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             .join(known.hint("merge"), F.col("doc") == F.col("id")).select("z", "y", "h"))
     few = [known.where(F.col("y") == c).orderBy("h", "id").limit(sample) for c in (0, 1)]
     sampled = (d.join(F.broadcast(few[0].union(few[1])), F.col("doc") == F.col("id"))
-               .select(packed("text").alias("z"), "y", "h"))
+               .select(F.coalesce("text", F.lit("")).cast("binary").alias("raw"), "y", "h"))
     return rows, sampled
 
 

@@ -146,8 +146,8 @@ class Model:
 
 
 def fit(rows: DataFrame, sampled: DataFrame) -> Model:
-    """A model from packed texts with label 0 or 1: ratios from all ``rows``,
-    weights from ``sampled`` (see ``training_rows``).  With one class only, or
+    """A model from texts with label 0 or 1: ratios from all ``rows``, weights
+    from ``sampled`` (see ``training_rows``).  With one class only, or
     no rows, scores are the share of 1."""
     small_batches(rows.sparkSession)
 
@@ -179,7 +179,7 @@ def fit(rows: DataFrame, sampled: DataFrame) -> Model:
         g = Grams()
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(2), pa.array([packed(g.of(unpack(t))) for t in b.column(0).to_pylist()], pa.binary())],
+                [b.column(1), b.column(2), pa.array([packed(g.of(t)) for t in b.column(0).to_pylist()], pa.binary())],
                 names=["y", "h", "grams"])
 
     got = sampled.mapInArrow(grams, "y int, h long, grams binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])

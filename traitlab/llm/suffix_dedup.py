@@ -47,7 +47,7 @@ from .common import join_hot, small_batches, written
 
 GRAM = 8
 COARSE, FINE = 100, 10
-CHUNK = 1 << 19
+CHUNK = 1 << 17  # bytes of text hashed at once: bounds what a Python worker holds
 POSITION_BITS = 21  # a buffer holds fewer than 2 * CHUNK + length bytes
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -289,6 +289,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans(whole).union(spans(part)).union(spans(last))
 
 
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """``docs`` with ``__z``, the packed text, in place of the text, and the
+    starts ``__s`` and ends ``__e`` of its repeated spans (null: none)."""
+    found = repeated_spans(docs, id_col, text_col, length)
+    # a set: equal rows have equal spans, which go together before the shuffle
+    per = (found.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
+           .select(F.col("doc").alias("__doc"), F.col("__spans.s").alias("__s"), F.col("__spans.e").alias("__e")))
+    return _packed(docs.withColumn("__doc", _named(id_col, text_col)), text_col).join(per, "__doc", "left").drop("__doc")
+
+
+def _kept(packed, starts, ends):
+    """Per packed text: its bytes outside the spans, and how many bytes it
+    has, bytes and maximal spans are gone."""
+    unz = zstandard.ZstdDecompressor()
+    for blob, s, e in zip(packed, starts, ends):
+        t = b"" if blob is None else unz.decompress(blob)
+        kept, at, gone, n = [], 0, 0, 0
+        for lo, hi in merged(s, e):
+            kept.append(t[at:lo])
+            gone += min(hi, len(t)) - lo
+            n, at = n + 1, hi
+        kept.append(t[at:])
+        yield b"".join(kept), len(t), gone, n
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``docs`` with the column ``text_col`` replaced by ``kept_bytes`` (its
     UTF-8 bytes without the repeated ones) and ``n_bytes``, ``n_removed``,
@@ -299,48 +324,36 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whose id is null, are compared like any others.  Every other column,
     whatever its name, is carried; an empty table gives none.
     """
-    found = repeated_spans(docs, id_col, text_col, length)
-    # a set: equal rows have equal spans, which go together before the shuffle
-    per = found.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("__spans")).withColumnRenamed("doc", "__doc")
-    both = _packed(docs.withColumn("__doc", _named(id_col, text_col)), text_col).join(per, "__doc", "left").drop("__doc")
     result = T.StructType([T.StructField("kept_bytes", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
 
     @F.pandas_udf(result)
-    def remove(z: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        unz, rows = zstandard.ZstdDecompressor(), []
-        for blob, ss in zip(z, spans):
-            t = b"" if blob is None else unz.decompress(blob)
-            kept, at, gone, n = [], 0, 0, 0
-            for s, e in merged(ss):
-                kept.append(t[at:s])
-                gone += min(e, len(t)) - s
-                n, at = n + 1, e
-            kept.append(t[at:])
-            rows.append((b"".join(kept), len(t), gone, n))
-        return pd.DataFrame(rows, columns=result.names)
-
-    return both.withColumn("__r", remove("__z", "__spans")).drop("__z", "__spans").select(
+    def remove(z: pd.Series, s: pd.Series, e: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(_kept(z, s, e)), columns=result.names)
+
+    both = _with_spans(docs, id_col, text_col, length)
+    return both.withColumn("__r", remove("__z", "__s", "__e")).drop("__z", "__s", "__e").select(
         *[c for c in docs.columns if c != text_col], "__r.*")
 
 
-def merged(spans) -> list:
-    """Sorted maximal runs of overlapping or touching spans."""
-    if spans is None or not len(spans):
+def merged(starts, ends) -> list:
+    """Sorted maximal runs of overlapping or touching spans (null: none)."""
+    if starts is None or not len(starts):
         return []
-    x = np.array([(r["s"], r["e"]) for r in spans], np.int64)
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    top = np.maximum.accumulate(x[:, 1])
-    first = np.concatenate(([True], x[1:, 0] > top[:-1]))
-    last = np.concatenate((first[1:], [True]))
-    return list(zip(x[first, 0].tolist(), top[last].tolist()))
+    order = np.argsort(starts, kind="stable")
+    first, top = np.asarray(starts)[order], np.maximum.accumulate(np.asarray(ends)[order])
+    new = np.concatenate(([True], first[1:] > top[:-1]))
+    last = np.concatenate((new[1:], [True]))
+    return list(zip(first[new].tolist(), top[last].tolist()))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``docs``, columns as they are, with the repeated bytes cut out of the
-    text; what a cut leaves of a split character goes too."""
+    text; what a cut leaves of a split character goes too.  Cutting and
+    decoding are one function, so a task needs one Python worker."""
     @F.pandas_udf(T.StringType())
-    def text(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: b.decode("utf-8", "ignore"))
-    cut = suffix_dedup(docs, id_col, text_col, length)
-    return cut.withColumn(text_col, text("kept_bytes")).select(*docs.columns)
+    def text(z: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([kept.decode("utf-8", "ignore") for kept, *_ in _kept(z, s, e)], dtype=object)
+
+    both = _with_spans(docs, id_col, text_col, length)
+    return both.withColumn(text_col, text("__z", "__s", "__e")).select(*docs.columns)

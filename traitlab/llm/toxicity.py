@@ -304,12 +304,12 @@ def sure_odds(n: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _examples(odds: np.ndarray):
-    """Packed labelled texts -> their training windows, words joined by a space."""
+    """Labelled texts -> their training windows, words joined by a space."""
     def run(batches):
         for b in batches:
             ys, hs, out = [], [], []
-            for z, y, h in zip(*(b.column(i).to_pylist() for i in range(3))):
-                words = words_of(unpack(z))
+            for raw, y, h in zip(*(b.column(i).to_pylist() for i in range(3))):
+                words = words_of(raw)
                 best = np.zeros(1)
                 if words:
                     flat, counts = char_grams(words)
@@ -348,7 +348,7 @@ def fit(rows: DataFrame, sampled: DataFrame) -> tuple[Network, tuple[float, floa
     if len(set(y)) < 2:
         return net, (0.0, base)
     net.train([w.split() for w in got.column("window").to_pylist()], y.astype(np.float32))
-    s = _logits(sampled.where(~learn).select("y", "z"), net, spark).toArrow()
+    s = _logits(sampled.where(~learn).select("y", "raw"), net, spark).toArrow()
     m, y = s.column("logit").to_numpy(), s.column("y").to_numpy()
     if len(set(y)) < 2:
         return net, (1.0, 0.0)
@@ -357,7 +357,7 @@ def fit(rows: DataFrame, sampled: DataFrame) -> tuple[Network, tuple[float, floa
 
 
 def _logits(rows: DataFrame, net: Network, spark) -> DataFrame:
-    """``(first column, logit)`` for rows (anything, text or packed text)."""
+    """``(first column, logit)`` for rows (anything, text or its bytes)."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast({k: v.astype(np.float32) for k, v in net.p.items()})  # 2 MB
     key, kind = rows.columns[0], rows.schema[0].dataType.simpleString()
@@ -367,7 +367,7 @@ def _logits(rows: DataFrame, net: Network, spark) -> DataFrame:
         network.p = shared.value
         scorer = Scorer(network)
         for b in batches:
-            texts = [words_of(unpack(t) if isinstance(t, bytes) else t) for t in b.column(1).to_pylist()]
+            texts = [words_of(t) for t in b.column(1).to_pylist()]
             logits = scorer.logits(texts) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logits, pa.float64())], names=[key, "logit"])
 
